@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import LINE_ENDS, WHITE_SPACE, collapse_space, trim_text
 
@@ -58,7 +59,7 @@ def text_objects(data: bytes) -> list[list[str]]:
     return objects
 
 
-@F.pandas_udf("array<array<array<string>>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))
 def pdf_text_objects(files: pd.Series) -> pd.Series:
     """Text objects of each file of a message (a column of binary arrays)."""
 

@@ -353,8 +353,8 @@ def apply_limits(
     states, and ``(service, day, used)``.
 
     The two meet only at day ends: a day's quota always runs out at a success, which
-    leaves the breaker clean, and the rest of that day is not attempted. So the day after
-    a used-up day starts clean. Which days are used up is found by repetition: fold with
+    leaves the breaker clean, and the rest of that day is not attempted. So the rest of a
+    used-up day is denied by the quota alone, and the day after it starts clean. Which days are used up is found by repetition: fold with
     the days known so far, look again. The first n days are right after n rounds, and in
     practice two or three rounds settle all of them.
     """
@@ -377,8 +377,8 @@ def apply_limits(
         full = found
     out = _within_quota(folded, cuts).withColumn(
         "outcome",
-        F.when(~F.col("attempted"), "open")
-        .when(~F.col("in_quota"), "quota")
+        F.when(~F.col("in_quota"), "quota")
+        .when(~F.col("attempted"), "open")
         .when(F.col("ok"), "ok")
         .otherwise("failed"),
     )

@@ -51,10 +51,11 @@ def trusted_by_table(mail: DataFrame, allowlist: DataFrame) -> DataFrame:
         "_address",
         "left",
     )
-    several = F.size(F.split("_address", "@")) > 2
+    pieces = F.split("_address", "@")
+    several = F.size(pieces) > 2
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(F.split("_address", "@")) - 1),
-        lambda i: F.concat(F.lit("@"), F.substring_index(F.col("_address"), "@", -1 * i)),
+        F.sequence(F.lit(2), F.size(pieces)),
+        lambda i: F.concat(F.lit("@"), F.array_join(F.slice(pieces, i, F.size(pieces)), "@")),
     )
     by_inner = (
         keyed.where(several)

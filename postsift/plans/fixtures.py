@@ -18,7 +18,7 @@ SPARK = {
 }
 DUCKDB = {
     "div": "//",
-    "ms": "epoch_ms(ts)",
+    "ms": "(epoch_us(ts) // 1000)",
     "b64": "base64(encode({}))",
     "bytes": "strlen({})",
 }
@@ -108,6 +108,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         {
             "account": "'box' || (user_id % 20) || '@example.com'",
             "box": "user_id % 20",
+            "event_type": "event_type",
             "entry_id": "event_id + 1",
             "message_id": "CASE WHEN event_type <> 'view' THEN 'm' || (event_id - event_id % 3) END",
             "page_no": "event_id {div} 50",
@@ -146,6 +147,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "email": """CASE c_custkey % 10 WHEN 0 THEN '__primary__'
               ELSE 'box' || c_custkey || '@mail' || c_nationkey || '.example' END""",
             "key": "c_custkey",
+            "nation": "c_nationkey",
             "added_at": "c_custkey",
         },
     ),
@@ -241,10 +243,10 @@ def feed_accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def processed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages handled before: every seventh event's."""
+    """Messages handled before: those of purchases."""
     return (
         read_view(spark, sf_dir, "fx_feed")
-        .where("entry_id % 7 = 1 AND message_id IS NOT NULL")
+        .where("event_type = 'purchase'")
         .groupBy("message_id")
         .agg(F.min("received_at").alias("processed_at"))
     )
@@ -312,7 +314,7 @@ def provider_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pdf = F.concat(
         F.lit("%PDF-1.4 stream\n(BT (hidden) ET endstream BT ("),
-        F.regexp_replace(F.substring("body", 1, 900), r"[^A-Za-z0-9 .,]", " "),
+        F.regexp_replace(F.col("body"), r"[^A-Za-z0-9 .,]|ET|BT", " "),
         F.lit(") Tj <48692121> ET"),
     )
     return mail.select(

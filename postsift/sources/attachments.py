@@ -12,8 +12,8 @@ from ..functions.text import (
     bytes_as_utf8,
     data_url,
     decode_base64url,
-    non_empty,
     normalise_mime,
+    or_empty,
     redact,
     trim_text,
 )
@@ -23,6 +23,11 @@ MAX_BYTES = 1024 * 1024
 MAX_IMAGES = 5
 
 
+def attachment_leaves(nodes: Column) -> Column:
+    """Nodes that can be attachments: not containers, and not the root (it is the body)."""
+    return F.filter(nodes, lambda n: (F.size(n["path"]) > 0) & ~n["is_container"])
+
+
 def first_of_content_id(leaves: Column) -> Column:
     """Drop a node whose Content-ID an earlier node has; nodes without one all stay."""
     cids = F.transform(leaves, lambda n: n["content_id"])
@@ -33,34 +38,36 @@ def first_of_content_id(leaves: Column) -> Column:
     )
 
 
-def attachment_parts(nodes: Column) -> Column:
+def attachment_parts(leaves: Column) -> Column:
     """Attachment nodes in document order with their ``kind`` and clean MIME type.
 
     Content-ID repeats go before the type is looked at, oversize parts before their
-    bytes are; the root node is the body and never an attachment.
+    bytes are.
     """
-    leaves = F.filter(nodes, lambda n: (F.size(n["path"]) > 0) & ~n["is_container"])
-
-    def described(n: Column) -> Column:
-        mime = normalise_mime(n["mime"])
-        kind = (
-            F.when(mime == "application/pdf", "pdf")
-            .when((mime == "text/plain") & non_empty(n["filename"]).isNotNull(), "text")
-            .when(F.startswith(mime, F.lit("image/")), "image")
-        )
-        return F.struct(
+    small = F.filter(
+        first_of_content_id(leaves), lambda n: F.coalesce(n["size"], F.lit(0)) <= MAX_BYTES
+    )
+    typed = F.transform(
+        small,
+        lambda n: F.struct(
             n["path"].alias("path"),
-            kind.alias("kind"),
-            mime.alias("mime_type"),
+            normalise_mime(n["mime"]).alias("mime_type"),
+            n["filename"].alias("filename"),
             n["data"].alias("data"),
             n["size"].alias("size"),
             n["attachment_id"].alias("attachment_id"),
-        )
+        ),
+    )
+    kinds = F.transform(typed, lambda p: p.withField("kind", _kind(p)).dropFields("filename"))
+    return F.filter(kinds, lambda p: p["kind"].isNotNull())
 
-    parts = F.transform(first_of_content_id(leaves), described)
-    return F.filter(
-        parts,
-        lambda p: p["kind"].isNotNull() & (F.coalesce(p["size"], F.lit(0)) <= MAX_BYTES),
+
+def _kind(p: Column) -> Column:
+    mime = p["mime_type"]
+    return (
+        F.when(mime == "application/pdf", "pdf")
+        .when((mime == "text/plain") & (F.coalesce(p["filename"], F.lit("")) != ""), "text")
+        .when(F.startswith(mime, F.lit("image/")), "image")
     )
 
 
@@ -98,7 +105,8 @@ def with_attachments(
     lookups succeed, images are cut to the first five usable ones per message, and the
     second join is on ``message_id``, so grouping the bytes needs no further shuffle.
     """
-    prepared = compute_once(messages, _parts=attachment_parts(F.col("nodes")))
+    leaves = compute_once(messages, _leaves=attachment_leaves(F.col("nodes")))
+    prepared = compute_once(leaves, _parts=attachment_parts(F.col("_leaves"))).drop("_leaves")
     wanted = prepared.select(
         F.col("id").alias("message_id"),
         F.transform(
@@ -157,62 +165,63 @@ def _with_bytes(p: Column) -> Column:
         ),
         lambda f: f["attachment_id"] == p["attachment_id"],
     )
-    inline = decode_base64url(p["data"])
+    fetched = F.try_element_at(stored, F.lit(1))["bytes"]
     return F.struct(
         p["kind"].alias("kind"),
         p["mime_type"].alias("mime_type"),
-        F.when(p["data"].isNotNull(), inline)
-        .otherwise(F.try_element_at(stored, F.lit(1))["bytes"])
-        .alias("bytes"),
-        (p["data"].isNotNull() & inline.isNull()).alias("broken"),
+        p["data"].isNotNull().alias("inline"),
+        F.when(p["data"].isNotNull(), decode_base64url(p["data"])).otherwise(fetched).alias("bytes"),
     )
 
 
+def _is_broken(p: Column) -> Column:
+    return p["inline"] & p["bytes"].isNull()
+
+
+def _is_usable(p: Column) -> Column:
+    """Has bytes, or inline data that should have been bytes."""
+    return p["inline"] | p["bytes"].isNotNull()
+
+
 def _limited(joined: DataFrame, redaction: str) -> DataFrame:
-    images = F.slice(
-        F.filter("_parts", lambda p: (p["kind"] == "image") & (p["bytes"].isNotNull() | p["broken"])),
-        1,
-        MAX_IMAGES,
-    )
-    texts = F.filter(
-        "_parts", lambda p: (p["kind"] != "image") & (p["bytes"].isNotNull() | p["broken"])
-    )
+    usable = F.filter("_parts", _is_usable)
+    images = F.slice(F.filter(usable, lambda p: p["kind"] == "image"), 1, MAX_IMAGES)
+    texts = F.filter(usable, lambda p: p["kind"] != "image")
     pdfs = F.transform("_texts", lambda p: F.when(p["kind"] == "pdf", p["bytes"]))
     scanned = compute_once(joined, _images=images, _texts=texts).withColumn(
         "_objects", pdf_text_objects(pdfs)
     )
-    limited = compute_once(
-        scanned, _text=budgeted_text(F.arrays_zip("_texts", "_objects"), redaction)
+    parts = F.zip_with(
+        "_texts", "_objects", lambda p, objects: p.withField("objects", objects)
     )
-    broken = F.col("_text.broken") | F.exists("_images", lambda p: p["broken"])
+    limited = compute_once(scanned, _text=budgeted_text(parts, redaction))
+    broken = F.col("_text").isNull() | F.exists("_images", _is_broken)
     return limited.select(
         *[c for c in joined.columns if c != "reject_reason"],
-        F.col("_text.text").alias("attachment_text"),
+        or_empty(F.col("_text")).alias("attachment_text"),
         F.transform("_images", lambda p: data_url(p["mime_type"], p["bytes"])).alias("images"),
         F.coalesce("reject_reason", F.when(broken, "bad_attachment")).alias("reject_reason"),
     )
 
 
 def budgeted_text(parts: Column, redaction: str = "reference") -> Column:
-    """``struct(text, broken)``: text of the parts in order, within 2000 characters.
+    """Text of the parts in order, within 2000 characters; NULL after undecodable data.
 
     The limit depends on what redaction left of the parts before, so this is an ordered
     fold and not a running sum: PDF text is cut and then redacted, plain text is redacted
     and then cut, and the joining newline counts.
     """
-    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("broken"))
-
-    def add(acc: Column, zipped: Column) -> Column:
-        part, objects = zipped["_texts"], zipped["_objects"]
-        left = F.lit(ATTACHMENT_CHARS) - F.length(acc["text"])
-        from_pdf = trim_text(redact(pdf_text(objects, left), redaction))
-        from_text = F.left(trim_text(redact(bytes_as_utf8(part["bytes"]), redaction)), left)
-        clean = F.coalesce(F.when(part["kind"] == "pdf", from_pdf).otherwise(from_text), F.lit(""))
-        newline = F.when((acc["text"] != "") & (clean != ""), "\n").otherwise("")
-        more = F.struct(
-            F.concat(acc["text"], newline, clean).alias("text"),
-            (acc["broken"] | part["broken"]).alias("broken"),
+
+    def add(text: Column, p: Column) -> Column:
+        room = F.lit(ATTACHMENT_CHARS) - F.length(text)
+        from_pdf = trim_text(redact(pdf_text(p["objects"], room), redaction))
+        from_text = F.left(trim_text(redact(bytes_as_utf8(p["bytes"]), redaction)), room)
+        clean = F.when(p["kind"] == "pdf", from_pdf).otherwise(from_text)
+        more = F.array_join(F.filter(F.array(text, clean), lambda x: x != ""), "\n")
+        return (
+            F.when(text.isNull() | (room <= 0), text)
+            .when(_is_broken(p), F.lit(None).cast("string"))
+            .otherwise(more)
         )
-        return F.when(left <= 0, acc).otherwise(more)
 
-    return F.aggregate(parts, start, add)
+    return F.aggregate(parts, F.lit(""), add)

@@ -24,7 +24,7 @@ from ..functions.text import (
     strip_html,
 )
 
-NATIVE_DEPTH = 8
+NATIVE_DEPTH = 6
 _LEAF = (
     "mimeType:string,filename:string,headers:array<struct<name:string,value:string>>,"
     "body:struct<data:string,size:bigint,attachmentId:string>"
@@ -48,12 +48,15 @@ def message_type(depth: int = NATIVE_DEPTH) -> str:
     )
 
 
-def header_map(headers: Column) -> Column:
-    """Lower-case names to values; of several headers with one name the last wins."""
-    named = F.transform(
+def named_headers(headers: Column) -> Column:
+    return F.transform(
         F.coalesce(headers, F.array()),
         lambda h: F.struct(F.lower(h["name"]).alias("key"), h["value"].alias("value")),
     )
+
+
+def header_map(named: Column) -> Column:
+    """Lower-case names to values; of several headers with one name the last wins."""
     last = F.filter(
         named,
         lambda h, i: h["key"].isNotNull()
@@ -83,45 +86,30 @@ def _node(path: Column, part: Column) -> Column:
     )
 
 
-def flatten_parts(parsed: DataFrame, payload: str, depth: int = NATIVE_DEPTH) -> DataFrame:
-    """Add ``nodes`` (document order, root path empty) and ``_deeper`` (see below).
+def part_nodes(part: Column, depth: int, path: Column | None = None) -> Column:
+    """Nodes of a part and all below it, in document order.
 
-    One ``withColumn`` per level keeps each level computed once. A tree deeper than
-    ``depth`` levels is never cut: ``_deeper`` marks the row, and ``complete_nodes``
-    rebuilds its nodes from the raw JSON.
+    The recursion is over the column's type, so this is one expression that visits every
+    part once; nothing is sorted, and no level is kept beside the next.
     """
-    level = F.array(
-        F.struct(F.array().cast("array<int>").alias("path"), F.col(payload).alias("part"))
+    path = F.array().cast("array<int>") if path is None else path
+    own = F.array(_node(path, part))
+    if depth == 0:
+        return own
+    below = F.transform(
+        F.coalesce(part["parts"], F.array()),
+        lambda child, i: part_nodes(child, depth - 1, F.concat(path, F.array(i.cast("int")))),
     )
-    out = parsed.withColumn("_level0", level)
-    for d in range(1, depth + 1):
-        out = out.withColumn(
-            f"_level{d}",
-            F.flatten(
-                F.transform(
-                    F.col(f"_level{d - 1}"),
-                    lambda at: F.transform(
-                        F.coalesce(at["part"]["parts"], F.array()),
-                        lambda child, i: F.struct(
-                            F.concat(at["path"], F.array(i.cast("int"))).alias("path"),
-                            child.alias("part"),
-                        ),
-                    ),
-                )
-            ),
-        )
-    levels = [
-        F.transform(F.col(f"_level{d}"), lambda at: _node(at["path"], at["part"]))
-        for d in range(depth + 1)
-    ]
-    nodes = F.array_sort(F.concat(*levels), _by_path)
-    deeper = F.exists(F.col(f"_level{depth}"), lambda at: at["part"]["parts"].isNotNull())
-    found = compute_once(out, nodes=nodes, _deeper=F.coalesce(deeper, F.lit(False)))
-    return found.drop(*[f"_level{d}" for d in range(depth + 1)])
+    return F.concat(own, F.flatten(below))
 
 
-def _by_path(left: Column, right: Column) -> Column:
-    return F.when(left["path"] < right["path"], -1).when(left["path"] > right["path"], 1).otherwise(0)
+def is_deeper(part: Column, depth: int) -> Column:
+    """Whether there are parts below the typed levels."""
+    if depth == 0:
+        return part["parts"].isNotNull()
+    return F.coalesce(
+        F.exists(part["parts"], lambda child: is_deeper(child, depth - 1)), F.lit(False)
+    )
 
 
 def _walk(payload: dict) -> list[dict]:
@@ -163,32 +151,37 @@ def complete_nodes(flat: DataFrame, raw: str) -> DataFrame:
     return compute_once(walked, nodes=F.coalesce("_walked", "nodes")).drop("_walked")
 
 
-def body_text(nodes: Column, charset: str) -> Column:
-    """``struct(text, broken)``: first non-empty text in document order.
+def _is_text(node: Column) -> Column:
+    return node["mime"].isin("text/plain", "text/html") & node["data"].isNotNull()
+
+
+def text_paths(nodes: Column) -> Column:
+    return F.transform(F.filter(nodes, _is_text), lambda n: n["path"])
+
 
-    Plain text and HTML count alike. A typed node with inline data ends its branch,
-    even if its text is empty. ``broken`` means undecodable data came first.
+def body_text(nodes: Column, text_paths: Column, charset: str) -> Column:
+    """First non-empty text in document order; NULL if undecodable data comes before it.
+
+    Plain text and HTML count alike. A typed node with inline data ends its branch, even
+    if its text is empty. Nothing is decoded once a text is found.
     """
-    typed = F.filter(nodes, lambda n: n["mime"].isin("text/plain", "text/html") & n["data"].isNotNull())
-    reachable = F.filter(
-        typed,
-        lambda n: ~F.exists(
-            typed,
-            lambda above: (F.size(above["path"]) < F.size(n["path"]))
-            & (F.slice(n["path"], 1, F.size(above["path"])) == above["path"]),
-        ),
-    )
 
     def read(n: Column) -> Column:
         plain = bytes_as_text(decode_base64url(n["data"]), charset)
         return F.when(n["mime"] == "text/html", strip_html(plain)).otherwise(plain)
 
-    decoded = F.transform(reachable, lambda n: F.struct(read(n).alias("text")))
-    found = F.filter(decoded, lambda d: d["text"].isNull() | (d["text"] != ""))
-    first = F.try_element_at(found, F.lit(1))
-    return F.struct(
-        or_empty(first["text"]).alias("text"),
-        (F.size(found).cast("boolean") & first["text"].isNull()).alias("broken"),
+    def below_text(n: Column) -> Column:
+        return F.exists(
+            text_paths,
+            lambda p: (F.size(p) < F.size(n["path"])) & (F.slice(n["path"], 1, F.size(p)) == p),
+        )
+
+    return F.aggregate(
+        nodes,
+        F.lit(""),
+        lambda found, n: F.when((found == "") & _is_text(n) & ~below_text(n), read(n)).otherwise(
+            found
+        ),
     )
 
 
@@ -210,19 +203,26 @@ def parse_messages(
     trees deeper than ``depth``; such messages then get the reason ``too_deep``.
     """
     parsed = compute_once(raw, _message=F.from_json(column, message_type(depth)))
-    flat = flatten_parts(parsed.withColumn("_payload", F.col("_message.payload")), "_payload", depth)
+    payload = F.col("_message.payload")
+    flat = compute_once(
+        parsed,
+        nodes=part_nodes(payload, depth),
+        _deeper=is_deeper(payload, depth),
+        _named=named_headers(payload["headers"]),
+    )
     if deep_trees:
         flat = complete_nodes(flat, column)
     too_deep = F.lit(False) if deep_trees else F.col("_deeper")
+    paths = compute_once(flat, _paths=text_paths(F.col("nodes")))
     read = compute_once(
-        flat,
-        _headers=header_map(F.col("_payload.headers")),
-        _body=body_text(F.col("nodes"), charset),
+        paths,
+        _headers=header_map(F.col("_named")),
+        _body=body_text(F.col("nodes"), F.col("_paths"), charset),
     )
     reason = (
-        F.when(F.col("_message.id").isNull() | F.col("_payload").isNull(), "bad_message")
+        F.when(F.col("_message.id").isNull() | payload.isNull(), "bad_message")
         .when(too_deep, "too_deep")
-        .when(F.col("_body.broken"), "bad_body")
+        .when(F.col("_body").isNull(), "bad_body")
     )
     carried = [c for c in raw.columns if c != column]
     return read.select(
@@ -232,7 +232,7 @@ def parse_messages(
         or_empty(F.col("_headers")["from"]).alias("from_addr"),
         or_empty(F.col("_headers")["subject"]).alias("subject"),
         F.col("_message.snippet").alias("snippet"),
-        F.left(redact(F.col("_body.text"), redaction), F.lit(BODY_CHARS)).alias("body_text"),
+        F.left(redact(or_empty(F.col("_body")), redaction), F.lit(BODY_CHARS)).alias("body_text"),
         or_empty(F.col("_headers")["date"]).alias("date"),
         F.coalesce(F.col("_message.labelIds"), F.array().cast("array<string>")).alias("labels"),
         F.col("_headers").alias("headers"),
