@@ -474,3 +474,33 @@ ORACLES["accounts_removed"] = f"""WITH {REQUEST}, {ACCOUNT} SELECT email, added_
   AND email NOT IN (SELECT lower(trim(email)) FROM request)"""
 ORACLES["accounts_listed"] = f"""WITH {ACCOUNT} SELECT email, CASE WHEN nation < 10 THEN key * 10 END AS watch_expiry,
     CASE WHEN nation > 5 THEN key + 7 END AS last_webhook FROM account WHERE email <> '__primary__'"""
+
+# --- streams ---
+
+ORACLES["stream_notifications"] = f"""WITH {_ENVELOPE} SELECT DISTINCT account, history_id FROM envelope
+  WHERE reject_reason IS NULL"""
+ORACLES["stream_messages"] = f"WITH {FEED} SELECT DISTINCT message_id FROM feed WHERE message_id IS NOT NULL"
+ORACLES["stream_flush_windows"] = f"""WITH flushes AS ({ORACLES['flush_windows']})
+  SELECT * FROM flushes WHERE flush_at <= (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)"""
+ORACLES["stream_limited_calls"] = ORACLES["limited_calls"]
+ORACLES["stream_cursors"] = f"""WITH {_KEYED} SELECT key, arg_max(value, updated_at) AS value,
+  max(updated_at) AS updated_at FROM change GROUP BY key"""
+
+_TRIAGE_BODY = f"left({trim(f'left({redacted(_BODY)}, 2048)')}, 1800)"
+ORACLES["stream_triage"] = f"""WITH {RULED}, p AS (SELECT *, lower('From: ' || from_addr || chr(10) || 'Subject: '
+      || subject || chr(10) || 'Body: ' || {_TRIAGE_BODY}) AS t FROM ruled),
+  scored AS (SELECT *, CASE WHEN {_BROKEN} THEN NULL WHEN rule = 'Ads' THEN 'Ignore' WHEN rule IS NOT NULL THEN 'Not Necessary'
+      WHEN t LIKE '%verification code%' THEN 'Critical'
+      WHEN t LIKE '%ssn%' OR t LIKE '%card%' THEN 'High' WHEN t LIKE '%bearer%' THEN 'Medium' ELSE 'Low' END AS priority FROM p)
+  SELECT id, priority, CASE WHEN priority IS NULL THEN 'quarantine' WHEN priority = 'Ignore' THEN 'discard'
+      WHEN priority = 'Critical' THEN 'immediate' ELSE 'queue' END AS route,
+    CASE WHEN priority NOT IN ('Ignore', 'Critical') THEN 1 END AS queued,
+    CASE WHEN priority = 'Critical' THEN '🔴 ' || {sender_name('from_addr')} || ': ' || left(subject, 60) END AS title FROM scored"""
+
+ORACLES["stream_deliveries"] = f"""WITH {_PLACED}, {CALL}, delivered AS (SELECT CASE WHEN id % 3 = 0 THEN 'High' ELSE 'Low' END AS priority,
+    id % 5 AS chunk, ts, (ts - min(ts) OVER ()) // ((max(ts) OVER () - min(ts) OVER ()) // 3 + 1) AS part, ok FROM call),
+  marks AS (SELECT priority, chunk, part, min(ts) AS sent FROM delivered WHERE ok AND chunk <> 2 GROUP BY ALL),
+  last AS (SELECT priority, chunk, arg_max(sent, part) AS sent FROM marks GROUP BY ALL),
+  flush AS (SELECT id, priority, (pos - 1) // 20 AS chunk FROM placed WHERE pos <= 100)
+  SELECT pending.id, coalesce(last.sent, pending.sent_at) AS sent_at FROM pending
+  LEFT JOIN flush USING (id) LEFT JOIN last ON last.priority = flush.priority AND last.chunk = flush.chunk"""
