@@ -6,14 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .priorities import PRIORITIES
-from .text import (
-    ANSWER_SUMMARY_CHARS,
-    LABEL_CHARS,
-    WHITE_SPACE,
-    non_empty,
-    or_empty,
-    trim_text,
-)
+from .once import let
+from .text import ANSWER_SUMMARY_CHARS, LABEL_CHARS, WHITE_SPACE, or_empty, trim_text
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
@@ -25,26 +19,36 @@ def strict_object(text: Column, fields: str) -> Column:
     front of a closing mark made from its own digest: only a text that is one whole
     object leaves the mark as the second and last element.
     """
-    mark = F.md5(text.cast("binary"))
-    wrapped = F.concat(F.lit("["), text, F.lit(',{"_mark":"'), mark, F.lit('"}]'))
-    parsed = F.from_json(wrapped, f"array<struct<{fields},_mark:string>>", _STRICT)
-    whole = (F.size(parsed) == 2) & (F.try_element_at(parsed, F.lit(2))["_mark"] == mark)
-    return F.when(whole, F.try_element_at(parsed, F.lit(1)))
+
+    def parse(t: Column) -> Column:
+        wrapped = F.concat(F.lit("["), t, F.lit(',{"_mark":"'), F.md5(t), F.lit('"}]'))
+        return F.from_json(wrapped, f"array<struct<{fields},_mark:string>>", _STRICT)
+
+    def check(t: Column, parsed: Column) -> Column:
+        last = F.try_element_at(parsed, F.lit(2))
+        whole = (F.size(parsed) == 2) & (last["_mark"] == F.md5(t))
+        return F.when(whole, F.try_element_at(parsed, F.lit(1)))
+
+    return let(text, lambda t: let(parse(t), lambda parsed: check(t, parsed)))
 
 
 def parse_answer(raw: Column) -> Column:
     """``struct(priority, summary, label)``, or NULL for an unusable answer."""
     text = F.regexp_replace(raw, rf"(?i)^```json[{WHITE_SPACE}]*", "")
     text = trim_text(F.regexp_replace(text, rf"[{WHITE_SPACE}]*```\z", ""))
-    data = strict_object(text, "priority:string,summary:string,label:string")
-    label = F.left(
-        F.regexp_replace(or_empty(data["label"]), "[^A-Za-z0-9]", ""), F.lit(LABEL_CHARS)
-    )
-    return F.when(
-        data["priority"].isin(*PRIORITIES),
-        F.struct(
-            data["priority"].alias("priority"),
-            F.left(or_empty(data["summary"]), F.lit(ANSWER_SUMMARY_CHARS)).alias("summary"),
-            F.coalesce(non_empty(label), F.lit("Other")).alias("label"),
+
+    def label(data: Column) -> Column:
+        letters = F.regexp_replace(or_empty(data["label"]), "[^A-Za-z0-9]", "")
+        return let(F.left(letters, F.lit(LABEL_CHARS)), lambda x: F.when(x == "", "Other").otherwise(x))
+
+    return let(
+        strict_object(text, "priority:string,summary:string,label:string"),
+        lambda data: F.when(
+            data["priority"].isin(*PRIORITIES),
+            F.struct(
+                data["priority"].alias("priority"),
+                F.left(or_empty(data["summary"]), F.lit(ANSWER_SUMMARY_CHARS)).alias("summary"),
+                label(data).alias("label"),
+            ),
         ),
     )

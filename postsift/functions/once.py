@@ -1,7 +1,9 @@
-"""Keep costly columns from being computed again by every filter on them."""
+"""Keep costly values from being computed again by every use of them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,8 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     row = F.struct(*[column.alias(name) for name, column in columns.items()])
     return df.select(*kept, F.inline(F.array(row)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -125,9 +125,13 @@ def bytes_as_text(data: Column, charset: str) -> Column:
     raise ValueError(f"unsupported body charset: {charset}")
 
 
+def base64_line(data: Column) -> Column:
+    """Base64 without the line breaks that Spark puts into long texts."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 def data_url(mime: Column, data: Column) -> Column:
-    plain = F.regexp_replace(F.base64(data), r"[\r\n]", "")
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), plain)
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), base64_line(data))
 
 
 def normalise_mime(mime: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import parse_answer
+from ..functions.once import compute_once
 from ..functions.text import prompt_text
 
 # Method names, and the verdict when nothing answers.
@@ -149,12 +150,12 @@ def resolve_attempts(attempts: DataFrame) -> DataFrame:
     a message with very many attempt rows costs no more than any other.
     """
     ok = F.col("status").between(200, 299)
-    scored = attempts.select(
-        "message_id",
-        "rank",
-        F.col("status").between(400, 499).alias("refused"),
-        F.when(ok, parse_answer(F.col("content"))).alias("answer"),
-    )
+    answer = F.when(ok, parse_answer(F.col("content")))
+    refused = F.col("status").between(400, 499)
+    scored = compute_once(
+        attempts.select("message_id", "rank", refused.alias("refused"), "status", "content"),
+        answer=answer,
+    ).drop("status", "content")
 
     def answer_at(rank: int) -> Column:
         return F.max(F.when(F.col("rank") == rank, F.col("answer"))).alias(f"a{rank}")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import base64_line
+
 SPARK = {
     "div": "div",
     "ms": "unix_millis(cast(ts as timestamp))",
@@ -253,8 +255,10 @@ def processed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoded(text: Column) -> Column:
-    raw = F.regexp_replace(F.base64(text.cast("binary")), r"[\r\n=]", "")
-    return F.translate(raw, "+/", "-_")
+    """URL-safe base64 without padding, as mail providers send it."""
+    line = base64_line(text.cast("binary"))
+    line = F.replace(F.replace(line, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
+    return F.replace(line, F.lit("="), F.lit(""))
 
 
 def provider_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# UTC for anything that prints a timestamp; AQE chooses join sides from measured
-# sizes and splits skewed join partitions; small Arrow batches keep attachment bytes
-# (up to 1 MiB a row) within a Python worker's memory.
+# UTC for anything that prints a timestamp; AQE chooses join sides from measured sizes and
+# splits skewed join partitions; Arrow batches are bounded in bytes, because a row may hold
+# a megabyte of attachment.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
-ATTACHMENT_BATCH_ROWS = 64
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -27,6 +28,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"postsift-{application}-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
@@ -37,8 +43,7 @@ def scratch_root(spark: SparkSession) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="postsift-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark.sparkContext.applicationId)
     return root.rstrip("/")
 
 

@@ -17,6 +17,7 @@ from ..functions.text import (
     redact,
     trim_text,
 )
+from ..session import stage
 
 # Limits per message.
 MAX_BYTES = 1024 * 1024
@@ -98,26 +99,20 @@ def fetch_bytes(parts: DataFrame, store: DataFrame, max_bytes: int = MAX_BYTES)
 def with_attachments(
     messages: DataFrame, store: DataFrame, redaction: str = "reference"
 ) -> DataFrame:
-    """Add ``attachment_text`` and ``images`` to parsed messages.
+    """Parsed messages with ``attachment_text`` and ``images`` in place of ``nodes``.
 
     ``store(message_id, attachment_id, data base64url)``. The bytes are shuffled once and
     only for parts that will be used: a first join moves keys alone and tells which
     lookups succeed, images are cut to the first five usable ones per message, and the
-    second join is on ``message_id``, so grouping the bytes needs no further shuffle.
+    second join is on ``message_id``, so grouping the bytes needs no further shuffle. The
+    messages are parsed and written once; the key passes read only the columns they need.
     """
-    leaves = compute_once(messages, _leaves=attachment_leaves(F.col("nodes")))
-    prepared = compute_once(leaves, _parts=attachment_parts(F.col("_leaves"))).drop("_leaves")
-    wanted = prepared.select(
-        F.col("id").alias("message_id"),
-        F.transform(
-            "_parts",
-            lambda p: F.struct(
-                p["kind"].alias("kind"),
-                F.when(p["data"].isNull(), p["attachment_id"]).alias("lookup"),
-                p["data"].isNotNull().alias("inline"),
-            ),
-        ).alias("wanted"),
-    ).where(F.exists("wanted", lambda w: w["lookup"].isNotNull()))
+    leaves = compute_once(messages, _leaves=attachment_leaves(F.col("nodes"))).drop("nodes")
+    parts = compute_once(leaves, _parts=attachment_parts(F.col("_leaves"))).drop("_leaves")
+    prepared = stage(parts.withColumn("_wanted", _wanted(F.col("_parts"))), "messages")
+    wanted = prepared.select(F.col("id").alias("message_id"), F.col("_wanted").alias("wanted")).where(
+        F.exists("wanted", lambda w: w["lookup"].isNotNull())
+    )
 
     present = (
         store.where(decode_base64url(F.col("data")).isNotNull())
@@ -143,7 +138,19 @@ def with_attachments(
     joined = compute_once(
         prepared.join(fetched, "id", "left"), _parts=F.transform("_parts", _with_bytes)
     )
-    return _limited(joined, redaction).drop("_fetched", "_parts")
+    return _limited(joined, redaction).drop("_fetched", "_parts", "_wanted")
+
+
+def _wanted(parts: Column) -> Column:
+    """What the key passes need of the parts, without their data."""
+    return F.transform(
+        parts,
+        lambda p: F.struct(
+            p["kind"].alias("kind"),
+            F.when(p["data"].isNull(), p["attachment_id"]).alias("lookup"),
+            p["data"].isNotNull().alias("inline"),
+        ),
+    )
 
 
 def _chosen_ids() -> Column:
