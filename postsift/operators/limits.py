@@ -8,8 +8,8 @@ over the service:
 * quota: counts per second find the second in which the quota runs out, and only the rows
   of that second are ranked;
 * breaker: every range partition summarises itself as a function from the state it is
-  entered with to the state it is left with; chaining these summaries, a few rows per
-  partition, gives each partition its true entry state, and all partitions then fold
+  entered with to the state it is left with. Composing these functions up and down a tree
+  (a prefix scan) gives each partition its true entry state, and all partitions then fold
   their rows in parallel.
 """
 
@@ -218,17 +218,99 @@ class _Piece:
         return steps
 
 
+def _table(entries: list[tuple[int, int, BreakerState]], first: int, last: int) -> pd.DataFrame:
+    """A summary as rows: ``carried`` failures on entry, or (-1) open, closing from ``since``."""
+    return pd.DataFrame(
+        [(c, t, s.open_until, s.fails, s.last_fail, first, last) for c, t, s in entries],
+        columns=["carried", "since", *STATE_COLUMNS, "first_ts", "last_ts"],
+    )
+
+
+def summarise_piece(piece: _Piece) -> pd.DataFrame:
+    first, last = int(piece.ts[0]), int(piece.ts[-1])
+    closed = [
+        (c, -1, piece.fold(BreakerState(0, c, first))[1]) for c in range(piece.limit)
+    ]
+    opened = [(-1, since, state) for since, state in piece.exits_if_open()]
+    return _table(closed + opened, first, last)
+
+
+def _split(table: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, int, int]:
+    """States by carried failures, steps by closing time, first and last time."""
+    closed = table[table["carried"] >= 0].sort_values("carried")
+    steps = table[table["carried"] < 0].sort_values("since", ignore_index=True)
+    return closed, steps, int(table["first_ts"].iloc[0]), int(table["last_ts"].iloc[0])
+
+
+def leave(states: np.ndarray, table: pd.DataFrame, ttl: int) -> np.ndarray:
+    """States (one per row) after what ``table`` summarises."""
+    closed, steps, first, last = _split(table)
+    until, fails, last_fail = states.T
+    out = states.copy()
+    shut = until == 0
+    carried = np.where(first - last_fail < ttl, fails, 0)[shut]
+    out[shut] = closed[STATE_COLUMNS].to_numpy()[carried]
+    inside = ~shut & (until <= last)
+    at = np.searchsorted(steps["since"].to_numpy(), until[inside], side="right") - 1
+    out[inside] = steps[STATE_COLUMNS].to_numpy()[at]
+    return out
+
+
+def compose(tables: list[pd.DataFrame], ttl: int) -> pd.DataFrame:
+    """The summary of consecutive pieces taken together."""
+    first = int(tables[0]["first_ts"].iloc[0])
+    last = int(tables[-1]["last_ts"].iloc[0])
+    closed = _split(tables[0])[0]
+    kinds = [closed["carried"].to_numpy()]
+    since = [closed["since"].to_numpy()]
+    states = closed[STATE_COLUMNS].to_numpy()
+    for table in tables[1:]:
+        states = leave(states, table, ttl)
+    found = [states]
+    after = 0
+    for i, table in enumerate(tables):
+        # A breaker that closes after the pieces before comes to this one unchanged.
+        _, steps, _, end = _split(table)
+        begin = steps["since"].to_numpy()
+        keep = np.append(begin[1:], end + 1) > after
+        begin = np.maximum(begin, after)
+        keep &= begin <= first + ttl
+        states = steps[STATE_COLUMNS].to_numpy()[keep]
+        for later in tables[i + 1 :]:
+            states = leave(states, later, ttl)
+        kinds.append(np.full(len(states), -1))
+        since.append(begin[keep])
+        found.append(states)
+        after = end + 1
+    kind, start, state = np.concatenate(kinds), np.concatenate(since), np.vstack(found)
+    same = (kind[1:] == -1) & (kind[:-1] == -1) & (state[1:] == state[:-1]).all(axis=1)
+    keep = np.append(True, ~same)
+    out = pd.DataFrame(state[keep], columns=STATE_COLUMNS)
+    return out.assign(carried=kind[keep], since=start[keep], first_ts=first, last_ts=last)
+
+
+_TABLE_DDL = f"carried int, since bigint, {_STATE_DDL}, first_ts bigint, last_ts bigint"
+_BEGIN = [f"begin_{c}" for c in STATE_COLUMNS]
+_END = [f"end_{c}" for c in STATE_COLUMNS]
+# Pieces whose summaries one task takes together: a summary has at most one step per
+# millisecond of the open time, however many rows it stands for.
+FAN = 16
+
+
 def fold_breaker(
     runs: DataFrame,
     keys: list[str],
     limit: int = FAILURE_LIMIT,
     ttl_ms: int = BREAKER_MS,
     carry: DataFrame | None = None,
+    fan: int = FAN,
 ) -> tuple[DataFrame, DataFrame]:
     """Fold calls from ``ordered_runs``; returns them with ``attempted, tripped`` and the
     states ``(*keys, open_until, fails, last_fail)`` at the end.
 
-    ``carry`` gives states to begin with, in the same columns.
+    ``carry`` gives states to begin with, in the same columns. Summaries are composed up a
+    tree of ``fan`` children per node; entry states then come down the same tree, so that
+    no task ever sees more than ``fan`` summaries of a service.
     """
     key_ddl = ", ".join(f"`{c}` {runs.schema[c].dataType.simpleString()}" for c in keys)
 
@@ -237,93 +319,85 @@ def fold_breaker(
         return rows, _Piece(rows["ts"].to_numpy(), rows["ok"].to_numpy(bool), limit, ttl_ms)
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, p = piece(rows)
-        first, last = int(p.ts[0]), int(p.ts[-1])
-        exits = [
-            (c, -1, p.fold(BreakerState(0, c, first))[1]) for c in range(limit)
-        ] + [(-1, since, state) for since, state in p.exits_if_open()]
-        out = pd.DataFrame(
-            [
-                (carried, since, state.open_until, state.fails, state.last_fail, first, last)
-                for carried, since, state in exits
-            ],
-            columns=["carried", "since", *STATE_COLUMNS, "first_ts", "last_ts"],
+        first = rows.iloc[0]
+        return summarise_piece(piece(rows)[1]).assign(
+            **{c: first[c] for c in keys}, node=first["_part"]
         )
-        return out.assign(**{c: rows[c].iloc[0] for c in [*keys, "_part"]})
 
-    summaries = runs.select(*keys, "_part", "_row", "ts", "ok").groupBy(*keys, "_part").applyInPandas(
-        summarise,
-        f"{key_ddl}, _part int, carried int, since bigint, {_STATE_DDL}, "
-        "first_ts bigint, last_ts bigint",
-    )
-    begin = [f"begin_{c}" for c in STATE_COLUMNS]
-    if carry is None:
-        summaries = summaries.withColumns({c: F.lit(0).cast("bigint") for c in begin})
-    else:
-        renamed = carry.select(*keys, *[F.col(c).alias(b) for c, b in zip(STATE_COLUMNS, begin)])
-        summaries = summaries.join(renamed, keys, "left").fillna(0, begin)
+    def in_order(rows: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
+        return [(node, table) for node, table in rows.groupby("node", sort=True)]
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        return compose([table for _, table in in_order(rows)], ttl_ms).assign(
+            **{c: first[c] for c in keys}, node=first["parent"]
+        )
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        state = BreakerState(*(int(rows[c].iloc[0]) for c in begin))
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        state = first[_BEGIN].to_numpy().astype("int64").reshape(1, -1)
         out = []
-        for part, of_part in rows.groupby("_part", sort=True):
-            entry, state = state, _leave(state, of_part, ttl_ms)
-            out.append(
-                (part, entry.open_until, entry.fails, entry.last_fail,
-                 state.open_until, state.fails, state.last_fail)
-            )
-        columns = ["_part", *STATE_COLUMNS, *[f"end_{c}" for c in STATE_COLUMNS]]
-        return pd.DataFrame(out, columns=columns).assign(**{c: rows[c].iloc[0] for c in keys})
+        for node, table in in_order(rows):
+            entry, state = state, leave(state, table, ttl_ms)
+            out.append((node, *entry[0], *state[0]))
+        return pd.DataFrame(out, columns=["node", *_BEGIN, *_END]).assign(
+            **{c: first[c] for c in keys}
+        )
 
-    # One row per (service, partition): the only step that sees a whole service at once.
+    node_ddl = f"{key_ddl}, node int"
+    states_ddl = ", ".join(f"{c} bigint" for c in [*_BEGIN, *_END])
+    narrow = runs.select(*keys, "_part", "_row", "ts", "ok")
+    level = narrow.groupBy(*keys, "_part").applyInPandas(summarise, f"{node_ddl}, {_TABLE_DDL}")
+    levels = [stage(level, "breaker-summaries")]
+    nodes = (runs.agg(F.max("_part")).first()[0] or 0) + 1
+    while nodes > fan:
+        parents = levels[-1].withColumn("parent", F.expr(f"cast(node div {fan} as int)"))
+        merged = parents.groupBy(*keys, "parent").applyInPandas(merge, f"{node_ddl}, {_TABLE_DDL}")
+        levels.append(stage(merged, "breaker-summaries"))
+        nodes = -(-nodes // fan)
+
+    if carry is None:
+        top = levels[-1].withColumns({c: F.lit(0).cast("bigint") for c in _BEGIN})
+    else:
+        begin = carry.select(*keys, *[F.col(c).alias(b) for c, b in zip(STATE_COLUMNS, _BEGIN)])
+        top = levels[-1].join(begin, keys, "left").fillna(0, _BEGIN)
     entries = stage(
-        summaries.groupBy(*keys).applyInPandas(
-            chain,
-            f"{key_ddl}, _part int, {_STATE_DDL}, "
-            "end_open_until bigint, end_fails bigint, end_last_fail bigint",
-        ),
-        "breaker-entries",
+        top.groupBy(*keys).applyInPandas(walk, f"{node_ddl}, {states_ddl}"), "breaker-entries"
     )
-    ends = F.struct("_part", *[F.col(f"end_{c}").alias(c) for c in STATE_COLUMNS])
+    ends = F.struct("node", *[F.col(e).alias(c) for e, c in zip(_END, STATE_COLUMNS)])
     states = (
         entries.groupBy(*keys)
         .agg(F.max(ends).alias("_end"))
         .select(*keys, *[F.col("_end")[c].alias(c) for c in STATE_COLUMNS])
     )
+    for level in reversed(levels[:-1]):
+        above = entries.select(*keys, F.col("node").alias("parent"), *_BEGIN)
+        children = level.withColumn("parent", F.expr(f"cast(node div {fan} as int)")).join(
+            above, [*keys, "parent"]
+        )
+        below = children.groupBy(*keys, "parent").applyInPandas(walk, f"{node_ddl}, {states_ddl}")
+        entries = stage(below, "breaker-entries")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows, p = piece(rows)
         attempted, tripped = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-        entry = BreakerState(*(int(rows[c].iloc[0]) for c in STATE_COLUMNS))
+        entry = BreakerState(*(int(rows[c].iloc[0]) for c in _BEGIN))
         for first, end, trip in p.fold(entry)[0]:
             attempted[first:end] = True
             tripped[end - 1] |= trip
-        return rows.drop(columns=STATE_COLUMNS).assign(attempted=attempted, tripped=tripped)
+        return rows.drop(columns=_BEGIN).assign(attempted=attempted, tripped=tripped)
 
     row_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
+    entered = entries.select(*keys, F.col("node").alias("_part"), *_BEGIN)
     folded = (
-        runs.join(entries.select(*keys, "_part", *STATE_COLUMNS), [*keys, "_part"])
-        .select(*runs.columns, *STATE_COLUMNS)
+        runs.join(entered, [*keys, "_part"])
+        .select(*runs.columns, *_BEGIN)
         .groupBy(*keys, "_part")
         .applyInPandas(fold, f"{row_ddl}, attempted boolean, tripped boolean")
     )
     return folded, states
 
 
-def _leave(state: BreakerState, summary: pd.DataFrame, ttl: int) -> BreakerState:
-    """State after a piece, read off its summary."""
-    first, last = int(summary["first_ts"].iloc[0]), int(summary["last_ts"].iloc[0])
-    if state.open_until > last:
-        return state
-    if state.open_until:
-        steps = summary[summary["carried"] < 0].sort_values("since")
-        row = steps.iloc[int(steps["since"].searchsorted(state.open_until, side="right")) - 1]
-    else:
-        carried = state.fails if first - state.last_fail < ttl else 0
-        row = summary[summary["carried"] == carried].iloc[0]
-    return BreakerState(*(int(row[c]) for c in STATE_COLUMNS))
-
-
 def apply_breaker(
     calls: DataFrame,
     limit: int = FAILURE_LIMIT,

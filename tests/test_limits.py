@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from postsift.operators import limits
-from postsift.operators.limits import BreakerState, _leave, _Piece
+from postsift.operators.ranking import ordered_runs
+from postsift.operators.limits import BreakerState, _Piece, compose, leave, summarise_piece
 
 DAY = 86_400_000
 
@@ -62,9 +63,7 @@ def test_pieces_compose(seed):
     ok = np.array([random.random() < random.choice([0.1, 0.5, 0.9]) for _ in range(n)])
     want = simulate([("a", i, int(t), bool(o)) for i, (t, o) in enumerate(zip(ts, ok))], limit=limit, ttl=ttl)
     cuts = sorted({0, n, *(random.randint(0, n) for _ in range(random.randint(0, 8)))})
-    state, got = BreakerState(), []
-    import pandas as pd
-
+    state, got, summaries, entries = BreakerState(), [], [], []
     for begin, end in zip(cuts, cuts[1:]):
         piece = _Piece(ts[begin:end], ok[begin:end], limit, ttl)
         attempted, after = piece.fold(state)
@@ -72,15 +71,27 @@ def test_pieces_compose(seed):
         for first, last, _ in attempted:
             mask[first:last] = True
         got += mask.tolist()
-        exits = [(c, -1, piece.fold(BreakerState(0, c, int(piece.ts[0])))[1]) for c in range(limit)]
-        exits += [(-1, since, s) for since, s in piece.exits_if_open()]
-        summary = pd.DataFrame(
-            [(c, t, s.open_until, s.fails, s.last_fail, int(piece.ts[0]), int(piece.ts[-1])) for c, t, s in exits],
-            columns=["carried", "since", *limits.STATE_COLUMNS, "first_ts", "last_ts"],
-        )
-        assert _leave(state, summary, ttl) == after
+        summaries.append(summarise_piece(piece))
+        entries.append(state)
+        assert row(leave(array(state), summaries[-1], ttl)) == after
         state = after
     assert got == [want["a", i] != "open" for i in range(n)]
+    # Summaries of neighbours, taken together, lead to the same states.
+    while len(summaries) > 1:
+        at = random.randrange(len(summaries) - 1)
+        size = random.randint(2, 4)
+        summaries[at : at + size] = [compose(summaries[at : at + size], ttl)]
+        del entries[at + 1 : at + size]
+        states = [*entries[1:], state]
+        assert [row(leave(array(e), t, ttl)) for e, t in zip(entries, summaries)] == states
+
+
+def array(state):
+    return np.array([[state.open_until, state.fails, state.last_fail]])
+
+
+def row(states):
+    return BreakerState(*states[0].tolist())
 
 
 @pytest.mark.parametrize(("seed", "services", "p_ok"), [(1, ("a",), 0.5), (2, ("a", "b", "c"), 0.3), (3, ("a",), 0.9)])
@@ -90,6 +101,11 @@ def test_breaker(spark, seed, services, p_ok):
     want = simulate(calls)
     assert {(r.service, r.id): r.attempted for r in folded.collect()} == {k: v != "open" for k, v in want.items()}
     assert {r.service for r in states.collect()} == set(services)
+    # The same through a tree of summaries.
+    runs = ordered_runs(table(spark, calls), ["service"], ["ts", "id"], "calls")
+    deep, deep_states = limits.fold_breaker(runs, ["service"], fan=2)
+    assert {(r.service, r.id): r.attempted for r in deep.collect()} == {k: v != "open" for k, v in want.items()}
+    assert sorted(deep_states.collect()) == sorted(states.collect())
 
 
 def test_breaker_opens_at_the_third_failure_and_closes_after_its_time(spark):
