@@ -27,21 +27,25 @@ FLUSH_SCHEDULE = {
 }
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Old rows, plus new rows whose key is unknown; of new rows with one key the first.
+def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row per key, the first by ``order``.
 
     The rank filter is pushed below the shuffle, so a key with very many copies sends one
     row per task.
     """
     first = Window.partitionBy(key).orderBy(*order)
-    unique = (
-        new.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") == 1).drop("_rank")
-    )
-    return old.unionByName(unique.join(old.select(key), key, "left_anti"), allowMissingColumns=True)
+    ranked = rows.withColumn("_rank", F.row_number().over(first))
+    return ranked.where(F.col("_rank") == 1).drop("_rank")
 
 
-def enqueue(pending: DataFrame, mail: DataFrame) -> DataFrame:
-    """Queue classified mail that is neither Critical nor Ignore, once per id."""
+def insert_ignore(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Old rows, plus new rows whose key is unknown; of new rows with one key the first."""
+    absent = first_per_key(new, key, order).join(old.select(key), key, "left_anti")
+    return old.unionByName(absent)
+
+
+def new_rows(mail: DataFrame) -> DataFrame:
+    """Queue rows for classified mail that is neither Critical nor Ignore, once per id."""
     rows = mail.where(~F.col("verdict.priority").isin("Critical", "Ignore")).select(
         "id",
         "from_addr",
@@ -51,7 +55,12 @@ def enqueue(pending: DataFrame, mail: DataFrame) -> DataFrame:
         "received_at",
         F.lit(None).cast("bigint").alias("sent_at"),
     )
-    return insert_ignore(pending, rows, "id", ["received_at", "subject", "from_addr", "summary"])
+    return first_per_key(rows, "id", ["received_at", "subject", "from_addr", "summary"])
+
+
+def enqueue(pending: DataFrame, mail: DataFrame) -> DataFrame:
+    """Append if absent."""
+    return pending.unionByName(new_rows(mail).join(pending.select("id"), "id", "left_anti"))
 
 
 def unsent(pending: DataFrame) -> DataFrame:

@@ -24,50 +24,45 @@ def is_trusted(sender: Column, allowlist: tuple[str, ...]) -> Column:
 
 
 def trusted_by_table(mail: DataFrame, allowlist: DataFrame) -> DataFrame:
-    """Add ``trusted`` from an allowlist table ``(entry)`` of any size.
+    """Add ``trusted`` from an allowlist table ``(entry)`` of any size; ``id`` is unique.
 
     A suffix match would be a nested-loop join. An ``@domain`` entry can only match from
     an ``@`` on, so it is an equi join on the address's last ``@`` part; the whole address
-    is a second one. Addresses with several ``@`` (rare) try each of their suffixes.
-    Join sides are left to AQE, which knows their sizes and splits a hot domain.
+    is a second one. Addresses with several ``@`` (rare) go their own way and try each of
+    their suffixes. Join sides are left to AQE, which knows their sizes and splits a hot
+    domain.
     """
-    entries = allowlist.select(F.lower("entry").alias("_key")).distinct()
-    by_suffix = entries.where(F.startswith("_key", F.lit("@")))
-    by_address = entries.where(~F.startswith("_key", F.lit("@")))
-    address = sender_address(F.col("from_addr"))
-    keyed = mail.withColumn("_address", address).withColumn(
-        "_domain",
-        F.when(
-            F.contains("_address", F.lit("@")),
-            F.concat(F.lit("@"), F.substring_index("_address", "@", -1)),
-        ),
-    )
-    flagged = keyed.join(
-        by_suffix.select(F.col("_key").alias("_domain"), F.lit(True).alias("_by_domain")),
-        "_domain",
-        "left",
-    ).join(
-        by_address.select(F.col("_key").alias("_address"), F.lit(True).alias("_by_address")),
-        "_address",
-        "left",
+    entries = allowlist.select(F.lower("entry").alias("_key"), F.lit(True).alias("_hit")).distinct()
+    keyed = mail.withColumn("_address", sender_address(F.col("from_addr")))
+    several = F.coalesce(F.size(F.split("_address", "@")) > 2, F.lit(False))
+
+    by_domain = entries.where(F.startswith("_key", F.lit("@"))).toDF("_domain", "_by_domain")
+    by_address = entries.where(~F.startswith("_key", F.lit("@"))).toDF("_address", "_by_address")
+    domain = F.concat(F.lit("@"), F.substring_index("_address", "@", -1))
+    usual = (
+        keyed.where(~several)
+        .withColumn("_domain", F.when(F.contains("_address", F.lit("@")), domain))
+        .join(by_domain, "_domain", "left")
+        .join(by_address, "_address", "left")
+        .select(*mail.columns, F.coalesce("_by_domain", "_by_address", F.lit(False)).alias("trusted"))
     )
+
     pieces = F.split("_address", "@")
-    several = F.size(pieces) > 2
     suffixes = F.transform(
         F.sequence(F.lit(2), F.size(pieces)),
         lambda i: F.concat(F.lit("@"), F.array_join(F.slice(pieces, i, F.size(pieces)), "@")),
     )
-    by_inner = (
-        keyed.where(several)
-        .select("id", F.explode(suffixes).alias("_key"))
-        .join(by_suffix, "_key", "left_semi")
-        .select("id", F.lit(True).alias("_by_inner"))
+    rare = keyed.where(several)
+    hits = (
+        rare.select("id", F.explode(F.array_append(suffixes, F.col("_address"))).alias("_key"))
+        .join(entries, "_key")
+        .select("id", F.lit(True).alias("_hit"))
         .distinct()
     )
-    hit = [F.coalesce(c, F.lit(False)) for c in ("_by_domain", "_by_address", "_by_inner")]
-    return flagged.join(by_inner, "id", "left").select(
-        *mail.columns, reduce(lambda a, b: a | b, hit).alias("trusted")
+    odd = rare.join(hits, "id", "left").select(
+        *mail.columns, F.coalesce("_hit", F.lit(False)).alias("trusted")
     )
+    return usual.unionByName(odd)
 
 
 def has_ignored_label(labels: Column, ignore_labels: tuple[str, ...]) -> Column:

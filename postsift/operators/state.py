@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from .queue import insert_ignore
 
 
+def latest(changes: DataFrame, key: str = "key", rank: str = "updated_at") -> DataFrame:
+    """One row per key: the one with the highest ``rank``, partly aggregated before its shuffle."""
+    others = [c for c in changes.columns if c not in (key, rank)]
+    best = changes.groupBy(key).agg(F.max(F.struct(rank, *others)).alias("_best"))
+    return best.select(key, "_best.*").select(*changes.columns)
+
+
 def upsert(state: DataFrame, changes: DataFrame, key: str = "key") -> DataFrame:
     """Last write per key wins, by ``updated_at``; a change beats an old row of equal time."""
-    columns = [c for c in state.columns if c not in (key, "updated_at")]
-    latest = F.struct("updated_at", "_new", *columns)
     both = state.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    return (
-        both.groupBy(key)
-        .agg(F.max(latest).alias("_latest"))
-        .select(key, *[F.col("_latest")[c].alias(c) for c in state.columns if c != key])
-        .select(*state.columns)
-    )
+    ranked = both.withColumn("_rank", F.struct("updated_at", "_new")).drop("_new")
+    return latest(ranked, key, "_rank").drop("_rank")
 
 
 def insert_absent(state: DataFrame, changes: DataFrame) -> DataFrame:

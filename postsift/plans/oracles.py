@@ -500,7 +500,7 @@ ORACLES["stream_triage"] = f"""WITH {RULED}, p AS (SELECT *, lower('From: ' || f
 ORACLES["stream_deliveries"] = f"""WITH {_PLACED}, {CALL}, delivered AS (SELECT CASE WHEN id % 3 = 0 THEN 'High' ELSE 'Low' END AS priority,
     id % 5 AS chunk, ts, (ts - min(ts) OVER ()) // ((max(ts) OVER () - min(ts) OVER ()) // 3 + 1) AS part, ok FROM call),
   marks AS (SELECT priority, chunk, part, min(ts) AS sent FROM delivered WHERE ok AND chunk <> 2 GROUP BY ALL),
-  last AS (SELECT priority, chunk, arg_max(sent, part) AS sent FROM marks GROUP BY ALL),
+  last AS (SELECT priority, chunk, max(sent) AS sent FROM marks GROUP BY ALL),
   flush AS (SELECT id, priority, (pos - 1) // 20 AS chunk FROM placed WHERE pos <= 100)
   SELECT pending.id, coalesce(last.sent, pending.sent_at) AS sent_at FROM pending
   LEFT JOIN flush USING (id) LEFT JOIN last ON last.priority = flush.priority AND last.chunk = flush.chunk"""

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators import queue, scoring
 from ..session import scratch_path
 from ..sources import push
+from ..sources.tables import STATE
 from ..streaming import dedupe, limits, tables, triage, windows
 from . import fixtures as fx
 from .catalog import SMALL_QUOTA, query
@@ -108,9 +109,8 @@ def stream_limited_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "cursors")
     notes = fx.read_view(spark, sf_dir, "fx_notification")
-    first = spark.createDataFrame([], "key string, value string, updated_at bigint")
-    feed_in_parts(notes, "ts", to_sink(triage.keep_cursors(out, first)))
-    return tables.latest_snapshot(spark, out)
+    feed_in_parts(notes, "ts", to_sink(triage.keep_cursors(out)))
+    return triage.current_state(out, spark.createDataFrame([], STATE))
 
 
 @query
@@ -149,6 +149,5 @@ def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ok AND id % 5 <> 2 AS delivered",
         "ts",
     )
-    sink = triage.mark_deliveries(out, pending, flush, ("priority",))
-    feed_in_parts(attempts, "ts", to_sink(sink))
-    return tables.latest_snapshot(spark, out).select("id", "sent_at")
+    feed_in_parts(attempts, "ts", to_sink(triage.mark_deliveries(out, flush)))
+    return triage.current_queue(out, pending).select("id", "sent_at")

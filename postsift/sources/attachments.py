@@ -105,7 +105,8 @@ def with_attachments(
     only for parts that will be used: a first join moves keys alone and tells which
     lookups succeed, images are cut to the first five usable ones per message, and the
     second join is on ``message_id``, so grouping the bytes needs no further shuffle. The
-    messages are parsed and written once; the key passes read only the columns they need.
+    messages are parsed and written once; the key passes read only the columns they need,
+    and messages without a lookup are never shuffled.
     """
     leaves = compute_once(messages, _leaves=attachment_leaves(F.col("nodes"))).drop("nodes")
     parts = compute_once(leaves, _parts=attachment_parts(F.col("_leaves"))).drop("_leaves")
@@ -135,10 +136,12 @@ def with_attachments(
             .alias("_fetched")
         )
     )
-    joined = compute_once(
-        prepared.join(fetched, "id", "left"), _parts=F.transform("_parts", _with_bytes)
-    )
-    return _limited(joined, redaction).drop("_fetched", "_parts", "_wanted")
+    looks_up = F.exists("_wanted", lambda w: w["lookup"].isNotNull())
+    with_lookup = prepared.where(looks_up).join(fetched, "id", "left")
+    nothing = F.lit(None).cast(fetched.schema["_fetched"].dataType)
+    joined = with_lookup.unionByName(prepared.where(~looks_up).withColumn("_fetched", nothing))
+    complete = compute_once(joined, _parts=F.transform("_parts", _with_bytes))
+    return _limited(complete, redaction).drop("_fetched", "_parts", "_wanted")
 
 
 def _wanted(parts: Column) -> Column:

@@ -19,14 +19,14 @@ def first_seen(
     """Drop rows whose ``keys`` were seen within ``memory``.
 
     ``spread > 1`` is for keys with very many copies: copies are first dropped within
-    ``spread`` random shares of each key, on different tasks, so that the one task that
-    holds the key sees at most ``spread`` of them.
+    ``spread`` shares of the input's partitions, each on a task of its own, so that the one
+    task that holds the key sees at most ``spread`` of them per micro-batch. Shares go by
+    partition and not by content, since copies may be equal in every column.
     """
     marked = stream.withWatermark(ts, memory)
     if spread > 1:
-        share = F.pmod(F.xxhash64(*stream.columns), F.lit(spread))
         marked = (
-            marked.withColumn("_share", share)
+            marked.withColumn("_share", F.pmod(F.spark_partition_id(), F.lit(spread)))
             .dropDuplicatesWithinWatermark([*keys, "_share"])
             .drop("_share")
         )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -28,11 +27,3 @@ def snapshot_before(spark: SparkSession, path: str, batch_id: int, first: DataFr
     if batch_id == 0:
         return first
     return read_batch(spark, path, batch_id - 1).select(*first.columns)
-
-
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    every = spark.read.parquet(path)
-    last = every.agg(F.max("batch_id")).first()[0]
-    if last is None:
-        return every.drop("batch_id")
-    return read_batch(spark, path, last)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import queue, routing, rules, scoring, state
 from ..sources.messages import parse_messages
 from ..sources.tables import RuleConfig
-from .tables import read_batch, snapshot_before, write_batch
+from .tables import read_all, read_batch, write_batch
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -55,7 +55,7 @@ def triage(
         settled = read_batch(spark, f"{path}/settled", batch_id)
         urgent = settled.where("route = 'immediate'")
         write_batch(routing.immediate_notifications(urgent), f"{path}/immediate", batch_id)
-        write_batch(queue_rows(settled), f"{path}/queue", batch_id)
+        write_batch(queue.new_rows(settled), f"{path}/queue", batch_id)
         write_batch(routing.mailbox_actions(settled), f"{path}/actions", batch_id)
         done = settled.select(
             "id",
@@ -73,53 +73,49 @@ def _kept(batch: DataFrame, column: str) -> list[str]:
     return [c for c in batch.columns if c not in (column, "id")]
 
 
-def queue_rows(settled: DataFrame) -> DataFrame:
-    empty = settled.limit(0).select(
-        "id",
-        "from_addr",
-        "subject",
-        F.lit("").alias("summary"),
-        F.lit("").alias("priority"),
-        "received_at",
-        F.lit(None).cast("bigint").alias("sent_at"),
-    )
-    return queue.enqueue(empty, settled)
+def keep_cursors(path: str) -> Sink:
+    """Note the latest cursor per account of each micro-batch ``(account, history_id, ts)``.
 
-
-def keep_cursors(path: str, first: DataFrame) -> Sink:
-    """Upsert the account cursors ``(account, history_id, ts)`` of each micro-batch.
-
-    ``first`` is the state table to begin with. The cursor moves on even if some of the
-    account's messages could not be read.
+    A micro-batch writes its own changes only; ``current_state`` applies them all. The
+    cursor moves on even if some of the account's messages could not be read.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        old = snapshot_before(batch.sparkSession, path, batch_id, first)
         changes = batch.select(
             F.concat(F.lit(state.CURSOR_PREFIX), F.col("account")).alias("key"),
             F.col("history_id").alias("value"),
             F.col("ts").alias("updated_at"),
         )
-        write_batch(state.upsert(old, changes), path, batch_id)
+        write_batch(state.latest(changes), path, batch_id)
 
     return run
 
 
-def mark_deliveries(path: str, first: DataFrame, flush: DataFrame, by: tuple[str, ...]) -> Sink:
-    """Mark the rows of delivered chunks; ``batch(*by, chunk, delivered, ts)``.
+def current_state(path: str, first: DataFrame) -> DataFrame:
+    """``first`` with all changes that ``keep_cursors`` wrote."""
+    return state.upsert(first, read_all(first.sparkSession, path).select(*first.columns))
+
 
-    A chunk is marked only after its delivery, so a failed one stays queued and is sent
-    again: at least once.
+def mark_deliveries(path: str, flush: DataFrame, by: tuple[str, ...] = ("priority",)) -> Sink:
+    """Note the queue ids of delivered chunks; ``batch(*by, chunk, delivered, ts)``.
+
+    An id is noted only after its chunk's delivery, so a failed chunk stays queued and is
+    sent again: at least once.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        old = snapshot_before(batch.sparkSession, path, batch_id, first)
-        outcome = batch.groupBy(*by, "chunk").agg(
-            F.bool_or("delivered").alias("delivered"),
-            F.min(F.when(F.col("delivered"), F.col("ts"))).alias("_at"),
+        delivered = (
+            batch.where("delivered").groupBy(*by, "chunk").agg(F.min("ts").alias("sent_at"))
         )
-        hit = flush.join(outcome.where("delivered"), [*by, "chunk"]).select("id", "_at")
-        marked = old.join(hit, "id", "left").withColumn("sent_at", F.coalesce("_at", "sent_at"))
-        write_batch(marked.select(*old.columns), path, batch_id)
+        chunks = flush.select("id", *by, "chunk")
+        marks = chunks.join(delivered, [*by, "chunk"]).select("id", "sent_at")
+        write_batch(marks, path, batch_id)
 
     return run
+
+
+def current_queue(path: str, first: DataFrame) -> DataFrame:
+    """``first`` with all marks that ``mark_deliveries`` wrote; the last mark counts."""
+    marks = read_all(first.sparkSession, path).groupBy("id").agg(F.max("sent_at").alias("_at"))
+    marked = first.join(marks, "id", "left").withColumn("sent_at", F.coalesce("_at", "sent_at"))
+    return marked.select(*first.columns)

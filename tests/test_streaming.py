@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from postsift.operators import queue, scoring
-from postsift.sources.tables import PENDING
+from postsift.sources.tables import PENDING, STATE
 from postsift.streaming import dedupe, limits, tables, triage, windows
 from test_limits import history, outcomes, simulate
 
@@ -96,11 +96,11 @@ def test_limits_stream(spark, tmp_path):
 
 def test_cursor_stream(spark, tmp_path):
     feed = Feed(spark, tmp_path, "account string, history_id string, ts bigint")
-    first = spark.createDataFrame([("gmail:history_id:z", "0", 0)], "key string, value string, updated_at bigint")
-    sink = triage.keep_cursors(f"{tmp_path}/out", first)
+    first = spark.createDataFrame([("gmail:history_id:z", "0", 0)], STATE)
+    sink = triage.keep_cursors(f"{tmp_path}/out")
     batches = [[("a", "1", 1), ("a", "2", 2)], [("b", "5", 3)], [("a", "9", 4), ("b", "4", 2)]]
     feed.run(batches, lambda: feed.source().writeStream.foreachBatch(sink))
-    got = rows(tables.latest_snapshot(spark, f"{tmp_path}/out"), "key")
+    got = rows(triage.current_state(f"{tmp_path}/out", first), "key")
     assert [(k[-1], v) for k, v, _ in got] == [("a", "9"), ("b", "5"), ("z", "0")]
 
 
@@ -133,8 +133,8 @@ def test_delivery_stream(spark, tmp_path):
     pending = spark.createDataFrame([(f"e{i:02d}", "a@b.c", "", "", "High", i, None) for i in range(45)], PENDING)
     flush = queue.oldest_unsent(pending)
     feed = Feed(spark, tmp_path, "priority string, chunk int, delivered boolean, ts bigint")
-    sink = triage.mark_deliveries(f"{tmp_path}/out", pending, flush, ("priority",))
+    sink = triage.mark_deliveries(f"{tmp_path}/out", flush)
     batches = [[("High", 0, False, 1), ("High", 1, True, 2)], [("High", 0, True, 3)], [("High", 2, False, 4)]]
     feed.run(batches, lambda: feed.source().writeStream.foreachBatch(sink))
-    got = tables.latest_snapshot(spark, f"{tmp_path}/out")
+    got = triage.current_queue(f"{tmp_path}/out", pending)
     assert rows(got.groupBy("sent_at").count(), "sent_at") == [(None, 5), (2, 20), (3, 20)]
