@@ -254,6 +254,12 @@ def processed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table in very few files, shared out as a table in many files would be."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def _encoded(text: Column) -> Column:
     """URL-safe base64 without padding, as mail providers send it."""
     line = base64_line(text.cast("binary"))
@@ -268,7 +274,7 @@ def provider_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents only) and the plain body; a named text; a PDF; seven images, of which some
     repeat a Content-ID, some are only in the attachment store, and some are too large.
     """
-    mail = read_view(spark, sf_dir, "fx_mail")
+    mail = _spread(read_view(spark, sf_dir, "fx_mail"))
     body = F.col("body")
     html = F.concat(F.lit("<p>"), F.col("subject"), F.lit("</p>&amp; "), body)
     even = F.col("doc_id") % 2 == 0
@@ -318,7 +324,7 @@ def provider_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pdf = F.concat(
         F.lit("%PDF-1.4 stream\n(BT (hidden) ET endstream BT ("),
-        F.regexp_replace(F.col("body"), r"[^A-Za-z0-9 .,]|ET|BT", " "),
+        _pdf_literal(F.col("body")),
         F.lit(") Tj <48692121> ET"),
     )
     return mail.select(
@@ -363,6 +369,17 @@ def _part(
     return F.struct(*fields)
 
 
+# What would end or escape a string or a text object in a PDF, and what stands for it.
+PDF_SPECIAL = (("(", " "), (")", " "), ("\\", " "), ("<", " "), ("ET", "Et"), ("BT", "Bt"))
+
+
+def _pdf_literal(text: Column) -> Column:
+    text = F.regexp_replace(text, r"[^\x00-\x7F]+", " ")
+    for special, plain in PDF_SPECIAL:
+        text = F.replace(text, F.lit(special), F.lit(plain))
+    return text
+
+
 def _image(i: int) -> Column:
     return F.concat(F.lit(f"image {i} of "), F.col("doc_id").cast("string"))
 

@@ -226,6 +226,13 @@ _BODY_1 = f"CASE WHEN {_BROKEN} THEN '' WHEN doc_id % 2 = 0 THEN {stripped(latin
 ORACLES["message_bodies"] = f"WITH {MAIL} SELECT doc_id, md5(left({redacted(_BODY_1)}, 2048)) AS digest FROM mail"
 ORACLES["message_bodies_utf8"] = f"WITH {MAIL} SELECT doc_id, md5(left({redacted(_BODY)}, 2048)) AS digest FROM mail"
 
+def _literal(x: str) -> str:
+    x = f"regexp_replace({x}, '[^\\x00-\\x7F]+', ' ', 'g')"
+    for special, plain in fx.PDF_SPECIAL:
+        x = f"replace({x}, '{special}', '{plain}')"
+    return x
+
+
 NODES = f"""{MAIL}, part(path, mime_type, filename, attachment_id, i) AS (VALUES
     ('', 'multipart/mixed', NULL, NULL, -1), ('0', 'text/plain', NULL, NULL, -2),
     ('1', 'multipart/alternative', NULL, NULL, -1), ('1.0', 'text/html', NULL, NULL, -3),
@@ -237,7 +244,7 @@ NODES = f"""{MAIL}, part(path, mime_type, filename, attachment_id, i) AS (VALUES
     CASE i WHEN -1 THEN NULL WHEN -2 THEN 0 WHEN -3 THEN length({_HTML}) WHEN -4 THEN length(body)
       WHEN -5 THEN 1000 ELSE CASE WHEN doc_id % 13 = i THEN 1048577 ELSE 1048576 END END AS size,
     (i = -1)::INT AS is_container,
-    regexp_replace(body, '[^A-Za-z0-9 .,]|ET|BT', ' ', 'g') AS literal
+    {_literal('body')} AS literal
     FROM mail CROSS JOIN part WHERE NOT ({_BROKEN})),
   filled AS (SELECT *, CASE WHEN size > 1048576 THEN NULL
       WHEN i = -3 AND doc_id % 2 = 0 THEN {_HTML} WHEN i = -4 THEN body
