@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import LINE_ENDS, WHITE_SPACE, collapse_space, trim_text
+from .text import ATTACHMENT_CHARS, LINE_ENDS, WHITE_SPACE, collapse_space, trim_text
 
 # What is blanked, where text stands, and the two kinds of strings.
 _STREAM = re.compile(r"stream[\r\n][\s\S]*?endstream")
@@ -27,6 +27,7 @@ _ESCAPES = (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\(", "("), ("\\)", "
 
 # The web's "latin1" is windows-1252, with C1 controls where that has no character.
 _WEB_LATIN1 = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+_SPACE = re.compile(rf"[{WHITE_SPACE}]+")
 _OUTER_SPACE = re.compile(rf"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\Z")
 
 
@@ -59,14 +60,42 @@ def text_objects(data: bytes) -> list[list[str]]:
     return objects
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))
-def pdf_text_objects(files: pd.Series) -> pd.Series:
-    """Text objects of each file of a message (a column of binary arrays)."""
+def summary(data: bytes) -> list[dict]:
+    """Text objects as ``(length, text)``, no more of them than any budget can take.
+
+    ``length`` is that of the raw strings, which decides where to stop; the text is
+    collapsed and cut two characters past the largest budget: one may be a leading space,
+    and one keeps a space at the budget's end from being trimmed.
+    """
+    found, total = [], 0
+    for pieces in text_objects(data):
+        if total >= ATTACHMENT_CHARS:
+            break
+        if pieces:
+            length = sum(map(len, pieces))
+            text = _SPACE.sub(" ", " ".join(pieces))[: ATTACHMENT_CHARS + 2]
+            found.append({"length": length, "text": text})
+            total += length
+    return found
+
+
+OBJECTS = T.ArrayType(
+    T.StructType([T.StructField("length", T.IntegerType()), T.StructField("text", T.StringType())])
+)
+
+
+@F.pandas_udf(OBJECTS)
+def pdf_objects(files: pd.Series) -> pd.Series:
+    """``summary`` of each file of a binary column."""
+    return files.map(lambda data: None if data is None else summary(bytes(data)))
+
+
+@F.pandas_udf(T.ArrayType(OBJECTS))
+def pdf_objects_of_each(files: pd.Series) -> pd.Series:
+    """``summary`` of each file in a column of binary arrays."""
 
     def scan(of_message):
-        if of_message is None:
-            return None
-        return [None if b is None else text_objects(bytes(b)) for b in of_message]
+        return [None if data is None else summary(bytes(data)) for data in of_message]
 
     return files.map(scan)
 
@@ -74,19 +103,15 @@ def pdf_text_objects(files: pd.Series) -> pd.Series:
 def pdf_text(objects: Column, max_chars: Column) -> Column:
     """Text of at most ``max_chars``; no object is begun once that many are collected."""
     start = F.struct(
-        F.lit(0).cast("bigint").alias("length"),
-        F.array().cast("array<string>").alias("pieces"),
+        F.lit(0).alias("length"), F.array().cast("array<string>").alias("texts")
     )
 
-    def add(acc: Column, pieces: Column) -> Column:
-        length = F.aggregate(
-            pieces, F.lit(0).cast("bigint"), lambda n, p: n + F.length(p).cast("bigint")
-        )
+    def add(acc: Column, found: Column) -> Column:
         more = F.struct(
-            (acc["length"] + length).alias("length"),
-            F.concat(acc["pieces"], pieces).alias("pieces"),
+            (acc["length"] + found["length"]).alias("length"),
+            F.array_append(acc["texts"], found["text"]).alias("texts"),
         )
         return F.when(acc["length"] >= max_chars, acc).otherwise(more)
 
-    joined = F.aggregate(objects, start, add, lambda acc: F.array_join(acc["pieces"], " "))
-    return F.left(trim_text(collapse_space(joined)), max_chars.cast("int"))
+    joined = F.aggregate(objects, start, add, lambda acc: F.array_join(acc["texts"], " "))
+    return F.left(trim_text(collapse_space(joined)), max_chars)

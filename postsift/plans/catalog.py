@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import parse_answer
 from ..functions.clock import utc_day_key, utc_month_start
+from ..functions.pdf import pdf_objects, pdf_text
 from ..functions.priorities import priority_emoji, priority_number, priority_tag
 from ..functions.text import (
+    decode_base64url,
     is_account,
     message_link,
     normalise_account,
@@ -396,6 +398,13 @@ def attachment_text(spark, sf_dir):
     return _attached(spark, sf_dir).select("id", F.col("attachment_text").alias("text"))
 
 
+@query
+def pdf_texts(spark, sf_dir):
+    store = fx.attachment_store(spark, sf_dir).where("attachment_id = 'pdf'")
+    objects = store.select("message_id", pdf_objects(decode_base64url(F.col("data"))).alias("o"))
+    return objects.select("message_id", pdf_text(F.col("o"), F.lit(2000)).alias("text"))
+
+
 @query
 def prompts(spark, sf_dir):
     attached = _attached(spark, sf_dir, "UTF-8")

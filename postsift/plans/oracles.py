@@ -270,6 +270,8 @@ ORACLES["message_images"] = f"""WITH {NODES}, usable AS (SELECT id, i, content F
 
 _PDF_PIECE = f"CASE WHEN length({trim('literal')}) > 1 THEN literal || ' Hi!!' ELSE 'Hi!!' END"
 _PDF_TEXT = trim(f"regexp_replace({_PDF_PIECE}, '{WS}+', ' ', 'g')")
+ORACLES["pdf_texts"] = f"""WITH {MAIL}, drawn AS (SELECT id, {_literal('body')} AS literal FROM mail WHERE doc_id % 9 <> 0)
+  SELECT id AS message_id, left({_PDF_TEXT}, 2000) AS text FROM drawn"""
 ATTACHED = f"""{NODES}, note AS (SELECT id, left({trim(redacted('body'))}, 2000) AS t FROM node WHERE path = '2'),
   pdf AS (SELECT id, CASE WHEN content IS NOT NULL THEN {_PDF_TEXT} END AS t FROM filled WHERE path = '3'),
   budget AS (SELECT id, note.t AS t1, CASE WHEN length(note.t) >= 2000 THEN ''

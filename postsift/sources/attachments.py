@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.once import compute_once
-from ..functions.pdf import pdf_text, pdf_text_objects
+from ..functions.pdf import pdf_objects, pdf_objects_of_each, pdf_text
 from ..functions.text import (
     ATTACHMENT_CHARS,
     bytes_as_utf8,
@@ -104,43 +104,26 @@ def with_attachments(
     ``store(message_id, attachment_id, data base64url)``. The bytes are shuffled once and
     only for parts that will be used: a first join moves keys alone and tells which
     lookups succeed, images are cut to the first five usable ones per message, and the
-    second join is on ``message_id``, so grouping the bytes needs no further shuffle. The
-    messages are parsed and written once; the key passes read only the columns they need,
-    and messages without a lookup are never shuffled.
+    second join is on ``message_id``, so grouping needs no further shuffle. Texts and PDFs
+    are cut to what the character budget can take before they are grouped. The messages
+    are parsed and written once; the key passes read only the columns they need, and
+    messages without a lookup are never shuffled.
     """
     leaves = compute_once(messages, _leaves=attachment_leaves(F.col("nodes"))).drop("nodes")
     parts = compute_once(leaves, _parts=attachment_parts(F.col("_leaves"))).drop("_leaves")
     prepared = stage(parts.withColumn("_wanted", _wanted(F.col("_parts"))), "messages")
-    wanted = prepared.select(F.col("id").alias("message_id"), F.col("_wanted").alias("wanted")).where(
-        F.exists("wanted", lambda w: w["lookup"].isNotNull())
-    )
-
-    present = (
-        store.where(decode_base64url(F.col("data")).isNotNull())
-        .select("message_id", "attachment_id")
-        .join(
-            wanted.select("message_id", F.explode("wanted.lookup").alias("attachment_id")),
-            ["message_id", "attachment_id"],
-            "left_semi",
-        )
-        .groupBy("message_id")
-        .agg(F.collect_set("attachment_id").alias("present"))
-    )
-    chosen = wanted.join(present, "message_id").select("message_id", _chosen_ids().alias("ids"))
-    fetched = (
-        chosen.join(store.select("message_id", "attachment_id", "data"), "message_id")
-        .where(F.array_contains("ids", F.col("attachment_id")))
-        .groupBy(F.col("message_id").alias("id"))
-        .agg(
-            F.collect_list(F.struct("attachment_id", decode_base64url(F.col("data")).alias("bytes")))
-            .alias("_fetched")
-        )
-    )
     looks_up = F.exists("_wanted", lambda w: w["lookup"].isNotNull())
-    with_lookup = prepared.where(looks_up).join(fetched, "id", "left")
+    wanted = prepared.where(looks_up).select(
+        F.col("id").alias("message_id"), F.col("_wanted").alias("wanted")
+    )
+    fetched = _fetch(_chosen(wanted, store), store, redaction)
     nothing = F.lit(None).cast(fetched.schema["_fetched"].dataType)
-    joined = with_lookup.unionByName(prepared.where(~looks_up).withColumn("_fetched", nothing))
-    complete = compute_once(joined, _parts=F.transform("_parts", _with_bytes))
+    joined = (
+        prepared.where(looks_up)
+        .join(fetched, "id", "left")
+        .unionByName(prepared.where(~looks_up).withColumn("_fetched", nothing))
+    )
+    complete = compute_once(joined, _parts=F.transform("_parts", _with_content))
     return _limited(complete, redaction).drop("_fetched", "_parts", "_wanted")
 
 
@@ -156,31 +139,74 @@ def _wanted(parts: Column) -> Column:
     )
 
 
-def _chosen_ids() -> Column:
-    images = F.filter(
+def _chosen(wanted: DataFrame, store: DataFrame) -> DataFrame:
+    """``(message_id, chosen)``: the lookups that succeed, images only as far as used."""
+    lookups = wanted.select("message_id", F.explode("wanted.lookup").alias("attachment_id"))
+    present = (
+        store.where(decode_base64url(F.col("data")).isNotNull())
+        .select("message_id", "attachment_id")
+        .join(lookups, ["message_id", "attachment_id"], "left_semi")
+        .groupBy("message_id")
+        .agg(F.collect_set("attachment_id").alias("present"))
+    )
+    found = F.filter(
         "wanted",
-        lambda w: (w["kind"] == "image")
-        & (w["inline"] | F.coalesce(F.array_contains("present", w["lookup"]), F.lit(False))),
+        lambda w: w["inline"] | F.coalesce(F.array_contains("present", w["lookup"]), F.lit(False)),
     )
-    texts = F.filter("wanted", lambda w: w["kind"] != "image")
-    kept = F.concat(F.slice(images, 1, MAX_IMAGES), texts)
-    ids = F.transform(kept, lambda w: w["lookup"])
-    return F.array_distinct(F.filter(ids, lambda i: i.isNotNull()))
+    images = F.filter(found, lambda w: w["kind"] == "image")
+    texts = F.filter(found, lambda w: w["kind"] != "image")
+    kept = F.filter(
+        F.concat(F.slice(images, 1, MAX_IMAGES), texts), lambda w: w["lookup"].isNotNull()
+    )
+    return wanted.join(present, "message_id").select("message_id", kept.alias("chosen"))
 
 
-def _with_bytes(p: Column) -> Column:
-    stored = F.filter(
-        F.coalesce(
-            F.col("_fetched"), F.array().cast("array<struct<attachment_id:string,bytes:binary>>")
-        ),
-        lambda f: f["attachment_id"] == p["attachment_id"],
+def _fetch(chosen: DataFrame, store: DataFrame, redaction: str) -> DataFrame:
+    """``(id, _fetched)``: image bytes, cut texts and PDF text objects per message."""
+
+    def as_kind(kind: str) -> Column:
+        return F.exists(
+            "chosen", lambda c: (c["lookup"] == F.col("attachment_id")) & (c["kind"] == kind)
+        )
+
+    rows = (
+        chosen.join(store.select("message_id", "attachment_id", "data"), "message_id")
+        .where(F.array_contains(F.transform("chosen", lambda c: c["lookup"]), F.col("attachment_id")))
+        .select(
+            "message_id",
+            "attachment_id",
+            *[as_kind(kind).alias(kind) for kind in ("image", "text", "pdf")],
+            decode_base64url(F.col("data")).alias("bytes"),
+        )
+        .where(F.col("bytes").isNotNull())
     )
-    fetched = F.try_element_at(stored, F.lit(1))["bytes"]
+    read = rows.withColumn("_objects", pdf_objects(F.when(F.col("pdf"), F.col("bytes"))))
+    content = F.struct(
+        "attachment_id",
+        F.when(F.col("image"), F.col("bytes")).alias("bytes"),
+        F.when(F.col("text"), clean_text(F.col("bytes"), redaction)).alias("text"),
+        F.col("_objects").alias("objects"),
+    )
+    return read.groupBy(F.col("message_id").alias("id")).agg(
+        F.collect_list(content).alias("_fetched")
+    )
+
+
+def clean_text(data: Column, redaction: str = "reference") -> Column:
+    """A text attachment, redacted, trimmed and cut."""
+    text = trim_text(redact(bytes_as_utf8(data), redaction))
+    return F.left(text, F.lit(ATTACHMENT_CHARS))
+
+
+def _with_content(p: Column) -> Column:
+    """A part with its decoded inline data, or what was fetched for it."""
+    stored = F.filter("_fetched", lambda f: f["attachment_id"] == p["attachment_id"])
     return F.struct(
         p["kind"].alias("kind"),
         p["mime_type"].alias("mime_type"),
         p["data"].isNotNull().alias("inline"),
-        F.when(p["data"].isNotNull(), decode_base64url(p["data"])).otherwise(fetched).alias("bytes"),
+        decode_base64url(p["data"]).alias("bytes"),
+        F.when(p["data"].isNull(), F.try_element_at(stored, F.lit(1))).alias("stored"),
     )
 
 
@@ -190,26 +216,36 @@ def _is_broken(p: Column) -> Column:
 
 def _is_usable(p: Column) -> Column:
     """Has bytes, or inline data that should have been bytes."""
-    return p["inline"] | p["bytes"].isNotNull()
+    return p["inline"] | (
+        F.when(p["kind"] == "image", p["stored"]["bytes"].isNotNull())
+        .when(p["kind"] == "text", p["stored"]["text"].isNotNull())
+        .otherwise(p["stored"]["objects"].isNotNull())
+    )
 
 
 def _limited(joined: DataFrame, redaction: str) -> DataFrame:
     usable = F.filter("_parts", _is_usable)
     images = F.slice(F.filter(usable, lambda p: p["kind"] == "image"), 1, MAX_IMAGES)
     texts = F.filter(usable, lambda p: p["kind"] != "image")
-    pdfs = F.transform("_texts", lambda p: F.when(p["kind"] == "pdf", p["bytes"]))
+    inline_pdfs = F.transform("_texts", lambda p: F.when(p["kind"] == "pdf", p["bytes"]))
     scanned = compute_once(joined, _images=images, _texts=texts).withColumn(
-        "_objects", pdf_text_objects(pdfs)
+        "_objects", pdf_objects_of_each(inline_pdfs)
     )
     parts = F.zip_with(
-        "_texts", "_objects", lambda p, objects: p.withField("objects", objects)
+        "_texts",
+        "_objects",
+        lambda p, inline: p.withField("objects", F.coalesce(inline, p["stored"]["objects"])),
     )
     limited = compute_once(scanned, _text=budgeted_text(parts, redaction))
     broken = F.col("_text").isNull() | F.exists("_images", _is_broken)
+
+    def url(p: Column) -> Column:
+        return data_url(p["mime_type"], F.coalesce(p["bytes"], p["stored"]["bytes"]))
+
     return limited.select(
         *[c for c in joined.columns if c != "reject_reason"],
         or_empty(F.col("_text")).alias("attachment_text"),
-        F.transform("_images", lambda p: data_url(p["mime_type"], p["bytes"])).alias("images"),
+        F.transform("_images", url).alias("images"),
         F.coalesce("reject_reason", F.when(broken, "bad_attachment")).alias("reject_reason"),
     )
 
@@ -225,7 +261,10 @@ def budgeted_text(parts: Column, redaction: str = "reference") -> Column:
     def add(text: Column, p: Column) -> Column:
         room = F.lit(ATTACHMENT_CHARS) - F.length(text)
         from_pdf = trim_text(redact(pdf_text(p["objects"], room), redaction))
-        from_text = F.left(trim_text(redact(bytes_as_utf8(p["bytes"]), redaction)), room)
+        from_text = F.left(
+            F.when(p["inline"], clean_text(p["bytes"], redaction)).otherwise(p["stored"]["text"]),
+            room,
+        )
         clean = F.when(p["kind"] == "pdf", from_pdf).otherwise(from_text)
         more = F.array_join(F.filter(F.array(text, clean), lambda x: x != ""), "\n")
         return (
