@@ -289,7 +289,12 @@ def feed_scan(spark, sf_dir):
 @query
 def feed_cursors(spark, sf_dir):
     pages, plan, _ = _feed(spark, sf_dir)
-    return feed.next_cursors(pages, plan)
+    notified = fx.read_view(spark, sf_dir, "fx_feed").select(
+        "account",
+        F.col("entry_id").cast("string").alias("history_id"),
+        F.col("entry_id").alias("ts"),
+    )
+    return feed.next_cursors(pages, plan, notified)
 
 
 @query

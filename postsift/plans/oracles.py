@@ -184,6 +184,7 @@ _ENVELOPE = f"""{PUSH}, opened AS (SELECT *, json_valid(body) AS is_json,
   envelope AS (SELECT event_id, message ->> '$.messageId' AS push_id, p ->> '$.emailAddress' AS account,
     p ->> '$.historyId' AS history_id, CASE WHEN NOT is_json THEN 'bad_json'
       WHEN message IS NULL THEN 'no_message' WHEN p IS NULL THEN 'bad_envelope'
+      WHEN p ->> '$.historyId' IS NULL THEN 'no_history_id'
       WHEN NOT regexp_matches(p ->> '$.emailAddress', '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') THEN 'bad_account'
       END AS reject_reason FROM checked)"""
 
@@ -204,7 +205,7 @@ _SEEN = "seen AS (SELECT message_id, min(received_at) AS processed_at FROM feed
 
 ORACLES["feed_plan"] = f"WITH {_BOX} SELECT account, mode, start_id::VARCHAR AS start_id FROM plan"
 ORACLES["feed_scan"] = f"WITH {_BOX} SELECT account, message_id FROM scanned"
-ORACLES["feed_cursors"] = f"WITH {_BOX} SELECT account, last::VARCHAR AS cursor FROM plan WHERE mode = 'feed'"
+ORACLES["feed_cursors"] = f"WITH {_BOX} SELECT account, last::VARCHAR AS cursor FROM plan"
 ORACLES["feed_fallback"] = f"WITH {_BOX} SELECT account, message_id FROM fallen"
 ORACLES["feed_incoming"] = f"""WITH {_BOX}, {_SEEN} SELECT account, message_id FROM (FROM scanned UNION FROM fallen)
   WHERE message_id NOT IN (SELECT message_id FROM seen)"""

@@ -63,19 +63,28 @@ def scan_feed(pages: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def next_cursors(pages: DataFrame, plan: DataFrame) -> DataFrame:
-    """``(account, cursor)``: the history id of the account's last page.
+def next_cursors(
+    pages: DataFrame, plan: DataFrame, notified: DataFrame | None = None
+) -> DataFrame:
+    """``(account, cursor)``: where the next read starts.
 
-    An account whose feed has no page keeps its start id.
+    For the feed, the history id of the account's last page, or the start id if there is no
+    page. For the fallback, the history id of the account's last notification
+    ``notified(account, history_id, ts)``; without one it gets no cursor.
     """
     last = pages.groupBy("account").agg(
         F.max_by(F.col("_page.historyId"), F.col("page_no")).alias("last_id")
     )
-    return (
+    read = (
         plan.where(F.col("mode") == "feed")
         .join(last, "account", "left")
         .select("account", F.coalesce("last_id", "start_id").alias("cursor"))
     )
+    if notified is None:
+        return read
+    told = notified.groupBy("account").agg(F.max_by("history_id", "ts").alias("cursor"))
+    fallen = plan.where(F.col("mode") == "fallback").select("account").join(told, "account")
+    return read.unionByName(fallen)
 
 
 def scan_fallback(

@@ -36,6 +36,7 @@ def _reject_reason() -> Column:
         F.when(F.col("_envelope").isNull(), "bad_json")
         .when(F.col("_envelope.message").isNull(), "no_message")
         .when(F.col("_payload").isNull(), "bad_envelope")
+        .when(F.col("_payload.historyId").isNull(), "no_history_id")
         .when(~is_account(F.col("_payload.emailAddress")), "bad_account")
     )
 

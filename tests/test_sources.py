@@ -29,12 +29,13 @@ def test_push_envelopes(spark):
         (envelope("null"), ("p", None, None, "bad_envelope")),
         (envelope('{"emailAddress":"nobody","historyId":1}'), ("p", "nobody", "1", "bad_account")),
         (envelope('{"historyId":1}'), ("p", None, "1", "bad_account")),
+        (envelope('{"emailAddress":"a@b.co"}'), ("p", "a@b.co", None, "no_history_id")),
     ]
     df = spark.createDataFrame([(i, body) for i, (body, _) in enumerate(cases)], "i int, body string")
     decoded = push.decode_envelopes(df)
     got = rows(decoded.select("i", "push_id", "account", "history_id", "reject_reason"), "i")
     assert [g[1:] for g in got] == [want for _, want in cases]
-    assert push.accepted(decoded).count() == 1 and push.quarantined(decoded).count() == 9
+    assert push.accepted(decoded).count() == 1 and push.quarantined(decoded).count() == 10
 
 
 def page(history_id, *entries):
@@ -72,6 +73,9 @@ def test_feed(spark):
     assert dict(rows(feed.next_cursors(pages, plan))) == {
         "a": "105", "b": "7", "quiet": "50", "expired": "3", "idle": "77",
     }
+    notified = spark.createDataFrame([("new", "5", 1), ("new", "4", 2), ("a", "1", 1)], "account string, history_id string, ts int")
+    told = dict(rows(feed.next_cursors(pages, plan, notified)))
+    assert told["new"] == "4" and told["a"] == "105" and "gap" not in told
     mailbox = spark.createDataFrame(
         [("new", f"x{i:02d}", NOW - i) for i in range(15)] + [("gap", "old", NOW - DAY_MS), ("gap", "fresh", NOW - DAY_MS + 1), ("a", "no", NOW)],
         "account string, message_id string, received_at bigint",
