@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import parse_answer
 from ..functions.once import compute_once
 from ..functions.text import prompt_text
+from .limits import BREAKER_MS, DAILY_QUOTA, FAILURE_LIMIT, apply_limits
 
 # Method names, and the verdict when nothing answers.
 METHOD_FIRST = "openrouter"
@@ -195,6 +196,37 @@ def fallback_verdict() -> Column:
     return F.struct(*[F.lit(value).alias(name) for name, value in FALLBACK.items()])
 
 
+def deny_over_limits(
+    resolved: DataFrame,
+    calls: DataFrame,
+    quota: int = DAILY_QUOTA,
+    limit: int = FAILURE_LIMIT,
+    ttl_ms: int = BREAKER_MS,
+) -> DataFrame:
+    """Give the fallback to calls that an open breaker or a used-up quota would not make.
+
+    ``resolved`` comes from ``resolve_attempts`` and says how each call would end;
+    ``calls(message_id, service, ts)`` says when it is due.
+    """
+    due = resolved.join(calls, "message_id").select(
+        "service",
+        F.col("message_id").alias("id"),
+        "ts",
+        (F.col("method") != FALLBACK["method"]).alias("ok"),
+    )
+    outcomes = apply_limits(due, quota, limit, ttl_ms)[0]
+    denied = outcomes.where(F.col("outcome").isin("open", "quota")).select(
+        F.col("id").alias("message_id"), F.lit(True).alias("_denied")
+    )
+    return resolved.join(denied, "message_id", "left").select(
+        "message_id",
+        *[
+            F.when(F.col("_denied"), F.lit(value)).otherwise(F.col(name)).alias(name)
+            for name, value in FALLBACK.items()
+        ],
+    )
+
+
 def classify(mail: DataFrame, scorer: Scorer) -> DataFrame:
     """Mail with ``verdict`` filled: rules first, then the scorer, else the fallback."""
     resolved = resolve_attempts(scorer(prompt_rows(mail)))

@@ -462,6 +462,19 @@ def daily_classifications(spark, sf_dir):
     return stats.daily_classifications(resolved.join(at, "message_id"))
 
 
+@query
+def limited_verdicts(spark, sf_dir):
+    """Resolved answers, but the fallback where a limit would not allow the call."""
+    attempts = fx.read_view(spark, sf_dir, "fx_attempt")
+    calls = (
+        fx.read_view(spark, sf_dir, "fx_call")
+        .groupBy(F.expr("'m' || id div 5").alias("message_id"), "service")
+        .agg(F.min("ts").alias("ts"))
+    )
+    resolved = scoring.resolve_attempts(attempts)
+    return scoring.deny_over_limits(resolved, calls, quota=20, ttl_ms=7_200_000)
+
+
 @query
 def quota_denials(spark, sf_dir):
     calls = fx.read_view(spark, sf_dir, "fx_call")

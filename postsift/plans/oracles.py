@@ -332,15 +332,15 @@ _ELEMENT = """{'id': id, 'ts': ts, 'ok': ok, 'open': 0::BIGINT, 'fails': 0::BIGI
     'day': -1::BIGINT, 'used': 0::BIGINT, 'result': ''}"""
 
 
-def _fold(quota: int) -> str:
+def _fold(quota: int, ttl: int) -> str:
     day = f"x.ts // {DAY}"
     used = f"(CASE WHEN a.day = {day} THEN a.used ELSE 0 END)"
     is_open = "x.ts < a.open"
     over = f"{used} >= {quota}"
-    count = "(CASE WHEN a.fails > 0 AND x.ts - a.last < 300000 THEN a.fails + 1 ELSE 1 END)"
+    count = f"(CASE WHEN a.fails > 0 AND x.ts - a.last < {ttl} THEN a.fails + 1 ELSE 1 END)"
     skip = f"({is_open} OR {over})"
     return f"""{{'id': x.id, 'ts': x.ts, 'ok': x.ok,
-      'open': CASE WHEN {skip} OR x.ok OR {count} < 3 THEN a.open ELSE x.ts + 300000 END,
+      'open': CASE WHEN {skip} OR x.ok OR {count} < 3 THEN a.open ELSE x.ts + {ttl} END,
       'fails': CASE WHEN {skip} THEN a.fails WHEN x.ok OR {count} >= 3 THEN 0 ELSE {count} END,
       'last': CASE WHEN {skip} OR x.ok THEN a.last ELSE x.ts END,
       'day': {day}, 'used': {used} + (NOT {skip} AND x.ok)::BIGINT,
@@ -348,18 +348,27 @@ def _fold(quota: int) -> str:
         WHEN {count} >= 3 THEN 't' ELSE 'f' END}}"""
 
 
-def _folded(quota: int) -> str:
-    return f"""{CALL}, listed AS (SELECT list({_ELEMENT} ORDER BY ts, id) AS xs FROM call),
-      done AS (SELECT xs, list_reduce(xs, lambda a, x: {_fold(quota)}, {{'id': -1::BIGINT, 'ts': 0::BIGINT,
+def _folded(quota: int, ttl: int = 300_000, calls: str = "call", first_id: str = "-1::BIGINT") -> str:
+    return f"""listed AS (SELECT list({_ELEMENT} ORDER BY ts, id) AS xs FROM {calls}),
+      done AS (SELECT xs, list_reduce(xs, lambda a, x: {_fold(quota, ttl)}, {{'id': {first_id}, 'ts': 0::BIGINT,
         'ok': true, 'open': 0::BIGINT, 'fails': 0::BIGINT, 'last': 0::BIGINT, 'day': -1::BIGINT,
         'used': 0::BIGINT, 'result': ''}}).result AS result FROM listed),
       folded AS (SELECT unnest(list_transform(xs, lambda x: x.id)) AS id, unnest(string_split(result, '')) AS r FROM done)"""
 
 
-ORACLES["breaker_calls"] = f"""WITH {_folded(10**9)} SELECT id, (r <> 'o')::INT AS attempted, (r = 't')::INT AS tripped FROM folded"""
-ORACLES["limited_calls"] = f"""WITH {_folded(100)} SELECT id, CASE r WHEN 'o' THEN 'open' WHEN 'q' THEN 'quota'
+ORACLES["breaker_calls"] = f"""WITH {CALL}, {_folded(10**9)} SELECT id, (r <> 'o')::INT AS attempted, (r = 't')::INT AS tripped FROM folded"""
+ORACLES["limited_calls"] = f"""WITH {CALL}, {_folded(100)} SELECT id, CASE r WHEN 'o' THEN 'open' WHEN 'q' THEN 'quota'
     WHEN 's' THEN 'ok' ELSE 'failed' END AS outcome FROM folded"""
 
+_DUE = f"""{RESOLVED}, due AS (SELECT message_id AS id, epoch_us(min(ts)) // 1000 AS ts, any_value(method) <> 'fallback' AS ok
+    FROM resolved JOIN events ON message_id = 'm' || (event_id // 5) GROUP BY message_id)"""
+ORACLES["limited_verdicts"] = f"""WITH {_DUE}, {_folded(20, 7_200_000, 'due', "''")}
+  SELECT message_id, CASE WHEN r IN ('o', 'q') THEN 'Medium' ELSE priority END AS priority,
+    CASE WHEN r IN ('o', 'q') THEN 'Classification unavailable' ELSE summary END AS summary,
+    CASE WHEN r IN ('o', 'q') THEN 'Other' ELSE label END AS label,
+    CASE WHEN r IN ('o', 'q') THEN 'fallback' ELSE method END AS method
+  FROM resolved JOIN folded ON id = message_id"""
+
 # --- queue ---
 
 ORACLES["queue_inserts"] = f"""WITH {SETTLED}, {PENDING}, old AS (SELECT * FROM pending WHERE sent_at IS NOT NULL)
