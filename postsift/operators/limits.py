@@ -428,25 +428,24 @@ def apply_limits(
 
     The two meet only at day ends: a day's quota always runs out at a success, which
     leaves the breaker clean, and the rest of that day is not attempted. So the rest of a
-    used-up day is denied by the quota alone, and the day after it starts clean. Which days are used up is found by repetition: fold with
-    the days known so far, look again. The first n days are right after n rounds, and in
-    practice two or three rounds settle all of them.
+    used-up day is denied by the quota alone, and the day after it starts clean. Which days
+    are used up is found by repetition: begin with the days that have enough successes at
+    all, fold, look again. Whatever the beginning, the first n days are right after n
+    rounds and stay so; in practice the first or second round confirms itself.
     """
     dated = calls.select(*CALLS).withColumn("day", utc_day())
     runs = ordered_runs(dated, ["service"], ["ts", "id"], "calls")
     days = runs.select("service", "day").distinct()
-    full = None
+    begin = None if carry is None else carry.withColumn("epoch", F.lit(0).cast("bigint"))
+    full = stage(_enough_successes(runs, quota, used), "quota-days")
     while True:
         keyed = _with_epoch(runs, days, full)
-        begin = None if carry is None else carry.withColumn("epoch", F.lit(0).cast("bigint"))
         folded, states = fold_breaker(keyed, ["service", "epoch"], limit, ttl_ms, begin)
         folded = stage(folded.drop("_part", "_row"), "breaker-calls")
         good = folded.where(F.col("attempted") & F.col("ok")).select("service", "day", "ts", "id")
         cuts = stage(quota_cutoffs(good, quota, used), "quota-cuts")
         found = cuts.select("service", "day")
-        if full is None and found.isEmpty():
-            break
-        if full is not None and _same_rows(full, found):
+        if _same_days(full, found):
             break
         full = found
     out = _within_quota(folded, cuts).withColumn(
@@ -463,10 +462,17 @@ def apply_limits(
     )
 
 
-def _with_epoch(runs: DataFrame, days: DataFrame, full: DataFrame | None) -> DataFrame:
+def _enough_successes(runs: DataFrame, quota: int, used: DataFrame | None) -> DataFrame:
+    """Days whose quota runs out if the breaker denies nothing."""
+    counted = runs.where("ok").groupBy("service", "day").agg(F.count(F.lit(1)).alias("n"))
+    if used is not None:
+        both = counted.unionByName(used.select("service", "day", F.col("used").alias("n")))
+        counted = both.groupBy("service", "day").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= quota).select("service", "day")
+
+
+def _with_epoch(runs: DataFrame, days: DataFrame, full: DataFrame) -> DataFrame:
     """Number of used-up days before the row's day: each such day begins a clean breaker."""
-    if full is None:
-        return runs.withColumn("epoch", F.lit(0).cast("bigint"))
     before = (
         Window.partitionBy("service").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -478,8 +484,11 @@ def _with_epoch(runs: DataFrame, days: DataFrame, full: DataFrame | None) -> Dat
     return runs.join(epochs, ["service", "day"]).select(*runs.columns, "epoch")
 
 
-def _same_rows(left: DataFrame, right: DataFrame) -> bool:
-    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+def _same_days(left: DataFrame, right: DataFrame) -> bool:
+    both = left.withColumn("_left", F.lit(1)).join(
+        right.withColumn("_right", F.lit(1)), ["service", "day"], "full"
+    )
+    return both.where("_left IS NULL OR _right IS NULL").isEmpty()
 
 
 def _final_states(states: DataFrame, days: DataFrame, full: DataFrame) -> DataFrame:
