@@ -165,3 +165,16 @@ def test_limits_continue_over_batches(spark):
         carry = spark.createDataFrame(carry.collect(), carry.schema)
         used = spark.createDataFrame(used.collect(), used.schema)
     assert got == want
+
+
+def test_no_calls(spark):
+    limited, states, used = limits.apply_limits(table(spark, history(1, 1)).where("false"), 5)
+    assert limited.count() == states.count() == used.count() == 0
+
+
+def test_hot_second_is_cut_before_its_shuffle(spark):
+    calls = [("a", i, 1_704_067_200_000 + i % 3, i % 2 == 0) for i in range(5000)]
+    limited = limits.apply_quota(table(spark, calls), 1500)
+    assert limited.where("ok AND in_quota").count() == 1500
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

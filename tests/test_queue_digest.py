@@ -170,6 +170,16 @@ def test_delivery(spark):
     assert body.startswith('{"title":"t","message":"m","priority":8,"extras":{"client::display":{"contentType":"text/markdown"}')
 
 
+def test_queues_of_several_mailboxes(spark):
+    table = pending(spark, *[(f"e{i:02d}", "High", i) for i in range(50)])
+    table = table.withColumn("account", F.when(F.col("received_at") % 2 == 0, "a").otherwise("b"))
+    by = ("account", "priority")
+    got = digest.digests(queue.oldest_unsent(table, limit=22, by=by), by)
+    assert rows(got.select("account", "chunk", "n"), "account", "chunk") == [
+        ("a", 0, 20), ("a", 1, 2), ("b", 0, 20), ("b", 1, 2),
+    ]
+
+
 def test_failed_chunk_stays_queued(spark):
     table = pending(spark, *[(f"e{i:02d}", "High", i) for i in range(25)])
     flush = queue.oldest_unsent(table)
