@@ -51,12 +51,11 @@ def parse_pages(pages: DataFrame, page: str = "page") -> DataFrame:
 def scan_feed(pages: DataFrame, plan: DataFrame) -> DataFrame:
     """``(account, message_id)``: every "message added" entry after the start id."""
     start = plan.where(F.col("mode") == "feed").select("account", "start_id")
-    entries = pages.select(
-        "account", F.explode("_page.history").alias("entry")
-    ).where(F.col("entry.messagesAdded").isNotNull())
     after = history_number(F.col("entry.id")) > history_number(F.col("start_id"))
+    # Whole pages are joined: far fewer rows to shuffle than their entries.
     return (
-        entries.join(start, "account")
+        pages.join(start, "account")
+        .select("account", "start_id", F.explode("_page.history").alias("entry"))
         .where(after)
         .select("account", F.explode("entry.messagesAdded").alias("added"))
         .select("account", F.col("added.message.id").alias("message_id"))
