@@ -60,7 +60,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     state handed from one pass to the next): a lost executor then rereads files
     instead of recomputing a differently sampled shuffle.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return stage_at(df, scratch_path(df.sparkSession, name))
+
+
+def stage_at(df: DataFrame, path: str) -> DataFrame:
+    """``stage`` with the folder chosen by the caller, who may ``remove`` it again."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder, in whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
