@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan, warc_archive
+from . import bpe, exact_dedup, packing, secret_scan, simhash, substring_dedup, warc_archive
 from .common import table
 from .oracles import ORACLES  # noqa: F401 - registered with the queries
 
@@ -19,6 +19,12 @@ def query(run):
     return run
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts that are equal after lower-casing A-Z."""
@@ -47,6 +53,33 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without passages of 13 words that an earlier document has."""
+    left = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return left.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text."""
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_of(F.col("bits")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens: one row per piece."""
+    cut = packing.pieces(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return packing.packed(cut)
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to, as digests."""
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 @query
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as a content-addressed archive and read every record back."""

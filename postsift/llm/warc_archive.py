@@ -7,8 +7,8 @@ back together.
 
 Of records with equal payloads of at least ``least_bytes`` bytes the one with the smallest id is the
 ``response``, the others are ``revisit`` records that refer to it; smaller payloads are always
-responses. The comparison is by SHA-256 and length, and verified byte by byte against the stored
-payload when the archive is read.
+responses. Payloads count as equal by SHA-256, which a SHA-512 and the length must bear out when the
+payload is stored and the SHA-256 again when it is read.
 
 Defined cases: null payloads count as empty, null URLs as an empty target; a null id is smaller than
 any other and is written as an empty record name; rows that repeat an id and payload are one response
@@ -121,12 +121,15 @@ def write_archive(
         archive.headers
     )
     # Each payload once: partial aggregation keeps one copy a task before anything is shuffled.
-    rows.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(
-        F.min("payload").alias("payload"), F.max("payload").alias("largest")
+    # A second digest and the length vouch for the first: unequal payloads are never stored as one.
+    second = F.struct(F.sha2("payload", 512), F.octet_length("payload"))
+    rows.select(F.sha2("payload", 256).alias("sha256"), "payload", second.alias("second")).groupBy(
+        "sha256"
+    ).agg(
+        F.min("payload").alias("payload"), F.min("second").alias("least"), F.max("second").alias("most")
     ).select(
         "sha256",
-        # Equal digests of unequal payloads: not to be had by chance, but never stored as one.
-        F.when(F.col("payload") == F.col("largest"), F.col("payload"))
+        F.when(F.col("least") == F.col("most"), F.col("payload"))
         .otherwise(F.raise_error(F.lit("two payloads share a digest")).cast("binary"))
         .alias("payload"),
     ).write.parquet(archive.payloads)
