@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -73,3 +74,13 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a staged folder, in whatever file system it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps deleted now.
+
+    Spark deletes them once the driver's collector finds their plans unused, which may take as
+    long as the job; between steps that each shuffle the whole input that would add them up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
