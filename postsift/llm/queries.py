@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, secret_scan, simhash, substring_dedup, warc_archive
+from . import (
+    bpe,
+    exact_dedup,
+    language_id,
+    lm_scoring,
+    packing,
+    secret_scan,
+    simhash,
+    substring_dedup,
+    syncmers,
+    warc_archive,
+)
 from .common import table
 from .oracles import ORACLES  # noqa: F401 - registered with the queries
 
@@ -25,6 +36,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much every text reads like the documents labelled as good, against all documents."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts that are equal after lower-casing A-Z."""
@@ -53,6 +71,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, by a network that has not seen a third of them."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.languages(docs, language_id.trained(docs))
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without passages of 13 words that an earlier document has."""
@@ -60,6 +85,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and how alike they are."""
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every text."""

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_task, id_and_text
+from .common import by_task, id_and_text, slices
 
 
 @dataclass(frozen=True)
@@ -425,20 +425,29 @@ def secret_spans(
 
 
 def masked(
-    docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[{kind}]"
+    docs: DataFrame,
+    text_col: str = "text",
+    rules: tuple[Rule, ...] = RULES,
+    mask: str = "[{kind}]",
+    length_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; all rows stay.
 
     Overlapping spans are replaced together, under the kind of the first. Null texts stay null.
+    ``length_col`` gets the number of code points of the texts that are changed.
     """
     machine, names = compile_rules(rules), docs.columns
     at = names.index(text_col)
+    counted = names.index(length_col) if length_col else None
+
+    def task(batches):
+        return run(slices(batches))
 
     def run(batches):
         heads = _head_patterns(machine.rules)
         for batch in batches:
-            texts = []
-            for text in batch.column(at).to_pylist():
+            texts, changed = [], {}
+            for row, text in enumerate(batch.column(at).to_pylist()):
                 if text is not None:
                     data = text.encode()
                     pieces, done = [], 0
@@ -448,12 +457,18 @@ def masked(
                         done = max(done, end)
                     if pieces:
                         text = b"".join([*pieces, data[done:]]).decode()
+                        changed[row] = len(text)
                 texts.append(text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, type=batch.schema.field(at).type)
+            if counted is not None and changed:
+                lengths = columns[counted].to_pylist()
+                for row, length in changed.items():
+                    lengths[row] = length
+                columns[counted] = pa.array(lengths, type=batch.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task, docs.schema)
 
 
 def digests(spans: list[tuple[str, int, int]]) -> tuple[str, str]:
