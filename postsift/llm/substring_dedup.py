@@ -7,11 +7,11 @@ anchor in a place form a phrase.
 
 1. Each phrase goes, once a task, to the block of its anchor, where the least document that has the
    phrase is looked up. Phrases that occur in one document under an anchor of their own end here.
-2. Each document is parsed greedily against what the blocks returned: a factor starts at the first
-   window known from a smaller document and grows while the next window is known from the same one.
-   Windows at factor boundaries, those whose anchor is known with other phrases, are decided one by
+2. Windows at factor boundaries, those whose anchor is known with other phrases, are decided one by
    one: their hashes go through blocks again, and only for documents that have such windows.
-3. Every word under a factor of at least ``width`` words goes.
+3. Each document is parsed greedily against what the blocks returned: a factor starts at the first
+   window known from a smaller document and grows while the next window is known from the same one.
+   Every word under a factor, which has at least ``width`` words, goes.
 
 The result is exact but for 64-bit hash collisions: a window goes if and only if its words also stand,
 in this order, in a document with a smaller id. A phrase that a third of all documents hold is one
@@ -31,13 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
-from .common import batch_of, by_slice, by_task, id_and_text, slices
+from ..session import release, stage
+from .common import by_slice, by_task, id_and_text
 
 WIDTH, ANCHOR = 13, 5
 NO_ID = -(1 << 63)  # stands for a null id
 NONE = (1 << 63) - 1  # no document has the window
-OPEN = NONE - 1  # not decided yet
 
 # Rows of one task are combined in runs of this many phrases before they are shuffled.
 COMBINE = 1 << 21
@@ -185,15 +184,17 @@ def _known(entries: DataFrame) -> DataFrame:
     """
     phrase = Window.partitionBy("anchor", "phrase")
     anchor = Window.partitionBy("anchor")
-    judged = entries.withColumns(
-        {
-            "least_phrase": F.min("phrase").over(anchor),
-            "most_phrase": F.max("phrase").over(anchor),
-        }
-    ).withColumns({"first": F.min("least").over(phrase)})
-    useful = judged.withColumn("mixed", F.col("least_phrase") != F.col("most_phrase")).where(
-        "mixed OR others IS NOT NULL OR least <> first"
+    several = (F.min("least").over(anchor) != F.max("least").over(anchor)) | (
+        F.count("others").over(anchor) > 0
+    )
+    judged = (
+        entries.withColumns(
+            {"several": several, "mixed": F.min("phrase").over(anchor) != F.max("phrase").over(anchor)}
+        )
+        .where("several")  # an anchor of one document alone, however often, says nothing
+        .withColumn("first", F.min("least").over(phrase))
     )
+    useful = judged.where("mixed OR others IS NOT NULL OR least <> first")
     spread = _spread(useful, "anchor", "phrase", "first", "mixed")
     # A document that is itself the first needs to know only of mixed anchors.
     return spread.where("mixed OR doc_id <> first")
@@ -223,14 +224,14 @@ def factors(reference: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     )
 
 
-def _lookup(table: np.ndarray, values: np.ndarray, keys: np.ndarray, missing: int) -> np.ndarray:
-    """``values`` of ``keys`` where ``table`` has them; the table need not be sorted."""
+def _lookup(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``values`` of ``keys`` where ``table`` has them, else NONE; the table need not be sorted."""
     if not len(table):
-        return np.full(len(keys), missing, dtype=np.int64)
+        return np.full(len(keys), NONE, dtype=np.int64)
     order = np.argsort(table, kind="stable")
     place = np.minimum(np.searchsorted(table[order], keys), len(table) - 1)
     found = table[order][place] == keys
-    return np.where(found, values[order][place], missing)
+    return np.where(found, values[order][place], NONE)
 
 
 def _longs(values: list | None) -> np.ndarray:
@@ -240,9 +241,9 @@ def _longs(values: list | None) -> np.ndarray:
 _RESULT = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: long, words: long, doc_id: long>>"
 
 
-def _settled(doc_id: int | None, text: str, reference: np.ndarray, width: int, shape) -> dict[str, object]:
+def _settled(text: str, reference: np.ndarray, width: int, shape) -> dict[str, object]:
     words = text.encode().split()
-    hit = np.flatnonzero((reference != NONE) & (reference != (NO_ID if doc_id is None else doc_id)))
+    hit = np.flatnonzero(reference != NONE)
     kept = words
     if len(hit):
         gone = _removed(hit, len(words), width)
@@ -256,108 +257,96 @@ def _settled(doc_id: int | None, text: str, reference: np.ndarray, width: int, s
     }
 
 
-def _parse(docs: DataFrame, known: DataFrame, width: int, anchor: int, shape) -> DataFrame:
-    """Step 2: the results of documents without open windows, what is needed for the others.
-
-    The latter have ``text``, ``reference`` (per window its document, NONE or OPEN, as runs) and
-    ``open``, the hashes of the open windows; for all others these are null.
-    """
-    per_doc = known.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_list(F.when(F.col("first") != F.col("doc_id"), F.struct("phrase", "first"))).alias("copies"),
-        F.collect_set(F.when(F.col("mixed"), F.col("anchor"))).alias("mixed"),
+def _per_doc(known: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row per document with the phrases, mixed anchors and windows that concern it."""
+    phrase = F.when(F.col("first") != F.col("doc_id"), F.struct(F.col("phrase").alias("hash"), "first"))
+    rows = known.select(
+        "doc_id", phrase.alias("copy"), F.when(F.col("mixed"), F.col("anchor")).alias("mixed"), _nothing().alias("window")
     )
-    joined = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(per_doc, "_id", "left")
-    shaped = joined.select(
-        "doc_id",
-        "text",
-        F.col("copies.phrase").alias("phrases"),
-        F.col("copies.first").alias("firsts"),
-        "mixed",
+    if found is not None:
+        window = F.struct(F.col("window").alias("hash"), "first")
+        rows = rows.unionByName(
+            found.select("doc_id", _nothing().alias("copy"), F.lit(None).cast("long").alias("mixed"), window.alias("window"))
+        )
+    return rows.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.collect_list("copy").alias("copies"),
+        F.collect_set("mixed").alias("mixed"),
+        F.collect_list("window").alias("windows"),
     )
-    nothing = dict.fromkeys(("n_words", "n_removed", "kept", "factors"))
 
-    def run(part: pa.RecordBatch):
-        names = ("doc_id", "text", "phrases", "firsts", "mixed")
-        rows = []
-        for doc_id, text, phrases, firsts, mixed in zip(*[part.column(c).to_pylist() for c in names], strict=True):
-            if not phrases and not mixed:  # nothing of it stands elsewhere
-                done = _settled(doc_id, text, np.zeros(0, np.int64), width, shape)
-                rows.append(done | {"text": None, "reference": None, "open": None})
-                continue
-            words = Words(text)
-            anchors, hashes, first, last = words.phrases(width, anchor)
-            of_phrase = _lookup(_longs(phrases), _longs(firsts), _signed(hashes), NONE)
-            undecided = (of_phrase == NONE) & np.isin(_signed(anchors), _longs(mixed))
-            of_phrase[undecided] = OPEN
-            reference = np.repeat(of_phrase, last - first + 1)
-            if undecided.any():
-                still = _signed(words.windows(width)[reference == OPEN])
-                rows.append(nothing | {"text": text, "reference": _runs(reference), "open": still})
-            else:
-                done = _settled(doc_id, text, reference, width, shape)
-                rows.append(done | {"text": None, "reference": None, "open": None})
-        return {k: [r[k] for r in rows] for k in (*nothing, "text", "reference", "open")} | {
-            "doc_id": part.column("doc_id")
-        }
-
-    return by_slice(shaped, run, f"{_RESULT}, text string, reference binary, open array<long>")
 
+def _nothing():
+    return F.lit(None).cast("struct<hash: bigint, first: bigint>")
 
-def _runs(values: np.ndarray) -> bytes:
-    """Run lengths and values as bytes."""
-    cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    lengths = np.diff(np.append(cut, len(values)))
-    return np.concatenate([lengths, values[cut]]).astype(np.int64).tobytes()
 
+def _with_known(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
+    joined = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(per_doc, "_id", how)
+    return joined.select(
+        "doc_id",
+        "text",
+        "mixed",
+        F.col("copies.hash").alias("copies_hash"),
+        F.col("copies.first").alias("copies_first"),
+        F.col("windows.hash").alias("windows_hash"),
+        F.col("windows.first").alias("windows_first"),
+    )
 
-def _unrolled(data: bytes) -> np.ndarray:
-    both = np.frombuffer(data, dtype=np.int64).reshape(2, -1)
-    return np.repeat(both[1], both[0])
 
+def _open_windows(docs: DataFrame, known: DataFrame, width: int, anchor: int) -> DataFrame:
+    """(window, least, others), combined by task: windows that phrases leave undecided.
 
-def _window_entries(parsed: DataFrame) -> DataFrame:
-    """(window, least, others) of the open windows of each task, combined."""
-    arrow = pa.schema([("window", pa.int64()), ("least", pa.int64()), ("others", pa.binary())])
+    Only documents with an anchor that is known with other phrases have any.
+    """
+    rows = _with_known(docs, _per_doc(known).where("size(mixed) > 0"), "inner")
 
     def flushed(held):
         out = _combined([np.concatenate(c) for c in zip(*held, strict=True)])
-        return batch_of({"window": out["keys"][0], "least": out["id"], "others": out["others"]}, arrow)
-
-    def task(batches):
-        held, size = [], 0
-        for part in slices(batches):
-            for doc_id, values in zip(_ids(part).tolist(), part.column("open"), strict=True):
-                hashes = values.values.to_numpy() if values.is_valid else np.zeros(0, np.int64)
-                held.append([hashes, np.full(len(hashes), doc_id)])
-                size += len(hashes)
+        return {"window": out["keys"][0], "least": out["id"], "others": out["others"]}
+
+    def run(parts):
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for part in parts:
+            columns = [part.column(c).to_pylist() for c in ("text", "copies_hash", "mixed")]
+            for doc_id, text, copies, mixed in zip(_ids(part).tolist(), *columns, strict=True):
+                words = Words(text)
+                anchors, hashes, first, last = words.phrases(width, anchor)
+                still = np.isin(_signed(anchors), _longs(mixed)) & ~np.isin(_signed(hashes), _longs(copies))
+                windows = _signed(words.windows(width)[np.repeat(still, last - first + 1)])
+                held.append([windows, np.full(len(windows), doc_id)])
+                size += len(windows)
             if size >= COMBINE:
                 yield flushed(held)
                 held, size = [], 0
         if held:
             yield flushed(held)
 
-    return parsed.select("doc_id", "open").where("open IS NOT NULL").mapInArrow(
-        task, "window long, least long, others binary"
-    )
+    return by_task(rows, run, "window long, least long, others binary")
 
 
-def _finished(rows: DataFrame, width: int, shape) -> DataFrame:
-    """Step 3, for rows with text, reference, open and the ``windows`` found elsewhere with ``firsts``."""
+def _parsed(docs: DataFrame, per_doc: DataFrame, width: int, anchor: int, shape) -> DataFrame:
+    """The factors of every document and what is left of it."""
 
     def run(part: pa.RecordBatch):
-        names = ("doc_id", "text", "reference", "open", "windows", "firsts")
+        names = ("doc_id", "text", "copies_hash", "copies_first", "windows_hash", "windows_first")
         out = []
-        for doc_id, text, packed, still, windows, firsts in zip(
+        for doc_id, text, hashes, firsts, windows, window_firsts in zip(
             *[part.column(c).to_pylist() for c in names], strict=True
         ):
-            reference = _unrolled(packed)
-            reference[reference == OPEN] = _lookup(_longs(windows), _longs(firsts), _longs(still), NONE)
-            out.append(_settled(doc_id, text, reference, width, shape))
+            reference = np.zeros(0, np.int64)
+            if hashes or windows:  # else nothing of it stands in a smaller document
+                words = Words(text)
+                _, phrases, first, last = words.phrases(width, anchor)
+                by_phrase = _lookup(_longs(hashes), _longs(firsts), _signed(phrases))
+                by_window = _lookup(_longs(windows), _longs(window_firsts), _signed(words.windows(width)))
+                by_phrase = np.repeat(by_phrase, last - first + 1)
+                reference = np.where(by_phrase == NONE, by_window, by_phrase)
+            out.append(_settled(text, reference, width, shape))
         return {k: [r[k] for r in out] for k in ("n_words", "n_removed", "kept", "factors")} | {
             "doc_id": part.column("doc_id")
         }
 
-    return by_slice(rows, run, _RESULT)
+    return by_slice(_with_known(docs, per_doc, "left"), run, _RESULT)
 
 
 def without_repeats(
@@ -371,31 +360,18 @@ def without_repeats(
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept (text) and factors.
 
     A factor is (first word, words, smaller document that has them). With ``digest``, kept is the
-    SHA-256 of the text, which spares writing most texts between the steps.
+    SHA-256 of the text.
     """
-    shape = kept_digest if digest else str
-    rows = id_and_text(docs, id_col, text_col)
-    known = _known(phrase_entries(rows, width, anchor))
-    parsed = stage(_parse(rows, known, width, anchor, shape), "parsed")
-    entries = _window_entries(parsed)
+    spark, rows = docs.sparkSession, id_and_text(docs, id_col, text_col)
+    known = stage(_known(phrase_entries(rows, width, anchor)), "phrases")
+    release(spark)
+    entries = _open_windows(rows, known, width, anchor)
     judged = entries.withColumn("first", F.min("least").over(Window.partitionBy("window")))
     spread = _spread(judged.where("others IS NOT NULL OR least <> first"), "window", "first")
-    per_doc = (
-        spread.where("doc_id <> first")
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_list(F.struct("window", "first")).alias("found"))
-    )
-    still = parsed.where("open IS NOT NULL").withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    decided = still.join(per_doc, "_id", "left").select(
-        "doc_id",
-        "text",
-        "reference",
-        "open",
-        F.col("found.window").alias("windows"),
-        F.col("found.first").alias("firsts"),
-    )
-    settled = parsed.where("open IS NULL").select("doc_id", "n_words", "n_removed", "kept", "factors")
-    return settled.unionByName(_finished(decided, width, shape))
+    found = stage(spread.where("doc_id <> first"), "windows")
+    release(spark)
+    copies = known.where("first <> doc_id")
+    return _parsed(rows, _per_doc(copies, found), width, anchor, kept_digest if digest else str)
 
 
 def kept_digest(text: str) -> str:
