@@ -23,7 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import release, scratch_path
+from . import exact_dedup
 from .common import whole
 
 # Digits of conv() and of RFC 4648 base 32.
@@ -120,19 +121,24 @@ def write_archive(
     records.select("id", header.cast("binary").alias("header"), "sha256", "response").write.parquet(
         archive.headers
     )
-    # Each payload once: partial aggregation keeps one copy a task before anything is shuffled.
+    # Each payload once. Those whose digest surely occurs once are written where they are read; of
+    # the others, partial aggregation keeps one copy a task before anything is shuffled.
+    probed = exact_dedup.with_maybe(
+        rows.select(F.sha2("payload", 256).alias("text_sha256"), "payload"),
+        exact_dedup.repeated_positions(index.select(F.col("sha256").alias("text_sha256"))),
+    ).withColumnRenamed("text_sha256", "sha256")
+    probed.where("NOT _maybe").select("sha256", "payload").write.parquet(archive.payloads)
     # A second digest and the length vouch for the first: unequal payloads are never stored as one.
     second = F.struct(F.sha2("payload", 512), F.octet_length("payload"))
-    rows.select(F.sha2("payload", 256).alias("sha256"), "payload", second.alias("second")).groupBy(
-        "sha256"
-    ).agg(
+    probed.where("_maybe").withColumn("second", second).groupBy("sha256").agg(
         F.min("payload").alias("payload"), F.min("second").alias("least"), F.max("second").alias("most")
     ).select(
         "sha256",
         F.when(F.col("least") == F.col("most"), F.col("payload"))
         .otherwise(F.raise_error(F.lit("two payloads share a digest")).cast("binary"))
         .alias("payload"),
-    ).write.parquet(archive.payloads)
+    ).write.mode("append").parquet(archive.payloads)
+    release(rows.sparkSession)
     return archive
 
 
