@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.feed import history_number
 from .queue import insert_ignore
 
 
@@ -16,9 +17,13 @@ def latest(changes: DataFrame, key: str = "key", rank: str = "updated_at") -> Da
 
 
 def upsert(state: DataFrame, changes: DataFrame, key: str = "key") -> DataFrame:
-    """Last write per key wins, by ``updated_at``; a change beats an old row of equal time."""
+    """Last write per key wins, by ``updated_at``; a change beats an old row of equal time.
+
+    Of changes with equal times the greater number wins, so a cursor never moves back.
+    """
     both = state.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    ranked = both.withColumn("_rank", F.struct("updated_at", "_new")).drop("_new")
+    number = history_number(F.col("value")).alias("number")
+    ranked = both.withColumn("_rank", F.struct("updated_at", "_new", number)).drop("_new")
     return latest(ranked, key, "_rank").drop("_rank")
 
 

@@ -51,7 +51,9 @@ def parse_pages(pages: DataFrame, page: str = "page") -> DataFrame:
 def scan_feed(pages: DataFrame, plan: DataFrame) -> DataFrame:
     """``(account, message_id)``: every "message added" entry after the start id."""
     start = plan.where(F.col("mode") == "feed").select("account", "start_id")
-    after = history_number(F.col("entry.id")) > history_number(F.col("start_id"))
+    # An entry or a start without a number cannot be placed: it counts as new rather than be lost.
+    later = history_number(F.col("entry.id")) > history_number(F.col("start_id"))
+    after = F.coalesce(later, F.lit(True))
     # Whole pages are joined: far fewer rows to shuffle than their entries.
     return (
         pages.join(start, "account")
@@ -81,7 +83,7 @@ def next_cursors(
     )
     if notified is None:
         return read
-    told = notified.groupBy("account").agg(F.max_by("history_id", "ts").alias("cursor"))
+    told = notified.groupBy("account").agg(F.max_by("history_id", F.struct("ts", history_number(F.col("history_id")), "history_id")).alias("cursor"))
     fallen = plan.where(F.col("mode") == "fallback").select("account").join(told, "account")
     return read.unionByName(fallen)
 

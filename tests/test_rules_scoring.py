@@ -19,7 +19,7 @@ def mail(spark, sender="unknown@example.com", subject="Hello", labels=(), header
     ("change", "want"),
     [
         ({}, None),
-        ({"subject": "Meeting at 3pm"}, None),
+        ({"subject": "Lunch at noon"}, None),
         ({"labels": ["STARRED"]}, None),
         ({"labels": ["CATEGORY_PROMOTIONS"]}, ("Ignore", "Hello", "Ads", "rule")),
         ({"labels": ["CATEGORY_SOCIAL"]}, ("Ignore", "Hello", "Ads", "rule")),

@@ -5,7 +5,7 @@ import json
 
 from conftest import rows
 from postsift.functions.clock import DAY_MS
-from postsift.operators import accounts
+from postsift.operators import accounts, state
 from postsift.sources import feed, push
 
 NOW = 1706659200000
@@ -99,3 +99,19 @@ def test_accounts(spark):
     expiry = spark.createDataFrame([("a@b.co", 9)], "email string, watch_expiry bigint")
     hook = spark.createDataFrame([], "email string, last_webhook bigint")
     assert rows(accounts.list_accounts(known, expiry, hook)) == [("a@b.co", 9, None)]
+
+
+def test_feed_entries_without_a_number_are_kept(spark):
+    page = '{"history":[%s]}' % ",".join(
+        '{%s"messagesAdded":[{"message":{"id":"%s"}}]}' % (i, m)
+        for i, m in (("", "a"), ('"id":"h7",', "b"), ('"id":"8",', "c"), ('"id":"5",', "d"))
+    )
+    pages = feed.parse_pages(spark.createDataFrame([("x", 1, page)], "account string, page_no int, page string"))
+    plan = spark.createDataFrame([("x", "feed", "5")], "account string, mode string, start_id string")
+    assert sorted(r.message_id for r in feed.scan_feed(pages, plan).collect()) == ["a", "b", "c"]
+
+
+def test_equal_times_never_move_a_cursor_back(spark):
+    schema = "key string, value string, updated_at long"
+    changes = spark.createDataFrame([("k", "9", 1), ("k", "10", 1)], schema)
+    assert state.upsert(spark.createDataFrame([], schema), changes).first().value == "10"
