@@ -282,15 +282,16 @@ ATTACHED = f"""{NODES}, note AS (SELECT id, left({trim(redacted('body'))}, 2000)
 ORACLES["attachment_text"] = f"WITH {ATTACHED} SELECT id, text FROM attached"
 
 _ATTACHED_LINE = f"left({trim('text')}, 1000)"
-ORACLES["prompts"] = f"""WITH {ATTACHED}, count AS (SELECT id, least(5, count(*) FILTER (
-      WHERE i >= 0 AND content IS NOT NULL AND NOT (i = 3 AND content_id IS NOT NULL))) AS images FROM filled GROUP BY id),
-  body AS (SELECT id, from_addr, subject, snippet, left({redacted(_BODY)}, 2048) AS b FROM mail)
-  SELECT id AS message_id, 'From: ' || from_addr || chr(10) || 'Subject: ' || subject || chr(10) || 'Body: '
+_PROMPT = f"""'From: ' || from_addr || chr(10) || 'Subject: ' || subject || chr(10) || 'Body: '
       || left(CASE WHEN {trim('b')} <> '' THEN {trim('b')} ELSE snippet END, 1800)
-      || CASE WHEN {_ATTACHED_LINE} <> '' THEN chr(10) || 'Attachment text: ' || {_ATTACHED_LINE} ELSE '' END AS prompt,
+      || CASE WHEN {_ATTACHED_LINE} <> '' THEN chr(10) || 'Attachment text: ' || {_ATTACHED_LINE} ELSE '' END"""
+_PROMPTED = f"""{ATTACHED}, count AS (SELECT id, least(5, count(*) FILTER (
+      WHERE i >= 0 AND content IS NOT NULL AND NOT (i = 3 AND content_id IS NOT NULL))) AS images FROM filled GROUP BY id),
+  body AS (SELECT id, from_addr, subject, snippet, left({redacted(_BODY)}, 2048) AS b FROM mail),
+  prompted AS (SELECT id, text, images, {_PROMPT} AS prompt FROM attached JOIN count USING (id) JOIN body USING (id))"""
+ORACLES["prompts"] = f"""WITH {_PROMPTED} SELECT id AS message_id, prompt,
     CASE WHEN images > 0 THEN 'google/gemini-2.0-flash-001' ELSE 'openrouter/auto' END AS model,
-    1 + images AS n_parts
-  FROM attached JOIN count USING (id) JOIN body USING (id)"""
+    1 + images AS n_parts FROM prompted"""
 
 # --- scoring and limits ---
 
@@ -499,22 +500,24 @@ ORACLES["accounts_listed"] = f"""WITH {ACCOUNT} SELECT email, CASE WHEN nation <
 ORACLES["stream_notifications"] = f"""WITH {_ENVELOPE} SELECT DISTINCT account, history_id FROM envelope
   WHERE reject_reason IS NULL"""
 ORACLES["stream_messages"] = f"WITH {FEED} SELECT DISTINCT message_id FROM feed WHERE message_id IS NOT NULL"
-ORACLES["stream_flush_windows"] = f"""WITH flushes AS ({ORACLES['flush_windows']})
-  SELECT * FROM flushes WHERE flush_at <= (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)"""
+ORACLES["stream_flush_windows"] = f"SELECT *, 0 AS n_late FROM ({ORACLES['flush_windows']})"
 ORACLES["stream_limited_calls"] = ORACLES["limited_calls"]
 ORACLES["stream_cursors"] = f"""WITH {_KEYED} SELECT key, arg_max(value, updated_at) AS value,
   max(updated_at) AS updated_at FROM change GROUP BY key"""
 
-_TRIAGE_BODY = f"left({trim(f'left({redacted(_BODY)}, 2048)')}, 1800)"
-ORACLES["stream_triage"] = f"""WITH {RULED}, p AS (SELECT *, lower('From: ' || from_addr || chr(10) || 'Subject: '
-      || subject || chr(10) || 'Body: ' || {_TRIAGE_BODY}) AS t FROM ruled),
+# What the rules say, apart from the mail they are about.
+_RULES = RULED[RULED.index("ruled AS"):]
+ORACLES["stream_triage"] = f"""WITH {_PROMPTED}, {_RULES},
+  p AS (SELECT ruled.*, text, images, lower(prompt) AS t FROM ruled LEFT JOIN prompted USING (id)),
   scored AS (SELECT *, CASE WHEN {_BROKEN} THEN NULL WHEN rule = 'Ads' THEN 'Ignore' WHEN rule IS NOT NULL THEN 'Not Necessary'
       WHEN t LIKE '%verification code%' THEN 'Critical'
       WHEN t LIKE '%ssn%' OR t LIKE '%card%' THEN 'High' WHEN t LIKE '%bearer%' THEN 'Medium' ELSE 'Low' END AS priority FROM p)
   SELECT id, priority, CASE WHEN priority IS NULL THEN 'quarantine' WHEN priority = 'Ignore' THEN 'discard'
       WHEN priority = 'Critical' THEN 'immediate' ELSE 'queue' END AS route,
+    CASE WHEN NOT ({_BROKEN}) THEN md5(text) END AS attached, CASE WHEN NOT ({_BROKEN}) THEN images END AS n_images,
     CASE WHEN priority NOT IN ('Ignore', 'Critical') THEN 1 END AS queued,
-    CASE WHEN priority = 'Critical' THEN '🔴 ' || {sender_name('from_addr')} || ': ' || left(subject, 60) END AS title FROM scored"""
+    CASE WHEN priority = 'Critical' THEN '🔴 ' || {sender_name('from_addr')} || ': ' || left(subject, 60) END AS title FROM scored
+  UNION ALL SELECT id, NULL, 'duplicate', NULL, NULL, NULL, NULL FROM scored WHERE doc_id % 7 = 0 AND NOT ({_BROKEN})"""
 
 ORACLES["stream_deliveries"] = f"""WITH {_PLACED}, {CALL}, delivered AS (SELECT CASE WHEN id % 3 = 0 THEN 'High' ELSE 'Low' END AS priority,
     id % 5 AS chunk, ts, (ts - min(ts) OVER ()) // ((max(ts) OVER () - min(ts) OVER ()) // 3 + 1) AS part, ok FROM call),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import queue, scoring
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sources import push
 from ..sources.tables import STATE
 from ..streaming import dedupe, limits, tables, triage, windows
@@ -17,7 +17,6 @@ from . import fixtures as fx
 from .catalog import SMALL_QUOTA, query
 
 PARTS = 3
-DELAY_MS = 3_600_000
 
 
 def feed_in_parts(
@@ -51,10 +50,6 @@ def to_sink(sink: triage.Sink) -> Callable[[DataFrame], DataStreamWriter]:
     return lambda source: source.writeStream.foreachBatch(sink)
 
 
-def timed(rows: DataFrame, ms: str = "ts") -> DataFrame:
-    return rows.withColumn("at", F.timestamp_millis(ms))
-
-
 @query
 def stream_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Push bodies, decoded; the bad ones left out, each history id once."""
@@ -62,7 +57,7 @@ def stream_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def start(source: DataFrame) -> DataStreamWriter:
         good = push.accepted(push.decode_envelopes(source))
-        fresh = dedupe.new_notifications(timed(good), "at", spread=4)
+        fresh = dedupe.new_notifications(good, spread=4)
         return to_table(fresh.select("account", "history_id"), out)
 
     feed_in_parts(fx.read_view(spark, sf_dir, "fx_push"), "ts", start)
@@ -75,8 +70,7 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "messages")
 
     def start(source: DataFrame) -> DataStreamWriter:
-        fresh = dedupe.new_messages(timed(source, "received_at"), "at")
-        return to_table(fresh.select("message_id"), out)
+        return to_table(dedupe.new_messages(source).select("message_id"), out)
 
     rows = fx.read_view(spark, sf_dir, "fx_feed").where("message_id IS NOT NULL")
     feed_in_parts(rows, "received_at", start)
@@ -85,16 +79,11 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_flush_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrivals per flush, for every flush that the watermark has closed."""
-    out = scratch_path(spark, "grains")
+    """Arrivals per flush, for every flush."""
+    out = scratch_path(spark, "flushes")
     rows = fx.pending(spark, sf_dir).select("priority", "received_at")
-
-    def start(source: DataFrame) -> DataStreamWriter:
-        return to_table(windows.flush_grains(timed(source, "received_at"), "at"), out)
-
-    feed_in_parts(rows, "received_at", start)
-    last = rows.agg(F.max("received_at")).first()[0]
-    return windows.closed_flushes(tables.read_all(spark, out), last - DELAY_MS)
+    feed_in_parts(rows, "received_at", to_sink(windows.count_flushes(out)))
+    return windows.flush_counts(spark, out)
 
 
 @query
@@ -115,23 +104,33 @@ def stream_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message ends in exactly one of discard, immediate, queue and quarantine."""
+    """Every message ends in exactly one of discard, immediate, queue, quarantine and duplicate.
+
+    The readable ones of every seventh document come again, most in a later micro-batch.
+    """
     out = scratch_path(spark, "triage")
     words = {"Critical": ("verification code",), "High": ("ssn", "card"), "Medium": ("bearer",)}
     rows = fx.provider_messages(spark, sf_dir).select(
         "doc_id", "message", F.col("doc_id").alias("received_at")
     )
-    sink = triage.triage(out, scoring.keyword_scorer(words), charset="UTF-8")
-    feed_in_parts(rows, "received_at", to_sink(sink))
+    again = rows.where("doc_id % 7 = 0 AND doc_id % 50 <> 49").withColumn(
+        "received_at", F.col("doc_id") * 2 + 1
+    )
+    store = stage(fx.attachment_store(spark, sf_dir), "store")  # a table, not a view, to every micro-batch
+    sink = triage.triage(out, scoring.keyword_scorer(words), charset="UTF-8", store=store)
+    feed_in_parts(stage(rows.unionByName(again), "mail"), "received_at", to_sink(sink))
     bad = tables.read_all(spark, f"{out}/quarantine").select(
         F.concat(F.lit("msg"), F.col("doc_id").cast("string")).alias("id"),
         F.lit("quarantine").alias("route"),
-        F.lit(None).cast("string").alias("priority"),
     )
-    settled = tables.read_all(spark, f"{out}/settled").select("id", "route", "verdict.priority")
+    twice = tables.read_all(spark, f"{out}/duplicates").select("id", F.lit("duplicate").alias("route"))
+    settled = tables.read_all(spark, f"{out}/settled").select(
+        "id", "route", "verdict.priority", F.md5("attachment_text").alias("attached"), "n_images"
+    )
     queued = tables.read_all(spark, f"{out}/queue").select("id", F.lit(1).alias("queued"))
     urgent = tables.read_all(spark, f"{out}/immediate").select("id", "title")
-    return settled.unionByName(bad).join(queued, "id", "left").join(urgent, "id", "left")
+    told = settled.join(queued, "id", "left").join(urgent, "id", "left")
+    return told.unionByName(bad, allowMissingColumns=True).unionByName(twice, allowMissingColumns=True)
 
 
 @query

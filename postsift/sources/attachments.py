@@ -17,12 +17,15 @@ from ..functions.text import (
     redact,
     trim_text,
 )
-from ..session import stage
+from ..session import scratch_path, stage_at
 
 # Limits per message.
 MAX_BYTES = 1024 * 1024
 MAX_IMAGES = 5
 
+# The attachment store; ``data`` is base64url.
+STORE = "message_id string, attachment_id string, data string"
+
 
 def attachment_leaves(nodes: Column) -> Column:
     """Nodes that can be attachments: not containers, and not the root (it is the body)."""
@@ -97,7 +100,10 @@ def fetch_bytes(parts: DataFrame, store: DataFrame, max_bytes: int = MAX_BYTES)
 
 
 def with_attachments(
-    messages: DataFrame, store: DataFrame, redaction: str = "reference"
+    messages: DataFrame,
+    store: DataFrame,
+    redaction: str = "reference",
+    staged_at: str | None = None,
 ) -> DataFrame:
     """Parsed messages with ``attachment_text`` and ``images`` in place of ``nodes``.
 
@@ -107,11 +113,15 @@ def with_attachments(
     second join is on ``message_id``, so grouping needs no further shuffle. Texts and PDFs
     are cut to what the character budget can take before they are grouped. The messages
     are parsed and written once; the key passes read only the columns they need, and
-    messages without a lookup are never shuffled.
+    messages without a lookup are never shuffled. ``staged_at`` is where they are written, for
+    callers who remove them once they are done with the result.
     """
     leaves = compute_once(messages, _leaves=attachment_leaves(F.col("nodes"))).drop("nodes")
     parts = compute_once(leaves, _parts=attachment_parts(F.col("_leaves"))).drop("_leaves")
-    prepared = stage(parts.withColumn("_wanted", _wanted(F.col("_parts"))), "messages")
+    prepared = stage_at(
+        parts.withColumn("_wanted", _wanted(F.col("_parts"))),
+        staged_at or scratch_path(messages.sparkSession, "messages"),
+    )
     looks_up = F.exists("_wanted", lambda w: w["lookup"].isNotNull())
     wanted = prepared.where(looks_up).select(
         F.col("id").alias("message_id"), F.col("_wanted").alias("wanted")

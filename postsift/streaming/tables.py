@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -18,6 +19,15 @@ def read_all(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id")
 
 
+def read_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows of all earlier micro-batches; a retry sees neither its own nor later ones."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch_id bigint").parquet(path).where(
+        F.col("batch_id") < batch_id
+    ).drop("batch_id")
+
+
 def snapshot_before(spark: SparkSession, path: str, batch_id: int, first: DataFrame) -> DataFrame:
     """The table as it was before this micro-batch: ``first`` before the first one.
 

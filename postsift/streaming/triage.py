@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import queue, routing, rules, scoring, state
+from ..session import remove, scratch_path, stage_at
+from ..sources.attachments import STORE, with_attachments
 from ..sources.messages import parse_messages
 from ..sources.tables import RuleConfig
-from .tables import read_all, read_batch, write_batch
+from .tables import read_all, read_batch, read_before, write_batch
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -21,54 +23,90 @@ def triage(
     config: RuleConfig = RuleConfig(),
     column: str = "message",
     charset: str = "ISO-8859-1",
+    store: DataFrame | None = None,
 ) -> Sink:
     """Raw messages ``(message JSON, received_at)`` to settled mail and its consequences.
 
-    One mail that cannot be read goes to ``quarantine`` and fails nothing else. The
-    settled batch is written first and everything else is derived from what was written,
-    so a scorer that answers differently on a retry cannot split a mail between routes:
-    ``immediate`` notifications, ``queue`` rows, mailbox ``actions``, and the ``log``.
+    Attachments are taken from the messages and from ``store(message_id, attachment_id,
+    data)`` before anything is scored. Every row ends in exactly one of three tables: one
+    that cannot be read in ``quarantine``, one whose id an earlier row has, in this or an
+    earlier micro-batch, in ``duplicates``, and all others in ``settled``. The settled batch
+    is written first and everything else is derived from what was written, so a scorer that
+    answers differently on a retry cannot split a mail between routes: ``immediate``
+    notifications, ``queue`` rows, mailbox ``actions``, the ``log``, and ``alerts`` for what
+    could not be read.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        work = scratch_path(spark, "triage")
+        started = F.lit(_now(spark)).cast("bigint")
+        try:
+            _settle(batch, batch_id, work)
+        finally:
+            remove(spark, work)
+        settled = read_batch(spark, f"{path}/settled", batch_id)
+        urgent = settled.where("route = 'immediate'")
+        write_batch(routing.immediate_notifications(urgent), f"{path}/immediate", batch_id)
+        write_batch(queue.new_rows(settled), f"{path}/queue", batch_id)
+        write_batch(routing.mailbox_actions(settled), f"{path}/actions", batch_id)
+        bad = read_batch(spark, f"{path}/quarantine", batch_id)
+        finished = F.lit(_now(spark)).cast("bigint")
+        done = settled.select("id", "verdict", F.lit(None).cast("string").alias("error")).unionByName(
+            bad.select("id", F.col("reject_reason").alias("error")), allowMissingColumns=True
+        )
+        timed = done.withColumns({"finished_at": finished, "duration_ms": finished - started})
+        write_batch(routing.processing_log(timed), f"{path}/log", batch_id)
+        alerts = routing.failure_alerts(bad.select("id", F.col("reject_reason").alias("error")))
+        write_batch(alerts, f"{path}/alerts", batch_id)
+
+    def _settle(batch: DataFrame, batch_id: int, work: str) -> None:
+        spark = batch.sparkSession
+        stored = spark.createDataFrame([], STORE) if store is None else store
         read = parse_messages(batch, column, charset)
-        write_batch(read, f"{path}/parsed", batch_id)
-        read = read_batch(spark, f"{path}/parsed", batch_id)
+        read = with_attachments(read, stored, staged_at=f"{work}/parsed")
+        read = stage_at(read.withColumn("_row", F.monotonically_increasing_id()), f"{work}/read")
         bad = read.where("reject_reason IS NOT NULL").select(*_kept(batch, column), "id", "reject_reason")
         write_batch(bad, f"{path}/quarantine", batch_id)
 
-        mail = (
-            read.where("reject_reason IS NULL")
-            .drop("reject_reason", "nodes")
-            .withColumn("attachment_text", F.lit(""))
-            .withColumn("images", F.array().cast("array<string>"))
-        )
+        good = read.where("reject_reason IS NULL").drop("reject_reason")
+        repeats = stage_at(_repeats(good, batch_id), f"{work}/repeats")
+        write_batch(repeats.select("id", "received_at"), f"{path}/duplicates", batch_id)
+        mail = good.join(repeats.select("_row"), "_row", "left_anti").drop("_row")
         settled = scoring.classify(rules.apply_rules(mail, config), scorer)
         write_batch(
             routing.add_route(settled).select(
-                "id", "from_addr", "subject", "received_at", "verdict", "route"
+                "id",
+                "from_addr",
+                "subject",
+                "attachment_text",
+                F.size("images").alias("n_images"),
+                "received_at",
+                "verdict",
+                "route",
             ),
             f"{path}/settled",
             batch_id,
         )
-        settled = read_batch(spark, f"{path}/settled", batch_id)
-        urgent = settled.where("route = 'immediate'")
-        write_batch(routing.immediate_notifications(urgent), f"{path}/immediate", batch_id)
-        write_batch(queue.new_rows(settled), f"{path}/queue", batch_id)
-        write_batch(routing.mailbox_actions(settled), f"{path}/actions", batch_id)
-        done = settled.select(
-            "id",
-            "verdict",
-            F.col("received_at").alias("finished_at"),
-            F.lit(0).cast("bigint").alias("duration_ms"),
-            F.lit(None).cast("string").alias("error"),
-        )
-        write_batch(routing.processing_log(done), f"{path}/log", batch_id)
+
+    def _repeats(good: DataFrame, batch_id: int) -> DataFrame:
+        """Rows whose id has an earlier row here or in an earlier micro-batch; keys move alone.
+
+        The join with ``settled`` reads its ids only; ``settled`` keeps what must not come again.
+        """
+        rows = good.select("id", "received_at", "_row")
+        known = read_before(good.sparkSession, f"{path}/settled", batch_id, "id string")
+        first = rows.groupBy("id").agg(F.min(F.struct("received_at", "_row"))["_row"].alias("_row"))
+        fresh = first.join(known, "id", "left_anti").select("_row")
+        return rows.join(fresh, "_row", "left_anti")
 
     return run
 
 
+def _now(spark: SparkSession) -> int:
+    return spark.range(1).select(F.unix_millis(F.current_timestamp())).first()[0]
+
+
 def _kept(batch: DataFrame, column: str) -> list[str]:
     return [c for c in batch.columns if c not in (column, "id")]
 

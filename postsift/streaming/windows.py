@@ -2,37 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from ..operators.queue import FLUSH_SCHEDULE, tick_end, tick_of
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# All flush periods and phases are multiples of this one.
-GRAIN = "30 minutes"
-assert all(period % 1_800_000 == 0 and phase % 1_800_000 == 0 for period, phase in FLUSH_SCHEDULE.values())
+from ..operators.queue import tick_end, tick_of
+from .tables import read_all, read_before, write_batch
 
 
-def flush_grains(queue: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Counts per priority and half hour, each with the flush it belongs to.
+def count_flushes(path: str) -> Callable[[DataFrame, int], None]:
+    """Count the queue rows ``(priority, received_at)`` of each micro-batch per flush.
 
-    Every flush window is a whole number of half hours, so one windowed aggregation over
-    one read of the source serves all four schedules; a window() per priority would read
-    the source four times and keep four states.
+    One read serves all four schedules, and no row is dropped for being late: a row that
+    comes when its flush is over, by the latest arrival of earlier micro-batches, goes with
+    the first flush that is not, and counts in ``n_late``. Each micro-batch writes its own
+    sums, one row per priority and flush, which ``flush_counts`` adds up.
     """
-    grains = (
-        queue.withWatermark(ts, delay)
-        .groupBy("priority", F.window(ts, GRAIN).alias("grain"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    start = F.unix_millis("grain.start")
-    flush_at = tick_end(F.col("priority"), tick_of(F.col("priority"), start))
-    return grains.select("priority", flush_at.alias("flush_at"), "n").where("flush_at IS NOT NULL")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        clock = f"{path}/clock"
+        before = read_before(batch.sparkSession, clock, batch_id, "at bigint")
+        now = before.agg(F.max("at")).first()[0]
+        write_batch(batch.agg(F.max("received_at").alias("at")), clock, batch_id)
+
+        due = _flush_after(F.col("received_at"))
+        late = F.lit(False) if now is None else due <= now
+        sent = F.when(late, _flush_after(F.lit(now).cast("bigint"))).otherwise(due)
+        counts = (
+            batch.select("priority", sent.alias("flush_at"), late.alias("late"))
+            .where("flush_at IS NOT NULL")
+            .groupBy("priority", "flush_at")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"))
+        )
+        write_batch(counts, f"{path}/counts", batch_id)
+
+    return run
+
+
+def _flush_after(at):
+    return tick_end(F.col("priority"), tick_of(F.col("priority"), at))
 
 
-def closed_flushes(grains: DataFrame, watermark_ms: int) -> DataFrame:
-    """Arrivals per flush, from emitted grains, for flushes the watermark has passed."""
+def flush_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``(priority, flush_at, n, n_late)`` over all micro-batches, open flushes included."""
     return (
-        grains.where(F.col("flush_at") <= watermark_ms)
+        read_all(spark, f"{path}/counts")
         .groupBy("priority", "flush_at")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.sum("n_late").alias("n_late"))
     )

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from postsift.operators import queue, scoring
+from postsift.sources.attachments import STORE
 from postsift.sources.tables import PENDING, STATE
 from postsift.streaming import dedupe, limits, tables, triage, windows
 from test_limits import history, outcomes, simulate
@@ -46,14 +48,28 @@ def test_dedupe(spark, tmp_path, spread):
     batches = [
         [("a", "1", at(0)), ("a", "1", at(1)), ("b", "1", at(0))],
         [("a", "1", at(30)), ("a", "2", at(30)), ("c", "9", at(100))],
-        [("a", "3", at(20)), ("a", "1", at(101)), ("a", "1", at(102))],
+        [("a", "3", at(-900)), ("a", "1", at(101)), ("a", "1", at(102))],
         [("d", "1", at(103))],
     ]
     out = f"{tmp_path}/out"
     feed.run(batches, lambda: dedupe.new_notifications(feed.source(), spread=spread).writeStream.foreachBatch(collect_to(out)))
     got = sorted((r.account, r.history_id) for r in tables.read_all(spark, out).collect())
-    # ("a", "3") is later than the watermark allows; ("a", "1") is new again after 48 hours.
-    assert got == [("a", "1"), ("a", "1"), ("a", "2"), ("b", "1"), ("c", "9"), ("d", "1")]
+    # Memory is by processing time: ("a", "3"), however old, is new, and ("a", "1") still known.
+    assert got == [("a", "1"), ("a", "2"), ("a", "3"), ("b", "1"), ("c", "9"), ("d", "1")]
+
+
+def test_dedupe_forgets(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "account string, history_id string")
+    out = f"{tmp_path}/out"
+
+    def writer():
+        fresh = dedupe.new_notifications(feed.source(), memory="1 second")
+        return fresh.writeStream.foreachBatch(collect_to(out))
+
+    for row in [("a", "1"), ("b", "1"), ("c", "1"), ("a", "1")]:
+        feed.run([[row]], writer)
+        time.sleep(2.5)
+    assert tables.read_all(spark, out).where("account = 'a'").count() == 2
 
 
 def test_dedupe_without_the_account(spark, tmp_path):
@@ -67,19 +83,30 @@ def test_dedupe_without_the_account(spark, tmp_path):
 
 
 def test_flush_windows_equal_the_batch_twin(spark, tmp_path):
-    feed = Feed(spark, tmp_path, "priority string, received_at bigint, ts timestamp")
+    feed = Feed(spark, tmp_path, "priority string, received_at bigint")
     names = ["High", "Medium", "Low", "Not Necessary", "Critical"]
-    every = [
-        (names[i % 5], int(at(i / 7).timestamp() * 1000), at(i / 7)) for i in range(900)
-    ]
+    every = [(names[i % 5], int(at(i / 7).timestamp() * 1000)) for i in range(900)]
+    out = f"{tmp_path}/out"
+    sink = windows.count_flushes(out)
     batches = [every[:300], every[300:600], every[600:]]
+    feed.run(batches, lambda: feed.source().writeStream.foreachBatch(sink))
+    batch = queue.flush_windows(spark.createDataFrame(every, feed.schema)).withColumn("n_late", F.lit(0))
+    want = rows(batch, "priority", "flush_at")
+    assert rows(windows.flush_counts(spark, out), "priority", "flush_at") == want
+    sink(spark.createDataFrame(every[300:600], feed.schema), 1)  # a retry
+    assert rows(windows.flush_counts(spark, out), "priority", "flush_at") == want
+
+
+def test_late_queue_rows_go_with_the_next_flush(spark, tmp_path):
+    def ms(hours):
+        return int(at(hours).timestamp() * 1000)
+
+    feed = Feed(spark, tmp_path, "priority string, received_at bigint")
     out = f"{tmp_path}/out"
-    feed.run(batches, lambda: windows.flush_grains(feed.source()).writeStream.foreachBatch(collect_to(out)))
-    mark = every[-1][1] - 3_600_000
-    got = windows.closed_flushes(tables.read_all(spark, out), mark)
-    batch = queue.flush_windows(spark.createDataFrame(every, feed.schema)).where(F.col("flush_at") <= mark)
-    assert rows(got, "priority", "flush_at") == rows(batch, "priority", "flush_at")
-    assert {r.priority for r in got.collect()} == set(names[:4])
+    batches = [[("Medium", ms(0)), ("Medium", ms(5.5))], [("Medium", ms(1)), ("Medium", ms(5.2))]]
+    feed.run(batches, lambda: feed.source().writeStream.foreachBatch(windows.count_flushes(out)))
+    got = rows(windows.flush_counts(spark, out), "flush_at")
+    assert got == [("Medium", ms(1), 1, 0), ("Medium", ms(6), 3, 1)]
 
 
 def test_limits_stream(spark, tmp_path):
@@ -104,29 +131,59 @@ def test_cursor_stream(spark, tmp_path):
     assert [(k[-1], v) for k, v, _ in got] == [("a", "9"), ("b", "5"), ("z", "0")]
 
 
-def test_triage_stream(spark, tmp_path):
-    def mail(mid, subject, labels=()):
-        payload = {"mimeType": "text/plain", "body": {"size": 0}, "headers": [{"name": "Subject", "value": subject}]}
-        return json.dumps({"id": mid, "threadId": "t", "snippet": "s", "labelIds": list(labels), "payload": payload})
+def mail(mid, subject, labels=(), parts=None):
+    payload = {"mimeType": "text/plain", "body": {"size": 0}, "headers": [{"name": "Subject", "value": subject}]}
+    if parts is not None:
+        payload |= {"mimeType": "multipart/mixed", "parts": parts}
+    return json.dumps({"id": mid, "threadId": "t", "snippet": "s", "labelIds": list(labels), "payload": payload})
+
 
+def test_triage_stream(spark, tmp_path):
     feed = Feed(spark, tmp_path, "message string, received_at bigint")
     out = f"{tmp_path}/out"
     sink = triage.triage(out, scoring.keyword_scorer({"Critical": ("urgent",)}))
     batches = [
-        [(mail("m1", "Urgent!"), 1), ("{broken", 2), (mail("m2", "sale", ["SPAM"]), 3)],
-        [(mail("m3", "lunch"), 4)],
+        [(mail("m1", "Urgent!"), 1), ("{broken", 2), (mail("m2", "sale", ["SPAM"]), 3), (mail("m1", "Urgent!"), 9)],
+        [(mail("m3", "lunch"), 4), (mail("m1", "Urgent!"), 1), (mail("m3", "lunch"), 4)],
     ]
     feed.run(batches, lambda: feed.source().writeStream.foreachBatch(sink))
 
     def read(name, *columns):
         return rows(tables.read_all(spark, f"{out}/{name}").select(*columns))
 
-    assert read("quarantine", "received_at", "reject_reason") == [(2, "bad_message")]
-    assert sorted(read("settled", "id", "route")) == [("m1", "immediate"), ("m2", "discard"), ("m3", "queue")]
-    assert read("queue", "id", "priority") == [("m3", "Low")]
-    assert read("immediate", "id", "priority") == [("m1", 5)]
-    assert sorted(read("actions", "id", "remove_labels")) == [("m1", []), ("m3", ["UNREAD"])]
-    assert len(read("log", "line")) == 3
+    def check():
+        assert read("quarantine", "received_at", "reject_reason") == [(2, "bad_message")]
+        assert sorted(read("duplicates", "id", "received_at")) == [("m1", 1), ("m1", 9), ("m3", 4)]
+        assert sorted(read("settled", "id", "route")) == [("m1", "immediate"), ("m2", "discard"), ("m3", "queue")]
+        assert read("queue", "id", "priority") == [("m3", "Low")]
+        assert read("immediate", "id", "priority") == [("m1", 5)]
+        assert sorted(read("actions", "id", "remove_labels")) == [("m1", []), ("m3", ["UNREAD"])]
+        assert read("alerts", "message") == [("[SYSTEM] bad_message",)]
+        lines = [json.loads(line) for (line,) in read("log", "line")]
+        assert sorted((x["event"], x.get("error")) for x in lines) == [
+            ("email.process_error", "bad_message"),
+            *[("email.processed", None)] * 3,
+        ]
+        assert all(x["durationMs"] >= 0 for x in lines if "error" not in x)
+
+    check()
+    sink(spark.createDataFrame(batches[1], feed.schema), 1)  # a retry
+    check()
+
+
+def test_triage_stream_reads_attachments(spark, tmp_path):
+    import base64
+
+    def coded(text):
+        return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
+
+    note = {"mimeType": "text/plain", "filename": "a.txt", "body": {"size": 9, "attachmentId": "n"}}
+    image = {"mimeType": "image/png", "body": {"size": 3, "data": coded("png")}}
+    store = spark.createDataFrame([("m1", "n", coded("please read: urgent"))], STORE)
+    sink = triage.triage(f"{tmp_path}/out", scoring.keyword_scorer({"Critical": ("urgent",)}), store=store)
+    sink(spark.createDataFrame([(mail("m1", "hello", parts=[note, image]), 1)], "message string, received_at bigint"), 0)
+    got = tables.read_all(spark, f"{tmp_path}/out/settled").select("attachment_text", "n_images", "route")
+    assert rows(got) == [("please read: urgent", 1, "immediate")]
 
 
 def test_delivery_stream(spark, tmp_path):
