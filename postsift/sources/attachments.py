@@ -23,6 +23,9 @@ from ..session import scratch_path, stage_at
 MAX_BYTES = 1024 * 1024
 MAX_IMAGES = 5
 
+# Lookups are broadcast to the store up to this number (about 100 MB), and shuffled beyond it.
+MOST_BROADCAST = 1_000_000
+
 # The attachment store; ``data`` is base64url.
 STORE = "message_id string, attachment_id string, data string"
 
@@ -107,11 +110,11 @@ def with_attachments(
 ) -> DataFrame:
     """Parsed messages with ``attachment_text`` and ``images`` in place of ``nodes``.
 
-    ``store(message_id, attachment_id, data base64url)``. The bytes are shuffled once and
-    only for parts that will be used: a first join moves keys alone and tells which
-    lookups succeed, images are cut to the first five usable ones per message, and the
-    second join is on ``message_id``, so grouping needs no further shuffle. Texts and PDFs
-    are cut to what the character budget can take before they are grouped. The messages
+    ``store(message_id, attachment_id, data base64url)``. Bytes are shuffled once: a first
+    join moves keys alone and tells which lookups succeed, and images are cut to the first
+    five usable ones per message. Up to MOST_BROADCAST lookups go to the store, so that only
+    bytes that are used are shuffled, texts and PDFs cut before. With more, the store goes to
+    the messages by ``message_id``, and grouping needs no further shuffle of bytes. The messages
     are parsed and written once; the key passes read only the columns they need, and
     messages without a lookup are never shuffled. ``staged_at`` is where they are written, for
     callers who remove them once they are done with the result.
@@ -126,7 +129,12 @@ def with_attachments(
     wanted = prepared.where(looks_up).select(
         F.col("id").alias("message_id"), F.col("_wanted").alias("wanted")
     )
-    fetched = _fetch(_chosen(wanted, store), store, redaction)
+    lookups = wanted.agg(F.sum(F.size(F.array_compact("wanted.lookup")))).first()[0] or 0
+    chosen = _chosen(wanted, store)
+    if lookups <= MOST_BROADCAST:
+        fetched = _fetch_few(chosen, store, redaction)
+    else:
+        fetched = _fetch_many(chosen, store, redaction)
     nothing = F.lit(None).cast(fetched.schema["_fetched"].dataType)
     joined = (
         prepared.where(looks_up)
@@ -171,37 +179,79 @@ def _chosen(wanted: DataFrame, store: DataFrame) -> DataFrame:
     return wanted.join(present, "message_id").select("message_id", kept.alias("chosen"))
 
 
-def _fetch(chosen: DataFrame, store: DataFrame, redaction: str) -> DataFrame:
-    """``(id, _fetched)``: image bytes, cut texts and PDF text objects per message."""
+KINDS = ("image", "text", "pdf")
+
 
-    def as_kind(kind: str) -> Column:
-        return F.exists(
+def _kinds() -> list[Column]:
+    """What an attachment serves as; parts of different types may share one."""
+    return [
+        F.exists(
             "chosen", lambda c: (c["lookup"] == F.col("attachment_id")) & (c["kind"] == kind)
-        )
+        ).alias(kind)
+        for kind in KINDS
+    ]
 
-    rows = (
-        chosen.join(store.select("message_id", "attachment_id", "data"), "message_id")
-        .where(F.array_contains(F.transform("chosen", lambda c: c["lookup"]), F.col("attachment_id")))
-        .select(
-            "message_id",
-            "attachment_id",
-            *[as_kind(kind).alias(kind) for kind in ("image", "text", "pdf")],
-            decode_base64url(F.col("data")).alias("bytes"),
-        )
-        .where(F.col("bytes").isNotNull())
-    )
-    read = rows.withColumn("_objects", pdf_objects(F.when(F.col("pdf"), F.col("bytes"))))
-    content = F.struct(
+
+def _decoded(rows: DataFrame) -> DataFrame:
+    decoded = rows.withColumn("bytes", decode_base64url(F.col("data"))).drop("data")
+    return decoded.where(F.col("bytes").isNotNull())
+
+
+def _content(redaction: str, *more: Column) -> Column:
+    return F.struct(
         "attachment_id",
         F.when(F.col("image"), F.col("bytes")).alias("bytes"),
         F.when(F.col("text"), clean_text(F.col("bytes"), redaction)).alias("text"),
-        F.col("_objects").alias("objects"),
+        *more,
     )
+
+
+def _pdf_objects() -> Column:
+    return pdf_objects(F.when(F.col("pdf"), F.col("bytes")))
+
+
+def _fetch_few(chosen: DataFrame, store: DataFrame, redaction: str) -> DataFrame:
+    """``(id, _fetched)``: image bytes, cut texts and PDF text objects per message."""
+    lookups = F.array_distinct(F.transform("chosen", lambda c: c["lookup"]))
+    keys = chosen.select("message_id", "chosen", F.explode(lookups).alias("attachment_id"))
+    keys = keys.select("message_id", "attachment_id", *_kinds())
+    found = store.select("message_id", "attachment_id", "data").join(
+        F.broadcast(keys), ["message_id", "attachment_id"]
+    )
+    read = _decoded(found).withColumn("_objects", _pdf_objects())
+    content = _content(redaction, F.col("_objects").alias("objects"))
     return read.groupBy(F.col("message_id").alias("id")).agg(
         F.collect_list(content).alias("_fetched")
     )
 
 
+def _fetch_many(chosen: DataFrame, store: DataFrame, redaction: str) -> DataFrame:
+    """The same for any number of lookups.
+
+    PDFs are read on a branch of their own: Python in between would hide from the grouping
+    how the join has dealt the rows, and shuffle all bytes again.
+    """
+    joined = chosen.join(store.select("message_id", "attachment_id", "data"), "message_id")
+    used = F.array_contains(F.transform("chosen", lambda c: c["lookup"]), F.col("attachment_id"))
+    rows = _decoded(joined.where(used).select("message_id", "attachment_id", "data", *_kinds()))
+    by_message = F.col("message_id").alias("id")
+    plain = rows.groupBy(by_message).agg(F.collect_list(_content(redaction)).alias("_plain"))
+    objects = F.struct("attachment_id", F.col("_objects").alias("objects"))
+    pdfs = (
+        rows.where("pdf")
+        .withColumn("_objects", _pdf_objects())
+        .groupBy(by_message)
+        .agg(F.collect_list(objects).alias("_pdfs"))
+    )
+
+    def with_objects(p: Column) -> Column:
+        own = F.filter("_pdfs", lambda o: o["attachment_id"] == p["attachment_id"])
+        return p.withField("objects", F.try_element_at(own, F.lit(1))["objects"])
+
+    fetched = F.transform("_plain", with_objects).alias("_fetched")
+    return plain.join(pdfs, "id", "left").select("id", fetched)
+
+
 def clean_text(data: Column, redaction: str = "reference") -> Column:
     """A text attachment, redacted, trimmed and cut."""
     text = trim_text(redact(bytes_as_utf8(data), redaction))

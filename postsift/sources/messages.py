@@ -112,26 +112,60 @@ def is_deeper(part: Column, depth: int) -> Column:
     )
 
 
+class _Number(str):
+    """A JSON number as it is written."""
+
+
+def _json(value: object) -> str:
+    if isinstance(value, _Number):
+        return value
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_json(k)}:{_json(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+# How ``from_json`` reads a value that is not of the field's type.
+def _string(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else _json(value)
+
+
+def _long(value: object) -> int | None:
+    whole = isinstance(value, _Number) and value.lstrip("-").isdigit()
+    return int(value) if whole and -(1 << 63) <= int(value) < 1 << 63 else None
+
+
+def _object(value: object) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
+def _objects(value: object) -> list[dict] | None:
+    if not isinstance(value, list) or not all(v is None or isinstance(v, dict) for v in value):
+        return None
+    return [_object(v) for v in value]
+
+
 def _walk(payload: dict) -> list[dict]:
-    """Nodes of one deep tree, without recursion."""
+    """Nodes of one deep tree, without recursion, as the typed levels would give them."""
     nodes, todo = [], [((), payload)]
     while todo:
         path, part = todo.pop()
-        body, parts = part.get("body") or {}, part.get("parts")
+        body, parts = _object(part.get("body")), _objects(part.get("parts"))
         cids = [
-            h.get("value")
-            for h in part.get("headers") or []
-            if str(h.get("name") or "").lower() == "content-id"
+            _string(h.get("value"))
+            for h in _objects(part.get("headers")) or []
+            if (_string(h.get("name")) or "").lower() == "content-id"
         ]
         nodes.append(
             {
                 "path": list(path),
-                "mime": part.get("mimeType"),
-                "filename": part.get("filename"),
+                "mime": _string(part.get("mimeType")),
+                "filename": _string(part.get("filename")),
                 "content_id": (cids[0] if cids else None) or None,
-                "data": body.get("data") or None,
-                "size": body.get("size"),
-                "attachment_id": body.get("attachmentId") or None,
+                "data": _string(body.get("data")) or None,
+                "size": _long(body.get("size")),
+                "attachment_id": _string(body.get("attachmentId")) or None,
                 "is_container": parts is not None,
             }
         )
@@ -140,15 +174,30 @@ def _walk(payload: dict) -> list[dict]:
     return nodes
 
 
+def _nodes_of(message: str | None) -> list[dict] | None:
+    """Nodes of a message, or None if it cannot be read; that costs its row, never the batch."""
+    if message is None:
+        return None
+    try:
+        return _walk(_object(json.loads(message, parse_int=_Number, parse_float=_Number))["payload"])
+    except (ValueError, KeyError, AttributeError, RecursionError):
+        return None
+
+
 def complete_nodes(flat: DataFrame, raw: str) -> DataFrame:
-    """Rebuild the nodes of the few trees that are deeper than the typed levels."""
+    """Rebuild the nodes of the few trees that are deeper than the typed levels.
+
+    ``_lost`` marks those that cannot be read; they have no nodes.
+    """
 
     @F.pandas_udf(f"array<{NODE}>")
     def walk(messages: pd.Series) -> pd.Series:
-        return messages.map(lambda m: None if m is None else _walk(json.loads(m)["payload"]))
+        return messages.map(_nodes_of)
 
     walked = flat.withColumn("_walked", walk(F.when(F.col("_deeper"), F.col(raw))))
-    return compute_once(walked, nodes=F.coalesce("_walked", "nodes")).drop("_walked")
+    nodes = F.when(F.col("_deeper"), F.coalesce("_walked", F.array())).otherwise(F.col("nodes"))
+    lost = F.col("_deeper") & F.col("_walked").isNull()
+    return compute_once(walked, nodes=nodes, _lost=lost).drop("_walked")
 
 
 def _is_text(node: Column) -> Column:
@@ -210,8 +259,7 @@ def parse_messages(
         _deeper=is_deeper(payload, depth),
         _named=named_headers(payload["headers"]),
     )
-    if deep_trees:
-        flat = complete_nodes(flat, column)
+    flat = complete_nodes(flat, column) if deep_trees else flat.withColumn("_lost", F.lit(False))
     too_deep = F.lit(False) if deep_trees else F.col("_deeper")
     paths = compute_once(flat, _paths=text_paths(F.col("nodes")))
     read = compute_once(
@@ -220,7 +268,7 @@ def parse_messages(
         _body=body_text(F.col("nodes"), F.col("_paths"), charset),
     )
     reason = (
-        F.when(F.col("_message.id").isNull() | payload.isNull(), "bad_message")
+        F.when(F.col("_message.id").isNull() | payload.isNull() | F.col("_lost"), "bad_message")
         .when(too_deep, "too_deep")
         .when(F.col("_body").isNull(), "bad_body")
     )

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -103,6 +104,36 @@ def test_trees_of_any_depth(spark):
     assert parse(spark, message(deep(7)), deep_trees=False).first().reject_reason == "too_deep"
 
 
+def odd(levels):
+    """A tree whose fields, some levels down, are of other types than they should be."""
+    inner = [
+        None,
+        {"mimeType": "image/png", "filename": 12, "body": {"size": "9", "data": b64("i")}, "headers": 7},
+        {"mimeType": True, "filename": {"a": [1.50, None]}, "body": "x", "parts": "y"},
+        {"body": {"size": 3.5, "attachmentId": 1e3}, "headers": [None, {"name": "Content-ID", "value": 5}]},
+        {"parts": [5]},
+        {"mimeType": "text/plain", "body": {"size": 6, "data": b64("bottom")}},
+    ]
+    tree = part("multipart/mixed", parts=inner)
+    for _ in range(levels - 1):
+        tree = part("multipart/mixed", parts=[tree])
+    return message(tree)
+
+
+def test_odd_deep_trees_are_read_like_shallow_ones(spark):
+    typed = parse(spark, odd(9), depth=10).first()
+    walked = parse(spark, odd(9)).first()
+    assert walked.nodes == typed.nodes
+    assert (walked.body_text, walked.reject_reason) == ("bottom", None)
+    shallow = parse(spark, odd(2)).first()
+    assert [n[1:] for n in shallow.nodes[-6:]] == [n[1:] for n in walked.nodes[-6:]]
+
+
+def test_an_unreadable_tree_costs_its_own_row(spark):
+    assert messages._nodes_of('{"payload": ' + '{"parts": [' * 100_000) is None
+    assert messages._nodes_of('{"id": "m"}') is None and messages._nodes_of("[]") is None
+
+
 def test_mime_rows(spark):
     payload = part("multipart/mixed", parts=[part("Text/HTML; x", "<p>", cid=""), part("image/png", "i", cid="c")])
     got = messages.mime_parts(parse(spark, message(payload)))
@@ -184,6 +215,36 @@ def test_pdf_blocks_stop_at_the_budget(spark):
     assert row.attachment_text == "one two three"
 
 
+def test_many_lookups_are_fetched_as_few_are(spark, tmp_path, monkeypatch):
+    one = [part("image/png", attachment="s"), part("application/pdf", attachment="s"), part("text/plain", attachment="t", filename="t")]
+    mails = [message(mixed(*one)).replace('"m1"', f'"m{i}"') for i in range(6)]
+    raw = spark.createDataFrame([(m,) for m in mails], "message string")
+    kept = [(f"m{i}", name, b64(f"BT ({name} {i}) ET")) for i in range(5) for name in "stu"]
+    spark.createDataFrame(kept, attachments.STORE).write.parquet(f"{tmp_path}/store")
+    store = spark.read.parquet(f"{tmp_path}/store")
+
+    def run():
+        return attachments.with_attachments(messages.parse_messages(raw), store).select("id", "attachment_text", "images")
+
+    few = rows(run(), "id")
+    assert few[0][1] == "s 0\nBT (t 0) ET" and len(few[0][2]) == 1 and few[5][1:] == ("", [])
+    monkeypatch.setattr(attachments, "MOST_BROADCAST", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = run()
+        assert rows(many, "id") == few
+        many.collect()
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        text = many._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    final = text[: text.index("== Initial Plan ==")]
+    ids = set(re.findall(r"(?<!Reused)Exchange \((\d+)\)", final))
+    moved = [i for i, given in re.findall(r"\((\d+)\) Exchange\nInput \[\d+\]: \[(.*)\]", text) if i in ids and "data#" in given]
+    assert len(moved) == 1
+
+
 def test_fetch_bytes(spark):
     parts = spark.createDataFrame(
         [("m", "a", 5, None), ("m", "b", 1048577, None), ("m", None, 1, b64("in")), ("m", "zz", 1, None), ("n", "a", None, None)],
