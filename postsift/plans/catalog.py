@@ -23,8 +23,8 @@ from ..functions.text import (
 )
 from ..operators import accounts as acc
 from ..operators import digest, labels, limits, queue, ranking, routing, rules, scoring, state, stats
-from ..session import configure
-from ..sources import attachments, feed, messages, push
+from ..session import configure, scratch_path
+from ..sources import attachments, feed, messages, push, tables
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,7 +137,8 @@ def mailbox_actions(spark, sf_dir):
 
 
 def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    error = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("bad: "), F.col("body")))
+    what = F.concat(F.lit("bad: "), F.repeat(F.concat(F.lit("part of "), "id", F.lit("; ")), F.lit(30)))
+    error = F.when(F.col("doc_id") % 9 == 0, what)
     return _settled(spark, sf_dir).select(
         "id",
         "verdict",
@@ -503,10 +504,9 @@ def limited_calls(spark, sf_dir):
 @query
 def queue_inserts(spark, sf_dir):
     """New mail, some with an id the queue knows, and every id twice."""
-    settled = _settled(spark, sf_dir).withColumn("id", F.expr("'e' || doc_id"))
+    settled = _settled(spark, sf_dir).withColumn("id", F.expr("'e' || doc_id * 20"))
     twice = settled.unionByName(settled.withColumn("received_at", F.col("received_at") + 1))
-    old = fx.pending(spark, sf_dir).where("sent_at IS NOT NULL")
-    return queue.enqueue(old, twice)
+    return queue.enqueue(fx.pending(spark, sf_dir), twice)
 
 
 @query
@@ -686,7 +686,33 @@ def processed_counts(spark, sf_dir):
 
 @query
 def pending_counts(spark, sf_dir):
-    return stats.pending_counts(fx.pending(spark, sf_dir).where("priority <> 'Low'"))
+    """Unsent rows per priority; rows of Low count as Medium here, so that one queue is empty."""
+    moved = F.when(F.col("priority") == "Low", "Medium").otherwise(F.col("priority"))
+    return stats.pending_counts(fx.pending(spark, sf_dir).withColumn("priority", moved))
+
+
+@query
+def stored_queue(spark, sf_dir):
+    """The queue, written as a table and read with its stated schema."""
+    path = scratch_path(spark, "tables")
+    fx.pending(spark, sf_dir).write.parquet(path)
+    return tables.read_table(spark, path, "pending_emails")
+
+
+@query
+def configured_rules(spark, sf_dir):
+    """Rule verdicts under a rules file with an entry for each of the customers' 20 groups."""
+    path = scratch_path(spark, "rules")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    entry = F.expr(
+        "CASE WHEN c_custkey % 20 < 10 THEN '@example' || c_custkey % 20 || '.com' "
+        "ELSE 'user' || c_custkey % 20 || '@plain.example' END"
+    )
+    customers.agg(
+        F.array_sort(F.collect_set(entry)).alias("allowlist"), F.array(F.lit("SPAM")).alias("ignoreLabels")
+    ).write.json(path)
+    config = tables.read_rules(spark, path)
+    return rules.apply_rules(fx.mail(spark, sf_dir), config).select("id", "verdict.priority", "verdict.label")
 
 
 @query

@@ -141,9 +141,9 @@ ORACLES["processing_log"] = f"""WITH {SETTLED}, done AS (SELECT *, doc_id % 9 =
     id AS message_id, CASE WHEN NOT failed THEN priority END AS priority,
     CASE WHEN NOT failed THEN label END AS label, CASE WHEN NOT failed THEN method END AS method,
     CASE WHEN NOT failed THEN doc_id % 77 END AS duration_ms,
-    CASE WHEN failed THEN 'bad: ' || body END AS error FROM done"""
+    CASE WHEN failed THEN 'bad: ' || repeat('part of ' || id || '; ', 30) END AS error FROM done"""
 
-ORACLES["failure_alerts"] = f"""WITH {MAIL} SELECT id, '[SYSTEM] ' || left('bad: ' || body, 280) AS message,
+ORACLES["failure_alerts"] = f"""WITH {MAIL} SELECT id, '[SYSTEM] ' || left('bad: ' || repeat('part of ' || id || '; ', 30), 280) AS message,
     5 AS priority, 'rotating_light' AS tags FROM mail WHERE doc_id % 9 = 0"""
 
 ORACLES["sender_fields"] = f"""WITH {MAIL} SELECT id, {sender_address('from_addr')} AS address,
@@ -372,10 +372,10 @@ ORACLES["limited_verdicts"] = f"""WITH {_DUE}, {_folded(20, 7_200_000, 'due', "'
 
 # --- queue ---
 
-ORACLES["queue_inserts"] = f"""WITH {SETTLED}, {PENDING}, old AS (SELECT * FROM pending WHERE sent_at IS NOT NULL)
-  SELECT id, from_addr, subject, summary, priority, received_at, sent_at FROM old
-  UNION ALL SELECT 'e' || doc_id, from_addr, subject, summary, priority, received_at, NULL FROM settled
-  WHERE priority NOT IN ('Critical', 'Ignore') AND 'e' || doc_id NOT IN (SELECT id FROM old)"""
+ORACLES["queue_inserts"] = f"""WITH {SETTLED}, {PENDING}
+  SELECT id, from_addr, subject, summary, priority, received_at, sent_at FROM pending
+  UNION ALL SELECT 'e' || doc_id * 20, from_addr, subject, summary, priority, received_at, NULL FROM settled
+  WHERE priority NOT IN ('Critical', 'Ignore') AND 'e' || doc_id * 20 NOT IN (SELECT id FROM pending)"""
 
 _PLACED = f"""{PENDING}, placed AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY received_at, id) AS pos
     FROM pending WHERE sent_at IS NULL)"""
@@ -479,7 +479,16 @@ ORACLES["processed_counts"] = f"""WITH {FEED}, {_SEEN} SELECT count(*) FILTER (W
     count(*) FILTER (WHERE processed_at > epoch_ms(TIMESTAMP '2024-01-01')) AS processed_month FROM seen"""
 ORACLES["pending_counts"] = f"""WITH {PENDING} SELECT p.priority, count(pending.id) AS n
   FROM (VALUES ('High'), ('Medium'), ('Low'), ('Not Necessary')) p(priority)
-  LEFT JOIN pending ON pending.priority = p.priority AND sent_at IS NULL AND p.priority <> 'Low' GROUP BY p.priority"""
+  LEFT JOIN pending ON CASE pending.priority WHEN 'Low' THEN 'Medium' ELSE pending.priority END = p.priority
+    AND sent_at IS NULL GROUP BY p.priority"""
+ORACLES["stored_queue"] = f"""WITH {PENDING} SELECT id, from_addr, subject, summary, priority, received_at, sent_at FROM pending"""
+ORACLES["configured_rules"] = f"""WITH {MAIL}, listed AS (SELECT DISTINCT c_custkey % 20 AS k FROM customer),
+  trusted AS (SELECT DISTINCT id FROM mail JOIN listed ON CASE WHEN k < 10
+    THEN {sender_address('from_addr')} LIKE '%@example' || k || '.com'
+    ELSE {sender_address('from_addr')} = 'user' || k || '@plain.example' END),
+  ruled AS (SELECT id, CASE WHEN id IN (SELECT id FROM trusted) THEN NULL WHEN label_csv LIKE '%SPAM%' THEN 'Ads'
+    WHEN unsubscribe <> '' THEN 'Newsletter' END AS label FROM mail)
+  SELECT id, CASE label WHEN 'Ads' THEN 'Ignore' WHEN 'Newsletter' THEN 'Not Necessary' END AS priority, label FROM ruled"""
 ORACLES["recent_pending"] = f"""WITH {PENDING} SELECT id, from_addr, subject, priority, received_at, sent_at FROM pending
   ORDER BY received_at DESC, id LIMIT 30"""
 ORACLES["recent_processed"] = f"""WITH {FEED}, {_SEEN} SELECT * FROM seen ORDER BY processed_at DESC, message_id LIMIT 30"""
