@@ -19,6 +19,7 @@ import hashlib
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,10 @@ K, S, KEPT = 16, 6, 48
 # Texts of fewer bytes use shorter anchors, else an edit may leave none.
 SHORT, SHORT_K, SHORT_S = 200, 8, 3
 
-# Rows a block of neighbouring ids should have, and how many blocks there may be. The first id of
-# each block passes through the driver, so it is at most a megabyte whatever the input.
+# Rows a block of neighbouring ids should have, and how many blocks there may be. The bounds and the
+# first id of each block pass through the driver, so they are a few megabytes whatever the input.
 BLOCK_ROWS, MOST_BLOCKS = 250, 65_536
+NO_ID = -(1 << 63)  # stands for a null id
 
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -130,14 +132,21 @@ def edited(text: str, following: str) -> str:
 def neighbours(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows in blocks of neighbouring ids, each block followed by the row after its last one.
 
-    Columns: block, doc_id, text, extra (true for that last row). Ids are cut into blocks of equal
-    width; only the first id of each block is known to the driver. Texts are shuffled once.
+    Columns: block, doc_id, text, extra (true for that last row). Blocks are cut at quantiles of the
+    ids, so they have about as many rows each however the ids lie; only rows of one and the same id
+    cannot be parted. Texts are shuffled once.
     """
-    bounds = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    low, high = bounds["a"] or 0, bounds["b"] or 0
-    blocks = max(1, min(MOST_BLOCKS, bounds["n"] // block_rows))
-    width = (high - low) // blocks + 1
-    placed = docs.withColumn("block", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long"))
+    rows = docs.count()
+    blocks = max(1, min(MOST_BLOCKS, rows // block_rows))
+    shares = [i / blocks for i in range(1, blocks)]
+    cut = F.percentile_approx("doc_id", shares, max(10_000, 4 * blocks)) if shares else F.array()
+    bounds = np.unique(np.array(docs.agg(cut).first()[0] or [], dtype=np.int64))
+
+    @F.pandas_udf("long")
+    def block_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right"))
+
+    placed = docs.withColumn("block", block_of(F.coalesce("doc_id", F.lit(NO_ID))))
     placed = placed.withColumn("order", F.xxhash64("text"))  # rows that repeat an id
     firsts = (
         placed.groupBy("block")

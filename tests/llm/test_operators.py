@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import brute
 import numpy as np
@@ -193,6 +194,24 @@ def test_fingerprints_and_neighbours(docs):
     assert out[3].fingerprint == ""
 
 
+NO_ID = syncmers.NO_ID
+
+
+def test_blocks_of_neighbours_are_alike_however_ids_lie(spark):
+    ids = [None, -(1 << 62), *range(2000), 1 << 40, 1 << 62]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    placed = syncmers.neighbours(docs, block_rows=100).collect()
+    sizes = Counter(r.block for r in placed if not r.extra)
+    assert sum(sizes.values()) == len(ids) and max(sizes.values()) <= 200
+    extra = sorted(((r.block, r.doc_id) for r in placed if r.extra))
+    firsts = {}
+    for r in placed:
+        if not r.extra:
+            firsts[r.block] = min(firsts.get(r.block, 1 << 63), NO_ID if r.doc_id is None else r.doc_id)
+    want = [firsts[b] for b in sorted(firsts)]
+    assert [NO_ID if i is None else i for _, i in extra] == want[1:] + want[:1]
+
+
 def test_closed_syncmers_do_not_depend_on_context():
     rng = np.random.default_rng(1)
     middle = rng.integers(97, 123, 400, dtype=np.uint8).tobytes()
