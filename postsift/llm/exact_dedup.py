@@ -79,8 +79,12 @@ def exact_groups(
         "text_sha256",
     )
     maybe = probed.where("_maybe")
-    groups = maybe.groupBy("text_sha256").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    # Written first: a skewed partition of a join is split only where both sides come from a shuffle.
+    groups = stage(
+        maybe.groupBy("text_sha256").agg(
+            F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+        ),
+        "groups",
     )
     repeated = maybe.join(groups, "text_sha256").select(
         "doc_id",
