@@ -7,10 +7,12 @@ over the service:
 
 * quota: counts per second find the second in which the quota runs out, and only the rows
   of that second are ranked;
-* breaker: every range partition summarises itself as a function from the state it is
-  entered with to the state it is left with. Composing these functions up and down a tree
-  (a prefix scan) gives each partition its true entry state, and all partitions then fold
-  their rows in parallel.
+* breaker: pieces of bounded size summarise themselves as functions from the state they are
+  entered with to the state they are left with. Composing these functions up and down a tree
+  (a prefix scan) gives each piece its true entry state, and all pieces then fold their rows
+  in parallel;
+* both: a summary also counts successes, so that the summary of a day that may use up its
+  quota says whether it does, and such days compose like pieces.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import DAY_MS, SECOND_MS
 from ..session import stage
-from .ranking import ordered_runs
+from .ranking import ROW_BITS, broadcast_if_few, ordered_runs
 
 # Scored calls per UTC day; failures that open the breaker; both its times.
 DAILY_QUOTA = 500
@@ -121,6 +123,8 @@ class BreakerState:
 
 STATE_COLUMNS = ["open_until", "fails", "last_fail"]
 _STATE_DDL = "open_until bigint, fails bigint, last_fail bigint"
+# A summary's outcome: the state after it, and the successes on the way.
+OUTCOME = [*STATE_COLUMNS, "n_ok"]
 
 
 class _Piece:
@@ -140,6 +144,7 @@ class _Piece:
         begin = np.maximum.accumulate(np.where(begins, row, 0))
         self.run = np.where(ok, 0, row - begin + ~ok[begin])
         self.trips = np.flatnonzero(self.run >= limit)
+        self.oks = np.append(0, np.cumsum(ok))
 
     def carried(self, state: BreakerState) -> int:
         return state.fails if self.ts[0] - state.last_fail < self.ttl else 0
@@ -182,56 +187,72 @@ class _Piece:
         attempted.append((start, rows, False))
         return attempted, self.closed_end(start, carried)
 
+    def after(self, state: BreakerState) -> tuple[BreakerState, int]:
+        """State after the piece and how many calls succeed in it."""
+        attempted, end = self.fold(state)
+        return end, sum(int(self.oks[last] - self.oks[first]) for first, last, _ in attempted)
+
     def _trip_row(self, start: int) -> int | None:
         number = int(self.next_trip(start))
         return int(self.trips[number]) if number < len(self.trips) else None
 
-    def exits_if_open(self) -> list[tuple[int, BreakerState]]:
-        """State after the piece by the time at which a breaker open on entry closes.
+    def exits_if_open(self, most: int) -> list[tuple[int, BreakerState, int]]:
+        """Outcome of the piece by the time at which a breaker open on entry closes.
 
-        A step function ``(from, state)``. That time is at most ``ttl`` after the first
-        row; all trips' final states come from following the trip pointers by doubling.
+        A step function ``(from, state, successes up to most)``. That time is at most ``ttl``
+        after the first row; all trips' final states, and the successes on the way there, come
+        from following the trip pointers by doubling.
         """
         rows, trips = len(self.ts), self.trips
         resumed = np.searchsorted(self.ts, self.ts[trips] + self.ttl)
-        final = self.next_trip(resumed)
-        final = np.where((resumed < rows) & (final < len(trips)), final, np.arange(len(trips)))
+        upto = np.append(trips + 1, rows)  # where attempts end before trip number i, or at the end
+        following = self.next_trip(resumed)
+        gained = self.oks[upto[following]] - self.oks[resumed]
+        final = np.where((resumed < rows) & (following < len(trips)), following, np.arange(len(trips)))
+        gained_to = np.where(final == np.arange(len(trips)), 0, gained)
+        last_gain = gained
         while (final[final] != final).any():
+            gained_to = gained_to + gained_to[final]
             final = final[final]
 
         starts = np.flatnonzero(np.diff(self.ts, prepend=self.ts[0] - 1) > 0)
         starts = starts[: np.searchsorted(self.ts[starts], self.ts[0] + self.ttl) + 1]
-        steps: list[tuple[int, BreakerState]] = []
+        steps: list[tuple[int, BreakerState, int]] = []
         since = 0
         for start, number in zip(starts.tolist(), self.next_trip(starts).tolist(), strict=True):
+            n_ok = int(self.oks[upto[number]] - self.oks[start])
             if number == len(trips):
                 state = self.closed_end(start)
             else:
                 last = final[number]
+                n_ok += int(gained_to[number] + last_gain[last])
                 if resumed[last] == rows:
                     state = BreakerState(open_until=int(self.ts[trips[last]]) + self.ttl)
                 else:
                     state = self.closed_end(int(resumed[last]))
-            if not steps or steps[-1][1] != state:
-                steps.append((since, state))
+            n_ok = min(n_ok, most)
+            if not steps or steps[-1][1:] != (state, n_ok):
+                steps.append((since, state, n_ok))
             since = int(self.ts[start]) + 1
         return steps
 
 
-def _table(entries: list[tuple[int, int, BreakerState]], first: int, last: int) -> pd.DataFrame:
+def _table(entries: list[tuple[int, int, BreakerState, int]], first: int, last: int) -> pd.DataFrame:
     """A summary as rows: ``carried`` failures on entry, or (-1) open, closing from ``since``."""
     return pd.DataFrame(
-        [(c, t, s.open_until, s.fails, s.last_fail, first, last) for c, t, s in entries],
-        columns=["carried", "since", *STATE_COLUMNS, "first_ts", "last_ts"],
+        [(c, t, s.open_until, s.fails, s.last_fail, n, first, last) for c, t, s, n in entries],
+        columns=["carried", "since", *OUTCOME, "first_ts", "last_ts"],
     )
 
 
-def summarise_piece(piece: _Piece) -> pd.DataFrame:
+def summarise_piece(piece: _Piece, most: int = 0) -> pd.DataFrame:
+    """Counts stop at ``most`` successes: beyond a quota they make no difference."""
     first, last = int(piece.ts[0]), int(piece.ts[-1])
-    closed = [
-        (c, -1, piece.fold(BreakerState(0, c, first))[1]) for c in range(piece.limit)
-    ]
-    opened = [(-1, since, state) for since, state in piece.exits_if_open()]
+    closed = []
+    for c in range(piece.limit):
+        state, n_ok = piece.after(BreakerState(0, c, first))
+        closed.append((c, -1, state, min(n_ok, most)))
+    opened = [(-1, since, state, n_ok) for since, state, n_ok in piece.exits_if_open(most)]
     return _table(closed + opened, first, last)
 
 
@@ -243,27 +264,30 @@ def _split(table: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, int, int]:
 
 
 def leave(states: np.ndarray, table: pd.DataFrame, ttl: int) -> np.ndarray:
-    """States (one per row) after what ``table`` summarises."""
+    """States (one per row, with or without ``n_ok``) after what ``table`` summarises."""
     closed, steps, first, last = _split(table)
-    until, fails, last_fail = states.T
+    columns = OUTCOME[: states.shape[1]]
+    until, fails, last_fail = states[:, :3].T
     out = states.copy()
     shut = until == 0
     carried = np.where(first - last_fail < ttl, fails, 0)[shut]
-    out[shut] = closed[STATE_COLUMNS].to_numpy()[carried]
+    out[shut] = closed[columns].to_numpy()[carried]
     inside = ~shut & (until <= last)
     at = np.searchsorted(steps["since"].to_numpy(), until[inside], side="right") - 1
-    out[inside] = steps[STATE_COLUMNS].to_numpy()[at]
+    out[inside] = steps[columns].to_numpy()[at]
+    passed = shut | inside
+    out[passed, 3:] += states[passed, 3:]
     return out
 
 
-def compose(tables: list[pd.DataFrame], ttl: int) -> pd.DataFrame:
+def compose(tables: list[pd.DataFrame], ttl: int, most: int = 0) -> pd.DataFrame:
     """The summary of consecutive pieces taken together."""
     first = int(tables[0]["first_ts"].iloc[0])
     last = int(tables[-1]["last_ts"].iloc[0])
     closed = _split(tables[0])[0]
     kinds = [closed["carried"].to_numpy()]
     since = [closed["since"].to_numpy()]
-    states = closed[STATE_COLUMNS].to_numpy()
+    states = closed[OUTCOME].to_numpy()
     for table in tables[1:]:
         states = leave(states, table, ttl)
     found = [states]
@@ -275,7 +299,7 @@ def compose(tables: list[pd.DataFrame], ttl: int) -> pd.DataFrame:
         keep = np.append(begin[1:], end + 1) > after
         begin = np.maximum(begin, after)
         keep &= begin <= first + ttl
-        states = steps[STATE_COLUMNS].to_numpy()[keep]
+        states = steps[OUTCOME].to_numpy()[keep]
         for later in tables[i + 1 :]:
             states = leave(states, later, ttl)
         kinds.append(np.full(len(states), -1))
@@ -283,15 +307,18 @@ def compose(tables: list[pd.DataFrame], ttl: int) -> pd.DataFrame:
         found.append(states)
         after = end + 1
     kind, start, state = np.concatenate(kinds), np.concatenate(since), np.vstack(found)
+    state[:, 3] = np.minimum(state[:, 3], most)
     same = (kind[1:] == -1) & (kind[:-1] == -1) & (state[1:] == state[:-1]).all(axis=1)
     keep = np.append(True, ~same)
-    out = pd.DataFrame(state[keep], columns=STATE_COLUMNS)
+    out = pd.DataFrame(state[keep], columns=OUTCOME)
     return out.assign(carried=kind[keep], since=start[keep], first_ts=first, last_ts=last)
 
 
-_TABLE_DDL = f"carried int, since bigint, {_STATE_DDL}, first_ts bigint, last_ts bigint"
+_TABLE_DDL = f"carried int, since bigint, {_STATE_DDL}, n_ok bigint, first_ts bigint, last_ts bigint"
 _BEGIN = [f"begin_{c}" for c in STATE_COLUMNS]
 _END = [f"end_{c}" for c in STATE_COLUMNS]
+# Rows of one piece, which is folded in memory.
+PIECE_ROWS = 1_000_000
 # Pieces whose summaries one task takes together: a summary has at most one step per
 # millisecond of the open time, however many rows it stands for.
 FAN = 16
@@ -304,66 +331,109 @@ def fold_breaker(
     ttl_ms: int = BREAKER_MS,
     carry: DataFrame | None = None,
     fan: int = FAN,
+    piece_rows: int = PIECE_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Fold calls from ``ordered_runs``; returns them with ``attempted, tripped`` and the
     states ``(*keys, open_until, fails, last_fail)`` at the end.
 
     ``carry`` gives states to begin with, in the same columns. Summaries are composed up a
     tree of ``fan`` children per node; entry states then come down the same tree, so that
-    no task ever sees more than ``fan`` summaries of a service.
+    no task ever sees more than ``fan`` summaries of a service, or ``piece_rows`` rows.
     """
-    key_ddl = ", ".join(f"`{c}` {runs.schema[c].dataType.simpleString()}" for c in keys)
+    pieces, n_pieces = _pieces(runs, piece_rows)
+    tree = _tree(_summaries(pieces, keys, limit, ttl_ms, 0), keys, n_pieces, ttl_ms, 0, fan)
+    entries, states = _entries(tree, keys, ttl_ms, carry, fan)
+    return _folded(pieces, entries, keys, limit, ttl_ms), states
+
+
+def _pieces(runs: DataFrame, piece_rows: int) -> tuple[DataFrame, int]:
+    """Rows with ``_piece``, which numbers blocks of range partitions in order; how many numbers."""
+    row = F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    last_part, last_row = runs.agg(F.max("_part"), F.max(row)).first()
+    blocks = (last_row or 0) // piece_rows + 1
+    block = F.floor(row / F.lit(piece_rows)).cast("bigint")
+    return runs.withColumn("_piece", F.col("_part") * F.lit(blocks) + block), ((last_part or 0) + 1) * blocks
+
+
+def _key_ddl(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+
 
-    def piece(rows: pd.DataFrame) -> tuple[pd.DataFrame, _Piece]:
-        rows = rows.sort_values("_row", kind="stable", ignore_index=True)
-        return rows, _Piece(rows["ts"].to_numpy(), rows["ok"].to_numpy(bool), limit, ttl_ms)
+def _piece_of(rows: pd.DataFrame, limit: int, ttl_ms: int) -> tuple[pd.DataFrame, _Piece]:
+    rows = rows.sort_values("_row", kind="stable", ignore_index=True)
+    return rows, _Piece(rows["ts"].to_numpy(), rows["ok"].to_numpy(bool), limit, ttl_ms)
+
+
+def _in_order(rows: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
+    return [(node, table) for node, table in rows.groupby("node", sort=True)]
+
+
+def _summaries(pieces: DataFrame, keys: list[str], limit: int, ttl_ms: int, most: int) -> DataFrame:
+    """One summary per key and piece, as rows with ``node``."""
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
-        return summarise_piece(piece(rows)[1]).assign(
-            **{c: first[c] for c in keys}, node=first["_part"]
+        return summarise_piece(_piece_of(rows, limit, ttl_ms)[1], most).assign(
+            **{c: first[c] for c in keys}, node=first["_piece"]
         )
 
-    def in_order(rows: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
-        return [(node, table) for node, table in rows.groupby("node", sort=True)]
+    narrow = pieces.select(*keys, "_piece", "_row", "ts", "ok")
+    ddl = f"{_key_ddl(pieces, keys)}, node bigint, {_TABLE_DDL}"
+    return narrow.groupBy(*keys, "_piece").applyInPandas(summarise, ddl)
+
+
+def _merged(level: DataFrame, keys: list[str], fan: int, ttl_ms: int, most: int) -> DataFrame:
+    """Summaries of ``fan`` neighbours each taken together."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
-        return compose([table for _, table in in_order(rows)], ttl_ms).assign(
+        return compose([table for _, table in _in_order(rows)], ttl_ms, most).assign(
             **{c: first[c] for c in keys}, node=first["parent"]
         )
 
+    ddl = f"{_key_ddl(level, keys)}, node bigint, {_TABLE_DDL}"
+    return _with_parent(level, fan).groupBy(*keys, "parent").applyInPandas(merge, ddl)
+
+
+def _with_parent(level: DataFrame, fan: int) -> DataFrame:
+    return level.withColumn("parent", F.expr(f"node div {fan}"))
+
+
+def _tree(
+    summaries: DataFrame, keys: list[str], nodes: int, ttl_ms: int, most: int, fan: int
+) -> list[DataFrame]:
+    """Levels from the given summaries, numbered below ``nodes``, to one of at most ``fan``."""
+    levels = [stage(summaries, "breaker-summaries")]
+    while nodes > fan:
+        levels.append(stage(_merged(levels[-1], keys, fan, ttl_ms, most), "breaker-summaries"))
+        nodes = -(-nodes // fan)
+    return levels
+
+
+def _entries(
+    levels: list[DataFrame], keys: list[str], ttl_ms: int, carry: DataFrame | None, fan: int
+) -> tuple[DataFrame, DataFrame]:
+    """The state each node of the lowest level is entered with, and the state after the last."""
+
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
         state = first[_BEGIN].to_numpy().astype("int64").reshape(1, -1)
         out = []
-        for node, table in in_order(rows):
+        for node, table in _in_order(rows):
             entry, state = state, leave(state, table, ttl_ms)
             out.append((node, *entry[0], *state[0]))
         return pd.DataFrame(out, columns=["node", *_BEGIN, *_END]).assign(
             **{c: first[c] for c in keys}
         )
 
-    node_ddl = f"{key_ddl}, node int"
     states_ddl = ", ".join(f"{c} bigint" for c in [*_BEGIN, *_END])
-    narrow = runs.select(*keys, "_part", "_row", "ts", "ok")
-    level = narrow.groupBy(*keys, "_part").applyInPandas(summarise, f"{node_ddl}, {_TABLE_DDL}")
-    levels = [stage(level, "breaker-summaries")]
-    nodes = (runs.agg(F.max("_part")).first()[0] or 0) + 1
-    while nodes > fan:
-        parents = levels[-1].withColumn("parent", F.expr(f"cast(node div {fan} as int)"))
-        merged = parents.groupBy(*keys, "parent").applyInPandas(merge, f"{node_ddl}, {_TABLE_DDL}")
-        levels.append(stage(merged, "breaker-summaries"))
-        nodes = -(-nodes // fan)
-
+    ddl = f"{_key_ddl(levels[0], keys)}, node bigint, {states_ddl}"
     if carry is None:
         top = levels[-1].withColumns({c: F.lit(0).cast("bigint") for c in _BEGIN})
     else:
         begin = carry.select(*keys, *[F.col(c).alias(b) for c, b in zip(STATE_COLUMNS, _BEGIN)])
         top = levels[-1].join(begin, keys, "left").fillna(0, _BEGIN)
-    entries = stage(
-        top.groupBy(*keys).applyInPandas(walk, f"{node_ddl}, {states_ddl}"), "breaker-entries"
-    )
+    entries = stage(top.groupBy(*keys).applyInPandas(walk, ddl), "breaker-entries")
     ends = F.struct("node", *[F.col(e).alias(c) for e, c in zip(_END, STATE_COLUMNS)])
     states = (
         entries.groupBy(*keys)
@@ -372,14 +442,19 @@ def fold_breaker(
     )
     for level in reversed(levels[:-1]):
         above = entries.select(*keys, F.col("node").alias("parent"), *_BEGIN)
-        children = level.withColumn("parent", F.expr(f"cast(node div {fan} as int)")).join(
-            above, [*keys, "parent"]
-        )
-        below = children.groupBy(*keys, "parent").applyInPandas(walk, f"{node_ddl}, {states_ddl}")
+        children = _with_parent(level, fan).join(above, [*keys, "parent"])
+        below = children.groupBy(*keys, "parent").applyInPandas(walk, ddl)
         entries = stage(below, "breaker-entries")
+    return entries, states
+
+
+def _folded(
+    pieces: DataFrame, entries: DataFrame, keys: list[str], limit: int, ttl_ms: int
+) -> DataFrame:
+    """All rows with ``attempted, tripped``, every piece folded from its entry state."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, p = piece(rows)
+        rows, p = _piece_of(rows, limit, ttl_ms)
         attempted, tripped = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
         entry = BreakerState(*(int(rows[c].iloc[0]) for c in _BEGIN))
         for first, end, trip in p.fold(entry)[0]:
@@ -387,15 +462,15 @@ def fold_breaker(
             tripped[end - 1] |= trip
         return rows.drop(columns=_BEGIN).assign(attempted=attempted, tripped=tripped)
 
-    row_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
-    entered = entries.select(*keys, F.col("node").alias("_part"), *_BEGIN)
-    folded = (
-        runs.join(entered, [*keys, "_part"])
-        .select(*runs.columns, *_BEGIN)
-        .groupBy(*keys, "_part")
+    row_ddl = _key_ddl(pieces, pieces.columns)
+    entered = entries.select(*keys, F.col("node").alias("_piece"), *_BEGIN)
+    return (
+        pieces.join(entered, [*keys, "_piece"])
+        .select(*pieces.columns, *_BEGIN)
+        .groupBy(*keys, "_piece")
         .applyInPandas(fold, f"{row_ddl}, attempted boolean, tripped boolean")
+        .drop("_piece")
     )
-    return folded, states
 
 
 def apply_breaker(
@@ -420,6 +495,8 @@ def apply_limits(
     ttl_ms: int = BREAKER_MS,
     carry: DataFrame | None = None,
     used: DataFrame | None = None,
+    fan: int = FAN,
+    piece_rows: int = PIECE_ROWS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Breaker first, then quota, then the attempt.
 
@@ -428,26 +505,38 @@ def apply_limits(
 
     The two meet only at day ends: a day's quota always runs out at a success, which
     leaves the breaker clean, and the rest of that day is not attempted. So the rest of a
-    used-up day is denied by the quota alone, and the day after it starts clean. Which days
-    are used up is found by repetition: begin with the days that have enough successes at
-    all, fold, look again. Whatever the beginning, the first n days are right after n
-    rounds and stay so; in practice the first or second round confirms itself.
+    used-up day is denied by the quota alone, and the day after it starts clean. Days with
+    enough successes at all are segments of their own, all days between two of them are one.
+    A segment's summary says for each state it may be entered with how it is left and how many
+    calls succeed; where these use up the day's quota it is left clean instead. Segments then
+    compose like pieces, which gives each its entry state: two passes over the rows, however
+    many days decide the next.
     """
     dated = calls.select(*CALLS).withColumn("day", utc_day())
     runs = ordered_runs(dated, ["service"], ["ts", "id"], "calls")
-    days = runs.select("service", "day").distinct()
-    begin = None if carry is None else carry.withColumn("epoch", F.lit(0).cast("bigint"))
-    full = stage(_enough_successes(runs, quota, used), "quota-days")
-    while True:
-        keyed = _with_epoch(runs, days, full)
-        folded, states = fold_breaker(keyed, ["service", "epoch"], limit, ttl_ms, begin)
-        folded = stage(folded.drop("_part", "_row"), "breaker-calls")
-        good = folded.where(F.col("attempted") & F.col("ok")).select("service", "day", "ts", "id")
-        cuts = stage(quota_cutoffs(good, quota, used), "quota-cuts")
-        found = cuts.select("service", "day")
-        if _same_days(full, found):
-            break
-        full = found
+    segments = broadcast_if_few(_segments(runs, quota, used), "quota-days")
+    runs = runs.join(segments, ["service", "day"]).select(*runs.columns, "segment")
+    pieces, n_pieces = _pieces(runs, piece_rows)
+    n_segments = (segments.agg(F.max("segment")).first()[0] or 0) + 1
+
+    keys = ["service", "segment"]
+    summaries = _summaries(pieces, keys, limit, ttl_ms, quota)
+    tree = _tree(summaries, keys, n_pieces, ttl_ms, quota, fan)
+    whole = _merged(tree[-1], keys, n_pieces, ttl_ms, quota).drop("node")
+    settled = _clean_if_full(whole, segments, quota).withColumnRenamed("segment", "node")
+    above, states = _entries(
+        _tree(settled, ["service"], n_segments, ttl_ms, 0, fan), ["service"], ttl_ms, carry, fan
+    )
+    begin = above.select(
+        "service",
+        F.col("node").alias("segment"),
+        *[F.col(b).alias(c) for b, c in zip(_BEGIN, STATE_COLUMNS)],
+    )
+    entries, _ = _entries(tree, keys, ttl_ms, begin, fan)
+    folded = _folded(pieces, entries, keys, limit, ttl_ms).drop("_part", "_row", "segment")
+    folded = stage(folded, "breaker-calls")
+    good = folded.where(F.col("attempted") & F.col("ok")).select("service", "day", "ts", "id")
+    cuts = stage(quota_cutoffs(good, quota, used), "quota-cuts")
     out = _within_quota(folded, cuts).withColumn(
         "outcome",
         F.when(~F.col("in_quota"), "quota")
@@ -455,57 +544,32 @@ def apply_limits(
         .when(F.col("ok"), "ok")
         .otherwise("failed"),
     )
-    return (
-        out.drop("epoch", "attempted", "in_quota", "tripped"),
-        _final_states(states, days, found),
-        _used(out, used),
-    )
-
-
-def _enough_successes(runs: DataFrame, quota: int, used: DataFrame | None) -> DataFrame:
-    """Days whose quota runs out if the breaker denies nothing."""
-    counted = runs.where("ok").groupBy("service", "day").agg(F.count(F.lit(1)).alias("n"))
-    if used is not None:
-        both = counted.unionByName(used.select("service", "day", F.col("used").alias("n")))
-        counted = both.groupBy("service", "day").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= quota).select("service", "day")
-
-
-def _with_epoch(runs: DataFrame, days: DataFrame, full: DataFrame) -> DataFrame:
-    """Number of used-up days before the row's day: each such day begins a clean breaker."""
-    before = (
-        Window.partitionBy("service").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    epochs = (
-        days.join(full.withColumn("_full", F.lit(1)), ["service", "day"], "left")
-        .withColumn("epoch", F.coalesce(F.sum("_full").over(before), F.lit(0)).cast("bigint"))
-        .drop("_full")
-    )
-    return runs.join(epochs, ["service", "day"]).select(*runs.columns, "epoch")
+    return out.drop("attempted", "in_quota", "tripped"), states, _used(out, used)
 
 
-def _same_days(left: DataFrame, right: DataFrame) -> bool:
-    both = left.withColumn("_left", F.lit(1)).join(
-        right.withColumn("_right", F.lit(1)), ["service", "day"], "full"
+def _segments(runs: DataFrame, quota: int, used: DataFrame | None) -> DataFrame:
+    """``(service, day, before, segment)``: odd segments are days that may use up their quota."""
+    days = runs.groupBy("service", "day").agg(F.count_if("ok").alias("_n"))
+    if used is None:
+        days = days.withColumn("before", F.lit(0).cast("bigint"))
+    else:
+        earlier = used.select("service", "day", F.col("used").alias("before"))
+        days = days.join(earlier, ["service", "day"], "left").fillna(0, "before")
+    may = (F.col("_n") + F.col("before") >= F.lit(quota)).cast("bigint")
+    earlier_days = Window.partitionBy("service").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    passed = F.coalesce(F.sum("_may").over(earlier_days), F.lit(0))
+    return days.withColumn("_may", may).select(
+        "service", "day", "before", (2 * passed + F.col("_may")).alias("segment")
     )
-    return both.where("_left IS NULL OR _right IS NULL").isEmpty()
 
 
-def _final_states(states: DataFrame, days: DataFrame, full: DataFrame) -> DataFrame:
-    """States of the last epoch; clean where the last day was used up."""
-    last_day = days.groupBy("service").agg(F.max("day").alias("day"))
-    clean = last_day.join(full, ["service", "day"], "left_semi").select(
-        "service", F.lit(True).alias("_clean")
-    )
-    columns = F.struct("epoch", *STATE_COLUMNS)
-    latest = states.groupBy("service").agg(F.max(columns).alias("_state"))
-    return latest.join(clean, "service", "left").select(
-        "service",
-        *[
-            F.when(F.col("_clean"), F.lit(0)).otherwise(F.col("_state")[c]).alias(c)
-            for c in STATE_COLUMNS
-        ],
-    )
+def _clean_if_full(whole: DataFrame, segments: DataFrame, quota: int) -> DataFrame:
+    """Summaries of segments, left clean on the ways on which a day's quota runs out."""
+    single = segments.where("segment % 2 = 1").select("service", "segment", "before")
+    full = F.coalesce(F.col("n_ok") + F.col("before") >= F.lit(quota), F.lit(False))
+    clean = {c: F.when(full, F.lit(0)).otherwise(F.col(c)) for c in STATE_COLUMNS}
+    known = whole.join(single, ["service", "segment"], "left")
+    return known.withColumns(clean).withColumn("n_ok", F.lit(0).cast("bigint")).drop("before")
 
 
 def _used(out: DataFrame, used: DataFrame | None) -> DataFrame:

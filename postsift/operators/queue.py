@@ -100,9 +100,14 @@ def tick_end(priority: Column, tick: Column) -> Column:
     return end
 
 
-def assign_flush(queue: DataFrame, cap: int = FLUSH_ROWS) -> DataFrame:
+def assign_flush(
+    queue: DataFrame, cap: int = FLUSH_ROWS, by: tuple[str, ...] = ("priority",)
+) -> DataFrame:
     """Which tick sends each row of a queue that sends at most ``cap`` rows per tick.
 
+    Every combination of ``by`` is a queue of its own; several mailboxes in one table: put the
+    mailbox in ``by``, next to ``priority``, which names the schedule.
+
     First come first served at ``cap`` rows a tick: with ``before(s)`` the rows that arrive
     before tick ``s``, row number ``pos`` arriving at tick ``a`` leaves in tick
     ``ceil((pos + max over s <= a of (cap * s - before(s))) / cap) - 1``. The maximum runs
@@ -111,19 +116,19 @@ def assign_flush(queue: DataFrame, cap: int = FLUSH_ROWS) -> DataFrame:
     scheduled = queue.withColumn("tick", tick_of(F.col("priority"), F.col("received_at"))).where(
         F.col("tick").isNotNull()
     )
-    placed = positions(scheduled, ["priority"], ["received_at", "id"])
-    up_to = Window.partitionBy("priority").orderBy("tick")
+    placed = positions(scheduled, list(by), ["received_at", "id"])
+    up_to = Window.partitionBy(*by).orderBy("tick")
     earlier = up_to.rowsBetween(Window.unboundedPreceding, -1)
-    arrivals = placed.groupBy("priority", "tick").agg(F.count(F.lit(1)).alias("_n"))
+    arrivals = placed.groupBy(*by, "tick").agg(F.count(F.lit(1)).alias("_n"))
     shift = F.max(F.lit(cap) * F.col("tick") - F.col("_before")).over(
         up_to.rowsBetween(Window.unboundedPreceding, 0)
     )
     ticks = arrivals.withColumn(
         "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    ).select("priority", "tick", shift.alias("_shift"))
+    ).select(*by, "tick", shift.alias("_shift"))
     sent = (F.ceil((F.col("pos") + F.col("_shift")) / F.lit(cap)) - 1).cast("bigint")
     return (
-        placed.join(ticks, ["priority", "tick"])
+        placed.join(ticks, [*by, "tick"])
         .withColumn("sent_tick", sent)
         .withColumn("flush_at", tick_end(F.col("priority"), F.col("sent_tick")))
         .drop("_shift")

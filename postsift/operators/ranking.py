@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 # monotonically_increasing_id: partition number above, row number in the low 33 bits.
-_ROW_BITS = 33
+ROW_BITS = 33
+# Side tables of narrow rows are broadcast up to this many rows.
+FEW_ROWS = 500_000
 
 
 def ordered_runs(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
@@ -20,7 +22,7 @@ def ordered_runs(df: DataFrame, by: list[str], order: list[str], name: str) -> D
     """
     ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
     numbered = ranged.withColumn("_row", F.monotonically_increasing_id())
-    return stage(numbered.withColumn("_part", F.shiftright("_row", _ROW_BITS).cast("int")), name)
+    return stage(numbered.withColumn("_part", F.shiftright("_row", ROW_BITS).cast("int")), name)
 
 
 def positions(df: DataFrame, by: list[str], order: list[str], name: str = "pos") -> DataFrame:
@@ -28,7 +30,8 @@ def positions(df: DataFrame, by: list[str], order: list[str], name: str = "pos")
 
     Position = rows of the key in earlier partitions + offset in the own one. The window
     runs over one row per (key, partition), so over at most as many rows per key as there
-    are partitions.
+    are partitions. Offsets are staged and counted: a counted few are broadcast, so that the
+    rows stay where they are; more than that meet the rows by an ordinary join.
     """
     runs = ordered_runs(df, by, order, "positions")
     sizes = runs.groupBy(*by, "_part").agg(
@@ -46,11 +49,17 @@ def positions(df: DataFrame, by: list[str], order: list[str], name: str = "pos")
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
     )
     same = _same(by) & (F.col("_part") == F.col("_by_part"))
-    return runs.join(offsets, same).select(
+    return runs.join(broadcast_if_few(offsets, "offsets"), same).select(
         *df.columns, (F.col("_offset") + F.col("_row") - F.col("_first") + 1).alias(name)
     )
 
 
+def broadcast_if_few(df: DataFrame, name: str) -> DataFrame:
+    """Stage a table of a few numbers a row, count it, and mark it for broadcast if it is small."""
+    staged = stage(df, name)
+    return F.broadcast(staged) if staged.count() <= FEW_ROWS else staged
+
+
 def _same(by: list[str]) -> Column:
     same = F.lit(True)
     for c in by:

@@ -63,7 +63,8 @@ def test_pieces_compose(seed):
     ok = np.array([random.random() < random.choice([0.1, 0.5, 0.9]) for _ in range(n)])
     want = simulate([("a", i, int(t), bool(o)) for i, (t, o) in enumerate(zip(ts, ok))], limit=limit, ttl=ttl)
     cuts = sorted({0, n, *(random.randint(0, n) for _ in range(random.randint(0, 8)))})
-    state, got, summaries, entries = BreakerState(), [], [], []
+    state, got, summaries, entries, oks = BreakerState(), [], [], [], []
+    most = random.choice([2, 5, 100])
     for begin, end in zip(cuts, cuts[1:]):
         piece = _Piece(ts[begin:end], ok[begin:end], limit, ttl)
         attempted, after = piece.fold(state)
@@ -71,19 +72,27 @@ def test_pieces_compose(seed):
         for first, last, _ in attempted:
             mask[first:last] = True
         got += mask.tolist()
-        summaries.append(summarise_piece(piece))
+        summaries.append(summarise_piece(piece, most))
         entries.append(state)
+        oks.append(int((mask & ok[begin:end]).sum()))
         assert row(leave(array(state), summaries[-1], ttl)) == after
+        assert successes(state, summaries[-1], ttl) == min(oks[-1], most)
         state = after
     assert got == [want["a", i] != "open" for i in range(n)]
     # Summaries of neighbours, taken together, lead to the same states.
     while len(summaries) > 1:
         at = random.randrange(len(summaries) - 1)
         size = random.randint(2, 4)
-        summaries[at : at + size] = [compose(summaries[at : at + size], ttl)]
+        summaries[at : at + size] = [compose(summaries[at : at + size], ttl, most)]
         del entries[at + 1 : at + size]
+        oks[at : at + size] = [sum(oks[at : at + size])]
         states = [*entries[1:], state]
         assert [row(leave(array(e), t, ttl)) for e, t in zip(entries, summaries)] == states
+        assert [successes(e, t, ttl) for e, t in zip(entries, summaries)] == [min(n, most) for n in oks]
+
+
+def successes(state, summary, ttl):
+    return leave(np.append(array(state), [[0]], axis=1), summary, ttl)[0, 3]
 
 
 def array(state):
@@ -103,7 +112,7 @@ def test_breaker(spark, seed, services, p_ok):
     assert {r.service for r in states.collect()} == set(services)
     # The same through a tree of summaries.
     runs = ordered_runs(table(spark, calls), ["service"], ["ts", "id"], "calls")
-    deep, deep_states = limits.fold_breaker(runs, ["service"], fan=2)
+    deep, deep_states = limits.fold_breaker(runs, ["service"], fan=2, piece_rows=70)
     assert {(r.service, r.id): r.attempted for r in deep.collect()} == {k: v != "open" for k, v in want.items()}
     assert sorted(deep_states.collect()) == sorted(states.collect())
 
@@ -144,6 +153,25 @@ def test_breaker_and_quota_together(spark, seed, quota, p_ok):
     assert used.where(f"used > {quota}").count() == 0
 
 
+def test_sixty_days_that_each_decide_the_next(spark, monkeypatch):
+    """A day whose quota runs out starts the next one clean, else two failures are carried over."""
+    folds = []
+    folded = limits._folded
+    monkeypatch.setattr(limits, "_folded", lambda *a: folds.append(1) or folded(*a))
+    calls, start = [], 1_704_067_200_000
+    for day in range(60):
+        morning, night = start + day * DAY, start + (day + 1) * DAY
+        calls += [("a", 0, morning + 1, False), ("a", 0, morning + 2, True), ("a", 0, morning + 3, True)]
+        calls += [("a", 0, night - 400_000 - i, True) for i in range({0: 0, 30: 3}.get(day, 1))]
+        calls += [("a", 0, night - 2, False), ("a", 0, night - 1, False)]
+    calls = [(s, i, ts, ok) for i, (s, _, ts, ok) in enumerate(calls)]
+    limited, _, _ = limits.apply_limits(table(spark, calls), 3, fan=3, piece_rows=5)
+    want = simulate(calls, 3)
+    assert outcomes(limited) == want
+    assert {"open", "quota"} <= set(want.values())
+    assert folds == [1]
+
+
 def test_a_day_that_ends_full_starts_the_next_one_clean(spark):
     night = 1_704_153_600_000
     calls = [("a", 0, night - 5, False), ("a", 1, night - 4, False), ("a", 2, night - 3, True)]
