@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.answers import parse_answer
 from ..functions.once import compute_once
 from ..functions.text import prompt_text
-from .limits import BREAKER_MS, DAILY_QUOTA, FAILURE_LIMIT, apply_limits
+from ..session import stage
+from .limits import BREAKER_MS, DAILY_QUOTA, FAILURE_LIMIT, apply_limits, utc_day
 
 # Method names, and the verdict when nothing answers.
 METHOD_FIRST = "openrouter"
@@ -35,11 +37,11 @@ LAST_RANK = 4
 
 ATTEMPT = "message_id string, rank int, status int, content string"
 Scorer = Callable[[DataFrame], DataFrame]
+# Rows ``(message_id, model, prompt, parts)`` to ``(status, content)`` in the same order.
+ModelCall = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def model_name(images: Column, override: str | None = None) -> Column:
-    if override is not None:
-        return F.lit(override)
+def model_name(images: Column) -> Column:
     return F.when(F.size(images) > 0, VISION_MODEL).otherwise(TEXT_MODEL)
 
 
@@ -114,6 +116,64 @@ def function_scorer(answer: Callable[[pd.Series], pd.Series]) -> Scorer:
     return lambda prompts: prompts.select("message_id", "prompt").mapInPandas(run, ATTEMPT)
 
 
+def chain_scorer(call: ModelCall) -> Scorer:
+    """Scorer that asks live models, down the chain for as long as there is no usable answer.
+
+    The mail's own model and then the second one get two tries each, the second try only if
+    the first was not refused; the last model gets one, without images. Each try covers the
+    messages that are still open and is written before the next, so that nothing is asked
+    again when a later step repeats. A batch that raises is asked again row by row, and a row
+    that raises counts as a failed try.
+    """
+
+    def score(prompts: DataFrame) -> DataFrame:
+        waiting, refused, tries = prompts, None, []
+        for rank in range(LAST_RANK + 1):
+            tried = stage(_tried(_for_rank(waiting, rank), rank, call), "chain-try")
+            tries.append(tried.select("message_id", "rank", "status", "content"))
+            ok = F.coalesce(F.col("status").between(200, 299), F.lit(False))
+            open_rows = tried.where(~ok | parse_answer(F.col("content")).isNull())
+            if rank in FIRST_TRIES:
+                no = F.coalesce(F.col("status").between(400, 499), F.lit(False))
+                refused = open_rows.where(no).select(*prompts.columns)
+                open_rows = open_rows.where(~no)
+            waiting = open_rows.select(*prompts.columns)
+            if rank in SECOND_TRIES:
+                waiting = waiting.unionByName(refused)
+        return reduce(DataFrame.unionByName, tries)
+
+    return score
+
+
+def _for_rank(waiting: DataFrame, rank: int) -> DataFrame:
+    if rank == LAST_RANK:
+        return waiting.withColumns({"model": F.lit(LAST_MODEL), "parts": F.slice("parts", 1, 1)})
+    return waiting if rank < FIRST_TRIES[1] else waiting.withColumn("model", F.lit(SECOND_MODEL))
+
+
+def _tried(waiting: DataFrame, rank: int, call: ModelCall) -> DataFrame:
+    def one(row: pd.DataFrame) -> tuple[int | None, str | None]:
+        try:
+            answer = call(row).iloc[0]
+        except Exception:
+            return None, None
+        return answer["status"], answer["content"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                answers = call(batch)[["status", "content"]]
+            except Exception:
+                found = [one(batch.iloc[i : i + 1]) for i in range(len(batch))]
+                answers = pd.DataFrame(found, columns=["status", "content"])
+            status = answers["status"].astype("Int32").to_numpy()
+            yield batch.assign(status=status, content=answers["content"].to_numpy())
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in waiting.schema)
+    tried = waiting.mapInPandas(run, f"{ddl}, status int, content string")
+    return tried.withColumn("rank", F.lit(rank))
+
+
 def keyword_scorer(keywords: dict[str, tuple[str, ...]]) -> Scorer:
     """Deterministic scorer: the first priority one of whose words is in the prompt."""
 
@@ -229,7 +289,10 @@ def deny_over_limits(
 
 def classify(mail: DataFrame, scorer: Scorer) -> DataFrame:
     """Mail with ``verdict`` filled: rules first, then the scorer, else the fallback."""
-    resolved = resolve_attempts(scorer(prompt_rows(mail)))
+    return _with_verdicts(mail, resolve_attempts(scorer(prompt_rows(mail))))
+
+
+def _with_verdicts(mail: DataFrame, resolved: DataFrame) -> DataFrame:
     scored = resolved.select(
         F.col("message_id").alias("id"),
         F.struct("priority", "summary", "label", "method").alias("_scored"),
@@ -239,3 +302,48 @@ def classify(mail: DataFrame, scorer: Scorer) -> DataFrame:
         .withColumn("verdict", F.coalesce("verdict", "_scored", fallback_verdict()))
         .drop("_scored")
     )
+
+
+def surely_denied(
+    calls: DataFrame, carry: DataFrame, used: DataFrame, quota: int = DAILY_QUOTA
+) -> DataFrame:
+    """Of ``calls(service, id, ts)`` those that are denied however the others end.
+
+    ``carry`` and ``used`` are what ``apply_limits`` left: a breaker that is open until after
+    the call, or a day whose quota is used up.
+    """
+    spent = used.where(F.col("used") >= quota).select("service", "day", F.lit(True).alias("_spent"))
+    dated = calls.withColumn("day", utc_day()).join(spent, ["service", "day"], "left")
+    known = dated.join(carry.select("service", "open_until"), "service", "left")
+    denied = F.coalesce("_spent", F.lit(False)) | F.coalesce(F.col("ts") < F.col("open_until"), F.lit(False))
+    return known.where(denied).select("service", "id", "ts")
+
+
+def classify_within_limits(
+    mail: DataFrame,
+    scorer: Scorer,
+    carry: DataFrame,
+    used: DataFrame,
+    quota: int = DAILY_QUOTA,
+    limit: int = FAILURE_LIMIT,
+    ttl_ms: int = BREAKER_MS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``classify`` for mail with ``service, ts``; also the breaker states and the days' use.
+
+    Calls that the limits left by earlier mail deny for sure never reach the scorer. How the
+    others of one batch end decides about each other, so these are asked and then limited in
+    their order: the smaller the batches, the fewer calls are made in vain.
+    """
+    due = mail.where(F.col("verdict").isNull()).select("service", "id", "ts")
+    denied = stage(surely_denied(due, carry, used, quota), "denied")
+    asked = mail.join(denied.select("id"), "id", "left_anti")
+    resolved = stage(resolve_attempts(scorer(prompt_rows(asked))), "resolved")
+    ended = resolved.select(
+        F.col("message_id").alias("id"), (F.col("method") != FALLBACK["method"]).alias("ok")
+    )
+    calls = due.join(denied.select("id"), "id", "left_anti").join(ended, "id", "left")
+    limited, states, now_used = apply_limits(
+        calls.fillna(False, "ok"), quota, limit, ttl_ms, carry, used
+    )
+    made = limited.where(F.col("outcome").isin("ok", "failed")).select(F.col("id").alias("message_id"))
+    return _with_verdicts(mail, resolved.join(made, "message_id", "left_semi")), states, now_used

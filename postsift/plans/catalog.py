@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -455,6 +457,36 @@ def keyword_scores(spark, sf_dir):
     return scored.select("message_id", "priority", "label", "method")
 
 
+def _planted_call(rows):
+    """Answers with the model's name; some messages are refused, fail, get no JSON or raise."""
+    number = rows["message_id"].str[3:].astype("int64")
+    model = rows["model"].iloc[0]
+    if model == scoring.SECOND_MODEL:
+        refused, failed, junk, raised = number % 4 == 0, number < 0, number < 0, number % 4 == 1
+    elif model == scoring.LAST_MODEL:
+        refused, failed, junk, raised = number < 0, number % 5 == 0, number < 0, number < 0
+    else:
+        refused, failed, junk, raised = (number % 6 == i for i in range(4))
+    if raised.any():
+        raise ValueError("planted")
+    answer = '{"priority":"High","summary":"%s","label":"Chain"}' % model
+    status = np.select([refused, failed], [429, 503], 200)
+    return pd.DataFrame({"status": status, "content": np.where(junk, "no answer", answer)})
+
+
+@query
+def scored_chain(spark, sf_dir):
+    """The live chain over all mail the rules left open, and its tries."""
+    none = F.array().cast("array<string>")
+    mail = _ruled(spark, sf_dir).select(
+        "id", "from_addr", "subject", "snippet", "verdict", F.col("body").alias("body_text"),
+        F.lit("").alias("attachment_text"), none.alias("images"),
+    )
+    tries = scoring.chain_scorer(_planted_call)(scoring.prompt_rows(mail))
+    counted = tries.groupBy("message_id").agg(F.count(F.lit(1)).alias("n_tries"))
+    return scoring.resolve_attempts(tries).join(counted, "message_id")
+
+
 @query
 def daily_classifications(spark, sf_dir):
     resolved = scoring.resolve_attempts(fx.read_view(spark, sf_dir, "fx_attempt"))

@@ -318,6 +318,16 @@ ORACLES["keyword_scores"] = f"""WITH {RULED}, p AS (SELECT id, {_PROMPT_BODY} AS
       WHEN t LIKE '%ssn%' OR t LIKE '%card%' THEN 'High' WHEN t LIKE '%bearer%' THEN 'Medium' ELSE 'Low' END AS priority,
     'Keyword' AS label, 'openrouter' AS method FROM p"""
 
+ORACLES["scored_chain"] = f"""WITH {RULED}, p AS (SELECT id, doc_id AS n, n % 6 < 4 AS b1, n % 4 < 2 AS b2,
+    n % 5 = 0 AS b3 FROM ruled WHERE rule IS NULL)
+  SELECT id AS message_id, CASE WHEN b1 AND b2 AND b3 THEN 'Medium' ELSE 'High' END AS priority,
+    CASE WHEN NOT b1 THEN 'openrouter/auto' WHEN NOT b2 THEN 'deepseek/deepseek-v4-flash'
+      WHEN NOT b3 THEN '@cf/meta/llama-3.3-70b-instruct-fp8-fast' ELSE 'Classification unavailable' END AS summary,
+    CASE WHEN b1 AND b2 AND b3 THEN 'Other' ELSE 'Chain' END AS label,
+    CASE WHEN b1 AND b2 AND b3 THEN 'fallback' WHEN b1 AND b2 THEN 'workers-ai' ELSE 'openrouter' END AS method,
+    CASE WHEN NOT b1 THEN 1 ELSE CASE WHEN n % 6 = 0 THEN 1 ELSE 2 END
+      + CASE WHEN NOT b2 THEN 1 WHEN n % 4 = 0 THEN 2 ELSE 3 END END::BIGINT AS n_tries FROM p"""
+
 ORACLES["daily_classifications"] = f"""WITH {RESOLVED}, started AS (
     SELECT 'm' || (event_id // 5) AS message_id, min(ts) AS ts FROM events GROUP BY ALL)
   SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM resolved JOIN started USING (message_id)

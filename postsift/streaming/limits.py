@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.limits import BREAKER_MS, DAILY_QUOTA, FAILURE_LIMIT, apply_limits
-from .tables import read_batch, snapshot_before, write_batch
+from .tables import snapshot_before, write_batch
 
 BREAKER_STATE = "service string, open_until bigint, fails bigint, last_fail bigint"
 QUOTA_STATE = "service string, day bigint, used bigint"
@@ -30,21 +30,27 @@ def limit_calls(
     """A ``foreachBatch`` function; writes ``calls``, ``breaker`` and ``quota`` below ``path``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        carry = snapshot_before(
-            spark, f"{path}/breaker", batch_id, spark.createDataFrame([], BREAKER_STATE)
-        )
-        used = snapshot_before(
-            spark, f"{path}/quota", batch_id, spark.createDataFrame([], QUOTA_STATE)
-        )
+        carry, used = limits_before(batch.sparkSession, path, batch_id)
         limited, states, now_used = apply_limits(batch, quota, limit, ttl_ms, carry, used)
         write_batch(limited, f"{path}/calls", batch_id)
-        idle = carry.join(states, "service", "left_anti")
-        write_batch(states.unionByName(idle), f"{path}/breaker", batch_id)
-        calls = read_batch(spark, f"{path}/calls", batch_id)
-        last = calls.groupBy("service").agg(F.max("day").alias("_last"))
-        recent = F.col("_last").isNull() | (F.col("day") > F.col("_last") - QUOTA_DAYS)
-        kept = now_used.join(last, "service", "left").where(recent).drop("_last")
-        write_batch(kept, f"{path}/quota", batch_id)
+        keep_limits(path, batch_id, carry, states, now_used)
 
     return run
+
+
+def limits_before(spark: SparkSession, path: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """Breaker states and the days' use that earlier micro-batches have left."""
+    carry = snapshot_before(spark, f"{path}/breaker", batch_id, spark.createDataFrame([], BREAKER_STATE))
+    used = snapshot_before(spark, f"{path}/quota", batch_id, spark.createDataFrame([], QUOTA_STATE))
+    return carry, used
+
+
+def keep_limits(
+    path: str, batch_id: int, carry: DataFrame, states: DataFrame, used: DataFrame
+) -> None:
+    """Write the states of all services, and the use of each service's last days."""
+    idle = carry.join(states, "service", "left_anti")
+    write_batch(states.unionByName(idle), f"{path}/breaker", batch_id)
+    last = used.groupBy("service").agg(F.max("day").alias("_last"))
+    recent = F.col("day") > F.col("_last") - QUOTA_DAYS
+    write_batch(used.join(last, "service").where(recent).drop("_last"), f"{path}/quota", batch_id)

@@ -12,6 +12,7 @@ from ..session import remove, scratch_path, stage_at
 from ..sources.attachments import STORE, with_attachments
 from ..sources.messages import parse_messages
 from ..sources.tables import RuleConfig
+from . import limits
 from .tables import read_all, read_batch, read_before, write_batch
 
 Sink = Callable[[DataFrame, int], None]
@@ -24,6 +25,7 @@ def triage(
     column: str = "message",
     charset: str = "ISO-8859-1",
     store: DataFrame | None = None,
+    quota: int | None = None,
 ) -> Sink:
     """Raw messages ``(message JSON, received_at)`` to settled mail and its consequences.
 
@@ -34,7 +36,8 @@ def triage(
     is written first and everything else is derived from what was written, so a scorer that
     answers differently on a retry cannot split a mail between routes: ``immediate``
     notifications, ``queue`` rows, mailbox ``actions``, the ``log``, and ``alerts`` for what
-    could not be read.
+    could not be read. With ``quota`` the scorer is one service behind the daily quota and the
+    breaker, which go on from micro-batch to micro-batch by ``received_at``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -73,7 +76,15 @@ def triage(
         repeats = stage_at(_repeats(good, batch_id), f"{work}/repeats")
         write_batch(repeats.select("id", "received_at"), f"{path}/duplicates", batch_id)
         mail = good.join(repeats.select("_row"), "_row", "left_anti").drop("_row")
-        settled = scoring.classify(rules.apply_rules(mail, config), scorer)
+        ruled = rules.apply_rules(mail, config)
+        if quota is None:
+            settled = scoring.classify(ruled, scorer)
+        else:
+            carry, used = limits.limits_before(spark, path, batch_id)
+            ts = F.coalesce(F.col("received_at").cast("bigint"), F.lit(0).cast("bigint"))
+            called = ruled.withColumns({"service": F.lit("scorer"), "ts": ts})
+            settled, states, now_used = scoring.classify_within_limits(called, scorer, carry, used, quota)
+            limits.keep_limits(path, batch_id, carry, states, now_used)
         write_batch(
             routing.add_route(settled).select(
                 "id",

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,52 @@ def test_prompt_rows_leave_out_ruled_mail(spark):
     nobody = scoring.recorded_scorer(spark.createDataFrame([], scoring.ATTEMPT))
     settled = scoring.classify(full, nobody).select("id", "verdict.priority", "verdict.method")
     assert rows(settled, "id") == [("m", "Ignore", "rule"), ("open", "Medium", "fallback")]
+
+
+def open_mail(spark, n):
+    none = F.array().cast("array<string>")
+    return spark.range(n).select(
+        F.format_string("m%02d", "id").alias("id"), F.lit("a@b.example").alias("from_addr"),
+        F.lit("s").alias("subject"), F.lit("").alias("snippet"), F.lit("t").alias("body_text"),
+        F.lit("").alias("attachment_text"), F.lit(None).cast(rules.VERDICT).alias("verdict"),
+        F.when(F.col("id") < 3, F.array(F.lit("data:1"))).otherwise(none).alias("images"),
+        F.lit("x").alias("service"), (F.col("id") * 1000).alias("ts"),
+    )
+
+
+def test_chain_scorer(spark):
+    """A refusal skips the second try, a row that raises costs itself only, the last model sees no image."""
+
+    def call(rows):
+        if (rows["message_id"] == "m01").any() and rows["model"].iloc[0] != scoring.LAST_MODEL:
+            raise ValueError("m01")
+        last = rows["model"] == scoring.LAST_MODEL
+        summary = rows["model"].str[-4:] + rows["parts"].map(len).astype(str)
+        status = 200 + 200 * ((rows["message_id"] == "m02") & ~last)
+        return pd.DataFrame({"status": status, "content": summary.map(lambda x: GOOD % x)})
+
+    tries = scoring.chain_scorer(call)(scoring.prompt_rows(open_mail(spark, 5)))
+    ranks = tries.groupBy("message_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    got = rows(scoring.resolve_attempts(tries).join(ranks, "message_id").select("message_id", "summary", "ranks"), "message_id")
+    last = scoring.LAST_MODEL[-4:] + "1"
+    assert got == [("m00", scoring.VISION_MODEL[-4:] + "2", [0]), ("m01", last, [0, 1, 2, 3, 4]), ("m02", last, [0, 2, 4]),
+                   ("m03", "auto1", [0]), ("m04", "auto1", [0])]
+
+
+def test_no_call_is_made_that_the_limits_deny_for_sure(spark):
+    asked = []
+
+    def scorer(prompts):
+        asked.append(sorted(r.message_id for r in prompts.collect()))
+        return prompts.select("message_id", F.lit(0).alias("rank"), F.lit(200).alias("status"), F.lit(GOOD % "y").alias("content"))
+
+    carry = spark.createDataFrame([("x", 3000, 0, 0)], "service string, open_until bigint, fails bigint, last_fail bigint")
+    used = spark.createDataFrame([("x", 0, 1)], "service string, day bigint, used bigint")
+    settled, _, now = scoring.classify_within_limits(open_mail(spark, 8), scorer, carry, used, quota=4)
+    assert asked == [[f"m{i:02d}" for i in range(3, 8)]]
+    assert rows(settled.select("id", "verdict.method"), "id") == [
+        (f"m{i:02d}", "openrouter" if 3 <= i < 6 else "fallback") for i in range(8)
+    ]
+    assert rows(now) == [("x", 0, 4)]
+    settled, _, _ = scoring.classify_within_limits(open_mail(spark, 8), scorer, carry, now, quota=4)
+    assert asked[1] == [] and settled.where("verdict.method = 'fallback'").count() == 8
