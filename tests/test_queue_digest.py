@@ -106,6 +106,16 @@ def test_flush_assignment_equals_a_simulated_schedule(spark, cap):
     assert got == want
 
 
+def test_each_mailbox_has_its_own_flushes(spark):
+    given = [(f"e{i}", "High", NOW + i % 3) for i in range(30)]
+    box = F.concat(F.lit("box"), F.col("id").substr(2, 9).cast("int") % 2)
+    both = queue.assign_flush(pending(spark, *given).withColumn("box", box), 4, ("box", "priority"))
+    for i in range(2):
+        alone = queue.assign_flush(pending(spark, *given[i::2]), 4)
+        want = rows(alone.select("id", "sent_tick"), "id")
+        assert rows(both.where(F.col("box") == f"box{i}").select("id", "sent_tick"), "id") == want
+
+
 def test_not_necessary_is_flushed_at_five_pm(spark):
     midnight = NOW
     table = pending(

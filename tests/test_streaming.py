@@ -171,6 +171,27 @@ def test_triage_stream(spark, tmp_path):
     check()
 
 
+def test_triage_stream_keeps_the_quota(spark, tmp_path):
+    """One scored mail a day: the next one gets the fallback, in the same micro-batch or later."""
+    feed = Feed(spark, tmp_path, "message string, received_at bigint")
+    out = f"{tmp_path}/out"
+    sink = triage.triage(out, scoring.keyword_scorer({"Critical": ("urgent",)}), quota=1)
+    day = 86_400_000
+    batches = [
+        [(mail("m1", "Urgent!"), 1), (mail("m2", "Urgent!"), 2), (mail("m3", "sale", ["SPAM"]), 3)],
+        [(mail("m4", "Urgent!"), 4), (mail("m5", "Urgent!"), day + 1)],
+    ]
+    feed.run(batches, lambda: feed.source().writeStream.foreachBatch(sink))
+
+    def check():
+        got = rows(tables.read_all(spark, f"{out}/settled").select("id", "verdict.method"), "id")
+        assert got == [("m1", "openrouter"), ("m2", "fallback"), ("m3", "rule"), ("m4", "fallback"), ("m5", "openrouter")]
+
+    check()
+    sink(spark.createDataFrame(batches[1], feed.schema), 1)  # a retry
+    check()
+
+
 def test_triage_stream_reads_attachments(spark, tmp_path):
     import base64
 
