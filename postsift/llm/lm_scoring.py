@@ -5,12 +5,12 @@ vocabulary, one set of bigrams and one smoothing, so their losses can be compare
 document's score is the mean over its tokens of target loss minus background loss, in bits: the lower,
 the more it reads like the target.
 
-Counts cover every word of every document. The vocabulary holds the words that make up at least
-1 / ``2**17`` of the words of either corpus, the bigram set the pairs that make up at least
-1 / ``2**19`` of the pairs of either; rarer words are one unknown word, rarer pairs are backed off. A
-share cannot be reached by more than its inverse, so a model has at most 2**18 words and 2**20 pairs,
-whatever the input, and can be sent to every executor. Probabilities: bigrams by absolute discounting,
-with all discounted and unlisted mass given to add-one unigrams, so each context sums to one.
+Nothing is pruned: every word and every pair of the corpus is counted, and scoring looks every pair
+up. Counts are tables that grow with the input; a document's distinct pairs are joined to them by a
+shuffle, which splits pairs that very many documents have, so no task holds a model. Probabilities:
+bigrams by absolute discounting, with the discounted mass given to add-one unigrams, in which one more
+word stands for all that the corpus lacks, so each context sums to one. Words are known by 64-bit
+hashes, and so are pairs.
 
 Defined cases: null and empty texts have no tokens, entropies 0 and score 0; a text of any length is
 read whole; repeated rows count as often as they stand; ids of the target that no document has are
@@ -20,42 +20,56 @@ empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import release, stage
+from ..session import release, remove, scratch_path, stage, stage_at
 from .common import by_task
 
-WORD_SHARE, PAIR_SHARE, DISCOUNT = 2**17, 2**19, 0.5
-UNKNOWN, START = 0, 1  # ids ahead of the vocabulary
+DISCOUNT = 0.5
+UNKNOWN, START = 0, 1  # ids ahead of the vocabulary of a model in memory
 
 # Target ids are broadcast up to this number (32 MB), and joined by a shuffle beyond it.
 MOST_BROADCAST = 4_000_000
 
-# A task hands on its counts when it has so many different words, or so many pairs.
-FLUSH = 1 << 19
+# A task hands on its counts after so many pairs, and forgets the hashes of so many words.
+FLUSH = 1 << 21
+FORGET = 1 << 19
 
 
 @dataclass(frozen=True)
 class Model:
     """Log2 probabilities of both models, column 0 target and 1 background.
 
-    ``pairs`` are context * size + word, ascending; ``pair_logs`` their probabilities; any other pair
-    has ``back_off[context] + word_logs[word]``.
+    ``words`` are hashes, ascending. ``pairs`` are context * size + word, ascending; ``pair_logs``
+    their probabilities; any other pair has ``back_off[context] + word_logs[word]``.
     """
 
-    words: list[str]
+    words: np.ndarray
     pairs: np.ndarray
     pair_logs: np.ndarray
     back_off: np.ndarray
     word_logs: np.ndarray
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, worked out when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= FORGET:
+            self.clear()
+        self[word] = out = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+        return out
+
+
+# What stands before the first word: no word is empty.
+START_HASH = _Hashes()[""]
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -73,111 +87,179 @@ def marked(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -
     )
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n, n_target), summed up in each task before the shuffle."""
-
-    def run(parts):
-        every, target = Counter(), Counter()
-
-        def flushed():
-            words = list(every)
-            return {"word": words, "n": [every[w] for w in words], "n_target": [target[w] for w in words]}
-
-        for part in parts:
-            for text, wanted in zip(part.column("text").to_pylist(), part.column("target").to_pylist(), strict=True):
-                words = words_of(text)
-                every.update(words)
-                if wanted:
-                    target.update(words)
-            if len(every) >= FLUSH:
-                yield flushed()
-                every, target = Counter(), Counter()
-        yield flushed()
-
-    counts = by_task(rows, run, "word string, n long, n_target long")
-    return counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def _ids(texts: list[str], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all texts in one array, each text led by START; and the texts' lengths."""
-    out, lengths, known = [], [], number.get
+def _pairs(texts: list[str], known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of context and word of every word of every text, and the number of its text."""
+    ids, lengths = [], []
     for text in texts:
         words = words_of(text)
-        out.append(START)
-        out += [known(w, UNKNOWN) for w in words]
+        ids.append(START_HASH)
+        ids += [known[w] for w in words]
         lengths.append(len(words))
-    return np.array(out, dtype=np.int64), np.array(lengths, dtype=np.int64)
+    hashes, counts = np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64)
+    inner = np.ones(len(hashes), dtype=bool)
+    inner[np.concatenate([[0], np.cumsum(counts + 1)[:-1]])] = False
+    at = np.flatnonzero(inner)
+    return hashes[at - 1], hashes[at], np.repeat(np.arange(len(counts)), counts)
 
 
-def _pairs(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the pairs that end in a word of a text, and the number of the text of each."""
-    inner = np.ones(len(ids), dtype=bool)
-    inner[np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])] = False
-    at = np.flatnonzero(inner)
-    return ids[at - 1] * size + ids[at], np.repeat(np.arange(len(lengths)), lengths)
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
 
 
-def pair_counts(rows: DataFrame, words: list[str]) -> DataFrame:
-    """(pair, n, n_target) over the vocabulary, summed up in each task before the shuffle."""
-    size = len(words) + 2
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(context, word, n, n_target) of every pair, summed up in each task before the shuffle."""
 
     def run(parts):
-        number = {w: i + 2 for i, w in enumerate(words)}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        known = _Hashes()
+        held: list[tuple[np.ndarray, ...]] = []
         n = 0
 
         def flushed():
-            keys, wanted = (np.concatenate(c) for c in zip(*held, strict=True))
-            distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-            target = np.bincount(inverse[wanted], minlength=len(distinct))
-            return {"pair": distinct, "n": counts, "n_target": target}
+            context, word, wanted = (np.concatenate(c) for c in zip(*held, strict=True))
+            # In order of the contexts, which then take little room in files.
+            order = np.lexsort((word, context))
+            context, word, wanted = context[order], word[order], wanted[order].astype(np.int64)
+            first = _firsts(context, word)
+            counts = np.diff(first, append=len(word))
+            target = np.add.reduceat(wanted, first) if len(first) else wanted
+            return {"context": context[first], "word": word[first], "n": counts, "n_target": target}
 
         for part in parts:
-            ids, lengths = _ids(part.column("text").to_pylist(), number)
-            keys, text = _pairs(ids, lengths, size)
+            context, word, text = _pairs(part.column("text").to_pylist(), known)
             wanted = np.array(part.column("target").to_pylist(), dtype=bool)
-            held.append((keys, wanted[text]))
-            n += len(keys)
-            if n >= 4 * FLUSH:
+            held.append((context, word, wanted[text]))
+            n += len(word)
+            if n >= FLUSH:
                 yield flushed()
                 held, n = [], 0
         if held:
             yield flushed()
 
-    counts = by_task(rows, run, "pair long, n long, n_target long")
-    return counts.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    counts = by_task(rows.select("text", "target"), run, "context long, word long, n long, n_target long")
+    return counts.groupBy("context", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """Of every word, and of the start: how often it stands, is a context, and of how many pairs.
+
+    Columns: key, n, n_target, listed, listed_target, kinds, kinds_target.
+    """
+    nothing = F.lit(0).cast("long")
+    as_word = pairs.select(
+        F.col("word").alias("key"), "n", "n_target", *[nothing.alias(c) for c in ("l", "l_target", "k", "k_target")]
+    )
+    as_context = pairs.select(
+        F.col("context").alias("key"),
+        nothing.alias("n"),
+        nothing.alias("n_target"),
+        F.col("n").alias("l"),
+        F.col("n_target").alias("l_target"),
+        F.lit(1).cast("long").alias("k"),
+        (F.col("n_target") > 0).cast("long").alias("k_target"),
+    )
+    names = {"n": "n", "n_target": "n_target", "l": "listed", "l_target": "listed_target", "k": "kinds", "k_target": "kinds_target"}
+    return as_word.unionByName(as_context).groupBy("key").agg(*[F.sum(c).alias(name) for c, name in names.items()])
+
+
+def pair_logs(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(pair, log_target, log_background) of every pair of the corpus; ``pair`` is ``pair_hash``."""
+    start = F.col("key") == START_HASH
+    totals = words.agg(
+        F.sum("n").alias("n"), F.sum("n_target").alias("n_target"), F.count_if(~start).alias("size")
+    ).first()
+
+    def unigram(name: str):
+        return (F.col(name) + 1) / F.lit(float((totals[name] or 0) + totals["size"] + 1))
+
+    def rest(end: str):
+        total = F.greatest(F.col(f"n{end}"), F.col(f"listed{end}"))
+        free = total - F.col(f"listed{end}") + DISCOUNT * F.col(f"kinds{end}")
+        # A context that a model lacks leaves all to the unigrams.
+        return [
+            F.greatest(total, F.lit(1)).alias(f"total{end}"),
+            F.when(total > 0, free / total).otherwise(1.0).alias(f"rest{end}"),
+        ]
+
+    contexts = words.select(F.col("key").alias("context"), *rest(""), *rest("_target"))
+    singles = words.select(
+        F.col("key").alias("word"), unigram("n").alias("single"), unigram("n_target").alias("single_target")
+    )
 
+    def log(end: str):
+        kept = F.greatest(F.col(f"n{end}") - DISCOUNT, F.lit(0.0))
+        return F.log2(kept / F.col(f"total{end}") + F.col(f"rest{end}") * F.col(f"single{end}")).cast("float")
 
-def _frequent(counts: DataFrame, share: int) -> tuple[pa.Table, dict[str, int]]:
-    """Rows with at least 1 / share of either total, and the totals."""
-    totals = counts.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
-    totals = {c: totals[c] or 0 for c in ("n", "n_target")}
-    often = (F.col("n") * share >= totals["n"]) | (
-        (F.col("n_target") * share >= totals["n_target"]) & (F.col("n_target") > 0)
+    return pairs.join(contexts, "context").join(singles, "word").select(
+        pair_hash().alias("pair"), log("_target").alias("log_target"), log("").alias("log_background")
+    )
+
+
+def pair_hash() -> Column:
+    return F.xxhash64("context", "word")
+
+
+def scores(rows: DataFrame, logs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, h_target, h_background, score of rows with doc_id and text."""
+
+    def run(parts):
+        known = _Hashes()
+        for part in parts:
+            context, word, text = _pairs(part.column("text").to_pylist(), known)
+            order = np.lexsort((word, context, text))
+            context, word, text = context[order], word[order], text[order]
+            first = _firsts(context, word, text)
+            row = part.column("row").to_numpy()
+            # One more entry a row, which weighs nothing, has the id: rows without a word stay.
+            nobody = np.full(len(first), None)
+            yield {
+                "row": np.concatenate([row[text[first]], row]),
+                "context": np.concatenate([context[first], row]),
+                "word": np.concatenate([word[first], row]),
+                "n": np.concatenate([np.diff(first, append=len(word)), np.zeros(len(row), np.int64)]),
+                "doc_id": [*nobody, *part.column("doc_id").to_pylist()],
+            }
+
+    numbered = rows.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    used = by_task(numbered, run, "row long, context long, word long, n long, doc_id long")
+    used = used.select("row", pair_hash().alias("pair"), "n", "doc_id")
+
+    def weighed(name: str):
+        return F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(name)).otherwise(0.0))
+
+    summed = used.join(logs, "pair", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.sum("n").alias("n_tokens"),
+        weighed("log_target").alias("t"),
+        weighed("log_background").alias("b"),
+    )
+    tokens = F.greatest(F.col("n_tokens"), F.lit(1))
+    each = summed.select("doc_id", "n_tokens", (-F.col("t") / tokens).alias("t"), (-F.col("b") / tokens).alias("b"))
+    return each.select(
+        "doc_id",
+        "n_tokens",
+        (F.col("t") + 0.0).alias("h_target"),
+        (F.col("b") + 0.0).alias("h_background"),
+        (F.col("t") - F.col("b") + 0.0).alias("score"),
     )
-    return counts.where(often).toArrow(), totals
 
 
 def fit(rows: DataFrame) -> Model:
-    """Models from doc_id, text and target."""
-    spark = rows.sparkSession
-    found, totals = _frequent(stage(word_counts(rows), "words"), WORD_SHARE)
-    order = np.argsort(np.array(found.column("word").to_pylist(), dtype=object)) if found.num_rows else []
-    words = [found.column("word")[int(i)].as_py() for i in order]
+    """Both models in memory, from doc_id, text and target; for tables that fit into it."""
+    found = pair_counts(rows).toArrow()
+    context, word = (found.column(c).to_numpy() for c in ("context", "word"))
+    own = np.column_stack([found.column(c).to_numpy() for c in ("n_target", "n")]).astype(float)
+    words = np.unique(word)
     counts = np.zeros((len(words) + 2, 2))
-    for column, name in enumerate(("n_target", "n")):
-        own = np.array(found.column(name).to_pylist(), dtype=float)
-        counts[2:, column] = own[order] if len(words) else 0
-        counts[UNKNOWN, column] = totals[name] - counts[2:, column].sum()
-    release(spark)
-    pairs, _ = _frequent(stage(pair_counts(rows, words), "pairs"), PAIR_SHARE)
-    release(spark)
-    key = np.array(pairs.column("pair").to_pylist(), dtype=np.int64)
-    own = np.column_stack([np.array(pairs.column(c).to_pylist(), dtype=float) for c in ("n_target", "n")])
-    return _model(words, counts, key, own)
+    at = np.searchsorted(words, word) + 2
+    np.add.at(counts, at, own)
+    before = np.where(context == START_HASH, START, np.searchsorted(words, context) + 2)
+    return _model(words, counts, before * (len(words) + 2) + at, own)
 
 
-def _model(words: list[str], counts: np.ndarray, key: np.ndarray, pair: np.ndarray) -> Model:
+def _model(words: np.ndarray, counts: np.ndarray, key: np.ndarray, pair: np.ndarray) -> Model:
     size = len(words) + 2
     order = np.argsort(key)
     key, pair = key[order], pair[order].reshape(-1, 2)
@@ -217,36 +299,19 @@ def token_logs(model: Model, keys: np.ndarray) -> np.ndarray:
     return logs
 
 
-def scores(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, h_target, h_background, score of rows with doc_id and text."""
-
-    def run(parts):
-        number = {w: i + 2 for i, w in enumerate(model.words)}
-        for part in parts:
-            ids, lengths = _ids(part.column("text").to_pylist(), number)
-            keys, text = _pairs(ids, lengths, len(model.words) + 2)
-            logs = token_logs(model, keys)
-            tokens = np.maximum(lengths, 1)
-            target = -np.bincount(text, weights=logs[:, 0], minlength=len(lengths)) / tokens
-            background = -np.bincount(text, weights=logs[:, 1], minlength=len(lengths)) / tokens
-            yield {
-                "doc_id": part.column("doc_id"),
-                "n_tokens": lengths,
-                "h_target": target + 0.0,
-                "h_background": background + 0.0,
-                "score": target - background + 0.0,
-            }
-
-    return by_task(
-        rows.select("doc_id", "text"),
-        run,
-        "doc_id long, n_tokens long, h_target double, h_background double, score double",
-    )
-
-
 def cross_entropy_difference(
     docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Score every row of ``docs``; ``target_ids`` has the wanted ids in its first column."""
     rows = marked(docs, target_ids, id_col, text_col)
-    return scores(rows, fit(rows))
+    spark = rows.sparkSession
+    at_pairs, at_words = scratch_path(spark, "pairs"), scratch_path(spark, "words")
+    pairs = stage_at(pair_counts(rows).sortWithinPartitions("context"), at_pairs)
+    release(spark)
+    words = stage_at(word_counts(pairs), at_words)
+    release(spark)
+    logs = stage(pair_logs(pairs, words), "pair-logs")
+    for path in (at_pairs, at_words):
+        remove(spark, path)
+    release(spark)
+    return scores(rows, logs)

@@ -317,6 +317,46 @@ def test_model_sums_to_one(plain):
         assert np.allclose(np.exp2(lm_scoring.token_logs(model, keys).astype(float)).sum(axis=0), 1, atol=1e-3)
 
 
+def test_scores_use_every_word_and_pair(spark):
+    """Against counts of all words in one process, on a corpus with words too rare for any share."""
+    words = [f"w{i}" for i in range(40)]
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(words, 4000)) for _ in range(100)]
+    texts += ["w1 rare0 w2", "w1 rare0 w2", "rare1 w1 rare0 rare2 rare3 rare4", "", "w1"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string")
+    wanted = set(range(90, 102))
+    target = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    out = lm_scoring.cross_entropy_difference(docs, target).collect()
+    single, pair, context = ([Counter(), Counter()] for _ in range(3))
+    for i, text in [*rows, rows[-1]]:
+        for k in (0, 1) if i in wanted else (1,):
+            ws = text.split()
+            single[k].update(ws)
+            pair[k].update(zip(["", *ws], ws))
+    for k in (0, 1):
+        context[k].update(c for c, _ in pair[k])
+
+    def entropy(text, k):
+        ws, total = text.split(), 0.0
+        size = sum(single[k].values()) + len(single[1]) + 1
+        for c, w in zip(["", *ws], ws):
+            listed = sum(n for (d, _), n in pair[k].items() if d == c)
+            n = single[k][c] if c else listed
+            p = (single[k][w] + 1) / size
+            if n:
+                p = max(pair[k][c, w] - 0.5, 0) / n + (n - listed + 0.5 * context[k][c]) / n * p
+            total -= np.log2(p)
+        return total / max(len(ws), 1)
+
+    assert len(out) == len(texts) + 1 and Counter(r.doc_id for r in out)[104] == 2
+    for r in out:
+        if r.doc_id >= 100:
+            h = [entropy(texts[r.doc_id], k) for k in (0, 1)]
+            assert np.allclose([r.h_target, r.h_background, r.score], [*h, h[0] - h[1]]), r
+            assert r.n_tokens == len(texts[r.doc_id].split())
+
+
 def test_empty_tables(spark, empty):
     path = vocabularies.path("word_bpe_49k.json")
     none = empty.select("doc_id")
