@@ -2,9 +2,9 @@
 
 A k-mer of a text's bytes is a closed syncmer if the least hash among its s-mers belongs to the first
 or the last of them. That depends on the k-mer alone, so equal passages have equal anchors wherever
-they stand. A fingerprint keeps the ``KEPT`` anchors with the least hashes, in order of their place,
-each with its byte offset. Two fingerprints are compared by the anchors that both have, as far as
-these stand in the same order: the longest such chain against all that could have matched.
+they stand. A fingerprint keeps all anchors of a text, in order of their place, each with its byte
+offset, so it grows with the text. Two fingerprints are compared by the anchors that both have, as far
+as these stand in the same order: the longest such chain against all that could have matched.
 
 Defined cases: null counts as empty; the empty text has the empty fingerprint, which is like itself
 and unlike all others; a text shorter than k is its own anchor; a repeated anchor counts once, at its
@@ -15,6 +15,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import by_task, id_and_text
 
-K, S, KEPT = 16, 6, 48
+K, S = 16, 6
 
 # Texts of fewer bytes use shorter anchors, else an edit may leave none.
 SHORT, SHORT_K, SHORT_S = 200, 8, 3
@@ -86,41 +87,62 @@ def anchors(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray
     return _mixed(out), place
 
 
-def fingerprint(data: bytes, kept: int = KEPT) -> list[tuple[int, int]]:
-    """(32-bit hash, offset) of the anchors with the least hashes, in order of offset."""
+def fingerprint(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit hash, offset) of all anchors, each hash at its first place, in order of offset."""
     hashes, places = anchors(data, SHORT_K, SHORT_S) if len(data) < SHORT else anchors(data)
-    hashes = hashes >> np.uint64(32)
-    if len(hashes) > 4 * kept:  # the least few, with room for repeats
-        limit = np.partition(hashes, 4 * kept)[4 * kept]
-        near = hashes <= limit
-        if len(np.unique(hashes[near])) >= kept:
-            hashes, places = hashes[near], places[near]
-    values, first = np.unique(hashes, return_index=True)
-    values, first = values[:kept], first[:kept]
-    return sorted(zip(values.tolist(), places[first].tolist(), strict=True), key=lambda a: (a[1], a[0]))
+    hashes = (hashes >> np.uint64(32)).astype(np.uint32)
+    first = np.sort(np.unique(hashes, return_index=True)[1])
+    return hashes[first], places[first]
 
 
-def text_of(anchors_: list[tuple[int, int]]) -> str:
-    """Eight hex digits of hash and as many of offset for each anchor."""
-    return "".join(f"{h:08x}{p:08x}" for h, p in anchors_)
+def text_of(print_: tuple[np.ndarray, np.ndarray]) -> str:
+    """Base64 of the number of anchors, their hashes, and the gaps between offsets.
 
+    Little-endian, four bytes each; a gap below 255 has one byte, others 255 there and four at the end.
+    """
+    hashes, places = print_
+    if not len(hashes):
+        return ""
+    gaps = np.diff(places, prepend=0)
+    packed = [
+        np.array([len(hashes)], "<u4"), hashes.astype("<u4"), np.minimum(gaps, 255).astype("u1"), gaps[gaps >= 255].astype("<u4")
+    ]
+    return base64.b64encode(b"".join(x.tobytes() for x in packed)).decode()
+
+
+def of_text(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint that ``text_of`` has written."""
+    if not text:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    data = base64.b64decode(text)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    gaps = np.frombuffer(data, "u1", n, 4 + 4 * n).astype(np.int64)
+    gaps[gaps == 255] = np.frombuffer(data, "<u4", offset=4 + 5 * n)
+    return np.frombuffer(data, "<u4", n, 4), np.cumsum(gaps)
 
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], kept: int = KEPT) -> float:
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Share of matching anchors, 0 to 1 (Dice).
 
-    Of the ``kept`` least hashes of both together, those that both have are matched by position: the
-    longest chain in the same order on both sides counts.
+    The anchors that both have are matched by position: the longest chain in the same order on both
+    sides counts.
     """
-    if not a or not b:
-        return float(a == b)
-    in_a, in_b = dict(a), dict(b)
-    union = sorted(in_a.keys() | in_b.keys())[:kept]
-    pairs = sorted((in_a[h], in_b[h]) for h in union if h in in_a and h in in_b)
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    _, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    places = b[1][in_b[np.argsort(in_a)]]
+    return 2 * _longest(places) / (len(a[0]) + len(b[0]))
+
+
+def _longest(places: np.ndarray) -> int:
+    """Length of the longest ascending chain."""
+    if (places[1:] > places[:-1]).all():
+        return len(places)
     chain: list[int] = []
-    for _, p in pairs:
+    for p in places.tolist():
         at = bisect_left(chain, p)
         chain[at : at + 1] = [p]
-    return 2 * len(chain) / (len(union) + len(chain))
+    return len(chain)
 
 
 def edited(text: str, following: str) -> str:

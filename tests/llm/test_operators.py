@@ -221,6 +221,33 @@ def test_closed_syncmers_do_not_depend_on_context():
     assert len(one) > 20 and all(inside[p] == h for h, p in zip(one.tolist(), at_one.tolist(), strict=True))
 
 
+def test_fingerprints_keep_all_anchors_of_long_texts(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, rng.integers(97, 123, 8))) for _ in range(20_050)]
+    passage = " ".join(words[:50])
+    texts = [" ".join([*words[50:10_000], passage, *words[10_000:10_050]]), " ".join([*words[10_050:], passage])]
+    out = syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    at = {}
+    for r in out:
+        hashes, places = syncmers.of_text(r.fingerprint)
+        every, places_of_all = syncmers.anchors(texts[r.doc_id].encode())
+        assert set(places.tolist()) <= set(places_of_all.tolist()) and len(hashes) >= 0.999 * len(np.unique(every))
+        at[r.doc_id] = dict(zip(hashes.tolist(), places.tolist(), strict=True))
+    # The shared passage has more anchors than a tenth of its bytes, in the same order in both.
+    shared = len(at[0].keys() & at[1].keys())
+    assert shared > len(passage) // 10
+    near = {r.doc_id: r.near_next for r in out}
+    assert abs(near[0] - 2 * shared / (len(at[0]) + len(at[1]))) < 0.001 and near[0] == near[1] > 0
+    assert all(0.6 < r.near_edited < 0.9 for r in out)
+
+
+def test_fingerprints_as_text():
+    for places in ([0], [3, 7, 262, 263, 700, 100_000]):
+        own = np.arange(len(places), dtype=np.uint32) + np.uint32(4_000_000_000), np.array(places)
+        back = syncmers.of_text(syncmers.text_of(own))
+        assert back[0].tolist() == own[0].tolist() and back[1].tolist() == places
+
+
 def test_packing_is_whole_and_tight(spark):
     cut = packing.pieces(spark.read.parquet(f"{SF_DIR}/documents.parquet"), vocabularies.path("byte_bpe_50k.json"))
     check_packed(packing.packed(cut).collect(), 0.97)
