@@ -7,8 +7,8 @@ offset, so it grows with the text. Two fingerprints are compared by the anchors
 as these stand in the same order: the longest such chain against all that could have matched.
 
 Defined cases: null counts as empty; the empty text has the empty fingerprint, which is like itself
-and unlike all others; a text shorter than k is its own anchor; a repeated anchor counts once, at its
-first place; a text of any length is read whole; a single row is followed by itself; rows that repeat
+and unlike all others; a text shorter than k, or without a closed syncmer, is its own anchor; a
+repeated anchor counts once, at its first place; a text of any length is read whole; a single row is followed by itself; rows that repeat
 an id follow each other in an order of their texts; a null id comes before all others; an empty table
 gives an empty result.
 """
@@ -77,8 +77,8 @@ def anchors(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray
     least = _run_least(small, k - s + 1)
     n = len(least)
     place = np.flatnonzero((small[:n] == least) | (small[k - s :] == least))
-    if not len(place):  # possible in theory only: the least s-mer of the text is an edge of some k-mer
-        return np.zeros(0, np.uint64), place
+    if not len(place):  # fewer than k + k - s - 1 bytes, with the least s-mer inside every k-mer
+        return _hashes(raw, len(raw)), np.zeros(1, np.int64)
     values = _BYTE[raw]
     out = values[place].copy()
     for j in range(1, k):

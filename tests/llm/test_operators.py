@@ -241,6 +241,16 @@ def test_fingerprints_keep_all_anchors_of_long_texts(spark):
     assert all(0.6 < r.near_edited < 0.9 for r in out)
 
 
+def test_short_texts_have_fingerprints():
+    rng = np.random.default_rng(4)
+    texts = sorted({rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in range(1, 15) for _ in range(60)})
+    prints = [syncmers.fingerprint(t) for t in texts]
+    assert all(len(p[0]) for p in prints)
+    none = syncmers.fingerprint(b"")
+    for t, p, after in zip(texts, prints, prints[1:] + prints[:1], strict=True):
+        assert syncmers.likeness(p, p) == 1 and syncmers.likeness(p, none) == 0 and syncmers.likeness(p, after) < 1, t
+
+
 def test_fingerprints_as_text():
     for places in ([0], [3, 7, 262, 263, 700, 100_000]):
         own = np.arange(len(places), dtype=np.uint32) + np.uint32(4_000_000_000), np.array(places)
