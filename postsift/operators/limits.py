@@ -511,8 +511,14 @@ def apply_limits(
     calls succeed; where these use up the day's quota it is left clean instead. Segments then
     compose like pieces, which gives each its entry state: two passes over the rows, however
     many days decide the next.
+
+    Calls that what is handed on denies, late ones of a used-up day among them, leave the breaker
+    as it is and do not take part in this.
     """
     dated = calls.select(*CALLS).withColumn("day", utc_day())
+    denied = None
+    if used is not None:
+        dated, denied = _denied_before(dated, quota, carry, used)
     runs = ordered_runs(dated, ["service"], ["ts", "id"], "calls")
     segments = broadcast_if_few(_segments(runs, quota, used), "quota-days")
     runs = runs.join(segments, ["service", "day"]).select(*runs.columns, "segment")
@@ -544,7 +550,44 @@ def apply_limits(
         .when(F.col("ok"), "ok")
         .otherwise("failed"),
     )
-    return out.drop("attempted", "in_quota", "tripped"), states, _used(out, used)
+    out = out.drop("attempted", "in_quota", "tripped")
+    if denied is not None:
+        out = out.unionByName(_denials(denied, folded, ttl_ms).select(*out.columns))
+        if carry is not None:
+            states = states.unionByName(carry.join(states, "service", "left_anti").select(*states.columns))
+    return out, states, _used(out, used)
+
+
+def _denied_before(
+    dated: DataFrame, quota: int, carry: DataFrame | None, used: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Calls to be settled; and those that the breaker (``_shut``) or the day's use denies already."""
+    spent = used.where(F.col("used") >= quota).select("service", "day", F.lit(True).alias("_spent"))
+    told = dated.join(spent, ["service", "day"], "left").fillna(False, "_spent")
+    if carry is None:
+        told = told.withColumn("_shut", F.lit(False))
+    else:
+        told = told.join(carry.select("service", F.col("open_until").alias("_until")), "service", "left")
+        told = told.withColumn("_shut", F.col("ts") < F.coalesce("_until", F.lit(0)))
+    gone = F.col("_shut") | F.col("_spent")
+    return told.where(~gone).select(*dated.columns), told.where(gone).select(*dated.columns, "_shut")
+
+
+def _denials(denied: DataFrame, folded: DataFrame, ttl_ms: int) -> DataFrame:
+    """``outcome`` of calls denied before; a trip on an earlier day may reach into a used-up one."""
+    trips = folded.where("tripped").groupBy("service", "day").agg(F.max("ts").alias("_trip"))
+    days = denied.select("service", "day").distinct().withColumn("_trip", F.lit(None).cast("bigint"))
+    earlier_days = Window.partitionBy("service").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    last = (
+        days.unionByName(trips)
+        .groupBy("service", "day")
+        .agg(F.max("_trip").alias("_trip"))
+        .select("service", "day", (F.max("_trip").over(earlier_days) + ttl_ms).alias("_closes"))
+    )
+    still_open = F.col("_shut") | (F.col("ts") < F.coalesce("_closes", F.lit(0)))
+    return denied.join(last, ["service", "day"], "left").withColumn(
+        "outcome", F.when(still_open, "open").otherwise("quota")
+    )
 
 
 def _segments(runs: DataFrame, quota: int, used: DataFrame | None) -> DataFrame:

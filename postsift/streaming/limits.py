@@ -10,15 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.limits import BREAKER_MS, DAILY_QUOTA, FAILURE_LIMIT, apply_limits
 from .tables import snapshot_before, write_batch
 
 BREAKER_STATE = "service string, open_until bigint, fails bigint, last_fail bigint"
 QUOTA_STATE = "service string, day bigint, used bigint"
-# Fixed value: a day's counter is kept for 25 hours; whole days here, so two.
-QUOTA_DAYS = 2
 
 
 def limit_calls(
@@ -48,9 +45,7 @@ def limits_before(spark: SparkSession, path: str, batch_id: int) -> tuple[DataFr
 def keep_limits(
     path: str, batch_id: int, carry: DataFrame, states: DataFrame, used: DataFrame
 ) -> None:
-    """Write the states of all services, and the use of each service's last days."""
+    """Write the states of all services, and the use of every day: a late call counts on its own day."""
     idle = carry.join(states, "service", "left_anti")
     write_batch(states.unionByName(idle), f"{path}/breaker", batch_id)
-    last = used.groupBy("service").agg(F.max("day").alias("_last"))
-    recent = F.col("day") > F.col("_last") - QUOTA_DAYS
-    write_batch(used.join(last, "service").where(recent).drop("_last"), f"{path}/quota", batch_id)
+    write_batch(used, f"{path}/quota", batch_id)

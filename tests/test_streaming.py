@@ -121,6 +121,42 @@ def test_limits_stream(spark, tmp_path):
     assert tables.read_all(spark, f"{tmp_path}/out/calls").count() == 600
 
 
+def test_late_calls_meet_the_quota_of_their_day(spark, tmp_path):
+    """Days late, a used-up day denies them, and the breaker stays as later calls have left it."""
+    feed = Feed(spark, tmp_path, "service string, id bigint, ts bigint, ok boolean")
+    day = 86_400_000
+    first, later = 19_000 * day, 19_005 * day
+    batches = [
+        [("a", 1, first, True), ("a", 2, first + 1, True), ("a", 3, first + 2, True)],
+        [("a", 4, later, False), ("a", 5, later + 1, False)],
+        [("a", 6, first + 3, True), ("a", 7, first + 4, True)],
+        [("a", 8, later - 3 * day, True), ("a", 9, first + 5, False)],
+        [("a", 10, later + 2, False), ("a", 11, later + 3, False), ("a", 12, later + 4, False), ("a", 13, later + 5, True)],
+        [("a", 14, first + 6, True), ("a", 15, later + 6, True), ("a", 16, later + 600_000, True)],
+    ]
+    sink = limits.limit_calls(f"{tmp_path}/out", quota=2, limit=3)
+    feed.run(batches, lambda: feed.source().writeStream.foreachBatch(sink))
+    got = outcomes(tables.read_all(spark, f"{tmp_path}/out/calls"))
+    want = "ok ok quota failed failed quota quota ok quota failed failed failed open open open ok"
+    assert [got["a", i] for i in range(1, 17)] == want.split()
+
+
+def test_late_calls_leave_the_breaker_as_it_is(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "service string, id bigint, ts bigint, ok boolean")
+    day = 86_400_000
+    first, later = 19_000 * day, 19_005 * day
+    batches = [
+        [("a", 1, first, True), ("a", 2, first + 1, True)],
+        [("a", 3, later, False), ("a", 4, later + 1, False)],
+        [("a", 5, first + 2, True)],
+        [("a", 6, later + 2, False), ("a", 7, later + 3, True)],
+    ]
+    sink = limits.limit_calls(f"{tmp_path}/out", quota=2, limit=3)
+    feed.run(batches, lambda: feed.source().writeStream.foreachBatch(sink))
+    got = outcomes(tables.read_all(spark, f"{tmp_path}/out/calls"))
+    assert [got["a", i] for i in range(1, 8)] == "ok ok failed failed quota failed open".split()
+
+
 def test_cursor_stream(spark, tmp_path):
     feed = Feed(spark, tmp_path, "account string, history_id string, ts bigint")
     first = spark.createDataFrame([("gmail:history_id:z", "0", 0)], STATE)
