@@ -166,6 +166,10 @@ def _gradients(params, x, y, weight, each: int):
     return [*grads, back.sum(axis=0), hidden.T @ p, p.sum(axis=0)]
 
 
+def _has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 class Predictor:
     """A network with the tables of neighbouring bytes added up in pairs."""
 
@@ -196,7 +200,7 @@ class Predictor:
 
     def predict(self, texts: list[str | None], step: int = 256) -> list[tuple[str, float]]:
         """(language, score) of each text; ``step`` windows go through the network together."""
-        counted = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
+        counted = [i for i, t in enumerate(texts) if _has_letter(t)]
         parts = [windows_of(texts[i].lower().encode()) for i in counted]
         out = [(UNKNOWN, 0.0)] * len(texts)
         if not parts:
@@ -248,14 +252,20 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def with_language(
     docs: DataFrame, network: Network | None, least_score: float = 0.0, text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or scored below ``least_score``."""
+    """``docs`` without the rows that have no letter, or whose language is scored below ``least_score``.
+
+    Without a network there are no scores, and every row with a letter stays.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
         predictor = Predictor(network) if network else None
         for batch in slices(batches):
             texts = batch.column(at).to_pylist()
-            found = predictor.predict(texts) if predictor else [(UNKNOWN, 0.0)] * len(texts)
-            yield batch.filter(pa.array([lang != UNKNOWN and p >= least_score for lang, p in found], pa.bool_()))
+            if predictor:
+                keep = [lang != UNKNOWN and p >= least_score for lang, p in predictor.predict(texts)]
+            else:
+                keep = [_has_letter(t) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -150,6 +150,15 @@ def test_language_edges(docs, empty):
     assert {r.lang_pred for r in language_id.languages(docs, None).collect()} == {"und"}
 
 
+def test_unlabelled_documents_stay(spark, plain):
+    import corpus_pipeline as pipeline
+
+    bare = plain.withColumn("lang", F.lit(None).cast("string"))
+    kept = pipeline.in_known_language(spark, bare, SF_DIR)
+    assert kept.columns == bare.columns
+    assert found(kept, "doc_id") == [(i,) for i in (1, 4, 5, 6, 7, 7, 8, 9, 10)]
+
+
 def test_substrings_equal_brute_force(spark, docs):
     query = entry.queries()["op5_substring_dedup"](spark, SF_DIR)
     assert found(query, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring(documents(spark))
