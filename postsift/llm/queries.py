@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    clustering,
+    collocations,
     exact_dedup,
     language_id,
     lm_scoring,
@@ -17,6 +19,7 @@ from . import (
     simhash,
     substring_dedup,
     syncmers,
+    token_counts,
     warc_archive,
 )
 from .common import table
@@ -127,3 +130,21 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         warc_archive.header_field("WARC-Type").alias("record_type"),
         F.when(warc_archive.header_field("WARC-Type") == "revisit", refers.cast("long")).alias("refers_to"),
     )
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 phrases of every language, with their counts."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, as lengths only."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's nearest of 40 centroids after five rounds."""
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
