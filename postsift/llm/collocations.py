@@ -27,6 +27,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,11 +40,16 @@ from ..session import stage
 from .common import by_task
 
 LONGEST = 4  # words of a phrase
-SHARDS = 6  # 30 / 6: a local support of 5
+SHARDS = 3  # 30 / 3: a local support of 10
 
-# Bytes of text that are hashed at once, and hashes or phrases a task holds before it combines them.
-SEGMENT = 4 << 20
+# Bytes of text that are hashed at once; hashes a task holds before it counts them, and different
+# phrases it holds before it hands them on.
+SEGMENT = 2 << 20
 COMBINE = 1 << 22
+HELD = 1 << 20
+
+# Parts in which the best phrases of a language are sought before they are ranked together.
+RANKED_IN = 16
 
 MOST_BITS = 1 << 30
 _SHARD_MASK = np.uint64(15)
@@ -52,6 +58,7 @@ _WORD, _BLANK, _BREAK = 0, 1, 2
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = _BLANK
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
+_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -87,13 +94,11 @@ def _rows(part: pa.RecordBatch, segment: int) -> Iterator[Row]:
     ):
         start = 0
         while len(text) - start > segment:
-            stop = start + segment
-            kinds = _KIND[np.frombuffer(text, np.uint8, offset=stop)] == _BREAK
-            if not kinds.any():
+            end = _ENDS.search(text, start + segment)
+            if end is None:
                 break
-            stop += int(kinds.argmax())
-            yield Row(lang, shard, text[start:stop])
-            start = stop
+            yield Row(lang, shard, text[start : end.start()])
+            start = end.start()
         yield Row(lang, shard, text[start:] if start else text)
 
 
@@ -284,9 +289,9 @@ def counted(
             for k, hashes, inside in words.grams(longest):
                 first = np.flatnonzero(known.has(hashes & ~_SHARD_MASK) & inside)
                 held.append(_found(words.langs, words.lang[first], words.texts(first, k), None))
-            if sum(t.num_rows for t in held) >= COMBINE // 4:
+            if sum(t.num_rows for t in held[1:]) >= HELD:
                 held = [_summed(held)]
-                if held[0].num_rows >= COMBINE // 8:
+                if held[0].num_rows >= HELD:
                     yield _columns(held[0])
                     held = []
         if held:
@@ -377,8 +382,11 @@ def collocations(
     frequent = mined(rows, support, shards, longest, segment)
     counts = stage(counted(rows, frequent, support, longest, segment), "counts")
     words = counts.where("phrase IS NULL").select("lang", F.col("n").alias("of_lang"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored(counts, share).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.join(words, "lang").select(
+    found = scored(counts, share).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_IN)))
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    for keys in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= top)
+    return found.join(words, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("of_lang").alias("n"), "score"
     )
