@@ -53,6 +53,7 @@ RANKED_IN = 16
 
 MOST_BITS = 1 << 30
 _SHARD_MASK = np.uint64(15)
+_BY_SHARD = 0x9E3779B1  # moves the bit of a hash to another place in every shard
 
 _WORD, _BLANK, _BREAK = 0, 1, 2
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -190,7 +191,8 @@ class Bits:
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), dtype=bool)
-        for place in (keys & self.mask, (keys >> np.uint64(34)) & self.mask):
+        in_shard = (keys >> np.uint64(4)) ^ ((keys & _SHARD_MASK) * np.uint64(_BY_SHARD))
+        for place in (in_shard & self.mask, (keys >> np.uint64(34)) & self.mask):
             byte = self.table[(place >> np.uint64(3)).astype(np.int64)]
             found &= (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return found
@@ -202,9 +204,9 @@ def bits_of(keys: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
     count = keys.count()
     while n < 16 * count and n < most_bits:
         n *= 2
-    places = F.array(
-        F.col("key").bitwiseAND(n - 1), F.shiftrightunsigned("key", 34).bitwiseAND(n - 1)
-    )
+    key, by_shard = F.col("key"), F.col("key").bitwiseAND(15) * F.lit(_BY_SHARD)
+    in_shard = F.shiftrightunsigned(key, 4).bitwiseXOR(by_shard)
+    places = F.array(in_shard.bitwiseAND(n - 1), F.shiftrightunsigned(key, 34).bitwiseAND(n - 1))
     maps = (
         keys.select(F.explode(places).alias("place"))
         .groupBy(F.shiftright("place", 15).alias("bucket"))
