@@ -89,15 +89,15 @@ def digests(flush: DataFrame, by: tuple[str, ...] = ("priority",)) -> DataFrame:
     )
 
 
-def tick_flushes(assigned: DataFrame) -> DataFrame:
+def tick_flushes(assigned: DataFrame, by: tuple[str, ...] = ("priority",)) -> DataFrame:
     """Chunk a whole history of flushes: queue position within the sending tick.
 
     ``assigned`` comes from ``assign_flush``; a tick sends at most its cap.
     """
-    first = assigned.groupBy("priority", "sent_tick").agg(F.min("pos").alias("_first"))
+    first = assigned.groupBy(*by, "sent_tick").agg(F.min("pos").alias("_first"))
     within = F.col("pos") - F.col("_first") + 1
     return (
-        assigned.join(first, ["priority", "sent_tick"])
+        assigned.join(first, [*by, "sent_tick"])
         .withColumn("chunk", chunk_of(within))
         .drop("_first")
     )

@@ -100,22 +100,32 @@ def tick_end(priority: Column, tick: Column) -> Column:
     return end
 
 
+def next_flush(after_ms: int) -> int:
+    """End of the first flush window, of any priority, that is still open at ``after_ms``."""
+    return min((after_ms - phase) // period * period + period + phase for period, phase in FLUSH_SCHEDULE.values())
+
+
 def assign_flush(
-    queue: DataFrame, cap: int = FLUSH_ROWS, by: tuple[str, ...] = ("priority",)
+    queue: DataFrame,
+    cap: int = FLUSH_ROWS,
+    by: tuple[str, ...] = ("priority",),
+    from_ms: int | None = None,
 ) -> DataFrame:
     """Which tick sends each row of a queue that sends at most ``cap`` rows per tick.
 
     Every combination of ``by`` is a queue of its own; several mailboxes in one table: put the
-    mailbox in ``by``, next to ``priority``, which names the schedule.
+    mailbox in ``by``, next to ``priority``, which names the schedule. With ``from_ms``, flushes up to
+    then are over: rows that arrived for one of them count as arriving for the first that is not.
 
     First come first served at ``cap`` rows a tick: with ``before(s)`` the rows that arrive
     before tick ``s``, row number ``pos`` arriving at tick ``a`` leaves in tick
     ``ceil((pos + max over s <= a of (cap * s - before(s))) / cap) - 1``. The maximum runs
     over one row per tick with arrivals, so rows only need an equi join with their own tick.
     """
-    scheduled = queue.withColumn("tick", tick_of(F.col("priority"), F.col("received_at"))).where(
-        F.col("tick").isNotNull()
-    )
+    tick = tick_of(F.col("priority"), F.col("received_at"))
+    if from_ms is not None:
+        tick = F.greatest(tick, tick_of(F.col("priority"), F.lit(from_ms).cast("bigint")))
+    scheduled = queue.withColumn("tick", tick).where(F.col("tick").isNotNull())
     placed = positions(scheduled, list(by), ["received_at", "id"])
     up_to = Window.partitionBy(*by).orderBy("tick")
     earlier = up_to.rowsBetween(Window.unboundedPreceding, -1)

@@ -545,3 +545,9 @@ ORACLES["stream_deliveries"] = f"""WITH {_PLACED}, {CALL}, delivered AS (SELECT
   flush AS (SELECT id, priority, (pos - 1) // 20 AS chunk FROM placed WHERE pos <= 100)
   SELECT pending.id, coalesce(last.sent, pending.sent_at) AS sent_at FROM pending
   LEFT JOIN flush USING (id) LEFT JOIN last ON last.priority = flush.priority AND last.chunk = flush.chunk"""
+
+ORACLES["stream_digests"] = ORACLES["digest_history"]
+ORACLES["stream_digest_marks"] = f"""WITH {_served(100)}, flush AS (SELECT *,
+    (row_number() OVER (PARTITION BY priority, sent_tick ORDER BY pos) - 1) // 20 AS chunk FROM assigned)
+  SELECT id, CASE WHEN chunk <> 1 THEN flush_at + chunk * 1000 END AS sent_at,
+    CASE WHEN chunk <> 1 THEN 'sent' ELSE 'waiting' END AS state FROM flush"""

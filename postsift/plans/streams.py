@@ -12,9 +12,9 @@ from ..operators import queue, scoring
 from ..session import scratch_path, stage
 from ..sources import push
 from ..sources.tables import STATE
-from ..streaming import dedupe, limits, tables, triage, windows
+from ..streaming import dedupe, digests, limits, tables, triage, windows
 from . import fixtures as fx
-from .catalog import SMALL_QUOTA, query
+from .catalog import SMALL_QUOTA, _flat, query
 
 PARTS = 3
 
@@ -26,16 +26,21 @@ def feed_in_parts(
 
     Every run resumes from the checkpoint of the run before.
     """
-    spark = rows.sparkSession
-    folder = scratch_path(spark, "stream")
+    feed_runs(parts_of(rows, order), start, scratch_path(rows.sparkSession, "stream"))
+
+
+def parts_of(rows: DataFrame, order: str) -> list[DataFrame]:
     low, high = rows.agg(F.min(order), F.max(order)).first()
     step = (high - low) // PARTS + 1
-    for part in range(PARTS):
-        begin = low + part * step
-        rows.where((F.col(order) >= begin) & (F.col(order) < begin + step)).write.mode(
-            "append"
-        ).parquet(f"{folder}/rows")
-        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/rows")
+    begins = [low + part * step for part in range(PARTS)]
+    return [rows.where((F.col(order) >= begin) & (F.col(order) < begin + step)) for begin in begins]
+
+
+def feed_runs(parts: list[DataFrame], start: Callable[[DataFrame], DataStreamWriter], folder: str) -> None:
+    """A run of the stream for each part, from the checkpoint of the run before."""
+    for rows in parts:
+        rows.write.mode("append").parquet(f"{folder}/rows")
+        source = rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/rows")
         run = start(source).option("checkpointLocation", f"{folder}/checkpoint")
         run.trigger(availableNow=True).start().awaitTermination()
 
@@ -150,3 +155,48 @@ def stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     feed_in_parts(attempts, "ts", to_sink(triage.mark_deliveries(out, flush)))
     return triage.current_queue(out, pending).select("id", "sent_at")
+
+
+# Long after the last arrival: every flush of every queue is over.
+ALL_SENT = fx.NOW_MS + 3650 * 86_400_000
+
+
+def _digest_events(df: DataFrame) -> DataFrame:
+    """Rows of the stream's schema, null where ``df`` lacks a column."""
+    empty = df.sparkSession.createDataFrame([], digests.EVENTS)
+    return empty.unionByName(df, allowMissingColumns=True).select(*empty.columns)
+
+
+def _send_all(spark: SparkSession, sf_dir: str, out: str, folder: str) -> None:
+    """The whole queue in parts of time, then a row that only moves the clock."""
+    rows = fx.pending(spark, sf_dir).drop("sent_at")
+    end = spark.range(1).select(F.lit(ALL_SENT).cast("bigint").alias("at"))
+    parts = [_digest_events(part) for part in [*parts_of(rows, "received_at"), end]]
+    feed_runs(parts, to_sink(digests.scheduled_digests(out)), folder)
+
+
+@query
+def stream_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of every tick that ever flushed, as the schedule sends them."""
+    out = scratch_path(spark, "digests")
+    _send_all(spark, sf_dir, out, scratch_path(spark, "stream"))
+    return _flat(digests.digests_sent(spark, out)).drop("flush_at")
+
+
+@query
+def stream_digest_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of all digests come back: rows of the second chunk of every flush wait again."""
+    out, folder = scratch_path(spark, "digests"), scratch_path(spark, "stream")
+    _send_all(spark, sf_dir, out, folder)
+    told = digests.digests_sent(spark, out).select(
+        "priority", "flush_at", "chunk", (F.col("chunk") != 1).alias("delivered"),
+        (F.col("flush_at") + F.col("chunk") * 1000).alias("at"),
+    )
+    feed_runs([_digest_events(stage(told, "told"))], to_sink(digests.scheduled_digests(out)), folder)
+    waiting = digests.queue_table(spark, out).read()
+    state = F.when(F.col("flush_at").isNull(), "waiting").otherwise("in flight")
+    return (
+        digests.marks(spark, out)
+        .select("id", "sent_at", F.lit("sent").alias("state"))
+        .unionByName(waiting.select("id", F.lit(None).cast("bigint").alias("sent_at"), state.alias("state")))
+    )

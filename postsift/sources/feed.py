@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import DAY_MS
+from ..tables.seen import SeenIds
 
 HISTORY_PAGE = (
     "struct<historyId:string,history:array<struct<id:string,"
@@ -111,15 +112,20 @@ def scan_fallback(
     )
 
 
-def unseen(ids: DataFrame, processed: DataFrame) -> DataFrame:
-    """Message ids not processed yet, each once."""
-    return ids.dropDuplicates(["account", "message_id"]).join(
-        processed.select("message_id"), "message_id", "left_anti"
-    )
+def unseen(ids: DataFrame, processed: DataFrame | SeenIds) -> DataFrame:
+    """Message ids not processed yet, each once.
+
+    ``processed`` is the table of all processed ids, or an index of them, of which only files are
+    opened that may hold one of ``ids``.
+    """
+    once = ids.dropDuplicates(["account", "message_id"])
+    if isinstance(processed, SeenIds):
+        return processed.unseen(once, "message_id")
+    return once.join(processed.select("message_id"), "message_id", "left_anti")
 
 
 def incoming_ids(
-    pages: DataFrame, messages: DataFrame, plan: DataFrame, processed: DataFrame, now_ms: int
+    pages: DataFrame, messages: DataFrame, plan: DataFrame, processed: DataFrame | SeenIds, now_ms: int
 ) -> DataFrame:
     """Feed ids, or fallback ids, that are new."""
     found = scan_feed(pages, plan).unionByName(scan_fallback(messages, plan, now_ms))

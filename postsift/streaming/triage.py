@@ -11,9 +11,11 @@ from ..operators import queue, routing, rules, scoring, state
 from ..session import remove, scratch_path, stage_at
 from ..sources.attachments import STORE, with_attachments
 from ..sources.messages import parse_messages
-from ..sources.tables import RuleConfig
+from ..sources.tables import STATE, RuleConfig
+from ..tables.seen import SeenIds
+from ..tables.versioned import BUCKETS, VersionedTable
 from . import limits
-from .tables import read_all, read_batch, read_before, write_batch
+from .tables import read_all, read_batch, write_batch
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -26,6 +28,7 @@ def triage(
     charset: str = "ISO-8859-1",
     store: DataFrame | None = None,
     quota: int | None = None,
+    seen_buckets: int = BUCKETS,
 ) -> Sink:
     """Raw messages ``(message JSON, received_at)`` to settled mail and its consequences.
 
@@ -49,6 +52,9 @@ def triage(
         finally:
             remove(spark, work)
         settled = read_batch(spark, f"{path}/settled", batch_id)
+        seen = SeenIds(spark, f"{path}/seen", seen_buckets)
+        seen.add(settled.select("id", F.col("received_at").cast("bigint").alias("seen_at")), batch_id)
+        seen.vacuum()
         urgent = settled.where("route = 'immediate'")
         write_batch(routing.immediate_notifications(urgent), f"{path}/immediate", batch_id)
         write_batch(queue.new_rows(settled), f"{path}/queue", batch_id)
@@ -103,12 +109,12 @@ def triage(
     def _repeats(good: DataFrame, batch_id: int) -> DataFrame:
         """Rows whose id has an earlier row here or in an earlier micro-batch; keys move alone.
 
-        The join with ``settled`` reads its ids only; ``settled`` keeps what must not come again.
+        Settled ids are asked of an index, which opens only files that may hold one of them.
         """
         rows = good.select("id", "received_at", "_row")
-        known = read_before(good.sparkSession, f"{path}/settled", batch_id, "id string")
+        seen = SeenIds(good.sparkSession, f"{path}/seen", seen_buckets)
         first = rows.groupBy("id").agg(F.min(F.struct("received_at", "_row"))["_row"].alias("_row"))
-        fresh = first.join(known, "id", "left_anti").select("_row")
+        fresh = seen.unseen(first, before_batch=batch_id).select("_row")
         return rows.join(fresh, "_row", "left_anti")
 
     return run
@@ -123,26 +129,32 @@ def _kept(batch: DataFrame, column: str) -> list[str]:
 
 
 def keep_cursors(path: str) -> Sink:
-    """Note the latest cursor per account of each micro-batch ``(account, history_id, ts)``.
+    """Keep the latest cursor per account of the micro-batches ``(account, history_id, ts)``.
 
-    A micro-batch writes its own changes only; ``current_state`` applies them all. The
-    cursor moves on even if some of the account's messages could not be read.
+    A micro-batch rewrites the buckets of its own accounts. The cursor moves on even if some of
+    the account's messages could not be read.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        table = _cursors(batch.sparkSession, path)
         changes = batch.select(
             F.concat(F.lit(state.CURSOR_PREFIX), F.col("account")).alias("key"),
             F.col("history_id").alias("value"),
             F.col("ts").alias("updated_at"),
         )
-        write_batch(state.latest(changes), path, batch_id)
+        table.update(state.latest(changes), state.upsert, batch_id)
+        table.vacuum()
 
     return run
 
 
+def _cursors(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, STATE, "key")
+
+
 def current_state(path: str, first: DataFrame) -> DataFrame:
     """``first`` with all changes that ``keep_cursors`` wrote."""
-    return state.upsert(first, read_all(first.sparkSession, path).select(*first.columns))
+    return state.upsert(first, _cursors(first.sparkSession, path).read())
 
 
 def mark_deliveries(path: str, flush: DataFrame, by: tuple[str, ...] = ("priority",)) -> Sink:

@@ -11,7 +11,7 @@ from conftest import rows
 from postsift.operators import queue, scoring
 from postsift.sources.attachments import STORE
 from postsift.sources.tables import PENDING, STATE
-from postsift.streaming import dedupe, limits, tables, triage, windows
+from postsift.streaming import dedupe, digests, limits, tables, triage, windows
 from test_limits import history, outcomes, simulate
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -252,3 +252,123 @@ def test_delivery_stream(spark, tmp_path):
     feed.run(batches, lambda: feed.source().writeStream.foreachBatch(sink))
     got = triage.current_queue(f"{tmp_path}/out", pending)
     assert rows(got.groupBy("sent_at").count(), "sent_at") == [(None, 5), (2, 20), (3, 20)]
+
+
+def flushes_by_hand(micro_batches, cap):
+    """Sends and marks of ``scheduled_digests``, one flush after the other."""
+    waiting, flying, clock, sent, marks = {}, {}, None, [], {}
+    for events in micro_batches:
+        outcomes = {}
+        for e in events:
+            if e.get("flush_at") is not None:
+                key = (e["mailbox"], e["priority"], e["flush_at"], e["chunk"])
+                ok, at = outcomes.get(key, (False, None))
+                if e["delivered"]:
+                    ok, at = True, e["at"] if at is None else min(at, e["at"])
+                outcomes[key] = (ok, at)
+        known = {**waiting, **flying}
+        for i, (row, key) in list(flying.items()):
+            if key in outcomes:
+                del flying[i]
+                if outcomes[key][0]:
+                    marks[i] = outcomes[key][1]
+                else:
+                    waiting[i] = row
+        for e in sorted((e for e in events if e.get("id")), key=lambda e: e["received_at"]):
+            if e["id"] not in known and e["id"] not in waiting:
+                waiting[e["id"]] = e
+        stated = [e["at"] if e.get("at") is not None else e["received_at"] for e in events]
+        new_clock = max([t for t in [clock, *stated] if t is not None], default=None)
+        ticks = []
+        for name, (period, phase) in queue.FLUSH_SCHEDULE.items():
+            first = min((e["received_at"] for e in waiting.values()), default=0) if clock is None else clock
+            at = (first - phase) // period * period + period + phase
+            while new_clock is not None and at <= new_clock:
+                ticks.append((at, name, period))
+                at += period
+        for at, name, _ in sorted(ticks):
+            for mailbox in {e["mailbox"] for e in waiting.values()}:
+                due = [e for e in waiting.values() if (e["mailbox"], e["priority"]) == (mailbox, name) and e["received_at"] < at]
+                for n, e in enumerate(sorted(due, key=lambda e: (e["received_at"], e["id"]))[:cap]):
+                    del waiting[e["id"]]
+                    flying[e["id"]] = (e, (mailbox, name, at, n // 20))
+                    sent.append((mailbox, name, at, n // 20, e["id"]))
+        clock = new_clock
+    return sorted(sent), marks, sorted(waiting), sorted(flying)
+
+
+def test_scheduled_digests(spark, tmp_path):
+    """Two mailboxes, late mail, failed and repeated outcomes, a run of the stream per micro-batch."""
+    import random
+
+    rng = random.Random(6)
+    schema = f"mailbox string, {digests.EVENTS}"
+    columns = [f.split()[0] for f in schema.split(", ")]
+    hour, start, cap = 3_600_000, int(T0.timestamp() * 1000), 25
+    feed = Feed(spark, tmp_path, schema)
+    out = f"{tmp_path}/out"
+    sink = digests.scheduled_digests(out, cap, mailbox=("mailbox",))
+    given, n = [], 0
+    for step in range(6):
+        events = []
+        if step < 4:
+            for _ in range(70):
+                n += 1
+                at = start + int(step * 3 * hour + rng.random() * 3 * hour) - (8 * hour if rng.random() < 0.05 else 0)
+                priority = rng.choice(["High", "High", "Medium", "Low", "Not Necessary", "Critical"])
+                events.append({"id": f"m{n:03d}", "mailbox": rng.choice("aab"), "priority": priority, "from_addr": "x <x@y.z>",
+                               "subject": "s", "summary": "t", "received_at": at})
+            events.append(dict(events[0]))
+        sent, marks, _, flying = flushes_by_hand(given, cap)
+        open_chunks = sorted({s[:4] for s in sent if s[4] in set(flying)})
+        for mailbox, priority, flush_at, chunk in open_chunks:
+            if rng.random() < 0.8:
+                told = {"mailbox": mailbox, "priority": priority, "flush_at": flush_at, "chunk": chunk,
+                        "delivered": rng.random() < 0.6, "at": start + step * 3 * hour}
+                events += [told] * rng.choice([1, 1, 2])
+        if step >= 4:
+            events.append({"at": start + step * 12 * hour})
+        given.append(events)
+        feed.run([[tuple(e.get(c) for c in columns) for e in events]], lambda: feed.source().writeStream.foreachBatch(sink))
+
+    def check():
+        sent, marks, waiting, flying = flushes_by_hand(given, cap)
+        assert {r.id: r.sent_at for r in digests.marks(spark, out).collect()} == marks and len(marks) > 40
+        left = digests.queue_table(spark, out, ("mailbox",)).read()
+        assert rows(left.where("flush_at IS NULL").select("id"), "id") == [(i,) for i in waiting]
+        assert rows(left.where("flush_at IS NOT NULL").select("id"), "id") == [(i,) for i in flying]
+        told = digests.digests_sent(spark, out)
+        counts: dict[tuple, int] = {}
+        for s in sent:
+            counts[s[:4]] = counts.get(s[:4], 0) + 1
+        got = {(r.mailbox, r.priority, r.flush_at, r.chunk): r.n for r in told.collect()}
+        assert got == counts and told.count() == len(counts)
+        assert len({s[4] for s in sent}) < len(sent)  # failed chunks went again
+
+    check()
+    last = [tuple(e.get(c) for c in columns) for e in given[-1]]
+    sink(spark.createDataFrame(last, schema), 5)  # a retry
+    check()
+
+
+def test_cursors_of_many_micro_batches_stay_in_few_files(spark, tmp_path):
+    sink = triage.keep_cursors(f"{tmp_path}/out")
+    schema = "account string, history_id string, ts bigint"
+    for i in range(25):
+        sink(spark.createDataFrame([(f"a{i % 9}", str(i), i)], schema), i)
+    got = triage.current_state(f"{tmp_path}/out", spark.createDataFrame([], STATE))
+    assert {int(r.value) for r in got.collect()} == set(range(16, 25))
+    table = triage._cursors(spark, f"{tmp_path}/out")
+    assert len(table.read().inputFiles()) <= 9 and len(table.numbers()) <= table.keep + 1
+
+
+def test_triage_asks_few_files_of_settled_ids(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    sink = triage.triage(out, scoring.keyword_scorer({}), seen_buckets=4)
+    schema = "message string, received_at bigint"
+    for i in range(3):
+        sink(spark.createDataFrame([(mail(f"m{i}-{j}", "lunch"), j) for j in range(20)], schema), i)
+    seen = triage.SeenIds(spark, f"{out}/seen", 4)
+    assert seen.table.read().count() == 60 and len(seen.table.current().files) > 6
+    fresh = spark.createDataFrame([(f"n{j}",) for j in range(20)], "id string")
+    assert seen.files_for(fresh) == []
