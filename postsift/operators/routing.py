@@ -50,12 +50,16 @@ def immediate_notifications(mail: DataFrame, priority: Column | None = None) ->
 def mailbox_actions(mail: DataFrame) -> DataFrame:
     """Label to add, and ``UNREAD`` to remove unless Critical; nothing for Ignore.
 
-    A mail whose label has no id in ``label_id`` keeps its removal.
+    Labels go by name, or by id where mail has one from ``labels.with_label_id``: a mail without an
+    id for its label then adds none and keeps its removal.
     """
     priority = F.col("verdict.priority")
+    label = F.concat(F.lit(LABEL_PREFIX), F.col("verdict.label"))
+    if "label_id" in mail.columns:
+        label = F.col("label_id")
     return mail.where(priority != "Ignore").select(
         "id",
-        F.array(F.concat(F.lit(LABEL_PREFIX), F.col("verdict.label"))).alias("add_labels"),
+        F.array_compact(F.array(label)).alias("add_labels"),
         F.when(priority == "Critical", F.array().cast("array<string>"))
         .otherwise(F.array(F.lit("UNREAD")))
         .alias("remove_labels"),

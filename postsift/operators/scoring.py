@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import parse_answer
@@ -319,6 +319,11 @@ def surely_denied(
     return known.where(denied).select("service", "id", "ts")
 
 
+# Calls of the first wave of a service, and most waves before all that is left is asked at once.
+FIRST_WAVE = 16
+MOST_WAVES = 40
+
+
 def classify_within_limits(
     mail: DataFrame,
     scorer: Scorer,
@@ -327,23 +332,73 @@ def classify_within_limits(
     quota: int = DAILY_QUOTA,
     limit: int = FAILURE_LIMIT,
     ttl_ms: int = BREAKER_MS,
+    first_wave: int = FIRST_WAVE,
+    most_waves: int = MOST_WAVES,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``classify`` for mail with ``service, ts``; also the breaker states and the days' use.
 
-    Calls that the limits left by earlier mail deny for sure never reach the scorer. How the
-    others of one batch end decides about each other, so these are asked and then limited in
-    their order: the smaller the batches, the fewer calls are made in vain.
+    The scorer is asked in waves, in the order of the calls, and every wave is folded before the
+    next: what the limits deny by then is not asked. A wave takes no more calls of a day than its
+    quota has left, so none is made in vain for the quota. For the breaker, which may open amid a
+    wave, a service's wave has ``first_wave`` calls at first, twice as many after each wave without a
+    call in vain, and ``first_wave`` again after one with some: between two of these, fewer calls are
+    made in vain than ``first_wave`` and those made before with effect. Waves grow like powers of two,
+    and their number stays below ``most_waves`` unless the breaker keeps opening; the last one asks
+    all that is left.
     """
-    due = mail.where(F.col("verdict").isNull()).select("service", "id", "ts")
-    denied = stage(surely_denied(due, carry, used, quota), "denied")
-    asked = mail.join(denied.select("id"), "id", "left_anti")
-    resolved = stage(resolve_attempts(scorer(prompt_rows(asked))), "resolved")
-    ended = resolved.select(
-        F.col("message_id").alias("id"), (F.col("method") != FALLBACK["method"]).alias("ok")
-    )
-    calls = due.join(denied.select("id"), "id", "left_anti").join(ended, "id", "left")
-    limited, states, now_used = apply_limits(
-        calls.fillna(False, "ok"), quota, limit, ttl_ms, carry, used
-    )
-    made = limited.where(F.col("outcome").isin("ok", "failed")).select(F.col("id").alias("message_id"))
-    return _with_verdicts(mail, resolved.join(made, "message_id", "left_semi")), states, now_used
+    left = stage(mail.where(F.col("verdict").isNull()).select("service", "id", "ts"), "due")
+    sizes = carry.select("service", F.lit(first_wave).cast("bigint").alias("size")).limit(0)
+    answers = []
+    for wave in range(1, most_waves + 1):
+        denied = surely_denied(left, carry, used, quota)
+        left = stage(left.join(denied.select("id"), "id", "left_anti").select(*left.columns), "due-left")
+        if left.isEmpty():
+            break
+        asked = left if wave == most_waves else _next_wave(left, used, sizes, quota, first_wave)
+        asked = stage(asked, "wave")
+        prompts = prompt_rows(mail.join(asked.select("id"), "id", "left_semi"))
+        resolved = stage(resolve_attempts(scorer(prompts)), "resolved")
+        ended = resolved.select(
+            F.col("message_id").alias("id"), (F.col("method") != FALLBACK["method"]).alias("ok")
+        )
+        calls = asked.join(ended, "id", "left").fillna(False, "ok")
+        limited, states, now_used = apply_limits(calls, quota, limit, ttl_ms, carry, used)
+        limited = stage(limited, "wave-outcomes")
+        made = F.col("outcome").isin("ok", "failed")
+        answers.append(
+            resolved.join(limited.where(made).select(F.col("id").alias("message_id")), "message_id", "left_semi")
+        )
+        idle = carry.join(states, "service", "left_anti")
+        carry = stage(states.unionByName(idle.select(*states.columns)), "wave-states")
+        used = stage(now_used, "wave-used")
+        sizes = stage(_next_sizes(limited, sizes, made, first_wave), "wave-sizes")
+        left = left.join(asked.select("id"), "id", "left_anti").select(*left.columns)
+    none = resolve_attempts(mail.sparkSession.createDataFrame([], ATTEMPT))
+    return _with_verdicts(mail, reduce(DataFrame.unionByName, answers, none)), carry, used
+
+
+def _next_wave(left: DataFrame, used: DataFrame, sizes: DataFrame, quota: int, first_wave: int) -> DataFrame:
+    """Of each service the first calls, up to its size and to the first day that lacks quota for more.
+
+    Both ranks are cut at a constant before their shuffle, so a service with very many calls sends a
+    few of them from each task.
+    """
+    most = max(first_wave, sizes.agg(F.max("size")).first()[0] or 0)
+    in_order = Window.partitionBy("service").orderBy("ts", "id")
+    ranked = left.withColumn("_rank", F.row_number().over(in_order)).where(F.col("_rank") <= most)
+    in_day = Window.partitionBy("service", "day").orderBy("ts", "id")
+    ranked = ranked.withColumn("day", utc_day()).withColumn("_of_day", F.row_number().over(in_day))
+    ranked = ranked.join(used.select("service", "day", "used"), ["service", "day"], "left")
+    ranked = ranked.join(sizes, "service", "left")
+    over = (F.col("_of_day") > F.lit(quota) - F.coalesce("used", F.lit(0))).cast("int")
+    ranked = ranked.withColumn("_over", F.max(over).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    fits = (F.col("_rank") <= F.coalesce("size", F.lit(first_wave))) & (F.col("_over") == 0)
+    return ranked.where(fits).select(*left.columns)
+
+
+def _next_sizes(limited: DataFrame, sizes: DataFrame, made: Column, first_wave: int) -> DataFrame:
+    """Twice the size after a wave without a call in vain, else the first size: a row a service."""
+    told = limited.groupBy("service").agg(F.bool_and(made).alias("clean")).join(sizes, "service", "full")
+    size = F.coalesce("size", F.lit(first_wave).cast("bigint"))
+    grown = F.when(F.col("clean").isNull(), size).when(F.col("clean"), 2 * size).otherwise(first_wave)
+    return told.select("service", grown.cast("bigint").alias("size"))

@@ -25,8 +25,10 @@ from ..functions.text import (
 )
 from ..operators import accounts as acc
 from ..operators import digest, labels, limits, queue, ranking, routing, rules, scoring, state, stats
-from ..session import configure, scratch_path
+from ..session import configure, scratch_path, stage
 from ..sources import attachments, feed, messages, push, tables
+from ..tables.seen import SeenIds
+from ..tables.versioned import VersionedTable
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +140,16 @@ def mailbox_actions(spark, sf_dir):
     )
 
 
+@query
+def labelled_actions(spark, sf_dir):
+    """Mailbox actions by label id, missing labels created first."""
+    mail = _settled(spark, sf_dir).withColumn("label", F.col("verdict.label"))
+    actions = routing.mailbox_actions(labels.with_label_id(mail, _labels(mail)))
+    return actions.select(
+        "id", joined("add_labels").alias("add_labels"), joined("remove_labels").alias("remove_labels")
+    )
+
+
 def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     what = F.concat(F.lit("bad: "), F.repeat(F.concat(F.lit("part of "), "id", F.lit("; ")), F.lit(30)))
     error = F.when(F.col("doc_id") % 9 == 0, what)
@@ -313,6 +325,18 @@ def feed_incoming(spark, sf_dir):
     return feed.incoming_ids(pages, mailbox, plan, seen, fx.NOW_MS).select("account", "message_id")
 
 
+@query
+def feed_incoming_indexed(spark, sf_dir):
+    """The same against an index of processed ids, made of three inserts."""
+    pages, plan, mailbox = _feed(spark, sf_dir)
+    seen = SeenIds(spark, scratch_path(spark, "seen"))
+    processed = fx.processed_messages(spark, sf_dir).where("message_id IS NOT NULL")
+    rows = stage(processed.selectExpr("message_id AS id", "processed_at AS seen_at"), "processed")
+    for part in range(3):
+        seen.add(rows.where(F.pmod(F.hash("id"), F.lit(3)) == part))
+    return feed.incoming_ids(pages, mailbox, plan, seen, fx.NOW_MS).select("account", "message_id")
+
+
 @query
 def account_syncs(spark, sf_dir):
     """Notifications with the cursor of their account."""
@@ -595,6 +619,20 @@ def retained_processed(spark, sf_dir):
     return queue.retain_processed(fx.processed_messages(spark, sf_dir), fx.NOW_MS)
 
 
+@query
+def versioned_queue(spark, sf_dir):
+    """The queue as a versioned table: inserted, marked, replayed and retained, bucket by bucket."""
+    rows = stage(fx.pending(spark, sf_dir), "pending")
+    table = VersionedTable(spark, scratch_path(spark, "queue"), tables.PENDING, "id")
+    table.insert(rows)
+    ids = rows.where("priority = 'Low'").select("id")
+    table.update(ids, lambda old, low: queue.mark_sent(old, low, REPLAY_SINCE - 1))
+    table.rewrite_where(queue.needs_replay(REPLAY_SINCE), lambda old: queue.replay(old, REPLAY_SINCE))
+    old_marks = F.col("sent_at") < fx.NOW_MS - queue.SENT_MEMORY_MS
+    table.rewrite_where(old_marks, lambda old: queue.retain_pending(old, fx.NOW_MS))
+    return table.read().select("id", "sent_at")
+
+
 @query
 def processed_inserts(spark, sf_dir):
     """Insert-or-ignore of every message of the feed into the processed table."""
@@ -674,6 +712,16 @@ def deliveries(spark, sf_dir):
     return digest.deliveries(notes)
 
 
+@query
+def server_bodies(spark, sf_dir):
+    """The JSON bodies of the next flush's digests, read back field by field."""
+    rows = digest.digests(queue.oldest_unsent(fx.pending(spark, sf_dir)))
+    body = digest.server_payload(F.col("title"), F.col("message"), F.col("priority_number"))
+    fields = "title string, message string, priority int, extras string"
+    read = rows.select("chunk", F.from_json(body, fields).alias("b"))
+    return read.select("chunk", "b.title", "b.message", F.col("b.priority").alias("server_priority"), "b.extras")
+
+
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven delivery attempts per payload, of which only the first four may count."""
     return fx.read_view(spark, sf_dir, "fx_call").select(
@@ -701,11 +749,14 @@ def delivered_marks(spark, sf_dir):
 def label_ids(spark, sf_dir):
     """Labels per account: known for odd label numbers, created for the others."""
     mail = _settled(spark, sf_dir).select("id", "account", "verdict.label")
+    return labels.with_label_id(mail, _labels(mail)).select("id", "account", "label", "label_id")
+
+
+def _labels(mail: DataFrame) -> DataFrame:
     known = mail.where("label IN ('Label1', 'Label3')").select(
         "account", F.concat(F.lit("AI/"), F.col("label")).alias("name")
     ).distinct().withColumn("label_id", F.concat(F.lit("known-"), F.col("name")))
-    every = labels.get_or_create_labels(mail, known)
-    return labels.with_label_id(mail, every).select("id", "account", "label", "label_id")
+    return labels.get_or_create_labels(mail.select("account", "label"), known)
 
 
 # --- statistics and accounts -----------------------------------------------------------

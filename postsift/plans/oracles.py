@@ -551,3 +551,17 @@ ORACLES["stream_digest_marks"] = f"""WITH {_served(100)}, flush AS (SELECT *,
     (row_number() OVER (PARTITION BY priority, sent_tick ORDER BY pos) - 1) // 20 AS chunk FROM assigned)
   SELECT id, CASE WHEN chunk <> 1 THEN flush_at + chunk * 1000 END AS sent_at,
     CASE WHEN chunk <> 1 THEN 'sent' ELSE 'waiting' END AS state FROM flush"""
+
+ORACLES["labelled_actions"] = f"""WITH {SETTLED} SELECT id, CASE WHEN label IN ('Label1', 'Label3') THEN 'known-AI/' || label
+    ELSE 'Label_' || left(sha256(account || chr(0) || 'AI/' || label), 16) END AS add_labels,
+    CASE priority WHEN 'Critical' THEN '' ELSE 'UNREAD' END AS remove_labels
+  FROM settled WHERE priority <> 'Ignore'"""
+ORACLES["server_bodies"] = f"""WITH {_FLUSH}, {_digests('flush', 'priority')}, {DIMENSION}
+  SELECT chunk, title, message, CASE number WHEN 5 THEN 10 WHEN 4 THEN 8 WHEN 3 THEN 5 ELSE number END AS server_priority,
+    '{{"client::display":{{"contentType":"text/markdown"}},"client::notification":{{}}}}' AS extras
+  FROM digest JOIN dim USING (priority)"""
+ORACLES["feed_incoming_indexed"] = ORACLES["feed_incoming"]
+ORACLES["versioned_queue"] = f"""WITH {PENDING}, marked AS (SELECT * REPLACE (CASE WHEN priority = 'Low' THEN {_SINCE - 1} ELSE sent_at END AS sent_at)
+    FROM pending),
+  again AS (SELECT id, CASE WHEN received_at >= {_SINCE} OR sent_at >= {_SINCE} THEN NULL ELSE sent_at END AS sent_at FROM marked)
+  SELECT id, sent_at FROM again WHERE sent_at IS NULL OR sent_at >= {fx.NOW_MS - DAY}"""

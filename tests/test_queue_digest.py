@@ -128,10 +128,10 @@ def test_not_necessary_is_flushed_at_five_pm(spark):
 
 
 def test_immediate_notification(spark):
-    mail = classified(spark, ("m", "Critical", 1)).withColumn("from_addr", F.lit("Acme Bank <security@acmebank.example>"))
+    mail = classified(spark, ("m", "Critical", 1)).withColumn("from_addr", F.lit("Harbour Office <desk@harbour.example>"))
     row = routing.immediate_notifications(mail).first()
     assert (row.priority, row.tags, row.markdown, row.message) == (5, ["rotating_light"], True, "sum")
-    assert row.title == "🔴 Acme Bank: Subj"
+    assert row.title == "🔴 Harbour Office: Subj"
 
 
 def test_digest_of_21_senders(spark):
@@ -143,7 +143,7 @@ def test_digest_of_21_senders(spark):
 
 
 def test_digest_groups_one_sender(spark):
-    shop = "ShopCo <orders@shopco.example>"
+    shop = "Tea Store <till@teas.example>"
     table = pending(
         spark,
         ("m1", "High", 1, None, shop, "shipped"),
@@ -152,9 +152,9 @@ def test_digest_groups_one_sender(spark):
     )
     row = digest.digests(queue.oldest_unsent(table)).first()
     link = "https://mail.google.com/mail/u/0/#inbox/"
-    assert row.title == "[3 emails] ShopCo, Hotel"
+    assert row.title == "[3 emails] Tea Store, Hotel"
     assert row.message == (
-        "- **ShopCo** (2):\n  - shipped\n  - delivered\n"
+        "- **Tea Store** (2):\n  - shipped\n  - delivered\n"
         f"  [link →]({link}m1) [link →]({link}m3)\n\n- **Hotel**: folio [link →]({link}m2)"
     )
 

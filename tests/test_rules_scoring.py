@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from conftest import rows
 from postsift.operators import rules, scoring
 from postsift.sources.tables import RuleConfig, read_rules
+from postsift.streaming import limits
 
 MAIL = "id string, from_addr string, subject string, labels array<string>, headers map<string,string>"
 UNSUBSCRIBE = {"list-unsubscribe": "<mailto:x@y.z>"}
 
 
-def mail(spark, sender="unknown@example.com", subject="Hello", labels=(), headers=None):
+def mail(spark, sender="someone@post.example", subject="Agenda", labels=(), headers=None):
     return spark.createDataFrame([("m", sender, subject, list(labels), headers or {})], MAIL)
 
 
@@ -22,14 +23,14 @@ def mail(spark, sender="unknown@example.com", subject="Hello", labels=(), header
         ({}, None),
         ({"subject": "Lunch at noon"}, None),
         ({"labels": ["STARRED"]}, None),
-        ({"labels": ["CATEGORY_PROMOTIONS"]}, ("Ignore", "Hello", "Ads", "rule")),
-        ({"labels": ["CATEGORY_SOCIAL"]}, ("Ignore", "Hello", "Ads", "rule")),
-        ({"labels": ["INBOX", "SPAM"]}, ("Ignore", "Hello", "Ads", "rule")),
-        ({"headers": UNSUBSCRIBE}, ("Not Necessary", "Hello", "Newsletter", "rule")),
+        ({"labels": ["CATEGORY_PROMOTIONS"]}, ("Ignore", "Agenda", "Ads", "rule")),
+        ({"labels": ["CATEGORY_SOCIAL"]}, ("Ignore", "Agenda", "Ads", "rule")),
+        ({"labels": ["INBOX", "SPAM"]}, ("Ignore", "Agenda", "Ads", "rule")),
+        ({"headers": UNSUBSCRIBE}, ("Not Necessary", "Agenda", "Newsletter", "rule")),
         ({"headers": {"list-unsubscribe": ""}}, None),
-        ({"headers": UNSUBSCRIBE, "labels": ["SPAM"]}, ("Ignore", "Hello", "Ads", "rule")),
-        ({"sender": "Updates <notify@yourcompany.com>", "labels": ["CATEGORY_PROMOTIONS"]}, None),
-        ({"sender": "a@sub.yourcompany.com", "labels": ["SPAM"]}, ("Ignore", "Hello", "Ads", "rule")),
+        ({"headers": UNSUBSCRIBE, "labels": ["SPAM"]}, ("Ignore", "Agenda", "Ads", "rule")),
+        ({"sender": "Office <desk@yourcompany.com>", "labels": ["CATEGORY_PROMOTIONS"]}, None),
+        ({"sender": "a@sub.yourcompany.com", "labels": ["SPAM"]}, ("Ignore", "Agenda", "Ads", "rule")),
         ({"subject": "s" * 100, "labels": ["SPAM"]}, ("Ignore", "s" * 80, "Ads", "rule")),
     ],
 )
@@ -143,10 +144,44 @@ def test_no_call_is_made_that_the_limits_deny_for_sure(spark):
     carry = spark.createDataFrame([("x", 3000, 0, 0)], "service string, open_until bigint, fails bigint, last_fail bigint")
     used = spark.createDataFrame([("x", 0, 1)], "service string, day bigint, used bigint")
     settled, _, now = scoring.classify_within_limits(open_mail(spark, 8), scorer, carry, used, quota=4)
-    assert asked == [[f"m{i:02d}" for i in range(3, 8)]]
+    assert asked == [[f"m{i:02d}" for i in range(3, 6)]]  # no more than the day's quota has left
     assert rows(settled.select("id", "verdict.method"), "id") == [
         (f"m{i:02d}", "openrouter" if 3 <= i < 6 else "fallback") for i in range(8)
     ]
     assert rows(now) == [("x", 0, 4)]
     settled, _, _ = scoring.classify_within_limits(open_mail(spark, 8), scorer, carry, now, quota=4)
-    assert asked[1] == [] and settled.where("verdict.method = 'fallback'").count() == 8
+    assert len(asked) == 1 and settled.where("verdict.method = 'fallback'").count() == 8
+
+
+def test_the_scorer_is_asked_in_waves(spark):
+    """Verdicts as if all had been asked at once, with few calls in vain, however the calls end."""
+    import random
+
+    rng = random.Random(4)
+    n, step = 90, 60_000
+    good = [rng.random() < (0.97 if i < 55 else 0.3) for i in range(n)]
+    subjects = spark.createDataFrame([(f"m{i:03d}", g, 1_700_000_000_000 + i * step) for i, g in enumerate(good)], "id string, good boolean, ts bigint")
+    mail = subjects.select(
+        "id", F.lit("a@b.example").alias("from_addr"), F.when(F.col("good"), "fine").otherwise("odd").alias("subject"),
+        F.lit("").alias("snippet"), F.lit("").alias("body_text"), F.lit("").alias("attachment_text"),
+        F.array().cast("array<string>").alias("images"), F.lit("scorer").alias("service"), "ts",
+        F.lit(None).cast("struct<priority:string,summary:string,label:string,method:string>").alias("verdict"),
+    )
+    asked = []
+
+    def scorer(prompts):
+        asked.append(prompts.count())
+        answer = F.when(F.contains("prompt", F.lit("fine")), GOOD % "x").otherwise("no answer")
+        return prompts.select("message_id", F.lit(0).alias("rank"), F.lit(200).alias("status"), answer.alias("content"))
+
+    carry = spark.createDataFrame([], limits.BREAKER_STATE)
+    used = spark.createDataFrame([], limits.QUOTA_STATE)
+    settled, states, now = scoring.classify_within_limits(mail, scorer, carry, used, quota=45, first_wave=12)
+    calls = mail.join(subjects.select("id", F.col("good").alias("ok")), "id").select("service", "id", "ts", "ok")
+    whole, want_states, want_used = scoring.apply_limits(calls, 45)
+    outcome = {r.id: r.outcome for r in whole.collect()}
+    got = {r.id: r.verdict.method for r in settled.collect()}
+    assert got == {i: "openrouter" if o == "ok" else "fallback" for i, o in outcome.items()}
+    assert rows(states.select(*want_states.columns)) == rows(want_states) and rows(now.select(*want_used.columns), "day") == rows(want_used, "day")
+    effective = sum(o in ("ok", "failed") for o in outcome.values())
+    assert effective > 45 and sum(asked) - effective < effective and len(asked) <= 12
