@@ -565,3 +565,5 @@ ORACLES["versioned_queue"] = f"""WITH {PENDING}, marked AS (SELECT * REPLACE (CA
     FROM pending),
   again AS (SELECT id, CASE WHEN received_at >= {_SINCE} OR sent_at >= {_SINCE} THEN NULL ELSE sent_at END AS sent_at FROM marked)
   SELECT id, sent_at FROM again WHERE sent_at IS NULL OR sent_at >= {fx.NOW_MS - DAY}"""
+ORACLES["stream_ordered_calls"] = ORACLES["limited_calls"]
+ORACLES["stream_flush_assignment"] = f"SELECT id, priority, flush_at FROM ({ORACLES['flush_assignment']})"

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import queue, scoring
+from ..operators.queue import FLUSH_ROWS
 from ..session import scratch_path, stage
 from ..sources import push
 from ..sources.tables import STATE
-from ..streaming import dedupe, digests, limits, tables, triage, windows
+from ..streaming import dedupe, digests, limits, ordered, tables, triage, windows
 from . import fixtures as fx
-from .catalog import SMALL_QUOTA, _flat, query
+from .catalog import SMALL_CAP, SMALL_QUOTA, _flat, query
 
 PARTS = 3
 
@@ -99,6 +100,25 @@ def stream_limited_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_all(spark, f"{out}/calls").select("id", "outcome")
 
 
+@query
+def stream_ordered_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for calls that arrive up to an hour out of order, held back until all are there.
+
+    A last call long after the others lets the rest go.
+    """
+    out = scratch_path(spark, "limits")
+    calls = fx.read_view(spark, sf_dir, "fx_call")
+    columns = calls.columns
+    hour = 3_600_000
+    arrived = stage(calls.withColumn("arrived", F.col("ts") + F.pmod(F.hash("id"), F.lit(hour))), "arrivals")
+    end = calls.orderBy(F.desc("ts"), F.desc("id")).limit(1).withColumn("id", F.lit(-1).cast("bigint"))
+    end = end.withColumn("ts", F.col("ts") + 3 * hour).select(*columns)
+    parts = [p.select(*columns) for p in parts_of(arrived, "arrived")] + [stage(end, "end")]
+    sink = ordered.in_order(f"{out}/order", limits.limit_calls(out, quota=SMALL_QUOTA), hour)
+    feed_runs(parts, to_sink(sink), scratch_path(spark, "stream"))
+    return tables.read_all(spark, f"{out}/calls").select("id", "outcome")
+
+
 @query
 def stream_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "cursors")
@@ -167,12 +187,12 @@ def _digest_events(df: DataFrame) -> DataFrame:
     return empty.unionByName(df, allowMissingColumns=True).select(*empty.columns)
 
 
-def _send_all(spark: SparkSession, sf_dir: str, out: str, folder: str) -> None:
+def _send_all(spark: SparkSession, sf_dir: str, out: str, folder: str, cap: int = FLUSH_ROWS) -> None:
     """The whole queue in parts of time, then a row that only moves the clock."""
     rows = fx.pending(spark, sf_dir).drop("sent_at")
     end = spark.range(1).select(F.lit(ALL_SENT).cast("bigint").alias("at"))
     parts = [_digest_events(part) for part in [*parts_of(rows, "received_at"), end]]
-    feed_runs(parts, to_sink(digests.scheduled_digests(out)), folder)
+    feed_runs(parts, to_sink(digests.scheduled_digests(out, cap)), folder)
 
 
 @query
@@ -200,3 +220,11 @@ def stream_digest_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("id", "sent_at", F.lit("sent").alias("state"))
         .unionByName(waiting.select("id", F.lit(None).cast("bigint").alias("sent_at"), state.alias("state")))
     )
+
+
+@query
+def stream_flush_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which flush sends each row at a small cap, told as the flushes go out."""
+    out = scratch_path(spark, "digests")
+    _send_all(spark, sf_dir, out, scratch_path(spark, "stream"), SMALL_CAP)
+    return digests.queue_table(spark, out).read().select("id", "priority", "flush_at")

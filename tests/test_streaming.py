@@ -11,7 +11,7 @@ from conftest import rows
 from postsift.operators import queue, scoring
 from postsift.sources.attachments import STORE
 from postsift.sources.tables import PENDING, STATE
-from postsift.streaming import dedupe, digests, limits, tables, triage, windows
+from postsift.streaming import dedupe, digests, limits, ordered, tables, triage, windows
 from test_limits import history, outcomes, simulate
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -372,3 +372,38 @@ def test_triage_asks_few_files_of_settled_ids(spark, tmp_path):
     assert seen.table.read().count() == 60 and len(seen.table.current().files) > 6
     fresh = spark.createDataFrame([(f"n{j}",) for j in range(20)], "id string")
     assert seen.files_for(fresh) == []
+
+
+def test_limits_in_order_of_time(spark, tmp_path):
+    """Arrivals shuffled within the delay end as in the batch fold; what comes later is in ``late``."""
+    import random
+
+    rng = random.Random(2)
+    calls = history(11, 240, ("a", "b"), step=(1, 600_000), p_ok=0.4)
+    first, delay = min(c[2] for c in calls), 5_000_000
+    late = [("a", 9000 + i, first - 1 - i, True) for i in range(3)] + [("b", 9100, None, True)]
+    arrivals = sorted(calls, key=lambda c: c[2] + rng.random() * 0.9 * delay)
+    end = ("z", 9999, max(c[2] for c in calls) + 2 * delay, True)
+    batches = [arrivals[:80], [*arrivals[80:160], *late], [*arrivals[160:], end]]
+    feed = Feed(spark, tmp_path, "service string, id bigint, ts bigint, ok boolean")
+    out = f"{tmp_path}/out"
+    sink = ordered.in_order(f"{out}/order", limits.limit_calls(out, quota=10), delay)
+    feed.run(batches, lambda: feed.source().writeStream.foreachBatch(sink))
+
+    def check():
+        assert outcomes(tables.read_all(spark, f"{out}/calls")) == simulate(calls, 10)
+        assert sorted(r.id for r in ordered.late_rows(spark, f"{out}/order").collect()) == [9000, 9001, 9002, 9100]
+        assert [r.id for r in ordered.held_rows(spark, f"{out}/order", 2).collect()] == [9999]
+
+    check()
+    sink(spark.createDataFrame(batches[2], feed.schema), 2)  # a retry
+    check()
+
+
+def test_rows_are_held_and_let_go(spark, tmp_path):
+    given = []
+    sink = ordered.in_order(f"{tmp_path}/o", lambda df, i: given.append(sorted(r.ts for r in df.collect())), 10)
+    for i, times in enumerate([[], [5, 20, 12], [3, 11, 9], [4, 40, 29], [None]]):
+        sink(spark.createDataFrame([(t,) for t in times], "ts bigint"), i)
+    assert given == [[], [5], [], [11, 12, 20, 29], []]
+    assert sorted(r.ts or 0 for r in ordered.late_rows(spark, f"{tmp_path}/o").collect()) == [0, 3, 4, 9]
