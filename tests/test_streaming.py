@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from postsift.operators import queue, scoring
+from postsift.operators import digest, queue, scoring
 from postsift.sources.attachments import STORE
 from postsift.sources.tables import PENDING, STATE
-from postsift.streaming import dedupe, digests, limits, ordered, tables, triage, windows
+from postsift.streaming import dedupe, delivery, digests, limits, ordered, tables, triage, windows
 from test_limits import history, outcomes, simulate
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -407,3 +407,84 @@ def test_rows_are_held_and_let_go(spark, tmp_path):
         sink(spark.createDataFrame([(t,) for t in times], "ts bigint"), i)
     assert given == [[], [5], [], [11, 12, 20, 29], []]
     assert sorted(r.ts or 0 for r in ordered.late_rows(spark, f"{tmp_path}/o").collect()) == [0, 3, 4, 9]
+
+
+def test_deliveries_try_four_times(spark, tmp_path):
+    """Bodies say at which try they go through; outcomes equal those of the attempts as a table."""
+    folder = tmp_path / "tries"
+    folder.mkdir()
+
+    def send(body):
+        name, at = body.split()
+        with open(folder / name, "a") as f:
+            f.write("x")
+        if at == "raise":
+            raise ValueError(body)
+        return len((folder / name).read_text()) >= int(at)
+
+    plan = {"a": "1", "b": "4", "c": "5", "d": "raise", "e": "2"}
+    notes = spark.createDataFrame([(k, f"{k} {v}") for k, v in plan.items()], "payload_id string, body string")
+    got = delivery.deliver(notes, send, ("payload_id",), waits=(0.0, 0.01, 0.0), now_ms=lambda: 7)
+    told = rows(got, "payload_id")
+    assert told == [("a", True, 1, 7), ("b", True, 4, 7), ("c", False, 4, 7), ("d", False, 4, 7), ("e", True, 2, 7)]
+    attempts = spark.createDataFrame(
+        [(k, i, v.isdigit() and i + 1 >= int(v)) for k, v in plan.items() for i in range(6)],
+        "payload_id string, attempt_no int, ok boolean",
+    )
+    assert rows(digest.delivery_outcome(attempts), "payload_id") == [t[:2] for t in told]
+
+
+def test_digests_are_delivered_and_marked(spark, tmp_path):
+    """Mail to digests, digests to deliveries, outcomes back to the queue: two streams and a folder."""
+    down = tmp_path / "down"
+    down.write_text("1")
+    log = tmp_path / "sent"
+    log.mkdir()
+
+    def send(body):
+        title = json.loads(body)["title"]
+        if "b0" in title and down.exists():
+            return False
+        (log / f"{time.time_ns()}").write_text(title)
+        return True
+
+    out, start = f"{tmp_path}/out", int(T0.timestamp() * 1000)
+    columns = [f.split()[0] for f in digests.EVENTS.split(", ")]
+    feed = Feed(spark, tmp_path, digests.EVENTS)
+
+    def events(*given):
+        return [tuple(e.get(c) for c in columns) for e in given]
+
+    def digest_run(batch):
+        sink = digests.scheduled_digests(out)
+        feed.run([batch], lambda: feed.source().writeStream.foreachBatch(sink))
+
+    sink = delivery.deliver_digests(f"{tmp_path}/outcomes", send, waits=(0.0, 0.0, 0.0))
+
+    def delivery_run():
+        schema = digests.digests_sent(spark, out).schema
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/digests")
+        run = source.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/delivering")
+        run.trigger(availableNow=True).start().awaitTermination()
+        told = tables.read_all(spark, f"{tmp_path}/outcomes").where(F.col("at") > 0)
+        return told.withColumn("at", F.col("flush_at"))
+
+    def mails(name, priority, n):
+        return [{"id": f"{name}{i:02d}", "from_addr": f"{name}{i % 2}@x.y", "summary": "t", "subject": "s",
+                 "priority": priority, "received_at": start + i} for i in range(n)]
+
+    digest_run(events(*mails("a", "High", 25), *mails("b", "Medium", 3), {"at": start + 2 * 3_600_000}))
+    told = delivery_run()
+    assert rows(told.select("priority", "chunk", "delivered", "tries"), "priority", "chunk") == [
+        ("High", 0, True, 1), ("High", 1, True, 1), ("Medium", 0, False, 4),
+    ]
+    sink(digests.digests_sent(spark, out), 0)  # the micro-batch again: nothing is sent twice
+    assert len(list(log.iterdir())) == 2
+    digest_run(events(*[r.asDict() for r in told.collect()]))
+    assert digests.marks(spark, out).count() == 25
+    assert rows(digests.queue_table(spark, out).read().select("id", "flush_at"), "id") == [(f"b{i:02d}", None) for i in range(3)]
+    down.unlink()
+    digest_run(events({"at": start + 4 * 3_600_000}))
+    told = delivery_run().where("delivered AND priority = 'Medium'")
+    digest_run(events(*[r.asDict() for r in told.collect()]))
+    assert digests.marks(spark, out).count() == 28 and digests.queue_table(spark, out).read().count() == 0
