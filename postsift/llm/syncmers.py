@@ -4,13 +4,15 @@ A k-mer of a text's bytes is a closed syncmer if the least hash among its s-mers
 or the last of them. That depends on the k-mer alone, so equal passages have equal anchors wherever
 they stand. A fingerprint keeps all anchors of a text, in order of their place, each with its byte
 offset, so it grows with the text. Two fingerprints are compared by the anchors that both have, as far
-as these stand in the same order: the longest such chain against all that could have matched.
+as these stand in the same order: the longest such chain against all that could have matched. An anchor
+that repeats counts as often as it stands there; its first place is matched with the other text's first,
+its second with the second.
 
 Defined cases: null counts as empty; the empty text has the empty fingerprint, which is like itself
 and unlike all others; a text shorter than k, or without a closed syncmer, is its own anchor; a
-repeated anchor counts once, at its first place; a text of any length is read whole; a single row is followed by itself; rows that repeat
-an id follow each other in an order of their texts; a null id comes before all others; an empty table
-gives an empty result.
+text of any length is read whole, with the same k and s; a single row is followed by itself; rows that
+repeat an id follow each other in an order of their texts; a null id comes before all others; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import by_task, id_and_text
 
-K, S = 16, 6
-
-# Texts of fewer bytes use shorter anchors, else an edit may leave none.
-SHORT, SHORT_K, SHORT_S = 200, 8, 3
+K, S = 12, 4
 
 # Rows a block of neighbouring ids should have, and how many blocks there may be. The bounds and the
 # first id of each block pass through the driver, so they are a few megabytes whatever the input.
@@ -88,11 +87,9 @@ def anchors(data: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray
 
 
 def fingerprint(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit hash, offset) of all anchors, each hash at its first place, in order of offset."""
-    hashes, places = anchors(data, SHORT_K, SHORT_S) if len(data) < SHORT else anchors(data)
-    hashes = (hashes >> np.uint64(32)).astype(np.uint32)
-    first = np.sort(np.unique(hashes, return_index=True)[1])
-    return hashes[first], places[first]
+    """(32-bit hash, offset) of all anchors, in order of offset."""
+    hashes, places = anchors(data)
+    return (hashes >> np.uint64(32)).astype(np.uint32), places
 
 
 def text_of(print_: tuple[np.ndarray, np.ndarray]) -> str:
@@ -129,11 +126,23 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     """
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    _, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    _, in_a, in_b = np.intersect1d(_numbered(a[0]), _numbered(b[0]), assume_unique=True, return_indices=True)
     places = b[1][in_b[np.argsort(in_a)]]
     return 2 * _longest(places) / (len(a[0]) + len(b[0]))
 
 
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Every hash with the number of equal ones before it."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    first = np.flatnonzero(fresh)
+    number = np.arange(len(hashes)) - np.repeat(first, np.diff(first, append=len(hashes)))
+    out = np.empty(len(hashes), dtype=np.uint64)
+    out[order] = (ordered.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64)
+    return out
+
+
 def _longest(places: np.ndarray) -> int:
     """Length of the longest ascending chain."""
     if (places[1:] > places[:-1]).all():

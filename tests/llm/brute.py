@@ -55,3 +55,36 @@ def simhash(rows, most=4):
             if (prints[a] ^ prints[b]).bit_count() <= most and top(a) != top(b):
                 root[max(top(a), top(b))] = min(top(a), top(b))
     return sorted((i, f"{prints[i]:016x}", top(i)) for i in ids)
+
+
+def syncmers(data: bytes, k: int, s: int, hash_of) -> list[tuple[int, int]]:
+    """(hash, offset) of closed syncmers; ``hash_of(bytes)`` gives an integer."""
+    if not data:
+        return []
+    out = []
+    for i in range(len(data) - k + 1):
+        inner = [hash_of(data[j : j + s]) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((hash_of(data[i : i + k]), i))
+    return out or [(hash_of(data), 0)]
+
+
+def chain_likeness(a: list[int], b: list[int]) -> float:
+    """Dice share of the longest chain of equal anchors, the n-th of a kind matched with the n-th."""
+    if not a or not b:
+        return float(len(a) == len(b))
+
+    def numbered(hashes):
+        return [(h, hashes[:i].count(h)) for i, h in enumerate(hashes)]
+
+    at = {h: i for i, h in enumerate(numbered(b))}
+    places = [at[h] for h in numbered(a) if h in at]
+    longest = [0] * len(places)
+    for i, p in enumerate(places):
+        longest[i] = 1 + max((longest[j] for j in range(i) if places[j] < p), default=0)
+    return 2 * max(longest, default=0) / (len(a) + len(b))
+
+
+def edited(text: str, after: str) -> str:
+    n = len(text) // 4
+    return text[: len(text) - n] + after[:n]
