@@ -24,9 +24,9 @@ from .common import by_slice, slices
 UNKNOWN = "und"
 WINDOW = 256
 
-# The sample that is learnt from: at most so many windows of WINDOW bytes of text, and languages.
+# The sample that is learnt from: at most so many windows of WINDOW bytes of text. Every label has at
+# least one of them, so there may be as many labels; the most frequent ones, if there are more.
 MOST_WINDOWS = 6_000
-MOST_LANGUAGES = 200
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,8 @@ def windows_of(data: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarra
 def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
     """(language, window) of up to MOST_WINDOWS labelled texts, about as many of each language.
 
-    Texts are chosen by a hash of their id, each gives the window that the hash points to.
+    Texts are chosen by a hash of their id, each gives the window that the hash points to. The first
+    text of every label by that hash is always chosen.
     """
     rows = docs.select(
         docs[id_col].cast("string").alias("id"),
@@ -65,22 +66,28 @@ def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
         docs[lang_col].cast("string").alias("lang"),
         held_out(docs[id_col]).alias("held_out"),
     ).where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_WINDOWS).collect()
     if not counts:
         return []
-    share = MOST_WINDOWS // len(counts)
-    wanted = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.2 * share / r["count"])))])
+    share = max(1, (MOST_WINDOWS - len(counts)) // len(counts))
+    drawn = [(r["lang"], min(1.0, 1.2 * share / r["count"])) for r in counts]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(drawn, "lang string, wanted double"))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
     # A quarter of the window's bytes in letters of up to four bytes always fit into it.
     place = 1 + F.pmod(F.xxhash64(F.lit("place"), "id"), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
-    sample = (
-        rows.where(draw < wanted[F.col("lang")])
-        .select("lang", F.substring(F.col("text"), place.cast("int"), F.lit(WINDOW)).alias("part"), F.xxhash64("id", "text").alias("h"))
-        .orderBy("h", "lang", "part")
-        .limit(MOST_WINDOWS)
-        .collect()
+    placed = rows.join(wanted, "lang").select(
+        "lang",
+        F.substring(F.col("text"), place.cast("int"), F.lit(WINDOW)).alias("part"),
+        F.xxhash64("id", "text").alias("h"),
+        (draw < F.col("wanted")).alias("drawn"),
     )
-    return [(r["lang"], r["part"].lower().encode()[:WINDOW]) for r in sample]
+    first = placed.groupBy("lang").agg(F.min(F.struct("h", "part")).alias("least")).collect()  # a row a label
+    sample = {(r["least"]["h"], r["lang"], r["least"]["part"]) for r in first}
+    rest = placed.where("drawn").drop("drawn").orderBy("h", "lang", "part").limit(MOST_WINDOWS).collect()
+    for r in rest:
+        if len(sample) < MOST_WINDOWS:
+            sample.add((r["h"], r["lang"], r["part"]))
+    return [(lang, part.lower().encode()[:WINDOW]) for _, lang, part in sorted(sample)]
 
 
 def train(
@@ -250,20 +257,31 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def with_language(
-    docs: DataFrame, network: Network | None, least_score: float = 0.0, text_col: str = "text"
+    docs: DataFrame,
+    network: Network | None,
+    least_score: float = 0.0,
+    text_col: str = "text",
+    lang_col: str | None = None,
 ) -> DataFrame:
     """``docs`` without the rows that have no letter, or whose language is scored below ``least_score``.
 
-    Without a network there are no scores, and every row with a letter stays.
+    Rows that have no label in ``lang_col`` get the predicted language. Without a network there are no
+    scores, every row with a letter stays, and labels stay as they are.
     """
     at = docs.columns.index(text_col)
+    label_at = None if lang_col is None else docs.columns.index(lang_col)
 
     def run(batches):
         predictor = Predictor(network) if network else None
         for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             if predictor:
-                keep = [lang != UNKNOWN and p >= least_score for lang, p in predictor.predict(texts)]
+                found = predictor.predict(texts)
+                keep = [lang != UNKNOWN and p >= least_score for lang, p in found]
+                if label_at is not None:
+                    old = batch.column(label_at)
+                    labels = [p if has is None else has for has, (p, _) in zip(old.to_pylist(), found, strict=True)]
+                    batch = batch.set_column(label_at, batch.schema.field(label_at), pa.array(labels, old.type))
             else:
                 keep = [_has_letter(t) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
