@@ -253,7 +253,8 @@ def near_groups(
         ),
         "classes",
     )
-    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written first, so that the join can split a component that holds most fingerprints.
+    least = stage(classes.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = classes.join(least, "root").select("bits", "component_id")
     return marked.join(named, "bits").select("doc_id", "bits", "component_id")
 
