@@ -18,12 +18,13 @@ gives an empty archive.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import release, scratch_path
+from ..session import release, scratch_path, stage
 from . import exact_dedup
 from .common import whole
 
@@ -65,8 +66,14 @@ def write_archive(
     url_col: str = "url",
     payload_col: str = "html",
     least_bytes: int = 0,
+    date: str | None = None,
 ) -> Archive:
-    """Write a record for every row of ``pages``."""
+    """Write a record for every row of ``pages``.
+
+    ``date`` is the WARC-Date of all records, in UTC like ``2024-01-31T00:00:00Z``: when they were
+    made, if it is not given.
+    """
+    date = date or dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = whole(pages[payload_col].cast("string")).cast("binary")
     rows = pages.select(
         pages[id_col].cast("long").alias("id"),
@@ -80,8 +87,12 @@ def write_archive(
         F.sha2("payload", 256).alias("sha256"),
         base32_sha1(F.col("payload")).alias("sha1"),
     )
-    groups = index.groupBy("sha256").agg(
-        F.min(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("copies")
+    # Written first, so that the join can split the digest of a page that a third of all rows have.
+    groups = stage(
+        index.groupBy("sha256").agg(
+            F.min(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("copies")
+        ),
+        "groups",
     )
     # Ids that repeat within a group are rare; only they need a number to tell one row apart.
     joined = index.join(groups, "sha256")
@@ -104,6 +115,7 @@ def write_archive(
         F.lit("WARC/1.1\r\n"),
         _field("WARC-Type", kind),
         _field("WARC-Record-ID", name),
+        _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", uri),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import brute
@@ -454,3 +455,58 @@ def test_slices_are_bounded():
 def test_digests_join_spans():
     text, digest = secret_scan.digests([("hex", 1, 30), ("assign", 2, 40)])
     assert text == "hex:1:30,assign:2:40" and digest == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_every_label_is_learnt(spark):
+    rare = [(i, f"wort{i} nur hier einmal", f"l{i:03d}", 1) for i in range(300)]
+    many = [(1000 + i, f"common words number {i} of one language", "en", 1) for i in range(9000)]
+    docs = spark.createDataFrame([*rare, *many], SCHEMA.format("n_chars int"))
+    sample = language_id.learning_sample(docs, "doc_id", "text", "lang")
+    told = {lang for i, _, lang, _ in rare if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {lang for lang, _ in sample} == told | {"en"} and len(sample) <= language_id.MOST_WINDOWS
+
+
+def test_null_labels_are_filled(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    network = language_id.trained(docs)
+    bare = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    filled = language_id.with_language(bare, network, lang_col="lang")
+    told = {r.doc_id: r.lang_pred for r in language_id.languages(docs, network).collect()}
+    was = {r.doc_id: r.lang for r in bare.collect()}
+    got = {r.doc_id: r.lang for r in filled.collect()}
+    assert got and got == {i: was[i] if was[i] is not None else told[i] for i in got}
+
+
+def test_records_have_all_mandatory_fields(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (2, None, "x"), (3, "u", None)], "page_id long, url string, html string")
+    archive = warc_archive.write_archive(pages, warc_archive.Archive.new(spark), date="2024-01-31T00:00:00Z")
+    for r in warc_archive.read_archive(spark, archive).collect():
+        fields = dict(line.split(": ", 1) for line in bytes(r.header).decode().split("\r\n\r\n")[0].split("\r\n")[1:])
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= fields.keys()
+        assert fields["WARC-Date"] == "2024-01-31T00:00:00Z"
+
+
+def test_hub_joins_are_split(spark):
+    """A node with very many neighbours, small joins not broadcast: the final plan deals it out."""
+    from postsift.llm import components as stars
+    from postsift.session import scratch_path
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(1, 200_001).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+        both = edges.unionByName(spark.range(300_000, 300_100).selectExpr("id AS u", "id - 1 AS v"))
+        joined = stars._large_star(both, scratch_path(spark, "least"))
+        assert joined.count() == 200_100
+        plan = joined._jdf.queryExecution().executedPlan()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString() or "skew=true" in plan.toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
