@@ -14,12 +14,14 @@ from postsift.session import stage
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; the network learns from the stage's own input.
+    """Documents without a letter go, and those without a label get the predicted language.
+
+    The network learns from the stage's own input.
 
     Its scores drop nothing: those of clean short documents go down to chance (REPLY_r02.md).
     """
     tuned(spark)
-    return language_id.with_language(docs, language_id.trained(docs))
+    return language_id.with_language(docs, language_id.trained(docs), lang_col="lang")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
