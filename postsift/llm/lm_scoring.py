@@ -5,69 +5,52 @@ vocabulary, one set of bigrams and one smoothing, so their losses can be compare
 document's score is the mean over its tokens of target loss minus background loss, in bits: the lower,
 the more it reads like the target.
 
-Nothing is pruned: every word and every pair of the corpus is counted, and scoring looks every pair
-up. Counts are tables that grow with the input; a document's distinct pairs are joined to them by a
-shuffle, which splits pairs that very many documents have, so no task holds a model. Probabilities:
-bigrams by absolute discounting, with the discounted mass given to add-one unigrams, in which one more
-word stands for all that the corpus lacks, so each context sums to one. Words are known by 64-bit
-hashes, and so are pairs.
+Nothing is pruned: every word and every pair of the corpus is counted, and scoring looks every one up.
+Documents are dealt into blocks of about a million words, written once with their words as numbers. A
+block asks for the counts of its distinct words and pairs: it sends their 64-bit hashes, sorted and cut
+into buckets, with its own counts; the task of a bucket adds up what all blocks say and answers each of
+them in the order in which it asked. Then a block scores its documents alone. A word or pair that very
+many documents have is sent once a block, so no key is hot; buckets hold hashes, so they are even, and
+their number grows with the words.
+
+Probabilities: unigrams of the background are its relative frequencies. Those of the target have a prior
+of ``PRIOR`` words drawn from them, and the bigrams of either model one of ``PRIOR`` words drawn from its
+own unigrams. After its last word a text has an end, which is counted and can follow any word, but is
+not scored; so after each context the probabilities of all words and the end sum to one. Different words
+or pairs with one 64-bit hash would be counted as one.
 
 Defined cases: null and empty texts have no tokens, entropies 0 and score 0; a text of any length is
-read whole; repeated rows count as often as they stand; ids of the target that no document has are
-ignored; without any target document the target model is the uniform one; an empty table gives an
-empty result.
+read whole, in one block; repeated rows count as often as they stand; a null id stays null; ids of the
+target that no document has are ignored; without any target document the target model is the
+background's unigrams; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import struct
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import release, remove, scratch_path, stage, stage_at
+from ..session import stage
 from .common import by_task
 
-DISCOUNT = 0.5
-UNKNOWN, START = 0, 1  # ids ahead of the vocabulary of a model in memory
+# Weight of the priors, in words.
+PRIOR = 16.0
 
 # Target ids are broadcast up to this number (32 MB), and joined by a shuffle beyond it.
 MOST_BROADCAST = 4_000_000
 
-# A task hands on its counts after so many pairs, and forgets the hashes of so many words.
-FLUSH = 1 << 21
-FORGET = 1 << 19
+# A block is closed after so many words (one longer text excepted); a bucket gets about so many questions.
+BLOCK_WORDS = 1 << 20
+BUCKET_KEYS = 1 << 21
 
-
-@dataclass(frozen=True)
-class Model:
-    """Log2 probabilities of both models, column 0 target and 1 background.
-
-    ``words`` are hashes, ascending. ``pairs`` are context * size + word, ascending; ``pair_logs``
-    their probabilities; any other pair has ``back_off[context] + word_logs[word]``.
-    """
-
-    words: np.ndarray
-    pairs: np.ndarray
-    pair_logs: np.ndarray
-    back_off: np.ndarray
-    word_logs: np.ndarray
-
-
-class _Hashes(dict):
-    """64-bit hashes of words, worked out when first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= FORGET:
-            self.clear()
-        self[word] = out = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
-        return out
-
-
-# What stands before the first word: no word is empty.
-START_HASH = _Hashes()[""]
+RESULT = "doc_id long, n_tokens long, h_target double, h_background double, score double"
 
 
 def words_of(text: str) -> list[str]:
@@ -87,231 +70,238 @@ def marked(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -
     )
 
 
-def _pairs(texts: list[str], known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of context and word of every word of every text, and the number of its text."""
-    ids, lengths = [], []
-    for text in texts:
-        words = words_of(text)
-        ids.append(START_HASH)
-        ids += [known[w] for w in words]
-        lengths.append(len(words))
-    hashes, counts = np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64)
-    inner = np.ones(len(hashes), dtype=bool)
-    inner[np.concatenate([[0], np.cumsum(counts + 1)[:-1]])] = False
-    at = np.flatnonzero(inner)
-    return hashes[at - 1], hashes[at], np.repeat(np.arange(len(counts)), counts)
-
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: the first bytes of all numbers, then the second ones, and so on, compressed."""
+    out = []
+    for array in arrays:
+        planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T.tobytes()
+        small = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+        out += [struct.pack("<2sqq", array.dtype.str[1:].encode(), len(array), len(small)), small]
+    return b"".join(out)
 
-def _firsts(*columns: np.ndarray) -> np.ndarray:
-    """Where a run of equal rows begins."""
-    new = np.ones(len(columns[0]), dtype=bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    return np.flatnonzero(new)
 
+def unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, length, size = struct.unpack_from("<2sqq", data, at)
+        at += 18
+        dtype = np.dtype("<" + kind.decode())
+        planes = pa.decompress(data[at : at + size], length * dtype.itemsize, codec="zstd", asbytes=True) if size else b""
+        rows = np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, length)
+        out.append(np.ascontiguousarray(rows.T).reshape(-1).view(dtype))
+        at += size
+    return out
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """(context, word, n, n_target) of every pair, summed up in each task before the shuffle."""
 
-    def run(parts):
-        known = _Hashes()
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
-
-        def flushed():
-            context, word, wanted = (np.concatenate(c) for c in zip(*held, strict=True))
-            # In order of the contexts, which then take little room in files.
-            order = np.lexsort((word, context))
-            context, word, wanted = context[order], word[order], wanted[order].astype(np.int64)
-            first = _firsts(context, word)
-            counts = np.diff(first, append=len(word))
-            target = np.add.reduceat(wanted, first) if len(first) else wanted
-            return {"context": context[first], "word": word[first], "n": counts, "n_target": target}
+class _Numbers(dict):
+    """Words of a block, numbered as they first appear."""
 
-        for part in parts:
-            context, word, text = _pairs(part.column("text").to_pylist(), known)
-            wanted = np.array(part.column("target").to_pylist(), dtype=bool)
-            held.append((context, word, wanted[text]))
-            n += len(word)
-            if n >= FLUSH:
-                yield flushed()
-                held, n = [], 0
-        if held:
-            yield flushed()
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-    counts = by_task(rows.select("text", "target"), run, "context long, word long, n long, n_target long")
-    return counts.groupBy("context", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
+def _word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
-def word_counts(pairs: DataFrame) -> DataFrame:
-    """Of every word, and of the start: how often it stands, is a context, and of how many pairs.
 
-    Columns: key, n, n_target, listed, listed_target, kinds, kinds_target.
-    """
-    nothing = F.lit(0).cast("long")
-    as_word = pairs.select(
-        F.col("word").alias("key"), "n", "n_target", *[nothing.alias(c) for c in ("l", "l_target", "k", "k_target")]
-    )
-    as_context = pairs.select(
-        F.col("context").alias("key"),
-        nothing.alias("n"),
-        nothing.alias("n_target"),
-        F.col("n").alias("l"),
-        F.col("n_target").alias("l_target"),
-        F.lit(1).cast("long").alias("k"),
-        (F.col("n_target") > 0).cast("long").alias("k_target"),
-    )
-    names = {"n": "n", "n_target": "n_target", "l": "listed", "l_target": "listed_target", "k": "kinds", "k_target": "kinds_target"}
-    return as_word.unionByName(as_context).groupBy("key").agg(*[F.sum(c).alias(name) for c, name in names.items()])
-
-
-def pair_logs(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(pair, log_target, log_background) of every pair of the corpus; ``pair`` is ``pair_hash``."""
-    start = F.col("key") == START_HASH
-    totals = words.agg(
-        F.sum("n").alias("n"), F.sum("n_target").alias("n_target"), F.count_if(~start).alias("size")
-    ).first()
-
-    def unigram(name: str):
-        return (F.col(name) + 1) / F.lit(float((totals[name] or 0) + totals["size"] + 1))
-
-    def rest(end: str):
-        total = F.greatest(F.col(f"n{end}"), F.col(f"listed{end}"))
-        free = total - F.col(f"listed{end}") + DISCOUNT * F.col(f"kinds{end}")
-        # A context that a model lacks leaves all to the unigrams.
-        return [
-            F.greatest(total, F.lit(1)).alias(f"total{end}"),
-            F.when(total > 0, free / total).otherwise(1.0).alias(f"rest{end}"),
-        ]
+def _pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits of two 64-bit hashes, in order: multiplied, added and mixed."""
+    mixed = context * np.uint64(0x9E3779B97F4A7C15) + (word ^ (word >> np.uint64(29)))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return mixed ^ (mixed >> np.uint64(31))
 
-    contexts = words.select(F.col("key").alias("context"), *rest(""), *rest("_target"))
-    singles = words.select(
-        F.col("key").alias("word"), unigram("n").alias("single"), unigram("n_target").alias("single_target")
-    )
 
-    def log(end: str):
-        kept = F.greatest(F.col(f"n{end}") - DISCOUNT, F.lit(0.0))
-        return F.log2(kept / F.col(f"total{end}") + F.col(f"rest{end}") * F.col(f"single{end}")).cast("float")
+def blocks(rows: DataFrame) -> DataFrame:
+    """(block, n, n_target, texts) of rows with doc_id, text and target.
 
-    return pairs.join(contexts, "context").join(singles, "word").select(
-        pair_hash().alias("pair"), log("_target").alias("log_target"), log("").alias("log_background")
-    )
+    ``texts`` packs the words of all texts as numbers (0 before each text and after the last), the words'
+    hashes, and each text's id, whether it has one, and whether it is of the target. ``n`` counts words and
+    ends of texts.
+    """
 
+    def run(parts):
+        base = TaskContext.get().partitionId() << 33
+        numbers, said, ids, there, wanted = _Numbers({"": 0}), [], [], [], []
+        made = size = 0
+
+        def closed():
+            sequence = np.concatenate([*said, np.zeros(1, np.uint32)])
+            hashes = np.fromiter((_word_hash(w) for w in numbers), np.uint64, len(numbers))
+            own = np.concatenate(wanted)
+            _, word, text = _events(sequence)
+            texts = packed(sequence, hashes, np.concatenate(ids), np.concatenate(there), own)
+            return {
+                "block": [base + made],
+                "n": [len(word)],
+                "n_target": [int(own[text].sum())],
+                "texts": [texts],
+            }
 
-def pair_hash() -> Column:
-    return F.xxhash64("context", "word")
+        for part in parts:
+            column = part.column("doc_id")
+            for i, text in enumerate(part.column("text").to_pylist()):
+                found = [0, *[numbers[w] for w in words_of(text)]]
+                said.append(np.array(found, dtype=np.uint32))
+                size += len(found)
+                one = column.slice(i, 1)
+                ids.append(one.fill_null(0).to_numpy(zero_copy_only=False))
+                there.append(np.array([one.null_count == 0], dtype=np.uint8))
+                wanted.append(np.array([part.column("target")[i].as_py()], dtype=np.uint8))
+                if size >= BLOCK_WORDS:
+                    yield closed()
+                    made += 1
+                    numbers, said, ids, there, wanted = _Numbers({"": 0}), [], [], [], []
+                    size = 0
+        if said:
+            yield closed()
+
+    return by_task(rows, run, "block long, n long, n_target long, texts binary")
+
+
+def _events(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word and number of its text, of every word and every end of a text that has words."""
+    text = np.cumsum(sequence[:-1] == 0) - 1
+    kept = (sequence[:-1] != 0) | (sequence[1:] != 0)
+    return sequence[:-1][kept].astype(np.int64), sequence[1:][kept].astype(np.int64), text[kept]
+
+
+class _Block:
+    """What a block asks: its words, then its pairs, both distinct; and the order of their hashes."""
+
+    def __init__(self, data: bytes):
+        self.sequence, self.hashes, self.ids, self.there, self.wanted = unpacked(data)
+        self.context, self.word, self.text = _events(self.sequence)
+        size = len(self.hashes)
+        self.pairs, self.place = np.unique(self.context * size + self.word, return_inverse=True)
+        before, after = np.divmod(self.pairs, size)
+        self.before, self.after = before, after
+        keys = np.concatenate([self.hashes, _pair_hash(self.hashes[before], self.hashes[after])])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The block's own counts of what it asks for: in all its texts, and in those of the target."""
+        size, n_pairs = len(self.hashes), len(self.pairs)
+        own = self.wanted[self.text].astype(bool)
+        return tuple(
+            np.concatenate(
+                [np.bincount(self.word[rows], minlength=size), np.bincount(self.place[rows], minlength=n_pairs)]
+            )[self.order].astype(np.uint32)
+            for rows in (slice(None), own)
+        )
 
 
-def scores(rows: DataFrame, logs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, h_target, h_background, score of rows with doc_id and text."""
+def questions(blocks: DataFrame, bits: int) -> DataFrame:
+    """(block, bucket, asked): differences of the sorted hashes whose first ``bits`` are the bucket's, and counts."""
 
     def run(parts):
-        known = _Hashes()
         for part in parts:
-            context, word, text = _pairs(part.column("text").to_pylist(), known)
-            order = np.lexsort((word, context, text))
-            context, word, text = context[order], word[order], text[order]
-            first = _firsts(context, word, text)
-            row = part.column("row").to_numpy()
-            # One more entry a row, which weighs nothing, has the id: rows without a word stay.
-            nobody = np.full(len(first), None)
-            yield {
-                "row": np.concatenate([row[text[first]], row]),
-                "context": np.concatenate([context[first], row]),
-                "word": np.concatenate([word[first], row]),
-                "n": np.concatenate([np.diff(first, append=len(word)), np.zeros(len(row), np.int64)]),
-                "doc_id": [*nobody, *part.column("doc_id").to_pylist()],
-            }
+            for number, data in zip(part.column("block").to_pylist(), part.column("texts").to_pylist(), strict=True):
+                block = _Block(data)
+                n, n_target = block.counts()
+                bucket = (block.keys >> np.uint64(64 - bits)) if bits else np.zeros(len(block.keys), np.uint64)
+                first = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63)))
+                asked = []
+                for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
+                    asked.append(packed(np.diff(block.keys[a:b], prepend=np.uint64(0)), n[a:b], n_target[a:b]))
+                yield {"block": [number] * len(first), "bucket": bucket[first].astype(np.int64), "data": asked}
+
+    return by_task(blocks.select("block", "texts"), run, "block long, bucket long, data binary")
+
+
+def answers(asked: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, data): the counts over all blocks, in the order of the block's question."""
+
+    def answer(data: list[bytes]) -> list[bytes]:
+        gaps, n, n_target = zip(*map(unpacked, data), strict=True)
+        keys = np.concatenate([np.cumsum(g, dtype=np.uint64) for g in gaps])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        runs = np.diff(first, append=len(keys))
+        ends = np.cumsum([len(g) for g in gaps])[:-1]
+        sums = []
+        for counts in (n, n_target):
+            total = np.add.reduceat(np.concatenate(counts)[order].astype(np.uint64), first)
+            back = np.empty(len(keys), np.uint64)
+            back[order] = np.repeat(total, runs)
+            sums.append(np.split(back, ends))
+        return [packed(*pair) for pair in zip(*sums, strict=True)]
 
-    numbered = rows.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    used = by_task(numbered, run, "row long, context long, word long, n long, doc_id long")
-    used = used.select("row", pair_hash().alias("pair"), "n", "doc_id")
-
-    def weighed(name: str):
-        return F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(name)).otherwise(0.0))
-
-    summed = used.join(logs, "pair", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n").alias("n_tokens"),
-        weighed("log_target").alias("t"),
-        weighed("log_background").alias("b"),
-    )
-    tokens = F.greatest(F.col("n_tokens"), F.lit(1))
-    each = summed.select("doc_id", "n_tokens", (-F.col("t") / tokens).alias("t"), (-F.col("b") / tokens).alias("b"))
-    return each.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("t") + 0.0).alias("h_target"),
-        (F.col("b") + 0.0).alias("h_background"),
-        (F.col("t") - F.col("b") + 0.0).alias("score"),
+    def run(parts):
+        for bucket, rows in _runs(parts, "bucket"):
+            block, data = zip(*((r["block"], r["data"]) for r in rows), strict=True)
+            yield {"block": list(block), "bucket": [bucket] * len(block), "data": answer(list(data))}
+
+    ordered = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    return by_task(ordered, run, "block long, bucket long, data binary")
+
+
+def _runs(parts: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, list[dict]]]:
+    """Neighbouring rows that are equal in one column."""
+    rows: list[dict] = []
+    for part in parts:
+        for row in part.to_pylist():
+            if rows and rows[0][name] != row[name]:
+                yield rows[0][name], rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows[0][name], rows
+
+
+def _losses(block: _Block, counts: np.ndarray, totals: tuple[int, int], prior: float) -> np.ndarray:
+    """Bits of every distinct pair under both models; ``counts`` has a row of all, one of the target's."""
+    size = len(block.hashes)
+    found = np.empty_like(counts)
+    found[:, block.order] = counts
+    single, pair = found[:, :size].astype(float), found[:, size:].astype(float)
+    background = single[0] / max(totals[0], 1)
+    unigrams = (background, (single[1] + prior * background) / (totals[1] + prior))
+    return np.array(
+        [
+            np.log2(single[k][block.before] + prior) - np.log2(pair[k] + prior * unigrams[k][block.after])
+            for k in (0, 1)
+        ]
     )
 
 
-def fit(rows: DataFrame) -> Model:
-    """Both models in memory, from doc_id, text and target; for tables that fit into it."""
-    found = pair_counts(rows).toArrow()
-    context, word = (found.column(c).to_numpy() for c in ("context", "word"))
-    own = np.column_stack([found.column(c).to_numpy() for c in ("n_target", "n")]).astype(float)
-    words = np.unique(word)
-    counts = np.zeros((len(words) + 2, 2))
-    at = np.searchsorted(words, word) + 2
-    np.add.at(counts, at, own)
-    before = np.where(context == START_HASH, START, np.searchsorted(words, context) + 2)
-    return _model(words, counts, before * (len(words) + 2) + at, own)
-
-
-def _model(words: np.ndarray, counts: np.ndarray, key: np.ndarray, pair: np.ndarray) -> Model:
-    size = len(words) + 2
-    order = np.argsort(key)
-    key, pair = key[order], pair[order].reshape(-1, 2)
-    # START is a context but never predicted.
-    unigram = counts + 1
-    unigram[START] = 0
-    unigram = unigram / unigram.sum(axis=0)
-    context, word = np.divmod(key, size)
-    # A context's total: its own count, but no less than its listed pairs (texts end on a word).
-    listed = np.zeros((size, 2))
-    np.add.at(listed, context, pair)
-    total = np.maximum(np.maximum(counts, listed), 1e-9)
-    total[START] = np.maximum(listed[START], 1e-9)
-    kept = np.maximum(pair - DISCOUNT, 0)
-    mass = np.zeros((size, 2))
-    np.add.at(mass, context, kept)
-    rest = 1 - mass / total
-    probability = kept / total[context] + rest[context] * unigram[word]
-    with np.errstate(divide="ignore"):
-        return Model(
-            words,
-            key,
-            np.log2(probability).astype(np.float32),
-            np.log2(np.maximum(rest, 1e-12)).astype(np.float32),
-            np.log2(np.maximum(unigram, 1e-30)).astype(np.float32),
-        )
+def scores(blocks: DataFrame, answered: DataFrame, totals: tuple[int, int], prior: float = PRIOR) -> DataFrame:
+    """doc_id, n_tokens, h_target, h_background, score of every text of every block."""
 
+    def run(parts):
+        for _, rows in _runs(parts, "block"):
+            block = _Block(rows[0]["data"])
+            told = [unpacked(r["data"]) for r in rows[1:]]
+            counts = np.array([np.concatenate(c) for c in zip(*told, strict=True)])
+            bits = _losses(block, counts, totals, prior)[:, block.place]
+            scored = block.word != 0
+            text, n_texts = block.text[scored], len(block.ids)
+            n = np.bincount(text, minlength=n_texts)
+            h_background, h_target = (
+                np.bincount(text, weights=b[scored], minlength=n_texts) / np.maximum(n, 1) for b in bits
+            )
+            yield {
+                "doc_id": pa.array(block.ids, pa.int64(), mask=block.there == 0),
+                "n_tokens": n,
+                "h_target": h_target,
+                "h_background": h_background,
+                "score": h_target - h_background,
+            }
 
-def token_logs(model: Model, keys: np.ndarray) -> np.ndarray:
-    """Log2 probability of each pair's word after its context, for both models."""
-    context, word = np.divmod(keys, len(model.words) + 2)
-    logs = model.back_off[context] + model.word_logs[word]
-    if len(model.pairs):
-        place = np.minimum(np.searchsorted(model.pairs, keys), len(model.pairs) - 1)
-        listed = model.pairs[place] == keys
-        logs[listed] = model.pair_logs[place[listed]]
-    return logs
+    texts = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), F.col("texts").alias("data"))
+    ordered = texts.unionByName(answered).repartition("block").sortWithinPartitions("block", "bucket")
+    return by_task(ordered, run, RESULT)
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR
 ) -> DataFrame:
     """Score every row of ``docs``; ``target_ids`` has the wanted ids in its first column."""
-    rows = marked(docs, target_ids, id_col, text_col)
-    spark = rows.sparkSession
-    at_pairs, at_words = scratch_path(spark, "pairs"), scratch_path(spark, "words")
-    pairs = stage_at(pair_counts(rows).sortWithinPartitions("context"), at_pairs)
-    release(spark)
-    words = stage_at(word_counts(pairs), at_words)
-    release(spark)
-    logs = stage(pair_logs(pairs, words), "pair-logs")
-    for path in (at_pairs, at_words):
-        remove(spark, path)
-    release(spark)
-    return scores(rows, logs)
+    made = stage(blocks(marked(docs, target_ids, id_col, text_col)), "blocks")
+    sums = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    bits = max(0, sums[0] // BUCKET_KEYS).bit_length()
+    answered = answers(questions(made, bits), 1 << bits)
+    return scores(made, answered, (sums[0], sums[1]), prior)

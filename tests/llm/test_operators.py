@@ -28,6 +28,7 @@ from postsift.llm import (
     warc_archive,
 )
 from postsift.llm.components import components
+from postsift.session import stage
 
 tokenizers = pytest.importorskip("tokenizers")
 vocabularies = pytest.importorskip("public_tokenizers")
@@ -355,13 +356,26 @@ def test_scores_against_plain_counts(spark, plain):
     assert scored[6].score < scored[8].score
 
 
-def test_model_sums_to_one(plain):
-    rows = lm_scoring.marked(plain, plain.where("doc_id = 6").select("doc_id"), "doc_id", "text")
-    model = lm_scoring.fit(rows)
-    size = len(model.words) + 2
-    for context in (lm_scoring.START, lm_scoring.UNKNOWN, 2, size - 1):
-        keys = context * size + np.array([w for w in range(size) if w != lm_scoring.START])
-        assert np.allclose(np.exp2(lm_scoring.token_logs(model, keys).astype(float)).sum(axis=0), 1, atol=1e-3)
+def test_model_sums_to_one(spark):
+    """Of all pairs of a small vocabulary, told by texts that hold each of them."""
+    texts = ["a b", "a c a", "c", "b b a", "a a"]
+    spread = ["b a c b c c"]  # with the texts: every pair, start and end among them
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + spread)], "doc_id long, text string")
+    rows = lm_scoring.marked(docs, docs.where("doc_id < 2").select("doc_id"), "doc_id", "text")
+    made = stage(lm_scoring.blocks(rows.coalesce(1)), "blocks")
+    n, n_target = made.agg(F.sum("n"), F.sum("n_target")).first()
+    told = lm_scoring.answers(lm_scoring.questions(made, 2), 4).orderBy("block", "bucket").collect()
+    data = made.first().texts
+    counts = np.array([np.concatenate(c) for c in zip(*(lm_scoring.unpacked(r.data) for r in told))])
+    block = lm_scoring._Block(data)
+    for bits in lm_scoring._losses(block, counts, (n, n_target), 16.0):
+        for context in range(4):
+            at = block.before == context
+            # The start has no end after it: what that lacks is the end's share of the prior.
+            listed = np.exp2(-bits[at]).sum()
+            assert listed <= 1 + 1e-12
+            assert context == 0 or set(block.after[at]) != {0, 1, 2, 3} or abs(listed - 1) < 1e-12
+    assert (n, n_target) == (sum(len(t.split()) + 1 for t in texts + spread), 7)
 
 
 def test_scores_use_every_word_and_pair(spark):
@@ -379,31 +393,51 @@ def test_scores_use_every_word_and_pair(spark):
     for i, text in [*rows, rows[-1]]:
         for k in (0, 1) if i in wanted else (1,):
             ws = text.split()
-            single[k].update(ws)
-            pair[k].update(zip(["", *ws], ws))
+            if ws:
+                single[k].update([*ws, None])
+                pair[k].update(zip(["", *ws], [*ws, None]))
     for k in (0, 1):
-        context[k].update(c for c, _ in pair[k])
+        for (c, _), n in pair[k].items():
+            context[k][c] += n
+
+    def unigram(w, k):
+        share = single[1][w] / sum(single[1].values())
+        return share if k else (single[0][w] + 16 * share) / (sum(single[0].values()) + 16)
 
     def entropy(text, k):
         ws, total = text.split(), 0.0
-        size = sum(single[k].values()) + len(single[1]) + 1
         for c, w in zip(["", *ws], ws):
-            listed = sum(n for (d, _), n in pair[k].items() if d == c)
-            n = single[k][c] if c else listed
-            p = (single[k][w] + 1) / size
-            if n:
-                p = max(pair[k][c, w] - 0.5, 0) / n + (n - listed + 0.5 * context[k][c]) / n * p
-            total -= np.log2(p)
+            total -= np.log2((pair[k][c, w] + 16 * unigram(w, k)) / (context[k][c] + 16))
         return total / max(len(ws), 1)
 
+    for k in (0, 1):
+        for c in ("", "w1", "rare0", "rare4"):
+            every = [(pair[k][c, w] + 16 * unigram(w, k)) / (context[k][c] + 16) for w in single[1]]
+            assert abs(sum(every) - 1) < 1e-9
     assert len(out) == len(texts) + 1 and Counter(r.doc_id for r in out)[104] == 2
     for r in out:
-        if r.doc_id >= 100:
+        if r.doc_id >= 98:
             h = [entropy(texts[r.doc_id], k) for k in (0, 1)]
             assert np.allclose([r.h_target, r.h_background, r.score], [*h, h[0] - h[1]]), r
             assert r.n_tokens == len(texts[r.doc_id].split())
 
 
+def test_scores_of_odd_rows(spark, monkeypatch):
+    """Nulls, clashing columns, one block a text and many buckets: the same scores for the same texts."""
+    rows = [(None, "a b c", 1, 2), (2, None, 1, 2), (3, "a b c", None, 2), (3, "a b c", 1, 2), (4, " ", 1, 2), (5, "x " * 5000, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block int, score int")
+    target = spark.createDataFrame([(3,), (77,), (None,)], "doc_id long")
+    once = sorted(map(str, lm_scoring.cross_entropy_difference(docs, target).collect()))
+    assert len(once) == 6 and sum("doc_id=None" in r for r in once) == 1 and sum("n_tokens=0" in r for r in once) == 2
+    nobody = lm_scoring.cross_entropy_difference(docs, target.where("doc_id = 77")).where("doc_id = 5").first()
+    share = 5000 / (5000 + 1 + 3 * 4)
+    assert abs(nobody.h_target + np.log2(share)) < 1e-9
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 1)
+    monkeypatch.setattr(lm_scoring, "BUCKET_KEYS", 10)
+    many = sorted(map(str, lm_scoring.cross_entropy_difference(docs.coalesce(1), target).collect()))
+    assert many == once
+
+
 def test_empty_tables(spark, empty):
     path = vocabularies.path("word_bpe_49k.json")
     none = empty.select("doc_id")
