@@ -6,12 +6,15 @@ hash is its anchor, so two equal windows have equal anchors wherever they stand.
 anchor in a place form a phrase.
 
 1. Each phrase goes, once a task, to the block of its anchor, where the least document that has the
-   phrase is looked up. Phrases that occur in one document under an anchor of their own end here.
+   phrase is looked up, and the place where it stands there. Phrases that occur in one document under
+   an anchor of their own end here.
 2. Windows at factor boundaries, those whose anchor is known with other phrases, are decided one by
    one: their hashes go through blocks again, and only for documents that have such windows.
 3. Each document is parsed greedily against what the blocks returned: a factor starts at the first
-   window known from a smaller document and grows while the next window is known from the same one.
-   Every word under a factor, which has at least ``width`` words, goes.
+   window known from a smaller document and grows while the next window is the next one of that
+   document, so a factor is a run of words that its document holds as it is. Where it ends, the next
+   window is looked at anew, so factors may overlap by up to ``width - 1`` words. What the factors
+   cover, each of at least ``width`` words, goes; nothing else does.
 
 The result is exact but for 64-bit hash collisions: a window goes if and only if its words also stand,
 in this order, in a document with a smaller id. A phrase that a third of all documents hold is one
@@ -108,24 +111,27 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _combined(columns: list[np.ndarray]) -> dict[str, object]:
-    """Rows (hashes..., id) combined by the hashes: least id, and the other ids as bytes."""
-    *keys, ids = columns
+    """Rows (hashes..., id, place) combined by the hashes: least id, its first place, other ids as bytes.
+
+    Places of a document come in ascending order, and the sort is stable.
+    """
+    *keys, ids, places = columns
     order = np.lexsort([ids, *keys[::-1]])
-    keys, ids = [k[order] for k in keys], ids[order]
+    keys, ids, places = [k[order] for k in keys], ids[order], places[order]
     fresh = np.zeros(len(ids), dtype=bool)
     fresh[:1] = True
     for k in keys:
         fresh[1:] |= k[1:] != k[:-1]
     repeat = ~fresh
     repeat[1:] &= ids[1:] == ids[:-1]  # the same document again
-    keys, ids, fresh = [k[~repeat] for k in keys], ids[~repeat], fresh[~repeat]
+    keys, ids, places, fresh = [k[~repeat] for k in keys], ids[~repeat], places[~repeat], fresh[~repeat]
     first = np.flatnonzero(fresh)
     stop = np.append(first[1:], len(ids))
     raw, many = ids.tobytes(), stop - first > 1
     others: list[bytes | None] = [None] * len(first)
     for i in np.flatnonzero(many).tolist():
         others[i] = raw[8 * (first[i] + 1) : 8 * stop[i]]
-    return {"keys": [k[first] for k in keys], "id": ids[first], "others": others}
+    return {"keys": [k[first] for k in keys], "id": ids[first], "place": places[first], "others": others}
 
 
 def _ids(part: pa.RecordBatch) -> np.ndarray:
@@ -133,15 +139,15 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
 
 
 def phrase_entries(docs: DataFrame, width: int, anchor: int) -> DataFrame:
-    """(anchor, phrase, least, others) of the phrases of each task, combined."""
+    """(anchor, phrase, least, place, others) of the phrases of each task, combined."""
 
     def run(parts):
         held: list[list[np.ndarray]] = []
         size = 0
         for part in parts:
             for doc_id, text in zip(_ids(part).tolist(), part.column("text").to_pylist(), strict=True):
-                anchors, phrases, _, _ = Words(text).phrases(width, anchor)
-                held.append([anchors, phrases, np.full(len(anchors), doc_id)])
+                anchors, phrases, first, _ = Words(text).phrases(width, anchor)
+                held.append([anchors, phrases, np.full(len(anchors), doc_id), first])
                 size += len(anchors)
             if size >= COMBINE:
                 yield flushed(held)
@@ -151,10 +157,11 @@ def phrase_entries(docs: DataFrame, width: int, anchor: int) -> DataFrame:
 
     def flushed(held):
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        out = _combined([_signed(columns[0]), _signed(columns[1]), columns[2]])
-        return {"anchor": out["keys"][0], "phrase": out["keys"][1], "least": out["id"], "others": out["others"]}
+        out = _combined([_signed(columns[0]), _signed(columns[1]), *columns[2:]])
+        anchors, phrases = out["keys"]
+        return {"anchor": anchors, "phrase": phrases, "least": out["id"], "place": out["place"], "others": out["others"]}
 
-    return by_task(docs, run, "anchor long, phrase long, least long, others binary")
+    return by_task(docs, run, "anchor long, phrase long, least long, place long, others binary")
 
 
 def _spread(rows: DataFrame, *keep: str) -> DataFrame:
@@ -179,7 +186,8 @@ def _spread(rows: DataFrame, *keep: str) -> DataFrame:
 def _known(entries: DataFrame) -> DataFrame:
     """Step 1: per (doc_id): what the blocks know of its phrases.
 
-    ``first`` is the least document of a phrase, ``mixed`` tells that its anchor has other phrases.
+    ``first`` is the least document of a phrase and ``at`` the phrase's first window there; ``mixed``
+    tells that its anchor has other phrases.
     Both windows use one shuffle, by anchor. Entries of a phrase are at most one a task.
     """
     phrase = Window.partitionBy("anchor", "phrase")
@@ -192,79 +200,84 @@ def _known(entries: DataFrame) -> DataFrame:
             {"several": several, "mixed": F.min("phrase").over(anchor) != F.max("phrase").over(anchor)}
         )
         .where("several")  # an anchor of one document alone, however often, says nothing
-        .withColumn("first", F.min("least").over(phrase))
+        .withColumn("_first", F.min(F.struct("least", "place")).over(phrase))
+        .withColumns({"first": F.col("_first.least"), "at": F.col("_first.place")})
     )
     useful = judged.where("mixed OR others IS NOT NULL OR least <> first")
-    spread = _spread(useful, "anchor", "phrase", "first", "mixed")
+    spread = _spread(useful, "anchor", "phrase", "first", "at", "mixed")
     # A document that is itself the first needs to know only of mixed anchors.
     return spread.where("mixed OR doc_id <> first")
 
 
-def _removed(first: np.ndarray, n_words: int, width: int) -> np.ndarray:
-    """Words under the windows that start at ``first``."""
+def _covered(found: list[tuple[int, int, int, int]], n_words: int) -> np.ndarray:
+    """Whether each word lies under a factor."""
     change = np.zeros(n_words + 1, dtype=np.int64)
-    np.add.at(change, first, 1)
-    np.add.at(change, first + width, -1)
+    if found:
+        start, words = np.array([f[:2] for f in found], dtype=np.int64).T
+        np.add.at(change, start, 1)
+        np.add.at(change, start + words, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def factors(reference: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Greedy parse: (first word, words, document) of the factors of at least ``width`` words.
+def factors(reference: np.ndarray, place: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
+    """Greedy parse: (first word, words, document, its word) of the factors of at least ``width`` words.
 
-    ``reference[i]`` is the document that holds window i, or NONE; a factor grows while the next
-    window is held by the same document.
+    Window i stands in document ``reference[i]`` (or NONE) from word ``place[i]`` on. A factor grows
+    while the next window is the next one of the same document.
     """
     if not len(reference):
         return []
-    cut = np.flatnonzero(np.concatenate([[True], reference[1:] != reference[:-1]]))
+    goes_on = (reference[1:] == reference[:-1]) & ((place[1:] == place[:-1] + 1) | (reference[1:] == NONE))
+    cut = np.flatnonzero(np.concatenate([[True], ~goes_on]))
     stop = np.append(cut[1:], len(reference))
     hit = reference[cut] != NONE
-    return list(
-        zip(cut[hit].tolist(), (stop - cut + width - 1)[hit].tolist(), reference[cut][hit].tolist(), strict=True)
-    )
+    cut, stop = cut[hit], stop[hit]
+    columns = cut, stop - cut + width - 1, reference[cut], place[cut]
+    return list(zip(*[c.tolist() for c in columns], strict=True))
 
 
-def _lookup(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def _lookup(table: np.ndarray, values: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
     """``values`` of ``keys`` where ``table`` has them, else NONE; the table need not be sorted."""
     if not len(table):
-        return np.full(len(keys), NONE, dtype=np.int64)
+        return [np.full(len(keys), NONE, dtype=np.int64) for _ in values]
     order = np.argsort(table, kind="stable")
-    place = np.minimum(np.searchsorted(table[order], keys), len(table) - 1)
-    found = table[order][place] == keys
-    return np.where(found, values[order][place], NONE)
+    place = order[np.minimum(np.searchsorted(table[order], keys), len(table) - 1)]
+    found = table[place] == keys
+    return [np.where(found, v[place], NONE) for v in values]
 
 
 def _longs(values: list | None) -> np.ndarray:
     return np.array(values or [], dtype=np.int64)
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: long, words: long, doc_id: long>>"
+_RESULT = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: long, words: long, doc_id: long, at: long>>"
 
 
-def _settled(text: str, reference: np.ndarray, width: int, shape) -> dict[str, object]:
+def _settled(text: str, reference: np.ndarray, place: np.ndarray, width: int, shape) -> dict[str, object]:
     words = text.encode().split()
-    hit = np.flatnonzero(reference != NONE)
+    found = factors(reference, place, width)
     kept = words
-    if len(hit):
-        gone = _removed(hit, len(words), width)
+    if found:
+        gone = _covered(found, len(words))
         kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-    found = factors(reference, width)
     return {
         "n_words": len(words),
         "n_removed": len(words) - len(kept),
         "kept": shape(b" ".join(kept).decode()),
-        "factors": [{"start": a, "words": n, "doc_id": None if d == NO_ID else d} for a, n, d in found],
+        "factors": [
+            {"start": a, "words": n, "doc_id": None if d == NO_ID else d, "at": at} for a, n, d, at in found
+        ],
     }
 
 
 def _per_doc(known: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One row per document with the phrases, mixed anchors and windows that concern it."""
-    phrase = F.when(F.col("first") != F.col("doc_id"), F.struct(F.col("phrase").alias("hash"), "first"))
+    phrase = F.when(F.col("first") != F.col("doc_id"), F.struct(F.col("phrase").alias("hash"), "first", "at"))
     rows = known.select(
         "doc_id", phrase.alias("copy"), F.when(F.col("mixed"), F.col("anchor")).alias("mixed"), _nothing().alias("window")
     )
     if found is not None:
-        window = F.struct(F.col("window").alias("hash"), "first")
+        window = F.struct(F.col("window").alias("hash"), "first", "at")
         rows = rows.unionByName(
             found.select("doc_id", _nothing().alias("copy"), F.lit(None).cast("long").alias("mixed"), window.alias("window"))
         )
@@ -276,7 +289,7 @@ def _per_doc(known: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
 
 def _nothing():
-    return F.lit(None).cast("struct<hash: bigint, first: bigint>")
+    return F.lit(None).cast("struct<hash: bigint, first: bigint, at: bigint>")
 
 
 def _with_known(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
@@ -287,13 +300,15 @@ def _with_known(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
         "mixed",
         F.col("copies.hash").alias("copies_hash"),
         F.col("copies.first").alias("copies_first"),
+        F.col("copies.at").alias("copies_at"),
         F.col("windows.hash").alias("windows_hash"),
         F.col("windows.first").alias("windows_first"),
+        F.col("windows.at").alias("windows_at"),
     )
 
 
 def _open_windows(docs: DataFrame, known: DataFrame, width: int, anchor: int) -> DataFrame:
-    """(window, least, others), combined by task: windows that phrases leave undecided.
+    """(window, least, place, others), combined by task: windows that phrases leave undecided.
 
     Only documents with an anchor that is known with other phrases have any.
     """
@@ -301,7 +316,7 @@ def _open_windows(docs: DataFrame, known: DataFrame, width: int, anchor: int) ->
 
     def flushed(held):
         out = _combined([np.concatenate(c) for c in zip(*held, strict=True)])
-        return {"window": out["keys"][0], "least": out["id"], "others": out["others"]}
+        return {"window": out["keys"][0], "least": out["id"], "place": out["place"], "others": out["others"]}
 
     def run(parts):
         held: list[list[np.ndarray]] = []
@@ -312,8 +327,9 @@ def _open_windows(docs: DataFrame, known: DataFrame, width: int, anchor: int) ->
                 words = Words(text)
                 anchors, hashes, first, last = words.phrases(width, anchor)
                 still = np.isin(_signed(anchors), _longs(mixed)) & ~np.isin(_signed(hashes), _longs(copies))
-                windows = _signed(words.windows(width)[np.repeat(still, last - first + 1)])
-                held.append([windows, np.full(len(windows), doc_id)])
+                place = np.flatnonzero(np.repeat(still, last - first + 1))
+                windows = _signed(words.windows(width)[place])
+                held.append([windows, np.full(len(windows), doc_id), place])
                 size += len(windows)
             if size >= COMBINE:
                 yield flushed(held)
@@ -321,27 +337,28 @@ def _open_windows(docs: DataFrame, known: DataFrame, width: int, anchor: int) ->
         if held:
             yield flushed(held)
 
-    return by_task(rows, run, "window long, least long, others binary")
+    return by_task(rows, run, "window long, least long, place long, others binary")
 
 
 def _parsed(docs: DataFrame, per_doc: DataFrame, width: int, anchor: int, shape) -> DataFrame:
     """The factors of every document and what is left of it."""
 
     def run(part: pa.RecordBatch):
-        names = ("doc_id", "text", "copies_hash", "copies_first", "windows_hash", "windows_first")
+        names = ("text", "copies_hash", "copies_first", "copies_at", "windows_hash", "windows_first", "windows_at")
         out = []
-        for doc_id, text, hashes, firsts, windows, window_firsts in zip(
-            *[part.column(c).to_pylist() for c in names], strict=True
-        ):
-            reference = np.zeros(0, np.int64)
-            if hashes or windows:  # else nothing of it stands in a smaller document
+        for text, *known in zip(*[part.column(c).to_pylist() for c in names], strict=True):
+            reference = place = np.zeros(0, np.int64)
+            if known[0] or known[3]:  # else nothing of it stands in a smaller document
+                hashes, firsts, at, windows, window_firsts, window_at = map(_longs, known)
                 words = Words(text)
                 _, phrases, first, last = words.phrases(width, anchor)
-                by_phrase = _lookup(_longs(hashes), _longs(firsts), _signed(phrases))
-                by_window = _lookup(_longs(windows), _longs(window_firsts), _signed(words.windows(width)))
-                by_phrase = np.repeat(by_phrase, last - first + 1)
+                each = last - first + 1
+                by_phrase, at_phrase = (np.repeat(x, each) for x in _lookup(hashes, [firsts, at], _signed(phrases)))
+                at_phrase = at_phrase + np.arange(len(at_phrase)) - np.repeat(first, each)
+                by_window, at_window = _lookup(windows, [window_firsts, window_at], _signed(words.windows(width)))
                 reference = np.where(by_phrase == NONE, by_window, by_phrase)
-            out.append(_settled(text, reference, width, shape))
+                place = np.where(by_phrase == NONE, at_window, at_phrase)
+            out.append(_settled(text, reference, place, width, shape))
         return {k: [r[k] for r in out] for k in ("n_words", "n_removed", "kept", "factors")} | {
             "doc_id": part.column("doc_id")
         }
@@ -359,15 +376,18 @@ def without_repeats(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept (text) and factors.
 
-    A factor is (first word, words, smaller document that has them). With ``digest``, kept is the
-    SHA-256 of the text.
+    A factor is (first word, words, smaller document that has them, their first word there). With
+    ``digest``, kept is the SHA-256 of the text.
     """
     spark, rows = docs.sparkSession, id_and_text(docs, id_col, text_col)
     known = stage(_known(phrase_entries(rows, width, anchor)), "phrases")
     release(spark)
     entries = _open_windows(rows, known, width, anchor)
-    judged = entries.withColumn("first", F.min("least").over(Window.partitionBy("window")))
-    spread = _spread(judged.where("others IS NOT NULL OR least <> first"), "window", "first")
+    least = F.min(F.struct("least", "place")).over(Window.partitionBy("window"))
+    judged = entries.withColumn("_first", least).withColumns(
+        {"first": F.col("_first.least"), "at": F.col("_first.place")}
+    )
+    spread = _spread(judged.where("others IS NOT NULL OR least <> first"), "window", "first", "at")
     found = stage(spread.where("doc_id <> first"), "windows")
     release(spark)
     copies = known.where("first <> doc_id")

@@ -167,7 +167,35 @@ def test_substrings_equal_brute_force(spark, docs):
     out = found(substring_dedup.without_repeats(docs, digest=True), "doc_id", "n_words", "n_removed", "kept")
     assert sorted(set(out)) == brute.substring(texts()) and len(out) == len(ROWS)
     row = substring_dedup.without_repeats(docs).where("doc_id = 7").first()
-    assert row.kept == "anders" and [tuple(f) for f in row.factors] == [(1, 40, 6)]
+    assert row.kept == "anders" and [tuple(f) for f in row.factors] == [(1, 40, 6, 1)]
+
+
+def test_factors_are_runs_of_their_documents(spark):
+    words = [f"w{i}" for i in range(1, 60)]
+    split = " ".join([*words[:13], "zwischen", *words[1:14]])
+    texts = {
+        1: split,
+        2: " ".join(words[:14]),
+        3: " ".join(["vor", *words[20:50], "nach"]),
+        4: " ".join([*words[15:55], *words[20:40]]),
+        5: " ".join(words[25:45] + words[2:20] + words[20:50]),
+        6: "x " * 40,
+        7: "y " + "x " * 60,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r for r in substring_dedup.without_repeats(docs).collect()}
+    # No document holds the 14 words of the second as they are, but every one goes.
+    assert [tuple(f) for f in out[2].factors] == [(0, 13, 1, 0), (1, 13, 1, 14)] and out[2].kept == ""
+    assert [tuple(f) for f in out[4].factors][0] == (5, 30, 3, 1)
+    for doc_id, row in out.items():
+        own = texts[doc_id].split()
+        for f in row.factors:
+            assert f.doc_id < doc_id and f.words >= 13
+            assert own[f.start : f.start + f.words] == texts[f.doc_id].split()[f.at : f.at + f.words]
+        under = {i for f in row.factors for i in range(f.start, f.start + f.words)}
+        assert row.n_removed == len(under) and row.kept.split() == [w for i, w in enumerate(own) if i not in under]
+    brief = substring_dedup.without_repeats(docs, digest=True)
+    assert found(brief, "doc_id", "n_words", "n_removed", "kept") == brute.substring(list(texts.items()))
 
 
 def test_simhash_equals_brute_force(spark, docs):
