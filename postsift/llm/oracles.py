@@ -30,6 +30,22 @@ ORACLES = {
 }
 
 # Phrases of documents: every occurrence, counted by language; the parts of each cut by a join.
+ORACLES["op5_substring_dedup"] = r"""WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM d WHERE len(words) >= 13),
+said AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS said FROM windows),
+firsts AS (SELECT said, min(doc_id) AS first FROM said GROUP BY said),
+starts AS (SELECT doc_id, i FROM said JOIN firsts USING (said) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM starts, (SELECT unnest(range(13)) AS k)),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i)
+  GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
 ORACLES["op11_collocations"] = r"""
     WITH d AS (
         SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
