@@ -6,13 +6,10 @@ document order, so body text, Content-ID repeats and limits need no shuffle at a
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.once import compute_once
+from ..functions.once import compute_once, let
 from ..functions.text import (
     BODY_CHARS,
     bytes_as_text,
@@ -56,15 +53,19 @@ def named_headers(headers: Column) -> Column:
 
 
 def header_map(named: Column) -> Column:
-    """Lower-case names to values; of several headers with one name the last wins."""
-    last = F.filter(
-        named,
-        lambda h, i: h["key"].isNotNull()
-        & ~F.exists(
-            F.slice(named, i + F.lit(2), F.size(named)), lambda later: later["key"] == h["key"]
-        ),
+    """Lower-case names to values; of several headers with one name the last wins.
+
+    Sorted by name and place, the last one of a name is the one before another name.
+    """
+    placed = F.transform(
+        F.filter(named, lambda h: h["key"].isNotNull()),
+        lambda h, i: F.struct(h["key"].alias("key"), i.alias("i"), h["value"].alias("value")),
     )
-    return F.map_from_entries(last)
+    last = let(
+        F.array_sort(placed),
+        lambda h: F.filter(h, lambda one, i: ~F.get(h, i + F.lit(1))["key"].eqNullSafe(one["key"])),
+    )
+    return F.map_from_entries(F.transform(last, lambda h: F.struct(h["key"], h["value"])))
 
 
 def content_id(headers: Column) -> Column:
@@ -73,7 +74,13 @@ def content_id(headers: Column) -> Column:
     return non_empty(F.try_element_at(found, F.lit(1))["value"])
 
 
-def _node(path: Column, part: Column) -> Column:
+def _below(part: Column) -> Column:
+    """The children of a part whose own are raw JSON, read as a typed level would read them."""
+    wrapped = F.concat(F.lit('{"parts":'), part["parts"], F.lit("}"))
+    return F.from_json(wrapped, f"struct<parts:array<{_part_type(0)}>>")["parts"]
+
+
+def _node(path: Column, part: Column, children: Column) -> Column:
     return F.struct(
         path.alias("path"),
         part["mimeType"].alias("mime"),
@@ -82,7 +89,7 @@ def _node(path: Column, part: Column) -> Column:
         non_empty(part["body"]["data"]).alias("data"),
         part["body"]["size"].alias("size"),
         non_empty(part["body"]["attachmentId"]).alias("attachment_id"),
-        part["parts"].isNotNull().alias("is_container"),
+        children.isNotNull().alias("is_container"),
     )
 
 
@@ -93,9 +100,9 @@ def part_nodes(part: Column, depth: int, path: Column | None = None) -> Column:
     part once; nothing is sorted, and no level is kept beside the next.
     """
     path = F.array().cast("array<int>") if path is None else path
-    own = F.array(_node(path, part))
     if depth == 0:
-        return own
+        return F.array(_node(path, part, F.when(part["parts"].isNotNull(), _below(part))))
+    own = F.array(_node(path, part, part["parts"]))
     below = F.transform(
         F.coalesce(part["parts"], F.array()),
         lambda child, i: part_nodes(child, depth - 1, F.concat(path, F.array(i.cast("int")))),
@@ -112,92 +119,61 @@ def is_deeper(part: Column, depth: int) -> Column:
     )
 
 
-class _Number(str):
-    """A JSON number as it is written."""
-
-
-def _json(value: object) -> str:
-    if isinstance(value, _Number):
-        return value
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{_json(k)}:{_json(v)}" for k, v in value.items()) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_json, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
-
-
-# How ``from_json`` reads a value that is not of the field's type.
-def _string(value: object) -> str | None:
-    return value if value is None or isinstance(value, str) else _json(value)
-
-
-def _long(value: object) -> int | None:
-    whole = isinstance(value, _Number) and value.lstrip("-").isdigit()
-    return int(value) if whole and -(1 << 63) <= int(value) < 1 << 63 else None
+def _placed(path: Column, part: Column) -> Column:
+    return F.struct(path.alias("path"), part.alias("part"))
 
 
-def _object(value: object) -> dict:
-    return value if isinstance(value, dict) else {}
-
-
-def _objects(value: object) -> list[dict] | None:
-    if not isinstance(value, list) or not all(v is None or isinstance(v, dict) for v in value):
-        return None
-    return [_object(v) for v in value]
-
-
-def _walk(payload: dict) -> list[dict]:
-    """Nodes of one deep tree, without recursion, as the typed levels would give them."""
-    nodes, todo = [], [((), payload)]
-    while todo:
-        path, part = todo.pop()
-        body, parts = _object(part.get("body")), _objects(part.get("parts"))
-        cids = [
-            _string(h.get("value"))
-            for h in _objects(part.get("headers")) or []
-            if (_string(h.get("name")) or "").lower() == "content-id"
-        ]
-        nodes.append(
-            {
-                "path": list(path),
-                "mime": _string(part.get("mimeType")),
-                "filename": _string(part.get("filename")),
-                "content_id": (cids[0] if cids else None) or None,
-                "data": _string(body.get("data")) or None,
-                "size": _long(body.get("size")),
-                "attachment_id": _string(body.get("attachmentId")) or None,
-                "is_container": parts is not None,
-            }
+def _last_typed(part: Column, depth: int, path: Column | None = None) -> Column:
+    """Path and part of every part of the last typed level."""
+    path = F.array().cast("array<int>") if path is None else path
+    if depth == 0:
+        return F.array(_placed(path, part))
+    return F.flatten(
+        F.transform(
+            F.coalesce(part["parts"], F.array()),
+            lambda child, i: _last_typed(child, depth - 1, F.concat(path, F.array(i.cast("int")))),
         )
-        children = [(path + (i,), child) for i, child in enumerate(parts or [])]
-        todo.extend(reversed(children))
-    return nodes
+    )
 
 
-def _nodes_of(message: str | None) -> list[dict] | None:
-    """Nodes of a message, or None if it cannot be read; that costs its row, never the batch."""
-    if message is None:
-        return None
-    try:
-        return _walk(_object(json.loads(message, parse_int=_Number, parse_float=_Number))["payload"])
-    except (ValueError, KeyError, AttributeError, RecursionError):
-        return None
+def _next_level(level: Column) -> Column:
+    """Path and part of all children of a level whose parts keep theirs as raw JSON."""
+    return F.flatten(
+        F.transform(
+            F.filter(level, lambda p: p["part"]["parts"].isNotNull()),
+            lambda p: F.transform(
+                F.coalesce(_below(p["part"]), F.array()),
+                lambda child, i: _placed(F.concat(p["path"], F.array(i.cast("int"))), child),
+            ),
+        )
+    )
 
 
-def complete_nodes(flat: DataFrame, raw: str) -> DataFrame:
-    """Rebuild the nodes of the few trees that are deeper than the typed levels.
+def deep_nodes(nodes: Column, part: Column, depth: int, raw: Column) -> Column:
+    """Nodes of a tree of any depth, of which ``nodes`` are the typed levels.
 
-    ``_lost`` marks those that cannot be read; they have no nodes.
+    A fold goes down one level a round. Every part is an object, so no tree has more levels than its
+    JSON has opening braces. In order of the paths, which compare by number, a part comes before all
+    below it and after all below its elder siblings.
     """
 
-    @F.pandas_udf(f"array<{NODE}>")
-    def walk(messages: pd.Series) -> pd.Series:
-        return messages.map(_nodes_of)
+    def own(level: Column) -> Column:
+        return F.transform(
+            level, lambda p: _node(p["path"], p["part"], F.when(p["part"]["parts"].isNotNull(), _below(p["part"])))
+        )
 
-    walked = flat.withColumn("_walked", walk(F.when(F.col("_deeper"), F.col(raw))))
-    nodes = F.when(F.col("_deeper"), F.coalesce("_walked", F.array())).otherwise(F.col("nodes"))
-    lost = F.col("_deeper") & F.col("_walked").isNull()
-    return compute_once(walked, nodes=nodes, _lost=lost).drop("_walked")
+    rounds = F.sequence(F.lit(0), F.length(raw) - F.length(F.replace(raw, F.lit("{"), F.lit(""))))
+    found = F.aggregate(
+        rounds,
+        F.struct(nodes.alias("nodes"), _next_level(_last_typed(part, depth)).alias("level")),
+        lambda acc, _: F.when(F.size(acc["level"]) == 0, acc).otherwise(
+            F.struct(
+                F.concat(acc["nodes"], own(acc["level"])).alias("nodes"), _next_level(acc["level"]).alias("level")
+            )
+        ),
+        lambda acc: acc["nodes"],
+    )
+    return F.array_sort(found)
 
 
 def _is_text(node: Column) -> Column:
@@ -248,8 +224,9 @@ def parse_messages(
     be read keeps its row, with a reason; it never fails its batch.
 
     The default charset reads UTF-8 bodies as Latin-1, which is what has to be matched;
-    pass ``UTF-8`` for readable text. ``deep_trees=False`` leaves out the Python walk for
-    trees deeper than ``depth``; such messages then get the reason ``too_deep``.
+    pass ``UTF-8`` for readable text. ``deep_trees=False`` leaves out the fold over the
+    levels below ``depth``; such messages then get the reason ``too_deep``. At those levels a
+    string that holds a JSON list of objects counts as parts.
     """
     parsed = compute_once(raw, _message=F.from_json(column, message_type(depth)))
     payload = F.col("_message.payload")
@@ -259,7 +236,9 @@ def parse_messages(
         _deeper=is_deeper(payload, depth),
         _named=named_headers(payload["headers"]),
     )
-    flat = complete_nodes(flat, column) if deep_trees else flat.withColumn("_lost", F.lit(False))
+    if deep_trees:
+        deep = deep_nodes(F.col("nodes"), payload, depth, F.col(column))
+        flat = compute_once(flat, nodes=F.when(F.col("_deeper"), deep).otherwise(F.col("nodes")))
     too_deep = F.lit(False) if deep_trees else F.col("_deeper")
     paths = compute_once(flat, _paths=text_paths(F.col("nodes")))
     read = compute_once(
@@ -268,7 +247,7 @@ def parse_messages(
         _body=body_text(F.col("nodes"), F.col("_paths"), charset),
     )
     reason = (
-        F.when(F.col("_message.id").isNull() | payload.isNull() | F.col("_lost"), "bad_message")
+        F.when(F.col("_message.id").isNull() | payload.isNull(), "bad_message")
         .when(too_deep, "too_deep")
         .when(F.col("_body").isNull(), "bad_body")
     )

@@ -130,8 +130,35 @@ def test_odd_deep_trees_are_read_like_shallow_ones(spark):
 
 
 def test_an_unreadable_tree_costs_its_own_row(spark):
-    assert messages._nodes_of('{"payload": ' + '{"parts": [' * 100_000) is None
-    assert messages._nodes_of('{"id": "m"}') is None and messages._nodes_of("[]") is None
+    texts = ['{"id": "m", "payload": ' + '{"parts": [' * 100_000, '{"id": "m"}', "[]", None]
+    df = spark.createDataFrame([(t,) for t in [*texts, message(deep(8))]], "message string")
+    got = messages.parse_messages(df).select("reject_reason", "body_text").collect()
+    assert [r.reject_reason for r in got] == ["bad_message"] * 4 + [None] and got[-1].body_text == "bottom"
+
+
+def test_braces_and_wide_levels_in_deep_trees(spark):
+    """Twelve children on each of three levels below the typed ones: document order is by number."""
+    leaf = part("text/plain", "{{{ }", filename="{")
+    tree = part("multipart/mixed", parts=[leaf] * 12)
+    for _ in range(8):
+        tree = part("multipart/mixed", parts=[part("image/png", "i")] * 11 + [tree])
+    typed, folded = (parse(spark, message(tree), depth=d).first() for d in (10, 6))
+    assert folded.nodes == typed.nodes and len(folded.nodes) == 8 * 12 + 13
+    assert [list(n.path) for n in folded.nodes] == sorted(list(n.path) for n in folded.nodes)
+    assert folded.body_text == "{{{ }"
+
+
+def test_headers_last_wins(spark):
+    named = [("a", "1"), ("B", "2"), ("A", "3"), (None, "4"), ("b", None), ("c", "")]
+    df = spark.createDataFrame([(named,), ([],), (None,)], "h array<struct<name:string,value:string>>")
+    got = df.select(messages.header_map(messages.named_headers(F.col("h"))).alias("m")).collect()
+    assert [r.m for r in got] == [{"a": "3", "b": None, "c": ""}, {}, {}]
+
+
+def test_no_python_for_messages(spark):
+    df = spark.createDataFrame([(message(deep(2)),)], "message string")
+    plan = messages.mime_parts(messages.parse_messages(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def test_mime_rows(spark):
