@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import DAY_MS, utc_day_key, utc_month_start
@@ -26,18 +26,26 @@ def processed_counts(processed: DataFrame, now_ms: int) -> DataFrame:
 
 def pending_counts(pending: DataFrame) -> DataFrame:
     """Unsent rows per priority: the four queues even at zero, others if they occur."""
-    spark: SparkSession = pending.sparkSession
+    return with_all_queues(unsent(pending).groupBy("priority").agg(F.count(F.lit(1)).alias("n")))
+
+
+def with_all_queues(counted: DataFrame) -> DataFrame:
+    """Counts ``(priority, n)`` with a row for each of the four queues."""
+    spark = counted.sparkSession
     fixed = spark.range(1).select(F.explode(F.array(*map(F.lit, QUEUED))).alias("priority"))
-    counted = unsent(pending).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
     return fixed.join(counted, "priority", "full").select(
         "priority", F.coalesce("n", F.lit(0)).alias("n")
     )
 
 
+def is_daily_call() -> Column:
+    return F.col("method").isin("openrouter", "workers-ai")
+
+
 def daily_classifications(results: DataFrame) -> DataFrame:
     """Successful scored calls per UTC day; ``results(ts, method)``."""
     return (
-        results.where(F.col("method").isin("openrouter", "workers-ai"))
+        results.where(is_daily_call())
         .groupBy(utc_day_key(F.col("ts")).alias("day"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

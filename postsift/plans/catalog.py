@@ -24,7 +24,7 @@ from ..functions.text import (
     strip_html,
 )
 from ..operators import accounts as acc
-from ..operators import digest, labels, limits, queue, ranking, routing, rules, scoring, state, stats
+from ..operators import digest, kept_stats, labels, limits, queue, ranking, routing, rules, scoring, state, stats
 from ..session import configure, scratch_path, stage
 from ..sources import attachments, feed, messages, push, tables
 from ..tables.seen import SeenIds
@@ -513,10 +513,14 @@ def scored_chain(spark, sf_dir):
 
 @query
 def daily_classifications(spark, sf_dir):
+    return stats.daily_classifications(_results(spark, sf_dir))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = scoring.resolve_attempts(fx.read_view(spark, sf_dir, "fx_attempt"))
     calls = fx.read_view(spark, sf_dir, "fx_call")
     at = calls.groupBy(F.expr("'m' || id div 5").alias("message_id")).agg(F.min("ts").alias("ts"))
-    return stats.daily_classifications(resolved.join(at, "message_id"))
+    return resolved.join(at, "message_id")
 
 
 @query
@@ -774,6 +778,67 @@ def pending_counts(spark, sf_dir):
     return stats.pending_counts(fx.pending(spark, sf_dir).withColumn("priority", moved))
 
 
+@query
+def kept_pending_counts(spark, sf_dir):
+    """Unsent rows per priority, kept while the queue is filled, marked, replayed and retained."""
+    rows = stage(fx.pending(spark, sf_dir), "pending")
+    table = VersionedTable(spark, scratch_path(spark, "queue"), tables.PENDING, "id")
+    kept = kept_stats.KeptPending(table, scratch_path(spark, "counts"))
+    table.insert(rows)
+    kept.refresh()
+    low = rows.where("priority = 'Low'").select("id")
+    told = []
+
+    def tell(step: str) -> None:
+        kept.refresh()
+        told.append(kept.by_priority().select(F.lit(step).alias("step"), "priority", "n"))
+
+    table.update(low, lambda old, ids: queue.mark_sent(old, ids, REPLAY_SINCE - 1))
+    tell("marked")
+    table.rewrite_where(queue.needs_replay(REPLAY_SINCE), lambda old: queue.replay(old, REPLAY_SINCE))
+    tell("replayed")
+    old_marks = F.col("sent_at") < fx.NOW_MS - queue.SENT_MEMORY_MS
+    table.rewrite_where(old_marks, lambda old: queue.retain_pending(old, fx.NOW_MS))
+    tell("retained")
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+# Times the kept counts are asked for: on a full hour, and not.
+ASKED_AT = [fx.NOW_MS, fx.NOW_MS - 3 * 86_400_000, fx.NOW_MS - 3 * 86_400_000 + 1_234_567]
+
+
+@query
+def kept_processed_counts(spark, sf_dir):
+    """Messages processed in a day and a month at several times, kept while rows come and go."""
+    rows = stage(fx.processed_messages(spark, sf_dir), "processed")
+    path = scratch_path(spark, "processed")
+    table = VersionedTable(spark, path, tables.PROCESSED_MESSAGES, "message_id")
+    kept = kept_stats.KeptProcessed(table, scratch_path(spark, "counts"))
+    half = F.pmod(F.xxhash64("message_id"), F.lit(2))
+    table.insert(rows.where(half == 0))
+    kept.refresh()
+    table.insert(rows.where(half == 1))
+    memory = 20 * 86_400_000
+    old = F.col("processed_at") < fx.NOW_MS - memory
+    table.rewrite_where(old, lambda held: queue.retain_processed(held, fx.NOW_MS, memory))
+    kept.refresh()
+    asked = [kept.at(now).select(F.lit(now).cast("bigint").alias("asked_at"), "*") for now in ASKED_AT]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
+
+
+@query
+def kept_daily_classifications(spark, sf_dir):
+    """Scored calls per day, kept as results come in."""
+    results = stage(_results(spark, sf_dir), "results")
+    path = scratch_path(spark, "results")
+    table = VersionedTable(spark, path, "message_id string, ts bigint, method string", "message_id")
+    kept = kept_stats.KeptDaily(table, scratch_path(spark, "counts"))
+    for part in range(2):
+        table.insert(results.where(F.pmod(F.xxhash64("message_id"), F.lit(2)) == part))
+        kept.refresh()
+    return kept.by_day()
+
+
 @query
 def stored_queue(spark, sf_dir):
     """The queue, written as a table and read with its stated schema."""

@@ -565,5 +565,22 @@ ORACLES["versioned_queue"] = f"""WITH {PENDING}, marked AS (SELECT * REPLACE (CA
     FROM pending),
   again AS (SELECT id, CASE WHEN received_at >= {_SINCE} OR sent_at >= {_SINCE} THEN NULL ELSE sent_at END AS sent_at FROM marked)
   SELECT id, sent_at FROM again WHERE sent_at IS NULL OR sent_at >= {fx.NOW_MS - DAY}"""
+ORACLES["kept_pending_counts"] = f"""WITH {PENDING}, marked AS (SELECT * REPLACE (CASE WHEN priority = 'Low' THEN {_SINCE - 1} ELSE sent_at END AS sent_at)
+    FROM pending),
+  again AS (SELECT * REPLACE (CASE WHEN received_at >= {_SINCE} OR sent_at >= {_SINCE} THEN NULL ELSE sent_at END AS sent_at) FROM marked),
+  kept AS (FROM again WHERE sent_at IS NULL OR sent_at >= {fx.NOW_MS - DAY}),
+  steps AS (SELECT 'marked' AS step, priority, sent_at FROM marked UNION ALL SELECT 'replayed', priority, sent_at FROM again
+    UNION ALL SELECT 'retained', priority, sent_at FROM kept)
+  SELECT s.step, p.priority, count(steps.step) AS n FROM (VALUES ('marked'), ('replayed'), ('retained')) s(step)
+  CROSS JOIN (VALUES ('High'), ('Medium'), ('Low'), ('Not Necessary')) p(priority)
+  LEFT JOIN steps ON steps.step = s.step AND steps.priority = p.priority AND steps.sent_at IS NULL GROUP BY ALL"""
+ORACLES["kept_processed_counts"] = f"""WITH {FEED}, {_SEEN}, kept AS (FROM seen WHERE processed_at >= {fx.NOW_MS - 20 * DAY})
+  SELECT asked_at, count(*) FILTER (WHERE processed_at > asked_at - {DAY}) AS processed_today,
+    count(*) FILTER (WHERE processed_at > epoch_ms(date_trunc('month', make_timestamp(asked_at * 1000)))) AS processed_month
+  FROM kept, (VALUES ({fx.NOW_MS}::BIGINT), ({fx.NOW_MS - 3 * DAY}), ({fx.NOW_MS - 3 * DAY + 1_234_567})) a(asked_at) GROUP BY asked_at"""
+ORACLES["kept_daily_classifications"] = ORACLES["daily_classifications"]
+ORACLES["stream_kept_counts"] = f"""WITH {PENDING} SELECT p.priority, count(pending.id) AS n
+  FROM (VALUES ('High'), ('Medium'), ('Low'), ('Not Necessary')) p(priority)
+  LEFT JOIN pending ON pending.priority = p.priority AND sent_at IS NULL AND pending.priority <> 'Low' GROUP BY p.priority"""
 ORACLES["stream_ordered_calls"] = ORACLES["limited_calls"]
 ORACLES["stream_flush_assignment"] = f"SELECT id, priority, flush_at FROM ({ORACLES['flush_assignment']})"

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import queue, scoring
+from ..operators import kept_stats, queue, scoring
 from ..operators.queue import FLUSH_ROWS
 from ..session import scratch_path, stage
 from ..sources import push
-from ..sources.tables import STATE
-from ..streaming import dedupe, digests, limits, ordered, tables, triage, windows
+from ..sources.tables import PENDING, STATE
+from ..streaming import counts, dedupe, digests, limits, ordered, tables, triage, windows
+from ..tables.versioned import VersionedTable
 from . import fixtures as fx
 from .catalog import SMALL_CAP, SMALL_QUOTA, _flat, query
 
@@ -228,3 +229,23 @@ def stream_flush_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "digests")
     _send_all(spark, sf_dir, out, scratch_path(spark, "stream"), SMALL_CAP)
     return digests.queue_table(spark, out).read().select("id", "priority", "flush_at")
+
+
+@query
+def stream_kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsent rows per priority, kept while a stream fills the queue and marks what is Low."""
+    out = scratch_path(spark, "kept")
+
+    def table(spark: SparkSession) -> VersionedTable:
+        return VersionedTable(spark, f"{out}/queue", PENDING, "id")
+
+    def kept(spark: SparkSession) -> kept_stats.KeptPending:
+        return kept_stats.KeptPending(table(spark), f"{out}/counts")
+
+    def fill(batch: DataFrame, batch_id: int) -> None:
+        at = F.when(F.col("priority") == "Low", F.col("received_at")).otherwise(F.col("sent_at"))
+        table(batch.sparkSession).insert(batch.withColumn("sent_at", at), batch_id)
+
+    sink = counts.with_counts(fill, lambda spark: [kept(spark)])
+    feed_in_parts(fx.pending(spark, sf_dir), "received_at", to_sink(sink))
+    return kept(spark).by_priority()
