@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import RULE_SUMMARY_CHARS, or_empty, sender_address
+from ..session import stage
 from ..sources.tables import RuleConfig
 
 VERDICT = "struct<priority:string,summary:string,label:string,method:string>"
@@ -24,45 +25,32 @@ def is_trusted(sender: Column, allowlist: tuple[str, ...]) -> Column:
 
 
 def trusted_by_table(mail: DataFrame, allowlist: DataFrame) -> DataFrame:
-    """Add ``trusted`` from an allowlist table ``(entry)`` of any size; ``id`` is unique.
+    """Add ``trusted`` from an allowlist table ``(entry)`` of any size.
 
-    A suffix match would be a nested-loop join. An ``@domain`` entry can only match from
-    an ``@`` on, so it is an equi join on the address's last ``@`` part; the whole address
-    is a second one. Addresses with several ``@`` (rare) go their own way and try each of
-    their suffixes. Join sides are left to AQE, which knows their sizes and splits a hot
-    domain.
+    A suffix match would be a nested-loop join. An ``@domain`` entry can only match from an ``@``
+    on, so a distinct address has a few keys: itself and its suffixes from every ``@`` on. They are
+    looked up by an equi join, and the mail joins the addresses that hit, which are written first, so that
+    AQE can split a hot address. Mail is read twice, once for its addresses alone.
     """
-    entries = allowlist.select(F.lower("entry").alias("_key"), F.lit(True).alias("_hit")).distinct()
+    entries = allowlist.select(F.lower("entry").alias("_key"))
     keyed = mail.withColumn("_address", sender_address(F.col("from_addr")))
-    several = F.coalesce(F.size(F.split("_address", "@")) > 2, F.lit(False))
-
-    by_domain = entries.where(F.startswith("_key", F.lit("@"))).toDF("_domain", "_by_domain")
-    by_address = entries.where(~F.startswith("_key", F.lit("@"))).toDF("_address", "_by_address")
-    domain = F.concat(F.lit("@"), F.substring_index("_address", "@", -1))
-    usual = (
-        keyed.where(~several)
-        .withColumn("_domain", F.when(F.contains("_address", F.lit("@")), domain))
-        .join(by_domain, "_domain", "left")
-        .join(by_address, "_address", "left")
-        .select(*mail.columns, F.coalesce("_by_domain", "_by_address", F.lit(False)).alias("trusted"))
-    )
-
     pieces = F.split("_address", "@")
     suffixes = F.transform(
-        F.sequence(F.lit(2), F.size(pieces)),
+        F.sequence(F.lit(2), F.greatest(F.size(pieces), F.lit(2))),
         lambda i: F.concat(F.lit("@"), F.array_join(F.slice(pieces, i, F.size(pieces)), "@")),
     )
-    rare = keyed.where(several)
+    keys = F.when(F.contains("_address", F.lit("@")), F.array_append(suffixes, F.col("_address")))
     hits = (
-        rare.select("id", F.explode(F.array_append(suffixes, F.col("_address"))).alias("_key"))
-        .join(entries, "_key")
-        .select("id", F.lit(True).alias("_hit"))
+        keyed.select("_address")
+        .where("_address IS NOT NULL")
+        .distinct()
+        .select("_address", F.explode(F.coalesce(keys, F.array("_address"))).alias("_key"))
+        .join(entries, "_key", "left_semi")
+        .select("_address", F.lit(True).alias("_hit"))
         .distinct()
     )
-    odd = rare.join(hits, "id", "left").select(
-        *mail.columns, F.coalesce("_hit", F.lit(False)).alias("trusted")
-    )
-    return usual.unionByName(odd)
+    joined = keyed.join(stage(hits, "trusted"), "_address", "left")
+    return joined.select(*mail.columns, F.coalesce("_hit", F.lit(False)).alias("trusted"))
 
 
 def has_ignored_label(labels: Column, ignore_labels: tuple[str, ...]) -> Column:

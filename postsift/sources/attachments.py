@@ -18,6 +18,7 @@ from ..functions.text import (
     trim_text,
 )
 from ..session import scratch_path, stage_at
+from ..tables.bitmaps import maybe_in
 
 # Limits per message.
 MAX_BYTES = 1024 * 1024
@@ -113,18 +114,17 @@ def with_attachments(
     ``store(message_id, attachment_id, data base64url)``. Bytes are shuffled once: a first
     join moves keys alone and tells which lookups succeed, and images are cut to the first
     five usable ones per message. Up to MOST_BROADCAST lookups go to the store, so that only
-    bytes that are used are shuffled, texts and PDFs cut before. With more, the store goes to
-    the messages by ``message_id``, and grouping needs no further shuffle of bytes. The messages
+    bytes that are used are shuffled, texts and PDFs cut before. With more, a filter of bits holds back
+    most attachments nobody uses, the rest of the store goes to the messages by ``message_id``, and
+    grouping needs no further shuffle of bytes. The messages
     are parsed and written once; the key passes read only the columns they need, and
     messages without a lookup are never shuffled. ``staged_at`` is where they are written, for
     callers who remove them once they are done with the result.
     """
     leaves = compute_once(messages, _leaves=attachment_leaves(F.col("nodes"))).drop("nodes")
     parts = compute_once(leaves, _parts=attachment_parts(F.col("_leaves"))).drop("_leaves")
-    prepared = stage_at(
-        parts.withColumn("_wanted", _wanted(F.col("_parts"))),
-        staged_at or scratch_path(messages.sparkSession, "messages"),
-    )
+    path = staged_at or scratch_path(messages.sparkSession, "messages")
+    prepared = stage_at(parts.withColumn("_wanted", _wanted(F.col("_parts"))), path)
     looks_up = F.exists("_wanted", lambda w: w["lookup"].isNotNull())
     wanted = prepared.where(looks_up).select(
         F.col("id").alias("message_id"), F.col("_wanted").alias("wanted")
@@ -134,7 +134,7 @@ def with_attachments(
     if lookups <= MOST_BROADCAST:
         fetched = _fetch_few(chosen, store, redaction)
     else:
-        fetched = _fetch_many(chosen, store, redaction)
+        fetched = _fetch_many(stage_at(chosen, f"{path}-chosen"), store, redaction)
     nothing = F.lit(None).cast(fetched.schema["_fetched"].dataType)
     joined = (
         prepared.where(looks_up)
@@ -231,7 +231,9 @@ def _fetch_many(chosen: DataFrame, store: DataFrame, redaction: str) -> DataFram
     PDFs are read on a branch of their own: Python in between would hide from the grouping
     how the join has dealt the rows, and shuffle all bytes again.
     """
-    joined = chosen.join(store.select("message_id", "attachment_id", "data"), "message_id")
+    keys = chosen.select("message_id", F.explode(F.transform("chosen", lambda c: c["lookup"])).alias("attachment_id"))
+    stored = maybe_in(store.select("message_id", "attachment_id", "data"), keys, ["message_id", "attachment_id"])
+    joined = chosen.join(stored, "message_id")
     used = F.array_contains(F.transform("chosen", lambda c: c["lookup"]), F.col("attachment_id"))
     rows = _decoded(joined.where(used).select("message_id", "attachment_id", "data", *_kinds()))
     by_message = F.col("message_id").alias("id")

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
+from .bitmaps import BLOCK, bit
 from .versioned import File, Version, VersionedTable
 
 BITS_PER_ID = 32
-BLOCK = 1 << 15  # bits of a bitmap
 SEEN = "id string, seen_at bigint"
 
 
@@ -65,7 +65,7 @@ class SeenIds:
         )
         bits = bits.withColumn("block", (F.col("place") / BLOCK).cast("int"))
         wanted = bits.groupBy("id", "run", "bucket").agg(F.count(F.lit(1)).alias("n"))
-        found = bits.join(filters.drop("blocks"), ["run", "bucket", "block"]).where(_bit(F.col("bits"), F.col("place") % BLOCK))
+        found = bits.join(filters.drop("blocks"), ["run", "bucket", "block"]).where(bit(F.col("bits"), F.col("place") % BLOCK))
         found = found.groupBy("id", "run", "bucket").agg(F.count(F.lit(1)).alias("n"))
         may = found.join(wanted, ["id", "run", "bucket", "n"]).select("run", "bucket").distinct()
         hit = {(r.run, r.bucket) for r in may.collect()}  # at most a row a file
@@ -104,8 +104,3 @@ def _places(column: str, blocks: Column) -> Column:
     """Three bits of an id in a filter of ``blocks`` bitmaps, by hashes that the bucket does not use."""
     size = blocks.cast("bigint") * BLOCK
     return F.array(*[F.pmod(F.xxhash64(F.lit(salt), F.col(column)), size) for salt in (1, 2, 3)])
-
-
-def _bit(bits: Column, place: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-    return F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1

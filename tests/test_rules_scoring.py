@@ -50,6 +50,15 @@ def test_allowlist_table_equals_literals(spark):
     assert [w for _, w in want] == [True, True, True, True, True, False, True, True, False, False]
 
 
+def test_allowlist_table_with_nulls_and_repeats(spark):
+    senders = [("1", None), ("1", "x@corp.com"), ("2", "x@corp.com"), ("3", "y"), ("3", "y")]
+    df = spark.createDataFrame(senders, "id string, from_addr string")
+    table = spark.createDataFrame([("@corp.com",), (None,)], "entry string")
+    got = rows(rules.trusted_by_table(df, table), "id", "from_addr")
+    assert [t for *_, t in got] == [False, True, True, False, False]
+    assert rules.trusted_by_table(df, table.limit(0)).where("trusted").count() == 0
+
+
 def test_rules_file(spark, tmp_path):
     path = tmp_path / "rules.json"
     path.write_text('{\n "ignoreLabels": ["X"],\n "allowlist": []\n}')

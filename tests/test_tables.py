@@ -9,7 +9,7 @@ from conftest import rows
 from postsift.operators import queue, state
 from postsift.sources import feed
 from postsift.sources.tables import PENDING, STATE
-from postsift.tables import files
+from postsift.tables import bitmaps, files
 from postsift.tables.seen import SeenIds
 from postsift.tables.versioned import VersionedTable
 
@@ -164,3 +164,17 @@ def test_feed_ids_against_an_index(spark, seen):
     seen.add(ids_of(spark, ["m2", "m8"]))
     plain = feed.unseen(found, spark.createDataFrame([("m2",), ("m8",)], "message_id string"))
     assert rows(feed.unseen(found, seen), "account", "message_id") == rows(plain.select("account", "message_id"), "account", "message_id")
+
+
+def test_bit_filter_holds_back_what_is_not_asked(spark, monkeypatch):
+    stored = spark.range(3000).select((F.col("id") % 50).cast("string").alias("m"), F.col("id").alias("a"), F.lit("x").alias("data"))
+    stored = stored.unionByName(spark.createDataFrame([(None, 1, "n")], stored.schema))
+    asked = stored.where("a % 10 = 0 OR m IS NULL").select("m", "a")
+    held = bitmaps.maybe_in(stored, asked, ["m", "a"])
+    assert held.columns == stored.columns and held.join(asked, ["m", "a"]).count() == 300
+    assert 301 <= held.count() < 310 and held.where("m IS NULL").count() == 1
+    assert bitmaps.maybe_in(stored, asked.limit(0), ["m", "a"]).count() == 0
+    # A full filter lets everything pass and loses nothing.
+    monkeypatch.setattr(bitmaps, "FILTER_BLOCKS", 1)
+    monkeypatch.setattr(bitmaps, "BLOCK", 8)
+    assert bitmaps.maybe_in(stored, asked, ["m", "a"]).count() == 3001
