@@ -206,3 +206,20 @@ def test_hot_second_is_cut_before_its_shuffle(spark):
     assert limited.where("ok AND in_quota").count() == 1500
     plan = limited._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_pieces_stay_small_and_unsorted(spark):
+    """No task folds more than 250,000 rows at once, and it takes them as they come."""
+    import numpy as np
+    import pandas as pd
+
+    runs = spark.range(0, 600_000, 1, 1).select(F.lit(0).alias("_part"), F.col("id").alias("_row"))
+    sizes = [r["count"] for r in limits._pieces(runs, limits.PIECE_ROWS)[0].groupBy("_piece").count().collect()]
+    assert max(sizes) <= 250_000 and sum(sizes) == 600_000
+    rng = np.random.default_rng(1)
+    mixed = pd.DataFrame({"_row": rng.permutation(50)})
+    mixed["ts"], mixed["ok"] = mixed["_row"] * 10, mixed["_row"] % 3 == 0
+    before = mixed.copy()
+    order, piece = limits._piece_of(mixed, 3, 100)
+    assert mixed.equals(before) and list(mixed["_row"].to_numpy()[order]) == list(range(50))
+    assert list(piece.ts) == list(range(0, 500, 10)) and piece.oks[-1] == 17
