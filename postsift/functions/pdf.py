@@ -1,19 +1,18 @@
 """Literal text of a PDF, as far as it stands outside its streams.
 
-The scan of one file's bytes is a small per-row helper behind an Arrow UDF; which
-pieces are kept, and how many characters, is decided in native expressions so that
-the character budget of a message (``sources.attachments``) stays in the plan.
+All of it is built-in expressions: a fold over the text objects of a file that reads no further
+than any budget goes. ``text_objects`` says the same for one file in plain Python; tests hold the
+expressions against it.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .once import let
 from .text import ATTACHMENT_CHARS, LINE_ENDS, WHITE_SPACE, collapse_space, trim_text
 
 # What is blanked, where text stands, and the two kinds of strings.
@@ -27,7 +26,6 @@ _ESCAPES = (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\(", "("), ("\\)", "
 
 # The web's "latin1" is windows-1252, with C1 controls where that has no character.
 _WEB_LATIN1 = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
-_SPACE = re.compile(rf"[{WHITE_SPACE}]+")
 _OUTER_SPACE = re.compile(rf"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\Z")
 
 
@@ -60,44 +58,78 @@ def text_objects(data: bytes) -> list[list[str]]:
     return objects
 
 
-def summary(data: bytes) -> list[dict]:
-    """Text objects as ``(length, text)``, no more of them than any budget can take.
+# The same patterns as Java's: repeats that never have to give back what they took are possessive,
+# so that no piece is too long for the stack, and an ET is looked for before its word boundary.
+_J_STREAM = r"stream[\r\n](?s:.)*?endstream"
+_J_TEXT_OBJECT = r"BT(?![A-Za-z0-9_])((?s:.)*?)ET(?<![A-Za-z0-9_]ET)(?![A-Za-z0-9_])"
+_J_LITERAL = rf"\(([^)\\]*+(?:\\[^{LINE_ENDS}][^)\\]*+)*+)\)"
+_J_OCTAL = r"\\([0-9]{3})"
+_TWO_CHARS = rf"[^{WHITE_SPACE}][{WHITE_SPACE}]*[^{WHITE_SPACE}]"
+
+OBJECTS = "array<struct<length:int,text:string>>"
+
+
+def pdf_objects(data: Column) -> Column:
+    """Text objects of a file as ``(length, text)``, no more of them than any budget can take.
 
     ``length`` is that of the raw strings, which decides where to stop; the text is
     collapsed and cut two characters past the largest budget: one may be a leading space,
-    and one keeps a space at the budget's end from being trimmed.
+    and one keeps a space at the budget's end from being trimmed. NULL for no file.
     """
-    found, total = [], 0
-    for pieces in text_objects(data):
-        if total >= ATTACHMENT_CHARS:
-            break
-        if pieces:
-            length = sum(map(len, pieces))
-            text = _SPACE.sub(" ", " ".join(pieces))[: ATTACHMENT_CHARS + 2]
-            found.append({"length": length, "text": text})
-            total += length
-    return found
+    text = F.regexp_replace(F.decode(data, "ISO-8859-1"), _J_STREAM, "stream endstream")
+    start = F.struct(F.lit(0).alias("total"), F.array().cast(OBJECTS).alias("found"))
+
+    def add(acc: Column, block: Column) -> Column:
+        def more(pieces: Column) -> Column:
+            length = F.length(F.array_join(pieces, ""))
+            words = F.left(collapse_space(F.array_join(pieces, " ")), F.lit(ATTACHMENT_CHARS + 2))
+            found = F.struct(length.alias("length"), words.alias("text"))
+            return F.struct(
+                (acc["total"] + length).alias("total"), F.array_append(acc["found"], found).alias("found")
+            )
+
+        grown = let(_pieces(block), lambda pieces: F.when(F.size(pieces) == 0, acc).otherwise(more(pieces)))
+        return F.when(acc["total"] >= ATTACHMENT_CHARS, acc).otherwise(grown)
+
+    return F.aggregate(_all(text, _J_TEXT_OBJECT), start, add, lambda acc: acc["found"])
 
 
-OBJECTS = T.ArrayType(
-    T.StructType([T.StructField("length", T.IntegerType()), T.StructField("text", T.StringType())])
-)
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
-@F.pandas_udf(OBJECTS)
-def pdf_objects(files: pd.Series) -> pd.Series:
-    """``summary`` of each file of a binary column."""
-    return files.map(lambda data: None if data is None else summary(bytes(data)))
+def _pieces(block: Column) -> Column:
+    """The usable strings of a text object: those of two characters, other than space around them."""
+    literals = F.transform(_all(block, _J_LITERAL), lambda p: _unescaped(_web_latin1(p)))
+    hexes = F.transform(_all(block, _HEX.pattern), _from_hex)
+    return F.filter(F.concat(literals, hexes), lambda p: F.regexp_like(p, F.lit(_TWO_CHARS)))
 
 
-@F.pandas_udf(T.ArrayType(OBJECTS))
-def pdf_objects_of_each(files: pd.Series) -> pd.Series:
-    """``summary`` of each file in a column of binary arrays."""
+def _web_latin1(text: Column) -> Column:
+    controls = F.translate(text, "".join(map(chr, _WEB_LATIN1)), "".join(_WEB_LATIN1.values()))
+    return F.when(F.regexp_like(text, F.lit(r"[\x80-\x9F]")), controls).otherwise(text)
+
+
+def _unescaped(text: Column) -> Column:
+    plain = text
+    for escape, char in _ESCAPES:
+        plain = F.replace(plain, F.lit(escape), F.lit(char))
+    return F.when(F.contains(text, F.lit("\\")), let(plain, _octals)).otherwise(text)
+
+
+def _octals(text: Column) -> Column:
+    """Three digits after a backslash as one character: by the leading octal ones, NUL without any."""
+    chars = F.transform(
+        _all(text, _J_OCTAL),
+        lambda digits: F.decode(F.unhex(F.lpad(F.conv(digits, 8, 16), 4, "0")), "UTF-16BE"),
+    )
+    joined = F.transform(F.split(text, _J_OCTAL), lambda part, i: F.concat(part, F.coalesce(F.get(chars, i), F.lit(""))))
+    return F.array_join(joined, "")
 
-    def scan(of_message):
-        return [None if data is None else summary(bytes(data)) for data in of_message]
 
-    return files.map(scan)
+def _from_hex(digits: Column) -> Column:
+    whole = F.left(digits, F.length(digits) - F.length(digits) % 2)
+    return F.regexp_replace(F.decode(F.unhex(whole), "ISO-8859-1"), r"[^\x20-\x7E]", "")
 
 
 def pdf_text(objects: Column, max_chars: Column) -> Column:

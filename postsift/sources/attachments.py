@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.once import compute_once
-from ..functions.pdf import pdf_objects, pdf_objects_of_each, pdf_text
+from ..functions.pdf import pdf_objects, pdf_text
 from ..functions.text import (
     ATTACHMENT_CHARS,
     bytes_as_utf8,
@@ -158,25 +158,34 @@ def _wanted(parts: Column) -> Column:
 
 
 def _chosen(wanted: DataFrame, store: DataFrame) -> DataFrame:
-    """``(message_id, chosen)``: the lookups that succeed, images only as far as used."""
-    lookups = wanted.select("message_id", F.explode("wanted.lookup").alias("attachment_id"))
+    """``(message_id, chosen)``: the lookups worth fetching, images only as far as used.
+
+    Which images are the first five usable ones depends on which lookups succeed. That is only asked for
+    the images of messages with more than five; all other attachments of the store stay undecoded here.
+    """
+    images = F.filter("wanted", lambda w: w["kind"] == "image")
+    texts = F.filter("wanted", lambda w: w["kind"] != "image")
+    too_many = F.size(images) > MAX_IMAGES
+    asked = wanted.where(too_many).select(
+        "message_id", F.explode(F.array_compact(F.transform(images, lambda w: w["lookup"]))).alias("attachment_id")
+    )
+    keys = ["message_id", "attachment_id"]
+    stored = maybe_in(store.select(*keys, "data"), asked, keys)
     present = (
-        store.where(decode_base64url(F.col("data")).isNotNull())
-        .select("message_id", "attachment_id")
-        .join(lookups, ["message_id", "attachment_id"], "left_semi")
+        compute_once(stored, _usable=decode_base64url(F.col("data")).isNotNull())
+        .where("_usable")
+        .select(*keys)
+        .join(asked, keys, "left_semi")
         .groupBy("message_id")
         .agg(F.collect_set("attachment_id").alias("present"))
     )
     found = F.filter(
-        "wanted",
+        images,
         lambda w: w["inline"] | F.coalesce(F.array_contains("present", w["lookup"]), F.lit(False)),
     )
-    images = F.filter(found, lambda w: w["kind"] == "image")
-    texts = F.filter(found, lambda w: w["kind"] != "image")
-    kept = F.filter(
-        F.concat(F.slice(images, 1, MAX_IMAGES), texts), lambda w: w["lookup"].isNotNull()
-    )
-    return wanted.join(present, "message_id").select("message_id", kept.alias("chosen"))
+    first = F.when(too_many, F.slice(found, 1, MAX_IMAGES)).otherwise(images)
+    kept = F.filter(F.concat(first, texts), lambda w: w["lookup"].isNotNull())
+    return wanted.join(present, "message_id", "left").select("message_id", kept.alias("chosen"))
 
 
 KINDS = ("image", "text", "pdf")
@@ -193,65 +202,43 @@ def _kinds() -> list[Column]:
 
 
 def _decoded(rows: DataFrame) -> DataFrame:
-    decoded = rows.withColumn("bytes", decode_base64url(F.col("data"))).drop("data")
-    return decoded.where(F.col("bytes").isNotNull())
+    """``data`` as bytes, without rows that cannot be read; decoded once, after any join before it."""
+    return compute_once(rows, data=decode_base64url(F.col("data"))).where("data IS NOT NULL")
 
 
-def _content(redaction: str, *more: Column) -> Column:
-    return F.struct(
+def _fetched(rows: DataFrame, redaction: str) -> DataFrame:
+    """``(id, _fetched)``: image bytes, cut texts and PDF text objects per message."""
+    content = F.struct(
         "attachment_id",
-        F.when(F.col("image"), F.col("bytes")).alias("bytes"),
-        F.when(F.col("text"), clean_text(F.col("bytes"), redaction)).alias("text"),
-        *more,
+        F.when(F.col("image"), F.col("data")).alias("bytes"),
+        F.when(F.col("text"), clean_text(F.col("data"), redaction)).alias("text"),
+        pdf_objects(F.when(F.col("pdf"), F.col("data"))).alias("objects"),
     )
+    return rows.groupBy(F.col("message_id").alias("id")).agg(F.collect_list(content).alias("_fetched"))
 
 
-def _pdf_objects() -> Column:
-    return pdf_objects(F.when(F.col("pdf"), F.col("bytes")))
+def _lookups() -> Column:
+    return F.array_distinct(F.transform("chosen", lambda c: c["lookup"]))
 
 
 def _fetch_few(chosen: DataFrame, store: DataFrame, redaction: str) -> DataFrame:
-    """``(id, _fetched)``: image bytes, cut texts and PDF text objects per message."""
-    lookups = F.array_distinct(F.transform("chosen", lambda c: c["lookup"]))
-    keys = chosen.select("message_id", "chosen", F.explode(lookups).alias("attachment_id"))
+    """Lookups go to the store; only what is used of its bytes is shuffled."""
+    keys = chosen.select("message_id", "chosen", F.explode(_lookups()).alias("attachment_id"))
     keys = keys.select("message_id", "attachment_id", *_kinds())
     found = store.select("message_id", "attachment_id", "data").join(
         F.broadcast(keys), ["message_id", "attachment_id"]
     )
-    read = _decoded(found).withColumn("_objects", _pdf_objects())
-    content = _content(redaction, F.col("_objects").alias("objects"))
-    return read.groupBy(F.col("message_id").alias("id")).agg(
-        F.collect_list(content).alias("_fetched")
-    )
+    return _fetched(_decoded(found), redaction)
 
 
 def _fetch_many(chosen: DataFrame, store: DataFrame, redaction: str) -> DataFrame:
-    """The same for any number of lookups.
-
-    PDFs are read on a branch of their own: Python in between would hide from the grouping
-    how the join has dealt the rows, and shuffle all bytes again.
-    """
-    keys = chosen.select("message_id", F.explode(F.transform("chosen", lambda c: c["lookup"])).alias("attachment_id"))
-    stored = maybe_in(store.select("message_id", "attachment_id", "data"), keys, ["message_id", "attachment_id"])
+    """The same for any number of lookups: bytes go to the messages, through one exchange."""
+    keys = ["message_id", "attachment_id"]
+    asked = chosen.select("message_id", F.explode(_lookups()).alias("attachment_id"))
+    stored = _decoded(maybe_in(store.select(*keys, "data"), asked, keys))
     joined = chosen.join(stored, "message_id")
     used = F.array_contains(F.transform("chosen", lambda c: c["lookup"]), F.col("attachment_id"))
-    rows = _decoded(joined.where(used).select("message_id", "attachment_id", "data", *_kinds()))
-    by_message = F.col("message_id").alias("id")
-    plain = rows.groupBy(by_message).agg(F.collect_list(_content(redaction)).alias("_plain"))
-    objects = F.struct("attachment_id", F.col("_objects").alias("objects"))
-    pdfs = (
-        rows.where("pdf")
-        .withColumn("_objects", _pdf_objects())
-        .groupBy(by_message)
-        .agg(F.collect_list(objects).alias("_pdfs"))
-    )
-
-    def with_objects(p: Column) -> Column:
-        own = F.filter("_pdfs", lambda o: o["attachment_id"] == p["attachment_id"])
-        return p.withField("objects", F.try_element_at(own, F.lit(1))["objects"])
-
-    fetched = F.transform("_plain", with_objects).alias("_fetched")
-    return plain.join(pdfs, "id", "left").select("id", fetched)
+    return _fetched(joined.where(used).select(*keys, "data", *_kinds()), redaction)
 
 
 def clean_text(data: Column, redaction: str = "reference") -> Column:
@@ -289,16 +276,8 @@ def _limited(joined: DataFrame, redaction: str) -> DataFrame:
     usable = F.filter("_parts", _is_usable)
     images = F.slice(F.filter(usable, lambda p: p["kind"] == "image"), 1, MAX_IMAGES)
     texts = F.filter(usable, lambda p: p["kind"] != "image")
-    inline_pdfs = F.transform("_texts", lambda p: F.when(p["kind"] == "pdf", p["bytes"]))
-    scanned = compute_once(joined, _images=images, _texts=texts).withColumn(
-        "_objects", pdf_objects_of_each(inline_pdfs)
-    )
-    parts = F.zip_with(
-        "_texts",
-        "_objects",
-        lambda p, inline: p.withField("objects", F.coalesce(inline, p["stored"]["objects"])),
-    )
-    limited = compute_once(scanned, _text=budgeted_text(parts, redaction))
+    sorted_out = compute_once(joined, _images=images, _texts=texts)
+    limited = compute_once(sorted_out, _text=budgeted_text(F.col("_texts"), redaction))
     broken = F.col("_text").isNull() | F.exists("_images", _is_broken)
 
     def url(p: Column) -> Column:
@@ -322,7 +301,8 @@ def budgeted_text(parts: Column, redaction: str = "reference") -> Column:
 
     def add(text: Column, p: Column) -> Column:
         room = F.lit(ATTACHMENT_CHARS) - F.length(text)
-        from_pdf = trim_text(redact(pdf_text(p["objects"], room), redaction))
+        objects = F.coalesce(pdf_objects(p["bytes"]), p["stored"]["objects"])
+        from_pdf = trim_text(redact(pdf_text(objects, room), redaction))
         from_text = F.left(
             F.when(p["inline"], clean_text(p["bytes"], redaction)).otherwise(p["stored"]["text"]),
             room,

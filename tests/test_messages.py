@@ -4,6 +4,7 @@ import base64
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -284,3 +285,66 @@ def test_fetch_bytes(spark):
     assert sorted(rows(got), key=str) == sorted(
         [("m", "a", "A"), ("m", "b", None), ("m", None, "in"), ("m", "zz", None), ("n", "a", None)], key=str
     )
+
+
+def test_pdf_objects_without_python(spark):
+    """Odd files, long pieces and random ones against the plain scan of one file."""
+    import random
+
+    from postsift.functions import pdf
+    from postsift.functions.text import ATTACHMENT_CHARS
+
+    def plain(data):
+        found, total = [], 0
+        for pieces in pdf.text_objects(data) if data is not None else []:
+            if pieces and total < ATTACHMENT_CHARS:
+                text = re.sub(rf"[{pdf.WHITE_SPACE}]+", " ", " ".join(pieces))[: ATTACHMENT_CHARS + 2]
+                found.append((sum(map(len, pieces)), text))
+                total += found[-1][0]
+        return None if data is None else found
+
+    rng = random.Random(5)
+    bits = [b"BT", b"ET", b" ", b"(", b")", b"\\", b"<", b">", b"414", b"a", b"xyz", b"\\101", b"\\908", b"\\777", b"\\779", b"\\223", b"\\n", b"\\(",
+            b"\n", b"\r", b"_", b"stream\n", b"endstream", b"\x85", b"\x93q\x94", b"\x81", b"\xa0", b"\xe9", b"\0", b"7f207e"]
+    files = [None, b"", b"BT", b"BTET", b"xBT (ab)ET", b"BT (ab) _ET ET2 ET", b"BT (a) (ab) (\\\n (cd) ET", b"BT (" + b"\\a" * 200_000 + b") ET",
+             b"BT (" + b"(" * 3000 + b" ET", b"BT (x" + b" " * 2100 + b"y) ET BT (never) ET", b"stream\n BT (hid) ET endstream BT <4869> ET"]
+    files += [b"BT (" + b"".join(rng.choices(bits, k=rng.randint(1, 40))) + b") ET" for _ in range(400)]
+    files += [b" ".join(b"BT" + b"".join(rng.choices(bits, k=9)) + b" ET" for _ in range(60)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(files)), "i int, data binary").repartition(8)
+    read = df.select("i", pdf.pdf_objects(F.col("data")).alias("objects"))
+    got = {r.i: r.objects and [tuple(o) for o in r.objects] for r in read.collect()}
+    assert got == {i: plain(data) for i, data in enumerate(files)}
+    assert sum(bool(found) for found in got.values()) > 300
+
+
+def test_no_python_for_attachments(spark, tmp_path):
+    """Nor does reading them, few or many, ask the store for what no message looks up."""
+    pdf = mixed(part("application/pdf", attachment="p"), part("application/pdf", "BT (in) ET"))
+    df = spark.createDataFrame([(message(pdf),)], "message string")
+    store = spark.createDataFrame([("m1", "p", b64("BT (out) ET")), ("m1", "q", "!")], attachments.STORE)
+    for most in (0, 10):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(attachments, "MOST_BROADCAST", most)
+            got = attachments.with_attachments(messages.parse_messages(df), store)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas", plan) and got.first().attachment_text == "out\nin"
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_only_images_beyond_five_are_asked_for_beforehand(spark, monkeypatch, most):
+    """The first five usable ones count, whichever of the store's can be read."""
+    monkeypatch.setattr(attachments, "MOST_BROADCAST", most)
+    names = [f"s{i}" for i in range(8)]
+    tree = mixed(*[part("image/png", attachment=s) for s in names], part("text/plain", attachment="t", filename="t"))
+    few = mixed(*[part("image/png", attachment=s) for s in names[:3]])
+    df = spark.createDataFrame([(message(tree),), (message(few).replace('"m1"', '"m2"'),)], "message string")
+    store = [(m, s, "!" if s in ("s1", "s2") else b64(f"{m}{s}")) for m in ("m1", "m2") for s in [*names[:7], "t"]]
+    stored = spark.createDataFrame(store, attachments.STORE)
+    wanted = messages.parse_messages(df).select(
+        F.col("id").alias("message_id"), attachments._wanted(attachments.attachment_parts(attachments.attachment_leaves(F.col("nodes")))).alias("wanted")
+    )
+    chosen = {r.message_id: [c.lookup for c in r.chosen] for r in attachments._chosen(wanted, stored).collect()}
+    assert chosen == {"m1": ["s0", "s3", "s4", "s5", "s6", "t"], "m2": names[:3]}
+    got = attachments.with_attachments(messages.parse_messages(df), stored).orderBy("id").collect()
+    texts = [[base64.b64decode(u.split(",")[1]).decode() for u in r.images] for r in got]
+    assert texts == [["m1s0", "m1s3", "m1s4", "m1s5", "m1s6"], ["m2s0"]] and got[0].attachment_text == "m1t"
