@@ -59,9 +59,11 @@ def text_objects(data: bytes) -> list[list[str]]:
 
 
 # The same patterns as Java's: repeats that never have to give back what they took are possessive,
-# so that no piece is too long for the stack, and an ET is looked for before its word boundary.
+# so that no piece is too long for the stack.
 _J_STREAM = r"stream[\r\n](?s:.)*?endstream"
-_J_TEXT_OBJECT = r"BT(?![A-Za-z0-9_])((?s:.)*?)ET(?<![A-Za-z0-9_]ET)(?![A-Za-z0-9_])"
+_J_TEXT_OBJECT = (
+    r"BT(?![A-Za-z0-9_])([^E]*+(?:E(?!(?<![A-Za-z0-9_]E)T(?![A-Za-z0-9_]))[^E]*+)*+)ET"
+)
 _J_LITERAL = rf"\(([^)\\]*+(?:\\[^{LINE_ENDS}][^)\\]*+)*+)\)"
 _J_OCTAL = r"\\([0-9]{3})"
 _TWO_CHARS = rf"[^{WHITE_SPACE}][{WHITE_SPACE}]*[^{WHITE_SPACE}]"

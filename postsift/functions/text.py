@@ -15,6 +15,11 @@ WHITE_SPACE = (
     r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 )
 LINE_ENDS = r"\n\r\u2028\u2029"
+# The same as classes that turn a letter away at the first look, the second one without the blank.
+_ANY_SPACE = rf"\s\u00A0-\uFEFF&&[{WHITE_SPACE}]"
+_ODD_SPACE = rf"\t-\r\u00A0-\uFEFF&&[{WHITE_SPACE.replace(' ', '')}]"
+# And as the characters themselves.
+_SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Text limits, in characters.
 BODY_CHARS = 2048
@@ -72,12 +77,13 @@ ACCOUNT_PATTERN = rf"^[^{WHITE_SPACE}@]+@[^{WHITE_SPACE}@]+\.[^{WHITE_SPACE}@]+\
 
 
 def trim_text(text: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, rf"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\z", "")
+    """Trim every kind of white space, not only blanks; only the ends of a text are looked at."""
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def collapse_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{WHITE_SPACE}]+", " ")
+    """Every run of white space as one blank; single blanks, the most of them, are no match and stay."""
+    return F.regexp_replace(text, rf" [{_ANY_SPACE}]+|[{_ODD_SPACE}][{_ANY_SPACE}]*", " ")
 
 
 def or_empty(text: Column) -> Column:
@@ -92,7 +98,7 @@ def non_empty(text: Column) -> Column:
 def strip_html(html: Column) -> Column:
     out = F.regexp_replace(html, r"<[^>]+>", "")
     for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+        out = F.regexp_replace(out, entity, char)  # finds a literal several times as fast as replace
     return out
 
 
@@ -102,10 +108,14 @@ def redact(text: Column, profile: str = "reference") -> Column:
     return text
 
 
+def swap(text: Column, char: str, by: str) -> Column:
+    """``text`` with one character put for another; ``replace`` takes several times as long over long texts."""
+    return F.array_join(F.split(text, char if char.isalnum() else "\\" + char), by)
+
+
 def decode_base64url(data: Column) -> Column:
     """Bytes of a base64 or base64url text; NULL where it is not one."""
-    standard = F.replace(F.replace(data, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
-    return F.try_to_binary(standard, F.lit("base64"))
+    return F.try_to_binary(swap(swap(data, "-", "+"), "_", "/"), F.lit("base64"))
 
 
 def bytes_as_latin1(data: Column) -> Column:
@@ -127,7 +137,7 @@ def bytes_as_text(data: Column, charset: str) -> Column:
 
 def base64_line(data: Column) -> Column:
     """Base64 without the line breaks that Spark puts into long texts."""
-    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+    return swap(swap(F.base64(data), "\r", ""), "\n", "")
 
 
 def data_url(mime: Column, data: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import base64_line
+from ..functions.text import base64_line, swap
 
 SPARK = {
     "div": "div",
@@ -263,8 +263,7 @@ def _spread(rows: DataFrame) -> DataFrame:
 def _encoded(text: Column) -> Column:
     """URL-safe base64 without padding, as mail providers send it."""
     line = base64_line(text.cast("binary"))
-    line = F.replace(F.replace(line, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
-    return F.replace(line, F.lit("="), F.lit(""))
+    return swap(swap(swap(line, "+", "-"), "/", "_"), "=", "")
 
 
 def provider_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,10 +373,8 @@ PDF_SPECIAL = (("(", " "), (")", " "), ("\\", " "), ("<", " "), ("ET", "Et"), ("
 
 
 def _pdf_literal(text: Column) -> Column:
-    text = F.regexp_replace(text, r"[^\x00-\x7F]+", " ")
-    for special, plain in PDF_SPECIAL:
-        text = F.replace(text, F.lit(special), F.lit(plain))
-    return text
+    """``PDF_SPECIAL`` in two passes: what becomes a blank, and the T after an E or a B."""
+    return F.regexp_replace(F.regexp_replace(text, r"[()\\<]|[^\x00-\x7F]+", " "), "([EB])T", "$1t")
 
 
 def _image(i: int) -> Column:

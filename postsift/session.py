@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 # UTC for anything that prints a timestamp; AQE chooses join sides from measured sizes and
 # splits skewed join partitions; Arrow batches are bounded in bytes, because a row may hold
 # a megabyte of attachment. Rank filters up to that threshold are also applied before the
-# shuffle (the default of 1,000 would leave a large quota or flush cap to one task).
+# shuffle (the default of 1,000 would leave a large quota or flush cap to one task). Base64
+# comes without line breaks, which would only be taken out again.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -21,6 +22,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    "spark.sql.chunkBase64String.enabled": "false",
 }
 
 
