@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .bitmaps import BLOCK, bit
+from .bitmaps import BLOCK
+from .bitmaps import bit as _bit
 from .versioned import File, Version, VersionedTable
 
 BITS_PER_ID = 32
@@ -65,7 +66,7 @@ class SeenIds:
         )
         bits = bits.withColumn("block", (F.col("place") / BLOCK).cast("int"))
         wanted = bits.groupBy("id", "run", "bucket").agg(F.count(F.lit(1)).alias("n"))
-        found = bits.join(filters.drop("blocks"), ["run", "bucket", "block"]).where(bit(F.col("bits"), F.col("place") % BLOCK))
+        found = bits.join(filters.drop("blocks"), ["run", "bucket", "block"]).where(_bit(F.col("bits"), F.col("place") % BLOCK))
         found = found.groupBy("id", "run", "bucket").agg(F.count(F.lit(1)).alias("n"))
         may = found.join(wanted, ["id", "run", "bucket", "n"]).select("run", "bucket").distinct()
         hit = {(r.run, r.bucket) for r in may.collect()}  # at most a row a file
